@@ -58,7 +58,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word and its hash; words end where documents do."""
     inside = data != 0x20
     edge = np.zeros(len(data) + 1, bool)
@@ -92,7 +92,7 @@ class Windows:
     def _filter(m: int, keys: list[bytes]) -> np.ndarray:
         data = np.frombuffer(b"".join(keys), np.uint8)
         offsets = np.r_[0, np.cumsum([len(k) for k in keys])]
-        w = _word_hashes(data, offsets)[2].reshape(-1, m)
+        w = word_hashes(data, offsets)[2].reshape(-1, m)
         out = np.zeros(len(w), np.uint64)
         for j in range(m):
             out = out * _C + w[:, j]
@@ -100,7 +100,7 @@ class Windows:
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
         """Words per document, hit flag of each word, items by document."""
-        starts, ends, w = _word_hashes(data, offsets)
+        starts, ends, w = word_hashes(data, offsets)
         first = np.searchsorted(starts, offsets[:-1])
         count = np.diff(np.r_[first, len(starts)])
         last = np.repeat(first + count, count)
@@ -211,7 +211,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, mask in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
             if mask:
                 raw = text.encode()
-                starts, ends, _ = _word_hashes(_NORMAL[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+                starts, ends, _ = word_hashes(_NORMAL[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
                 hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(starts)).astype(bool)
                 keep, at = [], 0
                 for s, e in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True):
