@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import bpe, decontam, quality, secrets, sharding, simhash, suffix, topk, warc
+from fathomline.llm import bpe, decontam, lm, quality, secrets, sharding, simhash, suffix, topk, warc
 from fathomline.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_quality, op3_pivot_top_k, op4_bpe, op5_decontamination, op6_simhash, op7_warc, op8_secrets, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_quality, op3_pivot_top_k, op4_bpe, op5_decontamination, op6_simhash, op7_warc, op8_secrets, op9_gru, op10_suffix_dedup)}
 
 
 OP5_SQL = r"""
