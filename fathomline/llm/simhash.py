@@ -43,6 +43,8 @@ THRESHOLD = 3
 CHUNK = 1 << 19
 #: Comparisons of one anchor done at once.
 BLOCK_PAIRS = 1 << 20
+#: Differing bits of sketches that a forest of links does not tell apart.
+TIER = 4
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
@@ -153,47 +155,59 @@ class Forest:
         return True
 
 
-def _linked(anchor: np.ndarray, replica: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, threshold: int, far: int) -> list[tuple[int, int]]:
-    """Forest edges among whole anchors; rows are sorted by anchor, homes first.
+class Tiers:
+    """Forests by distance: a link is new unless links at least as close (by tier) connect its ends."""
+
+    def __init__(self, far: int):
+        self.forests = [Forest() for _ in range(far // TIER + 1)]
+
+    def new(self, x: int, y: int, distance: int) -> bool:
+        first = distance // TIER
+        if not self.forests[first].join(x, y):
+            return False
+        for forest in self.forests[first + 1 :]:
+            forest.join(x, y)
+        return True
+
+    def trim(self) -> None:
+        if len(self.forests[-1].up) > 1_000_000:
+            self.__init__((len(self.forests) - 1) * TIER)
+
+
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _linked(anchor: np.ndarray, replica: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, threshold: int, far: int) -> Iterator[Edges]:
+    """Links among whole anchors as (a, b, distance); rows are sorted by anchor, homes first.
 
     A link has at most ``threshold`` differing bits in its fingerprints and at
-    most ``far`` in its sketches (which may be empty).
+    most ``far`` in its sketches, which give the distance (0 without any).
     """
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = (node[x] != node[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= threshold)
-        if sketch.shape[1] and ok.any():
-            i = np.flatnonzero(ok)
-            ok[i] = np.bitwise_count(sketch[x[i]] ^ sketch[y[i]]).sum(1) <= far
-        return np.flatnonzero(ok)
+    def near(x: np.ndarray, y: np.ndarray) -> Edges:
+        i = np.flatnonzero((node[x] != node[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= threshold))
+        x, y = x[i], y[i]
+        d = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+        i = np.flatnonzero(d <= far)
+        i = i[np.argsort(d[i], kind="stable")]
+        return np.minimum(node[x[i]], node[y[i]]), np.maximum(node[x[i]], node[y[i]]), d[i]
 
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
     homes = np.add.reduceat((~replica).astype(np.int64), starts)
     others = sizes - homes
-    out: list[tuple[int, int]] = []
     small = (homes > 0) & (homes * others <= 256)
     h, o, s = homes[small], others[small], starts[small]
     n = h * o
     group = np.repeat(np.arange(len(n)), n)
     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    x, y = s[group] + k // o[group], s[group] + h[group] + k % o[group]
-    ok = near(x, y)
-    a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
-    if len(a):
-        out.extend(map(tuple, np.unique(np.stack([a, b], 1), axis=0).tolist()))
+    yield near(s[group] + k // o[group], s[group] + h[group] + k % o[group])
     for i in np.flatnonzero((homes > 0) & (homes * others > 256)).tolist():
-        forest = Forest()
         first, mid, last = int(starts[i]), int(starts[i] + homes[i]), int(starts[i] + sizes[i])
         step = max(1, BLOCK_PAIRS // (last - mid))
         for p in range(first, mid, step):
             q = min(mid, p + step)
-            x, y = np.repeat(np.arange(p, q), last - mid), np.tile(np.arange(mid, last), q - p)
-            ok = near(x, y)
-            for a, b in zip(node[x[ok]].tolist(), node[y[ok]].tolist(), strict=True):
-                if forest.join(a, b):
-                    out.append((min(a, b), max(a, b)))
-    return out
+            yield near(np.repeat(np.arange(p, q), last - mid), np.tile(np.arange(mid, last), q - p))
 
 
 def _words64(column: pa.Array) -> np.ndarray:
@@ -205,13 +219,12 @@ def _words64(column: pa.Array) -> np.ndarray:
 def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int, far: int) -> Iterator[pa.RecordBatch]:
     """Compare anchor by anchor; the last anchor of a batch waits for the next batch."""
     held: list[list[np.ndarray]] = []
-    forest = Forest()
+    tiers = Tiers(far)
 
     def emit(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        edges = [e for e in _linked(*columns, threshold, far) if forest.join(*e)]
-        if len(forest.up) > 2_000_000:
-            forest.up.clear()
+        edges = [(a, b) for found in _linked(*columns, threshold, far) for a, b, d in zip(*(x.tolist() for x in found), strict=True) if tiers.new(a, b, d)]
+        tiers.trim()
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -287,9 +300,10 @@ def report(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE)
 
 #: Fingerprints of single words per text, and 64-bit words of its five-word sketch.
 FAMILIES, SKETCH, NEAR_SHINGLE = 4, 6, 5
+SIMILARITY = 0.8
 #: Differing bits of 64 * SKETCH: of texts with similarity 0.8 (a cosine of 0.89),
-#: 58 differ on average, with a deviation of 7.
-FAR = 68
+#: 58 differ on average, with a deviation of 7; links are verified after it.
+FAR = 76
 BROADCAST_ROWS = 500_000
 _FAMILY = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -324,14 +338,41 @@ def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(columns, ["family", "fp", "node", "sketch"])
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in small_batches(whole, CHUNK):
+            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges whose shingle sets have the similarity asked for."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges between texts (node, text) whose five-word shingles are similar, by exact count."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_batches, "node long, shingles binary"), "shingles")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies (similarity of five-word shingles about 0.8 or more).
+    """One row of each class of near copies (similarity 0.8 or more of five-word shingles).
 
     Fingerprints of single words, by several hash families, differ in few bits
     between such texts, so the anchors of at least one family bring them
-    together; a link is one whose long five-word sketches agree as well.  The
-    row with the smallest doc_id of a class stays (null last, then the first
-    in the input).
+    together (measured recall of pairs: over 0.99).  Links are those whose long
+    five-word sketches agree, closest first; each is verified on the shingles.
+    The row with the smallest doc_id of a class stays (null last, then the
+    first in the input).
     """
     rows = docs.select(boxed(docs, "text").alias("row"), "text", F.monotonically_increasing_id().alias("uid"))
     schema = T.StructType([*rows.schema, T.StructField("fps", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
@@ -340,7 +381,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     each = nodes.mapInArrow(_explode_batches, "family int, fp long, node long, sketch binary")
     alike = links(each.drop("sketch"))  # by fingerprints alone: few texts have any such neighbour
     members = materialize(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
-    found = components(links(each.join(members, "node", "left_semi"), THRESHOLD, FAR))
+    edges = materialize(links(each.join(members, "node", "left_semi"), THRESHOLD, FAR).distinct(), "candidates")
+    found = components(verified(edges, rows.select(F.col("uid").alias("node"), "text")))
     ids = rows.select("uid", "fps", "sketch", F.col("row.doc_id").alias("doc_id")).join(nodes, ["fps", "sketch"])
     ids = ids.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("class"))
     first = ids.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid")).alias("kept"), F.count("*").alias("n")).where("n > 1")
