@@ -62,8 +62,8 @@ def archive_fixes(rows: DataFrame, box: tuple[float, float, float, float] | None
 def archive_vessels(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The vessel described by the first kept row of each number."""
     first = kept.groupBy("mmsi").agg(F.min("seq").alias("seq"))
-    return rows.join(first, "seq").select(
-        "mmsi", blank_to_null(F.col("VesselName")).alias("name"), blank_to_null(F.replace(F.col("IMO"), F.lit("IMO"), F.lit(""))).alias("imo"), blank_to_null(F.col("CallSign")).alias("callsign"),
+    return rows.join(first.withColumnRenamed("mmsi", "number"), "seq").select(
+        F.col("number").alias("mmsi"), blank_to_null(F.col("VesselName")).alias("name"), blank_to_null(F.replace(F.col("IMO"), F.lit("IMO"), F.lit(""))).alias("imo"), blank_to_null(F.col("CallSign")).alias("callsign"),
         F.col("VesselType").try_cast("int").alias("ship_type"), archive_number(F.col("Length")).alias("length_m"), archive_number(F.col("Width")).alias("width_m"), archive_number(F.col("Draft")).alias("draught_m"),
     )
 
@@ -122,7 +122,8 @@ def environment(bodies: DataFrame, body: str = "body") -> DataFrame:
     schema = "hourly struct<time:array<string>, " + ", ".join(f"{c}:array<double>" for c in HOURLY) + ">"
     h = bodies.select(F.from_json(body, schema).alias("b")).select("b.hourly.*")
     at = F.coalesce(*[F.try_to_timestamp("x.time", F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss")]).cast("double").alias("ts")
-    long = h.select(F.explode(F.arrays_zip("time", *HOURLY)).alias("x")).select(at, *[F.col(f"x.{c}").alias(c) for c in HOURLY]).where("ts is not null")
+    given = [F.coalesce(c, F.transform("time", lambda t: F.lit(None).cast("double"))).alias(c) for c in HOURLY]
+    long = h.select("time", *given).select(F.explode(F.arrays_zip("time", *HOURLY)).alias("x")).select(at, *[F.col(f"x.{c}").alias(c) for c in HOURLY]).where("ts is not null")
     rows = long.groupBy("ts").agg(*[F.max(c).alias(c) for c in HOURLY])
     names = dict(zip(HOURLY, ("wind_speed", "wind_from", "cur_speed", "cur_to", "wave_m", "sst_c"), strict=True))
     return rows.select("ts", *[(F.col(c) / 3.6 if c == "ocean_current_velocity" else F.col(c)).alias(n) for c, n in names.items()])
