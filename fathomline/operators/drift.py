@@ -9,10 +9,11 @@ longitudes are a second running sum: two windows, no loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.constants import DEFLECTION_DEG, KM_PER_DEG_LAT, STEP_MINUTES, WIND_FACTOR
+from fathomline.constants import DEFLECTION_DEG, DIFFUSION_MS, DRIFT_SEED, KM_PER_DEG_LAT, PARTICLES, STEP_MINUTES, WIND_FACTOR
 from fathomline.functions.geo import floor_mod, km_per_deg_lon
 from fathomline.operators.shapes import hull_area, trimmed
 
@@ -88,3 +89,37 @@ def envelope(cloud: DataFrame) -> DataFrame:
     """Hull of all snapshots together."""
     pooled = trimmed(cloud.withColumn("step", F.lit(0)), 0.97)
     return hull_area(pooled.select("step", "lon", "lat"), "step").select("ring", "area_km2")
+
+
+def _inside(x: float, y: float, ring: np.ndarray) -> bool:
+    x1, y1 = ring.T
+    x2, y2 = np.roll(ring, -1, axis=0).T
+    on = (y1 > y) != (y2 > y)
+    return bool(np.count_nonzero(x < x1[on] + (y - y1[on]) * (x2[on] - x1[on]) / (y2[on] - y1[on])) % 2)
+
+
+def draws(spark: SparkSession, ring: list[list[float]], steps: int, n: int = PARTICLES, seed: int = DRIFT_SEED) -> tuple[DataFrame, DataFrame]:
+    """Random particles and noise of one slick, for ``backtrack``.
+
+    One generator is drawn from in a fixed order: points in the ring's box
+    (longitude, latitude) until ``n`` lie inside, 200 tries a particle at most;
+    wind factors; deflections; then noise step by step, north before east.
+    Too few points are used again; none at all gives the ring's centre.
+    """
+    rng, shape = np.random.default_rng(seed), np.array(ring, float)
+    low, span = shape.min(axis=0), np.ptp(shape, axis=0)
+    points: list[np.ndarray] = []
+    for _ in range(200 * n):
+        if len(points) == n:
+            break
+        at = low + span * rng.random(2)
+        if _inside(*at, shape):
+            points.append(at)
+    points = points or [shape.mean(axis=0)] * n
+    while len(points) < n:
+        points.append(points[len(points) % (len(points) // 2 + 1)])
+    factor, turn = rng.uniform(0.65 * WIND_FACTOR, 1.35 * WIND_FACTOR, n), rng.normal(DEFLECTION_DEG, 8.0, n)
+    noise = rng.normal(0, DIFFUSION_MS, (steps, 2, n))
+    particles = [(i, float(p[0]), float(p[1]), float(f), float(d)) for i, (p, f, d) in enumerate(zip(points, factor, turn, strict=True))]
+    moves = [(i, s, float(noise[s, 0, i]), float(noise[s, 1, i])) for s in range(steps) for i in range(n)]
+    return spark.createDataFrame(particles, "p int, lon0 double, lat0 double, wind_factor double, deflection double"), spark.createDataFrame(moves, "p int, step int, north double, east double")

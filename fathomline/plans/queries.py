@@ -499,6 +499,28 @@ def drift_trim_quantile(t: Tables) -> DataFrame:
     return shapes.trimmed(_cloud(t), 0.9).select("step", "p")
 
 
+RING = [[5.0, 54.0], [5.2, 54.02], [5.15, 54.12], [5.02, 54.1]]
+
+
+@query()
+def drift_seeded(t: Tables) -> DataFrame:
+    particles, noise = drift.draws(t.spark, RING, STEPS)
+    return drift.centreline(drift.backtrack(particles, t.environment, noise, DETECTED, STEPS)).select("step", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(
+    "select incident_id, arg_max(hours, computed_at) as hours, max(computed_at) as computed_at from (select 'OTA-2024-' || lpad(cast(user_id as varchar), 5, '0') as incident_id, cast(event_id as double) as computed_at, cast(event_id % 48 as int) as hours from events) group by 1"
+)
+def drift_runs_latest(t: Tables) -> DataFrame:
+    runs = t.source("events").selectExpr("concat('OTA-2024-', lpad(cast(user_id as string), 5, '0')) as incident_id", "cast(event_id as double) as computed_at", "cast(event_id % 48 as int) as hours")
+    return ingest.keep_latest(runs, "incident_id", "computed_at")
+
+
+@query(" union all ".join(f"select '{r.key}' as key, {r.lat_min}e0 as lat_min, {r.lat_max}e0 as lat_max, {r.lon_min}e0 as lon_min, {r.lon_max}e0 as lon_max, '{r.ais_live}' as ais_live" for r in REGIONS))
+def regions(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([tuple(r) for r in REGIONS], "key string, lat_min double, lat_max double, lon_min double, lon_max double, ais_live string")
+
+
 @query()
 def drift_regions(t: Tables) -> DataFrame:
     return drift.regions(_cloud(t), DETECTED, REGION_HOURS)

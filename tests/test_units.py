@@ -36,7 +36,7 @@ def test_ship_types(spark):
     assert [r[0] for r in got] == ["Tanker", "Tanker", "Cargo", "Unknown", "Unknown", "Pilot", "Other", "Towing"]
 
 
-def test_regions():
+def test_regions(spark):
     assert math.isclose(sum(constants.WEIGHTS.values()), 1)
     assert constants.region("nowhere").key == "mumbai" and constants.region("North-Sea").key == "north-sea"
     assert all(schemas.schema(t).fields for t in schemas.TABLES)
@@ -190,3 +190,28 @@ def test_sinks(spark, tmp_path):
 def test_duplicate_spots(spark):
     rows = spark.createDataFrame([("s", 1.0001, 2.0), ("s", 1.0002, 2.0), ("t", 1.0, 2.0)], "scene_id string, lat double, lon double")
     assert [r.n for r in audit.duplicate_spots(rows).collect()] == [2]
+
+
+def test_seeded_drift_equals_a_step_loop(spark, data):
+    from fathomline.plans.fixtures import DETECTED, Tables
+
+    env, steps, n = Tables(spark, data).environment, 20, 40
+    ring = [[5.0, 54.0], [5.2, 54.02], [5.15, 54.12], [5.02, 54.1]]
+    particles, noise = drift.draws(spark, ring, steps, n)
+    got = {(r.step, r.p): (r.lat, r.lon) for r in drift.backtrack(particles, env, noise, DETECTED, steps).collect()}
+    e = {r.step: r for r in drift.at_times(env, [DETECTED - 1800.0 * i for i in range(steps)]).collect()}
+    start = sorted(particles.collect())
+    lat, lon = np.array([r.lat0 for r in start]), np.array([r.lon0 for r in start])
+    factor, turn = np.array([r.wind_factor for r in start]), np.array([r.deflection for r in start])
+    extra = np.zeros((steps, 2, n))
+    for r in noise.collect():
+        extra[r.step, :, r.p] = r.north, r.east
+    for s in range(steps):
+        wind, current = np.radians((e[s].wind_to + turn) % 360), math.radians(e[s].cur_to)
+        north = e[s].cur_speed * math.cos(current) + e[s].wind_speed * factor * np.cos(wind) + extra[s, 0]
+        east = e[s].cur_speed * math.sin(current) + e[s].wind_speed * factor * np.sin(wind) + extra[s, 1]
+        kx = 111.320 * math.cos(math.radians(lat.mean()))
+        lat, lon = lat - north * 1800 / 1000 / 110.574, lon - east * 1800 / 1000 / kx
+        assert all(abs(got[s + 1, i][0] - lat[i]) < 1e-9 and abs(got[s + 1, i][1] - lon[i]) < 1e-9 for i in range(n))
+    assert all(drift._inside(r.lon0, r.lat0, np.array(ring)) for r in start)
+    assert drift.draws(spark, [[1.0, 1.0], [1.0, 1.0], [1.0, 1.0]], 1, 3)[0].select("lon0").distinct().count() == 1
