@@ -31,18 +31,19 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import boxed, small_batches
+from fathomline.llm.common import boxed, gives_back, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 24
 #: Matches kept; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE, PACKED_CACHE = 400_000, 150_000
 CHUNK = 1 << 20
 
 Tokens = tuple[int, ...]
@@ -212,6 +213,101 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+class _Packed(dict):
+    """Match to the bytes of its ids, filled on demand."""
+
+    def __init__(self, own: Coder):
+        super().__init__()
+        self.own = own
+
+    def __missing__(self, match: str) -> bytes:
+        value = np.array(self.own.encode_match(match.encode()), np.int32).tobytes()
+        if len(match) < 64:
+            self[match] = value
+        return value
+
+
+@gives_back
+def _packed_batches(batches: Iterator[pa.RecordBatch], path: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the ids of each text, and the hash of what they decode to."""
+    own, split = coder(path), splitter().findall
+    cache = _Packed(own)
+    for batch in batches:
+        for part in small_batches(batch, CHUNK):
+            if len(cache) > PACKED_CACHE:
+                cache.clear()
+            packed = [b"".join([cache[m] for m in split(t.as_py() or "")]) for t in part.column("text")]
+            offsets = np.r_[0, np.cumsum([len(p) // 4 for p in packed])].astype(np.int32)
+            flat = np.frombuffer(b"".join(packed), np.int32)
+            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            names = [*part.schema.names, "ids"]
+            if decoded:
+                columns.append(pa.array([hashlib.sha256(own.decode(np.frombuffer(p, np.int32).tolist())).hexdigest() for p in packed], pa.string()))
+                names.append("decoded_sha256")
+            yield pa.RecordBatch.from_arrays(columns, names).select([n for n in names if not decoded or n != "text"])
+
+
+def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The other columns of each document, n_tokens, ids and the hash of the decoded bytes."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    rows = docs.select(boxed(docs, "text").alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("ids array<int>, decoded_sha256 string")])
+    found = rows.mapInArrow(lambda it: _packed_batches(it, path, True), schema)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"]
+    return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+
+
+def encode(self, text: str) -> list[int]:
+        return [t for m in splitter().findall(text) for t in self.encode_match(m.encode())]
+
+
+@lru_cache(2)
+def coder(path: str) -> Coder:
+    with open(path, "rb") as file:
+        return Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
+
+
+class _Encoded(dict):
+    """Match to (ids joined by commas, decoded bytes), filled on demand."""
+
+    def __init__(self, own: Coder):
+        super().__init__()
+        self.own = own
+
+    def __missing__(self, match: str) -> tuple[str, bytes]:
+        tokens = self.own.encode_match(match.encode())
+        value = ",".join(map(str, tokens)), self.own.decode(tokens)
+        if len(match) < 64:
+            self[match] = value
+        return value
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    own, split = coder(path), splitter().findall
+    cache = _Encoded(own)
+    for batch in batches:
+        n_tokens, ids_sha, decoded_sha = [], [], []
+        for text in batch.column("text"):
+            found = [cache[m] for m in split(text.as_py() or "")]
+            if len(cache) > CACHE:
+                cache.clear()
+            ids = ",".join([x for x, _ in found])
+            n_tokens.append(ids.count(",") + 1 if ids else 0)
+            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(b"".join([y for _, y in found])).hexdigest())
+        rows = [batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(rows, ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and the hashes of the ids and of the bytes they decode to."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    rows = docs.select(boxed(docs.select("doc_id", "text"), "text").alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    out = rows.mapInArrow(lambda it: _digest_batches(it, path), schema)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The other columns of each document, n_tokens, ids and the hash of the decoded bytes."""
     found = decode(encode(docs, path), path)
@@ -308,7 +404,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``row`` (the other columns), ``text`` and its ``ids``."""
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.select(boxed(docs, "text").alias("row"), "text")
-    return rows.mapInArrow(lambda it: _encode_batches(it, path), T.StructType([*rows.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(lambda it: _packed_batches(it, path, False), T.StructType([*rows.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

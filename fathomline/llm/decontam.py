@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import LOWER, boxed, materialize, pieces, text_views, unboxed
+from fathomline.llm.common import LOWER, boxed, gives_back, materialize, pieces, text_views, unboxed
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -124,6 +124,7 @@ class Windows:
         return count, np.cumsum(hit[:-1]) > 0, items
 
 
+@gives_back
 def _scan_batches(batches: Iterator[pa.RecordBatch], block, keep_text: bool) -> Iterator[pa.RecordBatch]:
     windows = block.value
     for batch in batches:

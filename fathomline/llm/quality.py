@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import LOWER, boxed, crc_mod, pieces, text_views, unboxed
+from fathomline.llm.common import LOWER, boxed, crc_mod, gives_back, pieces, text_views, unboxed
 from fathomline.llm.decontam import word_hashes
 
 PASSAGE = 512
@@ -153,6 +153,7 @@ class Model:
         return self._forward((x - self.mean) * self.scale, count)["p"].astype(np.float64)
 
 
+@gives_back
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_views(batch.column("text"))
@@ -174,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model().fit(bags, np.array([r.quality for r in rows]))
 
 
+@gives_back
 def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from fathomline.llm.common import LOWER, boxed, materialize, small_batches, unboxed
+from fathomline.llm.common import LOWER, boxed, gives_back, materialize, small_batches, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -114,23 +114,29 @@ def replicas(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(anchors)
 
 
-NODE = "anchor long, replica boolean, fp long, node long, sketch binary"
+NODE = "key long, fp long, node long"
 
 
+@gives_back
 def _cover_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Home and replica rows of each (family, fp, node, sketch)."""
+    """Home and replica rows of each (family, fp, node), with its sketch if there is one.
+
+    The key holds family, half, anchor, and whether the row is a replica, so
+    that rows sorted by it have the homes of an anchor first.
+    """
     for batch in batches:
         fp, node = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node"))
-        family, sketch = np.asarray(batch.column("family")).astype(np.int64), batch.column("sketch")
+        family = np.asarray(batch.column("family")).astype(np.int64)
         for k in (0, 1):
             half = (fp >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF)
             own = home(half)
             rows, anchors = replicas(half)
             index = np.concatenate([np.arange(len(fp)), rows])
             anchor = np.concatenate([own, anchors]).view(np.int64) | (k << 32) | (family[index] << 33)
-            is_home = np.arange(len(index)) < len(fp)
-            columns = [pa.array(anchor), pa.array(~is_home), pa.array(fp[index].view(np.int64)), pa.array(node[index]), sketch.take(pa.array(index))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "replica", "fp", "node", "sketch"])
+            columns = [pa.array(anchor << 1 | (np.arange(len(index)) >= len(fp))), pa.array(fp[index].view(np.int64)), pa.array(node[index])]
+            if "sketch" in batch.schema.names:
+                columns.append(batch.column("sketch").take(pa.array(index)))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "node", "sketch"][: len(columns)])
 
 
 class Forest:
@@ -177,8 +183,8 @@ class Tiers:
 Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _linked(anchor: np.ndarray, replica: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, threshold: int, far: int) -> Iterator[Edges]:
-    """Links among whole anchors as (a, b, distance); rows are sorted by anchor, homes first.
+def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, threshold: int, far: int) -> Iterator[Edges]:
+    """Links among whole anchors as (a, b, distance); rows are sorted by key.
 
     A link has at most ``threshold`` differing bits in its fingerprints and at
     most ``far`` in its sketches, which give the distance (0 without any).
@@ -192,6 +198,7 @@ def _linked(anchor: np.ndarray, replica: np.ndarray, fp: np.ndarray, node: np.nd
         i = i[np.argsort(d[i], kind="stable")]
         return np.minimum(node[x[i]], node[y[i]]), np.maximum(node[x[i]], node[y[i]]), d[i]
 
+    anchor, replica = key >> 1, (key & 1).astype(bool)
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
     homes = np.add.reduceat((~replica).astype(np.int64), starts)
@@ -216,6 +223,7 @@ def _words64(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1) if raw and raw[0] else np.zeros((len(raw), 0), np.uint64)
 
 
+@gives_back
 def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int, far: int) -> Iterator[pa.RecordBatch]:
     """Compare anchor by anchor; the last anchor of a batch waits for the next batch."""
     held: list[list[np.ndarray]] = []
@@ -230,9 +238,11 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int, far: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = [np.asarray(batch.column("anchor")), batch.column("replica").to_numpy(zero_copy_only=False), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node")), _words64(batch.column("sketch"))]
-        cut = int(np.searchsorted(own[0], own[0][-1]))
-        if own[0][0] != own[0][-1] or (held and held[-1][0][-1] != own[0][0]):
+        sketch = _words64(batch.column("sketch")) if "sketch" in batch.schema.names else np.zeros((batch.num_rows, 0), np.uint64)
+        own = [np.asarray(batch.column("key")), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node")), sketch]
+        first, last = own[0][0] >> 1, own[0][-1] >> 1
+        cut = int(np.searchsorted(own[0], last << 1))
+        if first != last or (held and held[-1][0][-1] >> 1 != first):
             yield emit([*held, [x[:cut] for x in own]])
             held = []
         held.append([x[cut:].copy() for x in own])
@@ -245,15 +255,15 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, far: int = 0) -> DataFra
 
     ``nodes`` may have a ``family`` (fingerprints of different families never
     link) and a ``sketch``, which must then differ in at most ``far`` bits.  A
-    forest of each partition's links: no link between different fingerprints
-    is lost for the components, none appears that is not real.
+    forest of each partition's links: up to three differing bits, no link
+    between different fingerprints is lost for the components; none appears
+    that is not real.  A larger threshold adds links of those that meet at an
+    anchor anyhow (as they do if one half differs in at most one bit).
     """
-    if threshold > 3:
-        raise ValueError("the cover links at most 3 differing bits")
     family = F.col("family") if "family" in nodes.columns else F.lit(0)
-    sketch = F.col("sketch") if "sketch" in nodes.columns else F.lit(b"")
-    covered = nodes.select("fp", "node", family.alias("family"), sketch.alias("sketch")).mapInArrow(_cover_batches, NODE)
-    dealt = covered.repartition("anchor").sortWithinPartitions("anchor", "replica")
+    sketch = ["sketch"] if "sketch" in nodes.columns else []
+    covered = nodes.select("fp", "node", family.alias("family"), *sketch).mapInArrow(_cover_batches, NODE + ", sketch binary" * len(sketch))
+    dealt = covered.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return dealt.mapInArrow(lambda it: _compare_batches(it, threshold, far), "a long, b long")
 
 
@@ -298,14 +308,16 @@ def report(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE)
 
 # -- near copies of five-word shingles ----------------------------------------
 
-#: Fingerprints of single words per text, and 64-bit words of its five-word sketch.
-FAMILIES, SKETCH, NEAR_SHINGLE = 4, 6, 5
+#: Fingerprints of word pairs per text, and 64-bit words of its five-word sketch.
+FAMILIES, PAIR, SKETCH, NEAR_SHINGLE = 8, 2, 6, 5
+#: Differing bits of word-pair fingerprints that still make candidates.
+LOOSE = 10
 SIMILARITY = 0.8
 #: Differing bits of 64 * SKETCH: of texts with similarity 0.8 (a cosine of 0.89),
 #: 58 differ on average, with a deviation of 7; links are verified after it.
-FAR = 76
+FAR = 72
 BROADCAST_ROWS = 500_000
-_FAMILY = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_FAMILY = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def _families(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -318,46 +330,41 @@ def _families(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+@gives_back
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in small_batches(whole, CHUNK):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            single = [np.array(shingle_hashes(t, 1), np.uint64) for t in texts]
+            pairs = [np.array(shingle_hashes(t, PAIR), np.uint64) for t in texts]
             long = [np.unique(np.array(shingle_hashes(t, NEAR_SHINGLE), np.uint64)) for t in texts]
-            parts = [_families(np.concatenate(h), np.array([len(x) for x in h]), n) for h, n in ((single, FAMILIES), (long, SKETCH))]
-            fps = pa.array([x.tobytes() for x in parts[0]], pa.binary()), pa.array([x.tobytes() for x in parts[1]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), batch.column("uid"), *fps], ["row", "text", "uid", "fps", "sketch"])
-
-
-def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each family's fingerprint of a text."""
-    for batch in batches:
-        fps = _words64(batch.column("fps"))
-        for k in range(fps.shape[1]):
-            columns = [pa.array(np.full(len(fps), k, np.int32)), pa.array(fps[:, k].view(np.int64)), batch.column("node"), batch.column("sketch")]
-            yield pa.RecordBatch.from_arrays(columns, ["family", "fp", "node", "sketch"])
+            parts = [_families(np.concatenate(h), np.array([len(x) for x in h]), n) for h, n in ((pairs, FAMILIES), (long, SKETCH))]
+            fps = pa.array(parts[0].view(np.int64).tolist(), pa.list_(pa.int64()))
+            sketch = pa.array([x.tobytes() for x in parts[1]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), batch.column("uid"), fps, sketch], ["row", "text", "uid", "fps", "sketch"])
 
 
+@gives_back
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in small_batches(whole, CHUNK):
-            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
+@gives_back
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges whose shingle sets have the similarity asked for."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The edges between texts (node, text) whose five-word shingles are similar, by exact count."""
+    """The edges between texts (node, text) whose five-word shingles are similar, by their sets of 32-bit hashes."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_batches, "node long, shingles binary"), "shingles")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -367,7 +374,7 @@ def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies (similarity 0.8 or more of five-word shingles).
 
-    Fingerprints of single words, by several hash families, differ in few bits
+    Fingerprints of word pairs, by several hash families, differ in few bits
     between such texts, so the anchors of at least one family bring them
     together (measured recall of pairs: over 0.99).  Links are those whose long
     five-word sketches agree, closest first; each is verified on the shingles.
@@ -375,13 +382,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     first in the input).
     """
     rows = docs.select(boxed(docs, "text").alias("row"), "text", F.monotonically_increasing_id().alias("uid"))
-    schema = T.StructType([*rows.schema, T.StructField("fps", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([*rows.schema, T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = materialize(rows.mapInArrow(_sketch_batches, schema), "sketches")
     nodes = materialize(rows.groupBy("fps", "sketch").agg(F.min("uid").alias("node")), "nodes")
-    each = nodes.mapInArrow(_explode_batches, "family int, fp long, node long, sketch binary")
-    alike = links(each.drop("sketch"))  # by fingerprints alone: few texts have any such neighbour
+    each = nodes.select("node", "sketch", F.posexplode("fps").alias("family", "fp"))
+    alike = links(each.drop("sketch"), LOOSE)  # by fingerprints alone: few texts have any such neighbour
     members = materialize(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
-    edges = materialize(links(each.join(members, "node", "left_semi"), THRESHOLD, FAR).distinct(), "candidates")
+    edges = materialize(links(each.join(members, "node", "left_semi"), LOOSE, FAR).distinct(), "candidates")
     found = components(verified(edges, rows.select(F.col("uid").alias("node"), "text")))
     ids = rows.select("uid", "fps", "sketch", F.col("row.doc_id").alias("doc_id")).join(nodes, ["fps", "sketch"])
     ids = ids.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("class"))
