@@ -34,7 +34,7 @@ PIVOTS = 32
 #: Queries broadcast at once.
 QUERY_BLOCK = 4096
 #: Candidates eliminated at once, and evaluated between two looks at the bound.
-CHUNK, STEP = 4096, 64
+CHUNK, STEP = 4096, 512
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
