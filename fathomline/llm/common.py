@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no checkpoint folder (tests, local runs).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/fathomline"
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
 #: Upper-case ASCII to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -44,8 +47,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, as rows of texts are long.
+
+    A batch is held several times over (JVM, pipe, worker).  A number that the
+    session's owner has chosen stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def boxed(df: DataFrame, *apart: str) -> Column:
-    """All columns but those ``apart`` as one struct, so that their names clash with none."""
+    """All columns but those ``apart`` as one struct, so that their names clash with none.
+
+    What is boxed goes to Python with its text, so batches are made short.
+    """
+    short_batches(df.sparkSession)
     rest = [f for f in df.columns if f not in apart]
     return F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import shuffle_partitions, text_views
+from fathomline.llm.common import short_batches, shuffle_partitions, text_views
 
 #: Stands for a null doc_id in the order of documents: after all others.
 LAST = np.iinfo(np.int64).max
@@ -82,6 +82,7 @@ class BlockStore:
     @classmethod
     def write(cls, docs: DataFrame, block_bytes: int) -> BlockStore:
         spark = docs.sparkSession
+        short_batches(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = max(shuffle_partitions(spark), rows.rdd.getNumPartitions())
         name = f"text_blocks_{uuid.uuid4().hex[:16]}"

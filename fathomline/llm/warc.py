@@ -37,7 +37,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import materialize, shared_dir
+from fathomline.llm.common import materialize, shared_dir, short_batches
 
 #: Payloads below it are always stored.
 DEDUPE_BYTES = 100
@@ -257,6 +257,7 @@ def _folder(uri: str) -> str:
 def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
     """Write every row of ``pages`` and return the manifest (archive, records)."""
     spark = pages.sparkSession
+    short_batches(spark)
     folder = _folder(folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex[:12]}").rstrip("/")
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("n"))
