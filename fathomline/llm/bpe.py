@@ -43,8 +43,8 @@ from fathomline.llm.common import boxed, gives_back, small_batches
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 24
 #: Matches kept; beyond it the cache starts anew.
-CACHE, PACKED_CACHE = 400_000, 150_000
-CHUNK = 1 << 20
+CACHE, PACKED_CACHE = 400_000, 60_000
+CHUNK = 1 << 18
 
 Tokens = tuple[int, ...]
 

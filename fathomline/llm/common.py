@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/fathomline"
 
 #: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 #: Upper-case ASCII to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
