@@ -19,12 +19,13 @@ Edge cases: a null text counts as empty; a wordless text has fingerprint zero
 and links like any other; fewer words than a shingle form one shingle; a null
 doc_id is never a component_id unless no member has one; repeated rows come
 back as often as they came; extra columns are ignored (and kept by ``dedup``,
-which finds near copies by five-word shingles with the same cover).
+which finds near copies by the sets of five-word shingles).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from fathomline.llm.common import LOWER, boxed, gives_back, materialize, small_batches, unboxed
+from fathomline.llm.common import LOWER, boxed, gives_back, materialize, pieces, small_batches, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -308,47 +309,144 @@ def report(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE)
 
 # -- near copies of five-word shingles ----------------------------------------
 
-#: Fingerprints of word pairs per text, and 64-bit words of its five-word sketch.
-FAMILIES, PAIR, SKETCH, NEAR_SHINGLE = 8, 2, 6, 5
-#: Differing bits of word-pair fingerprints that still make candidates.
-LOOSE = 10
-SIMILARITY = 0.8
-#: Differing bits of 64 * SKETCH: of texts with similarity 0.8 (a cosine of 0.89),
-#: 58 differ on average, with a deviation of 7; links are verified after it.
-FAR = 72
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: One text of so many tells which shingles are frequent, those seen THRICE or more; at most COMMON are ranked.
+#: This decides the order of shingles only: results are the same for any order.
+SAMPLE, THRICE, COMMON = 16, 3, 1 << 18
+#: Neighbours within a shingle's texts that meet before it is known which texts are connected.
+WINDOW = 4
+#: Rows of shingles that meet at once, about.
+MEET_ROWS = 1 << 17
 BROADCAST_ROWS = 500_000
-_FAMILY = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-
-
-def _families(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints by ``n`` independent functions of the hashes, a column each."""
-    out = []
-    for m in _FAMILY[:n]:
-        h = (values ^ (values >> np.uint64(31))) * m
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(majority(h ^ (h >> np.uint64(32)), counts))
-    return np.stack(out, 1)
 
 
 @gives_back
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sorted set of 32-bit hashes of a text's shingles, and the set's digest."""
     for whole in batches:
         for batch in small_batches(whole, CHUNK):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            pairs = [np.array(shingle_hashes(t, PAIR), np.uint64) for t in texts]
-            long = [np.unique(np.array(shingle_hashes(t, NEAR_SHINGLE), np.uint64)) for t in texts]
-            parts = [_families(np.concatenate(h), np.array([len(x) for x in h]), n) for h, n in ((pairs, FAMILIES), (long, SKETCH))]
-            fps = pa.array(parts[0].view(np.int64).tolist(), pa.list_(pa.int64()))
-            sketch = pa.array([x.tobytes() for x in parts[1]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), batch.column("uid"), fps, sketch], ["row", "text", "uid", "fps", "sketch"])
+            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+            digests = [blake2b(s, digest_size=16).digest() for s in sets]
+            columns = [batch.column(c) for c in ("row", "text", "uid")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], ["row", "text", "uid", "shingles", "digest"])
+
+
+def _set_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about CHUNK bytes of sets each."""
+    for a, b in pieces(np.r_[0, np.cumsum([len(s) for s in batch.column("shingles").to_pylist()], dtype=np.int64)], CHUNK):
+        yield batch.slice(a, b - a)
 
 
 @gives_back
-def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in small_batches(whole, CHUNK):
-            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+def _all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _set_parts(batch):
+            joined = b"".join(part.column("shingles").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(joined, np.uint32).astype(np.int64))], ["token"])
+
+
+def _ranked(sets: DataFrame) -> np.ndarray:
+    """Frequent shingles, the most frequent last."""
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(_all_batches, "token long")
+    top = some.groupBy("token").count().where(F.col("count") >= THRICE).orderBy(F.desc("count"), "token").limit(COMMON)
+    return np.array([r.token for r in top.select("token").collect()][::-1], np.uint32)
+
+
+def prefix(own: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, of which any similar set holds one among its own first ones.
+
+    A similar set shares at least ``need`` of them, so it cannot miss all of any
+    ``len(own) - need + 1``; the first such of both, in one order of all
+    shingles, have one in common.  Frequent ones (``names``, sorted, with their
+    ``ranks``) come last in the order.
+    """
+    size = len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-6)) + 1 if len(own) else 0
+    if not len(names):
+        return own[:size]
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    common = names[at] == own
+    rare = own[~common][:size]
+    return rare if len(rare) == size else np.r_[rare, own[common][np.argsort(ranks[at[common]])][: size - len(rare)]]
+
+
+@gives_back
+def _prefix_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix; ``rest`` counts it and those after it in the order."""
+    ranked = shared.value
+    order = np.argsort(ranked, kind="stable")
+    names = ranked[order]
+    for batch in batches:
+        for part in _set_parts(batch):
+            sets = [np.frombuffer(s, np.uint32) for s in part.column("shingles").to_pylist()]
+            first = [prefix(s, names, order) for s in sets]
+            n = [len(f) for f in first]
+            size = np.repeat(np.array([len(s) for s in sets], np.int32), n)
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+            columns = [np.concatenate(first).astype(np.int64), np.repeat(np.asarray(part.column("node")), n), size, size - at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "rest"])
+
+
+def _met(token: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Pairs (a, b) of rows ``first`` to ``last`` apart that share a token, are of different parts and may be similar.
+
+    Rows are sorted by token and size.  The first token that two sets share has
+    all others they share behind it in both, so ``rest`` bounds their number.
+    """
+    found = []
+    live = np.arange(len(token))
+    for d in range(1, last + 1):
+        live = live[live + d < len(token)]
+        live = live[(token[live] == token[live + d]) & (5 * size[live] >= 4 * size[live + d])]
+        if not len(live):
+            break
+        if d >= first:
+            y = live + d
+            ok = (part[live] != part[y]) & (9 * np.minimum(rest[live], rest[y]) >= 4 * (size[live] + size[y]))
+            a, b = node[live[ok]], node[y[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+@gives_back
+def _meet_batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Pairs that meet at a token, and (b < 0) the rows of tokens with more texts than the window.
+
+    With a ``part`` among the ``names``: the pairs beyond the window, of different parts only.
+    """
+    held: list[list[np.ndarray]] = []
+    again = "part" in names
+
+    def emit(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+        counts = np.diff(np.r_[starts, len(columns[0])])
+        more = counts > 1
+        if again:
+            more &= np.minimum.reduceat(columns[4], starts) != np.maximum.reduceat(columns[4], starts)
+        token, node, size, rest, *part = (c[np.repeat(more, counts)] for c in columns)
+        pairs = _met(token, node, size, rest, part[0] if again else node, WINDOW + 1 if again else 1, len(token) if again else WINDOW)
+        large = np.flatnonzero(np.repeat(counts[more], counts[more]) > WINDOW + 1) if not again else np.zeros(0, np.int64)
+        none = np.zeros(len(pairs), np.int64)
+        out = [np.r_[pairs[:, 0], node[large]], np.r_[pairs[:, 1], np.full(len(large), -1)], np.r_[none, token[large]], np.r_[none, size[large]], np.r_[none, rest[large]]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], ["a", "b", "token", "size", "rest"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names])
+        if sum(len(x[0]) for x in held) >= MEET_ROWS and held[0][0][0] != held[-1][0][-1]:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield emit([[x[:cut] for x in whole]])
+            held = [[x[cut:].copy() for x in whole]]
+    if held:
+        yield emit(held)
+
+
+def _meet(rows: DataFrame, name: str) -> DataFrame:
+    names = ("token", "node", "size", "rest", *(["part"] if "part" in rows.columns else []))
+    dealt = rows.select(*names).repartition("token").sortWithinPartitions("token", "size", "node")
+    return materialize(dealt.mapInArrow(lambda it: _meet_batches(it, names), "a long, b long, token long, size long, rest long"), name)
 
 
 @gives_back
@@ -363,34 +461,45 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The edges between texts (node, text) whose five-word shingles are similar, by their sets of 32-bit hashes."""
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges between texts (node, shingles) whose five-word shingles are similar, by their sets of 32-bit hashes."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_batches, "node long, shingles binary"), "shingles")
+    sets = materialize(sets.join(ends, "node", "left_semi"), "ends")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """Verified edges (a, b) that connect all pairs of texts (node, shingles) with similar shingle sets.
+
+    Every similar pair shares a shingle of both prefixes, whatever the edits.
+    At first neighbours among a shingle's texts meet; then all others whose ends
+    verified edges do not connect yet.  No edge is left out for an unverified one.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_ranked(sets))
+    met = _meet(sets.mapInArrow(lambda it: _prefix_batches(it, shared), "token long, node long, size int, rest int"), "met")
+    found = verified(materialize(met.where("b >= 0").select("a", "b").distinct(), "candidates"), sets)
+    large = met.where("b < 0").select("token", F.col("a").alias("node"), "size", "rest")
+    if large.isEmpty():
+        return found
+    parts = large.join(components(found), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return found.unionByName(verified(materialize(_meet(parts, "met-again").select("a", "b").distinct(), "candidates"), sets))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies (similarity 0.8 or more of five-word shingles).
 
-    Fingerprints of word pairs, by several hash families, differ in few bits
-    between such texts, so the anchors of at least one family bring them
-    together (measured recall of pairs: over 0.99).  Links are those whose long
-    five-word sketches agree, closest first; each is verified on the shingles.
-    The row with the smallest doc_id of a class stays (null last, then the
-    first in the input).
+    All pairs of similar shingle sets (of 32-bit hashes) are connected by links
+    that are verified on the sets; see ``near_links``.  The row with the smallest
+    doc_id of a class stays (null last, then the first in the input).
     """
     rows = docs.select(boxed(docs, "text").alias("row"), "text", F.monotonically_increasing_id().alias("uid"))
-    schema = T.StructType([*rows.schema, T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    rows = materialize(rows.mapInArrow(_sketch_batches, schema), "sketches")
-    nodes = materialize(rows.groupBy("fps", "sketch").agg(F.min("uid").alias("node")), "nodes")
-    each = nodes.select("node", "sketch", F.posexplode("fps").alias("family", "fp"))
-    alike = links(each.drop("sketch"), LOOSE)  # by fingerprints alone: few texts have any such neighbour
-    members = materialize(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
-    edges = materialize(links(each.join(members, "node", "left_semi"), LOOSE, FAR).distinct(), "candidates")
-    found = components(verified(edges, rows.select(F.col("uid").alias("node"), "text")))
-    ids = rows.select("uid", "fps", "sketch", F.col("row.doc_id").alias("doc_id")).join(nodes, ["fps", "sketch"])
+    schema = T.StructType([*rows.schema, T.StructField("shingles", T.BinaryType()), T.StructField("digest", T.BinaryType())])
+    rows = materialize(rows.mapInArrow(_set_batches, schema), "sets")
+    nodes = materialize(rows.groupBy("digest").agg(F.min("uid").alias("node")), "nodes")
+    sets = rows.select(F.col("uid").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi")
+    found = components(near_links(sets))
+    ids = rows.select("uid", "digest", F.col("row.doc_id").alias("doc_id")).join(nodes, "digest")
     ids = ids.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("class"))
     first = ids.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     gone = materialize(ids.join(first, "class").where("uid <> kept.uid").select("uid"), "copies")

@@ -267,6 +267,29 @@ def test_near_copies(spark, odd):
     assert simhash.dedup(odd.where("false")).count() == 0
 
 
+def kept_of(rows):
+    """doc_ids that stay, by comparing all pairs."""
+    sets, up = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}, simhash.Forest()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                up.join(i, j)
+    return {up.find(i) for i in sets}
+
+
+def test_near_copies_by_kind_of_edit(spark):
+    rng, rows = np.random.default_rng(6), []
+    draw = lambda n: [f"word{i}" for i in rng.integers(0, 5000, n)]
+    for g in range(160):
+        text, similar = draw(300), (0.8, 0.82, 0.85, 0.9)[g % 4]
+        tail, cut, swap, at = int(296 * (1 - similar) / similar), int(296 * (1 - similar)), int(296 * (1 - similar) / (1 + similar)) - 4, int(rng.integers(10, 200))
+        edited = (text + draw(tail), text[cut:], text[:at] + draw(swap) + text[at + swap :])[g % 3]
+        rows += [(10 * g, " ".join(text)), (10 * g + 1, " ".join(edited))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert kept_of(rows) == {10 * g for g in range(160)}
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == kept_of(rows)
+
+
 # -- 7 ------------------------------------------------------------------------
 
 
