@@ -290,6 +290,21 @@ def test_near_copies_by_kind_of_edit(spark):
     assert {r.doc_id for r in simhash.dedup(df).collect()} == kept_of(rows)
 
 
+def test_near_copies_in_groups(spark):
+    """A similar pair stays linked in groups whose other pairs are just not similar, and in groups beyond the window."""
+    rng, rows = np.random.default_rng(7), []
+    draw = lambda n: [f"word{i}" for i in rng.integers(0, 5000, n)]
+    for g in range(60):
+        text = draw(300)
+        swapped = lambda n: text[:100] + draw(n) + text[100 + n :]  # noqa: B023, E731
+        rows += [(1000 * g, " ".join(text)), (1000 * g + 1, " ".join(swapped(27)))]
+        rows += [(1000 * g + k, " ".join(swapped(27 + k % 5))) for k in range(2, 60 if g % 20 == 0 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = kept_of(rows)
+    assert 60 < len(want) < len(rows) - 60
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == want
+
+
 # -- 7 ------------------------------------------------------------------------
 
 
