@@ -13,10 +13,8 @@ or not), within which P(w | class) = (c + 1) / (mass + types + 1), the rest
 being an unseen word.  So probabilities sum to one over all known words and an
 unseen one of each shape.
 
-Its weights are learned by truncated backpropagation in numpy: every training
-document contributes a run of its words (a ``SHARE`` of them, ``LEAST`` at
-least, from a place that a hash of the text chooses), so what is learned from
-grows with the corpus.  Groups of runs are learned on executors from common
+Its weights are learned by truncated backpropagation in numpy from all words
+of every training document.  Groups of documents are learned on executors from common
 weights, which are averaged by words seen after each of ``ROUNDS`` rounds.
 Scoring reads whole documents, many abreast, in windows of ``WINDOW`` words,
 and carries the state from window to window.
@@ -49,7 +47,6 @@ MODULUS, HELD = 7, 2
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
 HIDDEN = 16
-SHARE, LEAST = 16, 48
 ROUNDS, LANES, BACK, RATE = 2, 128, 16, 1e-2
 #: Words that one group learns from in a round, about.
 GROUP_WORDS = 400_000
@@ -128,17 +125,15 @@ def vocabulary(block: Block, buckets: int, run: Callable[[bytes, list[bytes]], N
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: words and counts of a block and bucket.  Kind 1: runs to learn from."""
+    """Kind 0: words and counts of a block and bucket.  Kind 1: texts to learn from."""
     for r in _rows(batches):
         block = Block(r)
         runs: list[bytes] = []
         flags: list[int] = []
 
         def run(text: bytes, own: list[bytes], runs=runs, flags=flags) -> None:
-            size = max(LEAST, -(-len(own) // SHARE))
-            at = zlib.crc32(text) % (len(own) - size + 1) if len(own) > size else 0
-            runs.append(b" ".join(own[max(0, at - 1) : at + size]))
-            flags.append((at == 0) + 2 * (at + size >= len(own)))
+            runs.append(b" ".join(own))
+            flags.append(3)
 
         names, counts = vocabulary(block, buckets, run)
         for bucket, own in enumerate(names):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers
@@ -427,6 +428,17 @@ def test_language_model_is_a_distribution():
     assert abs(total + raw[empty].sum() / raw.sum() - 1) < 1e-4
 
 
+def test_language_model_learns_from_all_words():
+    rng = np.random.default_rng(9)
+    text = [" ".join(f"w{i}" for i in rng.integers(0, 99, n)).encode() for n in (0, 1, 47, 200, 3000)]
+    train = [i for i in range(40) if not lm.held_out(i, False)][: len(text)]
+    offsets = np.r_[0, np.cumsum([len(t) for t in text])].astype(np.int64)
+    row = {"block": 1, "ids": np.array(train, np.int64).tobytes(), "absent": bytes(len(text)), "offsets": offsets.tobytes(), "texts": lm._packed(b"".join(text))}
+    block = pa.RecordBatch.from_pylist([row])
+    (runs,) = [r for b in lm._count_batches(iter([block]), 2) for r in b.to_pylist() if r["kind"] == 1]
+    assert lm._unpacked(runs["names"]).split(b"\n") == text and set(runs["values"]) == {3}
+
+
 def test_language_model_gradients():
     seen = {f"w{i}".encode(): 40 - i for i in range(20)} | {b" ": 10}
     sums = np.zeros((lm.SHAPES, 2), np.int64)
