@@ -46,7 +46,7 @@ MODULUS, HELD = 7, 2
 #: No word holds a space, so it can stand for the end of a document.
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
-HIDDEN = 16
+HIDDEN = 24
 ROUNDS, LANES, BACK, RATE = 2, 128, 16, 1e-2
 #: Words that one group learns from in a round, about.
 GROUP_WORDS = 400_000

@@ -439,6 +439,11 @@ def test_language_model_learns_from_all_words():
     assert lm._unpacked(runs["names"]).split(b"\n") == text and set(runs["values"]) == {3}
 
 
+def test_language_model_has_all_states():
+    model = lm.Gru(lm.Lexicon({b"a": 2, lm.END: 1}, np.zeros((lm.SHAPES, 2), np.int64)))
+    assert lm.HIDDEN == 24 and model.w["U"].shape == (24, 72)
+
+
 def test_language_model_gradients():
     seen = {f"w{i}".encode(): 40 - i for i in range(20)} | {b" ": 10}
     sums = np.zeros((lm.SHAPES, 2), np.int64)
