@@ -13,8 +13,8 @@ window merges.  Within a partition the k best so far go on from chunk to chunk,
 so later chunks are eliminated faster.
 
 Edge cases: vectors that are null, hold a null or non-finite
-component or are of another length than the first pivot take no part; ties go to
-the smaller id, rows that share an id count each (a query's own id never);
+component or are empty take no part; each length of vectors is searched by
+itself, as products need equal lengths; ties go to the smaller id, rows that share an id count each (a query's own id never);
 fewer than k candidates give fewer rows; an empty table gives none.
 """
 
@@ -102,17 +102,27 @@ def _search_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of each query."""
+    """query_id, rank, vec_id, score of the k best candidates of each query, among those of its length."""
     spark = vectors.sparkSession
     rows = integers(vectors, scale)
+    lengths = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()
+    parts = [p for r in lengths if r["count"] > 1 and (p := _top_k(rows.where(F.size("v") == r.dim), r.dim, k, every, pivots)) is not None]
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    merged = parts[0]
+    for more in parts[1:]:
+        merged = merged.unionByName(more)
+    best = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top_k(rows: DataFrame, dim: int, k: int, every: int, pivots: int) -> DataFrame | None:
+    """Candidates of the vectors of one length, k a query and partition at most; None without any query."""
+    spark = rows.sparkSession
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not first or not first[0].v:
-        return empty
-    dim = len(first[0].v)
-    points = np.array([r.v for r in first if len(r.v) == dim], np.float64)
+    points = np.array([r.v for r in first], np.float64)
     schema = "vec_id long, v array<bigint>, far array<double>"
-    candidates = materialize(rows.where(F.size("v") == dim).mapInArrow(lambda it: _table_batches(it, points), schema), "pivot-table")
+    candidates = materialize(rows.mapInArrow(lambda it: _table_batches(it, points), schema), "pivot-table")
     queries = candidates.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
     blocks = -(-queries.count() // QUERY_BLOCK)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(blocks, 1))))
@@ -123,9 +133,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
             block = spark.sparkContext.broadcast(QueryBlock(np.array([r.vec_id for r in own]), np.array([r.v for r in own], np.float64), points, k))
             found.append(candidates.mapInArrow(lambda it, block=block: _search_batches(it, block), "query_id long, vec_id long, score long"))
     if not found:
-        return empty
+        return None
     merged = found[0]
     for more in found[1:]:
         merged = merged.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("dim", F.lit(dim))

@@ -117,6 +117,17 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id in (100, 101)")).count() == 1
 
 
+def test_top_k_of_several_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 200, 10)] + [(1000 + i, [1.0, float(i), 2.0]) for i in range(0, 100, 25)] + [(2000 + i, []) for i in range(100)] + [(5000, [1.0] * 7)]
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = set()
+    for q, x in rows:
+        if q % 50 == 0 and x:
+            best = sorted((-int(np.dot(x, y) * 65536), i) for i, y in rows if i != q and len(y) == len(x))[:5]
+            want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 # -- 4 ------------------------------------------------------------------------
 
 
