@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.llm.common import LOWER, materialize, shuffle_partitions
-from fathomline.llm.store import Block, BlockStore
+from fathomline.llm.store import Block, BlockStore, rows
 
 MODULUS, HELD = 7, 2
 #: No word holds a space, so it can stand for the end of a document.
@@ -78,12 +78,6 @@ def held_out(doc_id: int, absent: bool) -> bool:
     return zlib.crc32(b"" if absent else str(doc_id).encode()) % MODULUS == HELD
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
 def _packed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -126,7 +120,7 @@ def vocabulary(block: Block, buckets: int, run: Callable[[bytes, list[bytes]], N
 
 def _count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: words and counts of a block and bucket.  Kind 1: texts to learn from."""
-    for r in _rows(batches):
+    for r in rows(batches):
         block = Block(r)
         runs: list[bytes] = []
         flags: list[int] = []
@@ -145,7 +139,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
 
 def _total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 2: words and counts back to a block.  Kind 3: the most frequent words.  Kind 4: sums by shape."""
-    held = [(r["bucket"], r["block"], r["names"], r["values"]) for r in _rows(batches)]
+    held = [(r["bucket"], r["block"], r["names"], r["values"]) for r in rows(batches)]
     total: dict[bytes, int] = {}
     for _, _, names, values in held:
         for w, c in zip(_unpacked(names).split(b"\n"), np.frombuffer(_unpacked(values), np.int64).tolist(), strict=True):
@@ -173,11 +167,11 @@ def _listed(row: dict) -> dict[bytes, int]:
 
 
 def _merge_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield _top_row({w: c for r in _rows(batches) for w, c in _listed(r).items()})
+    yield _top_row({w: c for r in rows(batches) for w, c in _listed(r).items()})
 
 
 def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield _row(4, 0, 0, b"", sum((np.frombuffer(r["values"], np.int64) for r in _rows(batches)), np.zeros(2 * SHAPES, np.int64)).tobytes())
+    yield _row(4, 0, 0, b"", sum((np.frombuffer(r["values"], np.int64) for r in rows(batches)), np.zeros(2 * SHAPES, np.int64)).tobytes())
 
 
 def _few(rows: DataFrame, n: int, merge: Callable) -> list[dict]:
@@ -420,7 +414,7 @@ def _read_runs(names: bytes, flags: bytes, lexicon: Lexicon) -> list[tuple[list[
 
 def _number_batches(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
     """Runs as numbers: inputs, words and classes end to end, and the sizes."""
-    for r in _rows(batches):
+    for r in rows(batches):
         runs = _read_runs(r["names"], r["values"], lexicon.value)
         if runs:
             flat = np.concatenate([np.array(x, np.int16) for k in range(3) for x in (run[k] for run in runs)])
@@ -437,7 +431,7 @@ def _learn_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, rate: fl
         model.learn(inputs, word, kind, offsets, rate)
         return _row(5, 0, int(offsets[-1]), model.dump(), b"")
 
-    for r in _rows(batches):
+    for r in rows(batches):
         held.append((np.frombuffer(r["names"], np.int16).astype(np.int64).reshape(3, -1), np.frombuffer(r["values"], np.int32)))
         if sum(len(flat[0]) for flat, _ in held) >= GROUP_WORDS:
             yield learned()
@@ -459,9 +453,9 @@ def _mean(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
 
 
 def _mean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(r["block"], r["names"]) for r in _rows(batches)]
-    if rows:
-        n, data = _mean(rows)
+    parts = [(r["block"], r["names"]) for r in rows(batches)]
+    if parts:
+        n, data = _mean(parts)
         yield _row(5, 0, n, data, b"")
 
 
@@ -486,7 +480,7 @@ def fit(spark: SparkSession, runs: DataFrame, lexicon: Lexicon) -> Gru:
 def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     lexicon, weights = shared.value
     model = Gru(lexicon).load(weights)
-    for r in _rows(batches):
+    for r in rows(batches):
         block = Block(r)
         names, counts = [], []
         for blob in r["found"]:

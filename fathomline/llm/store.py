@@ -26,6 +26,13 @@ LAST = np.iinfo(np.int64).max
 SCHEMA = "block long, ids binary, absent binary, offsets binary, texts binary"
 
 
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, as each may hold some MB."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """One row of the table, unpacked."""
 
@@ -93,10 +100,13 @@ class BlockStore:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def beside(self, lists: DataFrame) -> DataFrame:
+        """All blocks, each with its row of ``lists`` if there is one."""
+        return self.table().join(lists.hint("shuffle_hash"), "block", "left")
+
     def with_data(self, data: DataFrame) -> DataFrame:
         """All blocks, with the list ``found`` of the blobs that ``data`` (block, blob) has of each."""
-        lists = data.groupBy("block").agg(F.collect_list("blob").alias("found"))
-        return self.table().join(lists.hint("shuffle_hash"), "block", "left")
+        return self.beside(data.groupBy("block").agg(F.collect_list("blob").alias("found")))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

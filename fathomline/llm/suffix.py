@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import materialize, pieces, shuffle_partitions
-from fathomline.llm.store import Block, BlockStore
+from fathomline.llm.store import Block, BlockStore, rows
 
 LENGTH = 100
 GRAM = 32
@@ -111,14 +111,8 @@ def block_anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(block.data[:0], np.zeros(1, np.int64))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
+    for row in rows(batches):
         block = Block(row)
         grams = np.unique(block_anchors(block)[3]).view(np.int64)
         for i in range(0, len(grams), 65536):
@@ -231,7 +225,7 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         for p in np.unique(part).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([-1]), pa.array([whole.take(order[part == p]).pack()], pa.binary())], ["part", "block", "blob"])
 
-    for r in _rows(batches):
+    for r in rows(batches):
         block = Block(r)
         place, first, last, gram = block_anchors(block)
         known = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in r["found"]])) if r["found"] else np.zeros(0, np.uint64)
@@ -377,7 +371,7 @@ def _covered(block: Block, found: list[bytes] | None) -> np.ndarray:
 
 
 def _report_batches(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
-    for r in _rows(batches):
+    for r in rows(batches):
         block = Block(r)
         gone = _covered(block, r["found"])
         offsets = block.offsets.tolist()

@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fathomline.llm import bpe, decontam, lm, quality, registry, secrets, sharding, simhash, store, suffix, topk, warc
+from fathomline.llm import bpe, decontam, lm, near, quality, registry, secrets, sharding, simhash, store, suffix, topk, warc
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -272,11 +272,11 @@ def test_near_copies(spark, odd):
         rows.append((10 * g + 9, " ".join(other)))  # a fifth of its words differ: no near copy
         want.add(10 * g + 9)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id for r in simhash.dedup(df).collect()} == want
-    kept = simhash.dedup(odd)
+    assert {r.doc_id for r in near.dedup(df).collect()} == want
+    kept = near.dedup(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 4, 6]
-    assert simhash.dedup(odd.where("false")).count() == 0
+    assert near.dedup(odd.where("false")).count() == 0
 
 
 def kept_of(rows):
@@ -299,7 +299,7 @@ def test_near_copies_by_kind_of_edit(spark):
         rows += [(10 * g, " ".join(text)), (10 * g + 1, " ".join(edited))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert kept_of(rows) == {10 * g for g in range(160)}
-    assert {r.doc_id for r in simhash.dedup(df).collect()} == kept_of(rows)
+    assert {r.doc_id for r in near.dedup(df).collect()} == kept_of(rows)
 
 
 def test_near_copies_in_groups(spark):
@@ -314,7 +314,7 @@ def test_near_copies_in_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = kept_of(rows)
     assert 60 < len(want) < len(rows) - 60
-    assert {r.doc_id for r in simhash.dedup(df).collect()} == want
+    assert {r.doc_id for r in near.dedup(df).collect()} == want
 
 
 # -- 7 ------------------------------------------------------------------------
