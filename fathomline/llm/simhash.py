@@ -16,16 +16,16 @@ keeps large groups linear.  Components come from alternating large-star and
 small-star steps on written tables.
 
 Edge cases: a null text counts as empty; a wordless text has fingerprint zero
-and links like any other; fewer words than a shingle form one shingle; a null
-doc_id is never a component_id unless no member has one; repeated rows come
-back as often as they came; extra columns are ignored (and kept by ``dedup``,
-which finds near copies by the sets of five-word shingles).
+and links like any other; fewer words than a shingle form one shingle; rows
+without a doc_id link (and bridge others) like any, but a component_id is null
+only if no member has one; repeated rows come back as often as they came;
+extra columns are ignored.  ``near`` removes near copies by these links and by
+the sets of five-word shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from fathomline.llm.common import LOWER, boxed, gives_back, materialize, pieces, small_batches, unboxed
+from fathomline.llm.common import LOWER, boxed, gives_back, materialize, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -44,8 +44,8 @@ THRESHOLD = 3
 CHUNK = 1 << 19
 #: Comparisons of one anchor done at once.
 BLOCK_PAIRS = 1 << 20
-#: Differing bits of sketches that a forest of links does not tell apart.
-TIER = 4
+#: Nodes of a task's forest before it begins anew (which costs links twice, never one less).
+FOREST_NODES = 1_000_000
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
@@ -120,24 +120,21 @@ NODE = "key long, fp long, node long"
 
 @gives_back
 def _cover_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Home and replica rows of each (family, fp, node), with its sketch if there is one.
+    """Home and replica rows of each (fp, node).
 
-    The key holds family, half, anchor, and whether the row is a replica, so
-    that rows sorted by it have the homes of an anchor first.
+    The key holds half, anchor, and whether the row is a replica, so that rows
+    sorted by it have the homes of an anchor first.
     """
     for batch in batches:
         fp, node = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node"))
-        family = np.asarray(batch.column("family")).astype(np.int64)
         for k in (0, 1):
             half = (fp >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF)
             own = home(half)
             rows, anchors = replicas(half)
             index = np.concatenate([np.arange(len(fp)), rows])
-            anchor = np.concatenate([own, anchors]).view(np.int64) | (k << 32) | (family[index] << 33)
-            columns = [pa.array(anchor << 1 | (np.arange(len(index)) >= len(fp))), pa.array(fp[index].view(np.int64)), pa.array(node[index])]
-            if "sketch" in batch.schema.names:
-                columns.append(batch.column("sketch").take(pa.array(index)))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "node", "sketch"][: len(columns)])
+            anchor = np.concatenate([own, anchors]).view(np.int64) | (k << 32)
+            columns = [anchor << 1 | (np.arange(len(index)) >= len(fp)), fp[index].view(np.int64), node[index]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "fp", "node"])
 
 
 class Forest:
@@ -162,42 +159,13 @@ class Forest:
         return True
 
 
-class Tiers:
-    """Forests by distance: a link is new unless links at least as close (by tier) connect its ends."""
+def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among whole anchors as (a, b); rows are sorted by key."""
 
-    def __init__(self, far: int):
-        self.forests = [Forest() for _ in range(far // TIER + 1)]
-
-    def new(self, x: int, y: int, distance: int) -> bool:
-        first = distance // TIER
-        if not self.forests[first].join(x, y):
-            return False
-        for forest in self.forests[first + 1 :]:
-            forest.join(x, y)
-        return True
-
-    def trim(self) -> None:
-        if len(self.forests[-1].up) > 1_000_000:
-            self.__init__((len(self.forests) - 1) * TIER)
-
-
-Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, threshold: int, far: int) -> Iterator[Edges]:
-    """Links among whole anchors as (a, b, distance); rows are sorted by key.
-
-    A link has at most ``threshold`` differing bits in its fingerprints and at
-    most ``far`` in its sketches, which give the distance (0 without any).
-    """
-
-    def near(x: np.ndarray, y: np.ndarray) -> Edges:
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.flatnonzero((node[x] != node[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= threshold))
-        x, y = x[i], y[i]
-        d = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-        i = np.flatnonzero(d <= far)
-        i = i[np.argsort(d[i], kind="stable")]
-        return np.minimum(node[x[i]], node[y[i]]), np.maximum(node[x[i]], node[y[i]]), d[i]
+        a, b = node[x[i]], node[y[i]]
+        return np.minimum(a, b), np.maximum(a, b)
 
     anchor, replica = key >> 1, (key & 1).astype(bool)
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
@@ -218,29 +186,23 @@ def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarra
             yield near(np.repeat(np.arange(p, q), last - mid), np.tile(np.arange(mid, last), q - p))
 
 
-def _words64(column: pa.Array) -> np.ndarray:
-    """Binary values of one length as rows of 64-bit words."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1) if raw and raw[0] else np.zeros((len(raw), 0), np.uint64)
-
-
 @gives_back
-def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int, far: int) -> Iterator[pa.RecordBatch]:
+def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Compare anchor by anchor; the last anchor of a batch waits for the next batch."""
     held: list[list[np.ndarray]] = []
-    tiers = Tiers(far)
+    forest = Forest()
 
     def emit(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        edges = [(a, b) for found in _linked(*columns, threshold, far) for a, b, d in zip(*(x.tolist() for x in found), strict=True) if tiers.new(a, b, d)]
-        tiers.trim()
+        edges = [(a, b) for found in _linked(*columns, threshold) for a, b in zip(*(x.tolist() for x in found), strict=True) if forest.join(a, b)]
+        if len(forest.up) > FOREST_NODES:
+            forest.up.clear()
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sketch = _words64(batch.column("sketch")) if "sketch" in batch.schema.names else np.zeros((batch.num_rows, 0), np.uint64)
-        own = [np.asarray(batch.column("key")), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node")), sketch]
+        own = [np.asarray(batch.column("key")), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node"))]
         first, last = own[0][0] >> 1, own[0][-1] >> 1
         cut = int(np.searchsorted(own[0], last << 1))
         if first != last or (held and held[-1][0][-1] >> 1 != first):
@@ -251,25 +213,19 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: int, far: int
         yield emit(held)
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD, far: int = 0) -> DataFrame:
+def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect all ``node``s whose ``fp`` differ in few bits.
 
-    ``nodes`` may have a ``family`` (fingerprints of different families never
-    link) and a ``sketch``, which must then differ in at most ``far`` bits.  A
-    forest of each partition's links: up to three differing bits, no link
-    between different fingerprints is lost for the components; none appears
-    that is not real.  A larger threshold adds links of those that meet at an
-    anchor anyhow (as they do if one half differs in at most one bit).
+    A forest of each partition's links: no link between different fingerprints
+    is lost for the components, and none appears that is not real.
     """
-    family = F.col("family") if "family" in nodes.columns else F.lit(0)
-    sketch = ["sketch"] if "sketch" in nodes.columns else []
-    covered = nodes.select("fp", "node", family.alias("family"), *sketch).mapInArrow(_cover_batches, NODE + ", sketch binary" * len(sketch))
+    covered = nodes.select("fp", "node").mapInArrow(_cover_batches, NODE)
     dealt = covered.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: _compare_batches(it, threshold, far), "a long, b long")
+    return dealt.mapInArrow(lambda it: _compare_batches(it, threshold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+    """(node, component) for every node of an edge but the components themselves; component is the smallest node reachable.
 
     Alternating large-star and small-star steps; each writes its edges, whose
     number never grows, and the loop ends when a round changes nothing.
@@ -294,214 +250,14 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """Struct ``row``, ``fp`` and ``component_id`` (smallest doc_id reachable) per row of ``docs``."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    ids = rows.select("fp", F.col("row.doc_id").alias("doc_id"))
-    # fingerprints all of whose rows lack a doc_id stay apart from the numbering and are linked through no id
-    nodes = materialize(ids.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes, threshold))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("row.doc_id").alias("low")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), threshold)).withColumnRenamed("node", "fp")
+    labelled = materialize(nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labels")
+    lows = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = labelled.join(lows, "component").select("fp", "component_id")
     return rows.join(named, "fp", "left").select("row", "fp", "component_id")
 
 
 def report(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     found = classes(docs.select("doc_id", "text"), threshold, shingle)
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# -- near copies of five-word shingles ----------------------------------------
-
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: One text of so many tells which shingles are frequent, those seen THRICE or more; at most COMMON are ranked.
-#: This decides the order of shingles only: results are the same for any order.
-SAMPLE, THRICE, COMMON = 16, 3, 1 << 18
-#: Neighbours within a shingle's texts that meet before it is known which texts are connected.
-WINDOW = 4
-#: Rows of shingles that meet at once, about.
-MEET_ROWS = 1 << 17
-BROADCAST_ROWS = 500_000
-
-
-@gives_back
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sorted set of 32-bit hashes of a text's shingles, and the set's digest."""
-    for whole in batches:
-        for batch in small_batches(whole, CHUNK):
-            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), NEAR_SHINGLE), np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            digests = [blake2b(s, digest_size=16).digest() for s in sets]
-            columns = [batch.column(c) for c in ("row", "text", "uid")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], ["row", "text", "uid", "shingles", "digest"])
-
-
-def _set_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about CHUNK bytes of sets each."""
-    for a, b in pieces(np.r_[0, np.cumsum([len(s) for s in batch.column("shingles").to_pylist()], dtype=np.int64)], CHUNK):
-        yield batch.slice(a, b - a)
-
-
-@gives_back
-def _all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _set_parts(batch):
-            joined = b"".join(part.column("shingles").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(joined, np.uint32).astype(np.int64))], ["token"])
-
-
-def _ranked(sets: DataFrame) -> np.ndarray:
-    """Frequent shingles, the most frequent last."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(_all_batches, "token long")
-    top = some.groupBy("token").count().where(F.col("count") >= THRICE).orderBy(F.desc("count"), "token").limit(COMMON)
-    return np.array([r.token for r in top.select("token").collect()][::-1], np.uint32)
-
-
-def prefix(own: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, of which any similar set holds one among its own first ones.
-
-    A similar set shares at least ``need`` of them, so it cannot miss all of any
-    ``len(own) - need + 1``; the first such of both, in one order of all
-    shingles, have one in common.  Frequent ones (``names``, sorted, with their
-    ``ranks``) come last in the order.
-    """
-    size = len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-6)) + 1 if len(own) else 0
-    if not len(names):
-        return own[:size]
-    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-    common = names[at] == own
-    rare = own[~common][:size]
-    return rare if len(rare) == size else np.r_[rare, own[common][np.argsort(ranks[at[common]])][: size - len(rare)]]
-
-
-@gives_back
-def _prefix_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix; ``rest`` counts it and those after it in the order."""
-    ranked = shared.value
-    order = np.argsort(ranked, kind="stable")
-    names = ranked[order]
-    for batch in batches:
-        for part in _set_parts(batch):
-            sets = [np.frombuffer(s, np.uint32) for s in part.column("shingles").to_pylist()]
-            first = [prefix(s, names, order) for s in sets]
-            n = [len(f) for f in first]
-            size = np.repeat(np.array([len(s) for s in sets], np.int32), n)
-            at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            columns = [np.concatenate(first).astype(np.int64), np.repeat(np.asarray(part.column("node")), n), size, size - at]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "rest"])
-
-
-def _met(token: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Pairs (a, b) of rows ``first`` to ``last`` apart that share a token, are of different parts and may be similar.
-
-    Rows are sorted by token and size.  The first token that two sets share has
-    all others they share behind it in both, so ``rest`` bounds their number.
-    """
-    found = []
-    live = np.arange(len(token))
-    for d in range(1, last + 1):
-        live = live[live + d < len(token)]
-        live = live[(token[live] == token[live + d]) & (5 * size[live] >= 4 * size[live + d])]
-        if not len(live):
-            break
-        if d >= first:
-            y = live + d
-            ok = (part[live] != part[y]) & (9 * np.minimum(rest[live], rest[y]) >= 4 * (size[live] + size[y]))
-            a, b = node[live[ok]], node[y[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-@gives_back
-def _meet_batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Pairs that meet at a token, and (b < 0) the rows of tokens with more texts than the window.
-
-    With a ``part`` among the ``names``: the pairs beyond the window, of different parts only.
-    """
-    held: list[list[np.ndarray]] = []
-    again = "part" in names
-
-    def emit(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-        counts = np.diff(np.r_[starts, len(columns[0])])
-        more = counts > 1
-        if again:
-            more &= np.minimum.reduceat(columns[4], starts) != np.maximum.reduceat(columns[4], starts)
-        token, node, size, rest, *part = (c[np.repeat(more, counts)] for c in columns)
-        pairs = _met(token, node, size, rest, part[0] if again else node, WINDOW + 1 if again else 1, len(token) if again else WINDOW)
-        large = np.flatnonzero(np.repeat(counts[more], counts[more]) > WINDOW + 1) if not again else np.zeros(0, np.int64)
-        none = np.zeros(len(pairs), np.int64)
-        out = [np.r_[pairs[:, 0], node[large]], np.r_[pairs[:, 1], np.full(len(large), -1)], np.r_[none, token[large]], np.r_[none, size[large]], np.r_[none, rest[large]]]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], ["a", "b", "token", "size", "rest"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names])
-        if sum(len(x[0]) for x in held) >= MEET_ROWS and held[0][0][0] != held[-1][0][-1]:
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
-            yield emit([[x[:cut] for x in whole]])
-            held = [[x[cut:].copy() for x in whole]]
-    if held:
-        yield emit(held)
-
-
-def _meet(rows: DataFrame, name: str) -> DataFrame:
-    names = ("token", "node", "size", "rest", *(["part"] if "part" in rows.columns else []))
-    dealt = rows.select(*names).repartition("token").sortWithinPartitions("token", "size", "node")
-    return materialize(dealt.mapInArrow(lambda it: _meet_batches(it, names), "a long, b long, token long, size long, rest long"), name)
-
-
-@gives_back
-def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges whose shingle sets have the similarity asked for."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges between texts (node, shingles) whose five-word shingles are similar, by their sets of 32-bit hashes."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(sets.join(ends, "node", "left_semi"), "ends")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
-
-
-def near_links(sets: DataFrame) -> DataFrame:
-    """Verified edges (a, b) that connect all pairs of texts (node, shingles) with similar shingle sets.
-
-    Every similar pair shares a shingle of both prefixes, whatever the edits.
-    At first neighbours among a shingle's texts meet; then all others whose ends
-    verified edges do not connect yet.  No edge is left out for an unverified one.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(_ranked(sets))
-    met = _meet(sets.mapInArrow(lambda it: _prefix_batches(it, shared), "token long, node long, size int, rest int"), "met")
-    found = verified(materialize(met.where("b >= 0").select("a", "b").distinct(), "candidates"), sets)
-    large = met.where("b < 0").select("token", F.col("a").alias("node"), "size", "rest")
-    if large.isEmpty():
-        return found
-    parts = large.join(components(found), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    return found.unionByName(verified(materialize(_meet(parts, "met-again").select("a", "b").distinct(), "candidates"), sets))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies (similarity 0.8 or more of five-word shingles).
-
-    All pairs of similar shingle sets (of 32-bit hashes) are connected by links
-    that are verified on the sets; see ``near_links``.  The row with the smallest
-    doc_id of a class stays (null last, then the first in the input).
-    """
-    rows = docs.select(boxed(docs, "text").alias("row"), "text", F.monotonically_increasing_id().alias("uid"))
-    schema = T.StructType([*rows.schema, T.StructField("shingles", T.BinaryType()), T.StructField("digest", T.BinaryType())])
-    rows = materialize(rows.mapInArrow(_set_batches, schema), "sets")
-    nodes = materialize(rows.groupBy("digest").agg(F.min("uid").alias("node")), "nodes")
-    sets = rows.select(F.col("uid").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi")
-    found = components(near_links(sets))
-    ids = rows.select("uid", "digest", F.col("row.doc_id").alias("doc_id")).join(nodes, "digest")
-    ids = ids.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("class"))
-    first = ids.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    gone = materialize(ids.join(first, "class").where("uid <> kept.uid").select("uid"), "copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return unboxed(rows.join(gone, "uid", "left_anti"), docs.columns, "text")

@@ -232,6 +232,23 @@ def test_simhash(docs, odd):
     assert simhash.report(odd.where("false")).count() == 0
 
 
+def test_simhash_links_through_rows_without_an_id(spark):
+    rng = np.random.default_rng(12)
+    fp = lambda words: int(simhash.majority(np.array(h := simhash.shingle_hashes(" ".join(words).encode()), np.uint64), np.array([len(h)]))[0])
+    chain = [[f"word{i}" for i in rng.integers(0, 5000, 400)]]
+    while len(chain) < 3:  # each differs from the one before in one to three bits, the ends in more
+        new = list(chain[-1])
+        new[int(rng.integers(0, 400))] = f"new{rng.integers(0, 10**6)}"
+        bits = [(fp(new) ^ fp(x)).bit_count() for x in chain]
+        if 1 <= bits[-1] <= 3 and (len(chain) == 1 or bits[0] > 3):
+            chain.append(new)
+    rows = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (2, " ".join(chain[2])), (None, "apart from all others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.report(df).collect()
+    assert Counter(tuple(r) for r in got) == brute_simhash(rows)
+    assert Counter(r.component_id for r in got) == {1: 3, None: 1}
+
+
 def test_cover_finds_all_links(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
