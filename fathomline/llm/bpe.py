@@ -257,149 +257,6 @@ def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
-def encode(self, text: str) -> list[int]:
-        return [t for m in splitter().findall(text) for t in self.encode_match(m.encode())]
-
-
-@lru_cache(2)
-def coder(path: str) -> Coder:
-    with open(path, "rb") as file:
-        return Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
-
-
-class _Encoded(dict):
-    """Match to (ids joined by commas, decoded bytes), filled on demand."""
-
-    def __init__(self, own: Coder):
-        super().__init__()
-        self.own = own
-
-    def __missing__(self, match: str) -> tuple[str, bytes]:
-        tokens = self.own.encode_match(match.encode())
-        value = ",".join(map(str, tokens)), self.own.decode(tokens)
-        if len(match) < 64:
-            self[match] = value
-        return value
-
-
-def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own, split = coder(path), splitter().findall
-    cache = _Encoded(own)
-    for batch in batches:
-        n_tokens, ids_sha, decoded_sha = [], [], []
-        for text in batch.column("text"):
-            found = [cache[m] for m in split(text.as_py() or "")]
-            if len(cache) > CACHE:
-                cache.clear()
-            ids = ",".join([x for x, _ in found])
-            n_tokens.append(ids.count(",") + 1 if ids else 0)
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join([y for _, y in found])).hexdigest())
-        rows = [batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-        yield pa.RecordBatch.from_arrays(rows, ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the hashes of the ids and of the bytes they decode to."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(boxed(docs.select("doc_id", "text"), "text").alias("row"), "text")
-    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")])
-    out = rows.mapInArrow(lambda it: _digest_batches(it, path), schema)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The other columns of each document, n_tokens, ids and the hash of the decoded bytes."""
-    found = decode(encode(docs, path), path)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"]
-    return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own, split = coder(path), splitter().findall
-    cache: dict[str, Tokens] = {}
-
-    def tokens(match: str) -> Tokens:
-        found = cache.get(match)
-        if found is None:
-            found = own.encode_match(match.encode())
-            if len(match) < 64:
-                cache[match] = found
-        return found
-
-    for batch in batches:
-        for part in small_batches(batch, CHUNK):
-            if len(cache) > CACHE:
-                cache.clear()
-            ids = pa.array([[t for m in split(x.as_py() or "") for t in tokens(m)] for x in part.column("text")], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
-
-
-def encode(self, text: str) -> list[int]:
-        return [t for m in splitter().findall(text) for t in self.encode_match(m.encode())]
-
-
-@lru_cache(2)
-def coder(path: str) -> Coder:
-    with open(path, "rb") as file:
-        return Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
-
-
-class _Encoded(dict):
-    """Match to (ids joined by commas, decoded bytes), filled on demand."""
-
-    def __init__(self, own: Coder):
-        super().__init__()
-        self.own = own
-
-    def __missing__(self, match: str) -> tuple[str, bytes]:
-        tokens = self.own.encode_match(match.encode())
-        value = ",".join(map(str, tokens)), self.own.decode(tokens)
-        if len(match) < 64:
-            self[match] = value
-        return value
-
-
-def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own, split = coder(path), splitter().findall
-    cache = _Encoded(own)
-    for batch in batches:
-        n_tokens, ids_sha, decoded_sha = [], [], []
-        for text in batch.column("text"):
-            found = [cache[m] for m in split(text.as_py() or "")]
-            if len(cache) > CACHE:
-                cache.clear()
-            ids = ",".join([x for x, _ in found])
-            n_tokens.append(ids.count(",") + 1 if ids else 0)
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join([y for _, y in found])).hexdigest())
-        rows = [batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-        yield pa.RecordBatch.from_arrays(rows, ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the hashes of the ids and of the bytes they decode to."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(boxed(docs.select("doc_id", "text"), "text").alias("row"), "text")
-    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")])
-    out = rows.mapInArrow(lambda it: _digest_batches(it, path), schema)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The other columns of each document, n_tokens, ids and the hash of the decoded bytes."""
-    found = decode(encode(docs, path), path)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"]
-    return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own = coder(path)
-    for batch in batches:
-        ids = pa.array([own.encode(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``row`` (the other columns), ``text`` and its ``ids``."""
     path = path or public_tokenizers.path(VOCABULARY)
