@@ -16,8 +16,11 @@ near copies connect; ``dedup`` keeps one row of each.
    ``size - ceil(0.8 size) + 1`` shingles in one order, rare ones first.
    Neighbours by size meet at each such shingle.
 5. All links so far are verified on the whole sets.  Then texts that share a
-   prefix shingle but are of different parts meet, the closest of two parts
-   first, in slices that grow until parts are joined or all have been tried.
+   prefix shingle but are of different parts meet, unless a bound on their
+   overlap rules them out: sizes, places in the prefixes, and the parities of
+   hashed shingle counts, of which no more can differ than shingles do.  The
+   closest of two parts come first, in slices that grow until parts are joined
+   or all pairs have been tried.
 
 Only verified links connect, and no pair is left out but for being connected
 already or by exact bounds on the overlap, so the classes are those of all links.
@@ -51,11 +54,13 @@ RANGE_BYTES = 8 << 20
 #: Bits of a hash that are counted; the others only tell sets apart.
 COUNTED = 48
 #: Texts of a shingle that meet in one task, about; the power of two from which on a shingle's texts are dealt to several.
-GROUP, SPREAD = 8192, 14
+GROUP, SPREAD = 1024, 11
 #: Pairs of two parts that meet at a shingle in the first slice, and the growth of slices.
-SLICE, GROWTH = 8, 8
-#: Rows (of all pairs of a large group at once) in memory.
-BLOCK_PAIRS = 1 << 20
+SLICE, GROWTH = 8, 64
+#: Pairs looked at at once, and those whose sketches are compared at once.
+BLOCK_PAIRS, SKETCH_PAIRS = 1 << 19, 1 << 15
+#: Bits of a sketch: the parities of the counts of shingles by hash.
+SKETCH = 1024
 HELD_ROWS = 1 << 17
 FINGERPRINTED = 1 << 17
 BROADCAST_ROWS = 200_000
@@ -176,7 +181,13 @@ def _power_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield answers()
 
 
-NODE = "node long, size int, singles int, fp long, shingles binary, tokens binary, powers binary"
+NODE = "node long, size int, singles int, fp long, shingles binary, tokens binary, powers binary, sketch binary"
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the numbers of a set's hashes by their last bits; sets differ in as many elements at least as sketches in bits."""
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 @gives_back
@@ -199,9 +210,9 @@ def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 shared = np.flatnonzero(power > 1)
                 first = shared[np.argsort(power[shared], kind="stable")][: size - singles]
                 fp = majority(every, np.array([len(every)])) if len(every) <= FINGERPRINTED else _long_majority(every)
-                out.append((node, len(u), singles, int(fp.view(np.int64)[0]), u.tobytes(), u[first].tobytes(), power[first].tobytes()))
+                out.append((node, len(u), singles, int(fp.view(np.int64)[0]), u.tobytes(), u[first].tobytes(), power[first].tobytes(), sketch(u)))
         if out:
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
             names = [x.split()[0] for x in NODE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -251,8 +262,9 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             node, size, singles = (np.repeat(np.asarray(part.column(c)), n) for c in ("node", "size", "singles"))
             place = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if n else np.zeros(0, np.int32)
             salts = np.int64(1) << np.maximum(power - SPREAD + 1, 0)
-            salt = (_mixed(node) % salts.astype(np.uint64)).astype(np.int32)
-            columns = [np.concatenate(tokens) if n else np.zeros(0, np.int64), salt, salts.astype(np.int32), node, size, size - singles - place]
+            token = np.concatenate(tokens) if n else np.zeros(0, np.int64)
+            salt = (_mixed(node ^ token) % salts.astype(np.uint64)).astype(np.int32)  # other groups for each shingle, so neighbours join them
+            columns = [token, salt, salts.astype(np.int32), node, size, size - singles - place]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in TOKEN.split(", ")])
 
 
@@ -288,6 +300,15 @@ def first_pairs(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     return anchored.unionByName(equal).unionByName(near).distinct()
 
 
+def _apart(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of pairs differ."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), SKETCH_PAIRS):
+        part = slice(i, i + SKETCH_PAIRS)
+        out[part] = np.bitwise_count(sketches[x[part]] ^ sketches[y[part]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _slices(group: np.ndarray, part_a: np.ndarray, part_b: np.ndarray, gap: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
     """Of each group and pair of parts, the ``most`` candidates with the least gap; whether there are more."""
     low, high = np.minimum(part_a, part_b), np.maximum(part_a, part_b)
@@ -298,7 +319,7 @@ def _slices(group: np.ndarray, part_a: np.ndarray, part_b: np.ndarray, gap: np.n
     return order[rank < most], bool((rank >= most).any())
 
 
-def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, major: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, major: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
     """Pairs (a, b) of different parts that share a group and may be similar; rows are sorted by token and salt.
 
     A pair of two minor rows of a shingle that is dealt to several groups, which
@@ -317,9 +338,12 @@ def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndar
         spread = (salts[x] > 1) & ~major[x] & ~major[y]
         ok = ~spread | (_mixed(node[x] ^ node[y]) % salts[x].astype(np.uint64) == salt[x].astype(np.uint64))
         x, y = x[ok], y[ok]
-        keep, cut = _slices(group[x], part[x], part[y], np.abs(size[x] - size[y]), most)
+        far = _apart(sketches, x, y)
+        ok = 9 * far <= size[x] + size[y]
+        x, y, far = x[ok], y[ok], far[ok]
+        keep, cut = _slices(group[x], part[x], part[y], far, most)
         more |= cut
-        found.append([x[keep], y[keep]])
+        found.append([x[keep], y[keep], far[keep]])
 
     small = np.flatnonzero(np.repeat(counts <= 64, counts))
     for d in range(1, 64):
@@ -337,8 +361,8 @@ def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndar
             take(np.repeat(own, n), np.tile(np.arange(s, s + n), len(own)))
     if not found:
         return np.zeros((0, 2), np.int64), False
-    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-    keep, cut = _slices(group[x], part[x], part[y], np.abs(size[x] - size[y]), most)
+    x, y, far = (np.concatenate(c) for c in zip(*found, strict=True))
+    keep, cut = _slices(group[x], part[x], part[y], far, most)
     a, b = node[x[keep]], node[y[keep]]
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0), more or cut
 
@@ -350,14 +374,15 @@ def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
     names = ("token", "salt", "salts", "node", "size", "rest", "part")
 
     def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, more = across(*columns[:7], columns[7].astype(bool), most)
+        pairs, more = across(*columns[:7], columns[7].astype(bool), columns[8], most)
         out = np.r_[pairs, np.full((int(more), 2), -1)]
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names] + [batch.column("major").to_numpy(zero_copy_only=False).astype(np.int64)])
+        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names] + [batch.column("major").to_numpy(zero_copy_only=False), sketches])
         if sum(len(x[0]) for x in held) >= HELD_ROWS and (held[0][0][0], held[0][1][0]) != (held[-1][0][-1], held[-1][1][-1]):
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))
@@ -368,21 +393,26 @@ def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
         yield emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def pairs_across(tokens: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+def pairs_across(tokens: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     """Candidates of different parts, up to ``most`` of each two parts at each shingle.
 
+    Only shingles of three texts or more, of different parts, matter (two texts have met).
+
     A shingle of up to GROUP texts is one group.  Of a more frequent one, the
     texts of its largest part are dealt to several groups and the others go to
     each of these.
     """
     own = tokens.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    several = own.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high")
+    own = own.join(several, "token", "left_semi")
     usual = own.where("salts = 1").withColumn("major", F.lit(False))
     hot = own.where("salts > 1")
     largest = hot.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("most"))
     hot = hot.join(largest, "token").withColumn("major", F.col("part") == F.col("most.part")).drop("most")
     salts = F.when(F.col("major"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     hot = hot.withColumn("salt", F.explode(salts)).select(usual.columns)
-    dealt = usual.unionByName(hot).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
+    all_ = usual.unionByName(hot).join(nodes.select("node", "sketch"), "node")
+    dealt = all_.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
     return dealt.mapInArrow(lambda it: _across_batches(it, most), "a long, b long")
 
 
@@ -418,7 +448,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     tried = materialize(first_pairs(nodes, tokens), "candidates")
     found, most = verified(tried, nodes), SLICE
     while True:
-        met = materialize(pairs_across(tokens, components(found), most), "met")
+        met = materialize(pairs_across(tokens, nodes, components(found), most), "met")
         new = materialize(met.where("a >= 0").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
         if not new.isEmpty():
             found, tried = found.unionByName(verified(new, nodes)), tried.unionByName(new)
