@@ -12,7 +12,7 @@ Edge cases: a null text counts as empty; an empty text is a bag of one empty
 passage and gets a score like any other; an id with several labels takes their
 mean, rounded; null ids or labels teach nothing; with no labels at all, or of
 one kind only, every score is the share of label 1 (0.5 without any); repeated
-rows are scored each; extra columns are ignored (and kept by ``keep_good``).
+rows are scored each, equal texts alike; extra columns are ignored (and kept by ``keep_good``).
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from fathomline.llm.decontam import word_hashes
 PASSAGE = 512
 TRIGRAMS = 128
 HIDDEN, GATE = 24, 12
-#: Labelled documents to learn from, at most, and the longest that may be among them (bytes).
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+#: Labelled documents to learn from, at most.
+SAMPLE = 4000
 EPOCHS, BATCH, RATE, DECAY = 24, 128, 4e-3, 1e-4
 KEEP = 0.3
 CHUNK = 1 << 19
@@ -63,7 +63,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(low) > 2:
         wide = low.astype(np.uint32)
         tri = ((wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1]) * np.uint32(0x85EBCA6B) + wide[2:]) * np.uint32(0xC2B2AE35) >> np.uint32(25)
-        out[:, DENSE:] = np.bincount(of[:-2] * TRIGRAMS + tri, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS) * (8 * per[:, None])
+        whole = of[:-2] == of[2:]  # three bytes of one passage
+        out[:, DENSE:] = np.bincount((of[:-2] * TRIGRAMS + tri)[whole], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS) * (8 * per[:, None])
     first, last, h = word_hashes(low, offsets)
     if len(first):
         own = of[first]
@@ -165,12 +166,13 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled documents outside the held-out fold."""
+    """Learn from at most ``sample`` labelled documents, whole, outside the held-out fold."""
     known = labels.where("doc_id is not null and quality is not null").where(crc_mod(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
-    rows = own.mapInArrow(_feature_batches, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * sample).collect()
+    by_hash = (F.xxhash64("doc_id"), "doc_id")
+    chosen = known.orderBy(*by_hash).limit(sample)
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = own.mapInArrow(_feature_batches, "doc_id long, quality int, x binary").orderBy(*by_hash, "x").limit(sample).collect()
     bags = [np.frombuffer(r.x, np.float16).astype(np.float32).reshape(-1, DENSE + TRIGRAMS) for r in rows]
     return Model().fit(bags, np.array([r.quality for r in rows]))
 

@@ -75,6 +75,52 @@ def test_quality(spark, odd):
     assert quality.report(odd.where("false"), labels).count() == 0
 
 
+def test_quality_of_a_text_does_not_depend_on_others():
+    given = ["hi there", "QQ 12", "", "xyz other", "Çà et là " * 200, "tab\tand\nline " * 90, "a", "hi there"]
+    raw = [t.encode() for t in given]
+
+    def of(parts):
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        return quality.features(data, np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64))
+
+    together, count = of(raw)
+    alone = [of([p]) for p in raw]
+    assert count.tolist() == [int(c[0]) for _, c in alone]
+    assert (together == np.concatenate([x for x, _ in alone])).all()
+    model = quality.Model()
+    model.prior = None
+    assert np.allclose(model.score(together, count), np.concatenate([model.score(x, c) for x, c in alone]), atol=1e-6)
+
+
+def brute_score(model, x):
+    """One bag, passage by passage, in plain Python numbers."""
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    h = [[math.tanh(sum((row[i] - model.mean[i]) * model.scale[i] * w["E"][i, k] for i in range(len(row))) + w["e"][k]) for k in range(quality.HIDDEN)] for row in x]
+    raw = []
+    for own in h:
+        t = [math.tanh(sum(own[k] * w["V"][k, g] for k in range(quality.HIDDEN))) for g in range(quality.GATE)]
+        u = [sigmoid(sum(own[k] * w["U"][k, g] for k in range(quality.HIDDEN))) for g in range(quality.GATE)]
+        raw.append(math.exp(sum(t[g] * u[g] * w["a"][g] for g in range(quality.GATE))))
+    z = [sum(r * own[k] for r, own in zip(raw, h)) / sum(raw) for k in range(quality.HIDDEN)]
+    return sigmoid(sum(z[k] * w["s"][k] for k in range(quality.HIDDEN)) + w["b"][0])
+
+
+def test_quality_scores_as_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert model.prior is None
+    got = {r.doc_id: r.score for r in quality.report(docs, labels).collect()}
+    short = sorted((r for r in docs.collect() if r.text is not None), key=lambda r: len(r.text))
+    for r in short[:2] + short[90:96]:
+        raw = r.text.encode()
+        x, _ = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert abs(brute_score(model, x) - got[r.doc_id]) < 1e-4
+    again = {r.doc_id: r.score for r in quality.report(docs.repartition(5), labels).collect()}
+    assert max(abs(s - again[i]) for i, s in got.items()) < 1e-4
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     x, count, y = rng.normal(size=(9, quality.DENSE + quality.TRIGRAMS)).astype(np.float32), np.array([4, 5]), np.array([0.0, 1.0], np.float32)
@@ -456,15 +502,62 @@ def test_language_model_is_a_distribution():
     assert abs(total + raw[empty].sum() / raw.sum() - 1) < 1e-4
 
 
-def test_language_model_learns_from_all_words():
+def test_language_model_learns_from_all_words(monkeypatch):
     rng = np.random.default_rng(9)
     text = [" ".join(f"w{i}" for i in rng.integers(0, 99, n)).encode() for n in (0, 1, 47, 200, 3000)]
     train = [i for i in range(40) if not lm.held_out(i, False)][: len(text)]
     offsets = np.r_[0, np.cumsum([len(t) for t in text])].astype(np.int64)
     row = {"block": 1, "ids": np.array(train, np.int64).tobytes(), "absent": bytes(len(text)), "offsets": offsets.tobytes(), "texts": lm._packed(b"".join(text))}
     block = pa.RecordBatch.from_pylist([row])
-    (runs,) = [r for b in lm._count_batches(iter([block]), 2) for r in b.to_pylist() if r["kind"] == 1]
-    assert lm._unpacked(runs["names"]).split(b"\n") == text and set(runs["values"]) == {3}
+    lexicon = lm.Lexicon({b"w1": 9, b"w2": 5, lm.END: 5}, np.zeros((lm.SHAPES, 2), np.int64))
+    for most in (lm.PIECE_WORDS, 100):
+        monkeypatch.setattr(lm, "PIECE_WORDS", most)
+        runs = [r for b in lm._number_batches(iter([block]), type("Shared", (), {"value": lexicon})) for r in b.to_pylist()]
+        want = [lexicon.look_up([*lm.words(t), lm.END])[:2] for t in text]
+        got = np.frombuffer(b"".join(r["names"] for r in runs), np.int16)
+        assert (got == np.concatenate([number for number, _ in want])).all()
+        assert (lexicon.kinds(got) == np.concatenate([kind for _, kind in want])).all()
+        assert [n for r in runs for n in np.frombuffer(r["values"], np.int32)] == [len(t.split()) + 1 for t in text]
+        assert len({r["bucket"] for r in runs}) == len(runs) == (1 if most > 5000 else 2)
+
+
+def brute_score_of_words(model, ids):
+    """log P of a document's words by the model, one word at a time in plain numpy."""
+    w, d, lexicon = {k: v.astype(float) for k, v in model.w.items()}, lm.HIDDEN, model.lexicon
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v - np.log(np.exp(v).sum())
+    h, out, before = np.zeros(d), 0.0, lexicon.bos
+    for x in ids:
+        at = w["X"][before] + w["x"]
+        r, z = sigmoid(at[:d] + h @ w["U"][:, :d]), sigmoid(at[d : 2 * d] + h @ w["U"][:, d : 2 * d])
+        h = h + z * (np.tanh(at[2 * d :] + (r * h) @ w["U"][:, 2 * d :]) - h)
+        kind = lexicon.of_short[x] if x < len(lexicon.short) else lm.SHORT_CLASSES + x - len(lexicon.short)
+        out += soft(h @ w["C"] + w["c"])[kind]
+        if x < len(lexicon.short):
+            own = lexicon.members[kind]
+            out += soft(w["S"][own] @ h + w["s"][own])[list(own).index(x)]
+        before = x
+    return out
+
+
+def test_language_model_scores_as_by_hand():
+    rng = np.random.default_rng(10)
+    seen = {f"w{i}".encode(): 400 - i for i in range(90)} | {lm.END: 60}
+    sums = np.zeros((lm.SHAPES, 2), np.int64)
+    for w, c in [*seen.items(), *((f"tail{i}.".encode(), 1) for i in range(30))]:
+        sums[lm.shape(w)] += (c, 1)
+    model = lm.Gru(lm.Lexicon(seen, sums))
+    model.w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in model.w.items()}
+    sizes = [1, 40, 0, 700, 33, 32, 300, *[5] * 300]  # states go over windows, lanes are used again
+    docs = [np.append(rng.integers(0, model.lexicon.bos, n), model.lexicon.short[lm.END]) for n in sizes]
+    flat, cuts = np.concatenate(docs), np.r_[0, np.cumsum([len(x) for x in docs])]
+    inputs = np.r_[model.lexicon.bos, flat[:-1]]
+    inputs[cuts[:-1]] = model.lexicon.bos
+    got = model.score(inputs, flat, model.lexicon.kinds(flat), cuts)
+    assert np.allclose(got, [brute_score_of_words(model, x) for x in docs], rtol=1e-4, atol=1e-3)
+    for k, v in model.w.items():  # weights beyond any bound do no harm
+        model.w[k] = v * 200 if k in "CSs" else v
+    assert np.isfinite(model.score(inputs, flat, model.lexicon.kinds(flat), cuts)).all()
 
 
 def test_language_model_has_all_states():
