@@ -14,8 +14,9 @@ being an unseen word.  So probabilities sum to one over all known words and an
 unseen one of each shape.
 
 Its weights are learned by truncated backpropagation in numpy from all words
-of every training document.  Groups of documents are learned on executors from common
-weights, which are averaged by words seen after each of ``ROUNDS`` rounds.
+of every training document, each once.  Groups of documents are learned on
+executors from common weights, which are averaged by words seen after each of
+``ROUNDS`` rounds; a round takes its share of the documents, by a hash of their place.
 Scoring reads whole documents, many abreast, in windows of ``WINDOW`` words,
 and carries the state from window to window.
 
@@ -31,6 +32,7 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,9 @@ MODULUS, HELD = 7, 2
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
 HIDDEN = 24
-ROUNDS, LANES, BACK, RATE = 2, 128, 16, 1e-2
-#: Words that one group learns from in a round, about.
-GROUP_WORDS = 400_000
+ROUNDS, LANES, BACK, RATE = 2, 256, 16, 1e-2
+#: Words that one group learns from in a round, and of one row of them, about.
+GROUP_WORDS, PIECE_WORDS = 1_000_000, 250_000
 SCORE_LANES, WINDOW = 256, 32
 BLOCK_BYTES = 12 << 20
 #: Rows that the driver collects at once from partial sums, top lists or weights.
@@ -97,21 +99,18 @@ ROW = "kind int, bucket int, block long, names binary, values binary"
 # -- counts ------------------------------------------------------------------
 
 
-def vocabulary(block: Block, buckets: int, run: Callable[[bytes, list[bytes]], None] | None = None) -> tuple[list[list[bytes]], dict[bytes, int]]:
+def vocabulary(block: Block, buckets: int) -> tuple[list[list[bytes]], dict[bytes, int]]:
     """The words of a block by bucket, sorted, and their counts in its training documents."""
     counts: Counter = Counter()
     others: set[bytes] = set()
     offsets = block.offsets.tolist()
     for i, (doc_id, absent) in enumerate(zip(block.ids.tolist(), block.absent.tolist(), strict=True)):
-        text = block.raw[offsets[i] : offsets[i + 1]]
-        own = words(text)
+        own = words(block.raw[offsets[i] : offsets[i + 1]])
         if held_out(doc_id, absent):
             others.update(own)
         else:
             counts.update(own)
             counts[END] += 1
-            if run:
-                run(text, own)
     out: list[list[bytes]] = [[] for _ in range(buckets)]
     for w in sorted({*counts, *others, END}):
         out[zlib.crc32(w) % buckets].append(w)
@@ -119,43 +118,56 @@ def vocabulary(block: Block, buckets: int, run: Callable[[bytes, list[bytes]], N
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: words and counts of a block and bucket.  Kind 1: texts to learn from."""
+    """Kind 0: words and counts of a block and bucket."""
     for r in rows(batches):
         block = Block(r)
-        runs: list[bytes] = []
-        flags: list[int] = []
-
-        def run(text: bytes, own: list[bytes], runs=runs, flags=flags) -> None:
-            runs.append(b" ".join(own))
-            flags.append(3)
-
-        names, counts = vocabulary(block, buckets, run)
+        names, counts = vocabulary(block, buckets)
         for bucket, own in enumerate(names):
             if own:
                 yield _row(0, bucket, block.block, _packed(b"\n".join(own)), _packed(np.array([counts.get(w, 0) for w in own], np.int64).tobytes()))
-        if runs:
-            yield _row(1, 0, block.block, _packed(b"\n".join(runs)), bytes(flags))
 
 
 def _total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 2: words and counts back to a block.  Kind 3: the most frequent words.  Kind 4: sums by shape."""
-    held = [(r["bucket"], r["block"], r["names"], r["values"]) for r in rows(batches)]
-    total: dict[bytes, int] = {}
-    for _, _, names, values in held:
-        for w, c in zip(_unpacked(names).split(b"\n"), np.frombuffer(_unpacked(values), np.int64).tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    for bucket, block, names, _ in held:
-        counts = np.array([total[w] for w in _unpacked(names).split(b"\n")], np.int64)
-        yield _row(2, bucket, block, b"", np.int64(len(names)).tobytes() + names + _packed(counts.tobytes()))
-    if total:
+    """Kind 2: words and counts back to a block.  Kind 3: the most frequent words.  Kind 4: sums by shape.
+
+    Rows come sorted by bucket, and one bucket is held at a time.
+    """
+    held: list[tuple[int, int, bytes, bytes]] = []
+    top: dict[bytes, int] = {}
+    sums = np.zeros((SHAPES, 2), np.int64)
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        nonlocal top
+        total: dict[bytes, int] = {}
+        lists = []
+        for _, _, names, values in held:
+            lists.append(_unpacked(names).split(b"\n"))
+            for w, c in zip(lists[-1], np.frombuffer(_unpacked(values), np.int64).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+        for (bucket, block, names, _), own in zip(held, lists, strict=True):
+            counts = np.array([total[w] for w in own], np.int64)
+            yield _row(2, bucket, block, b"", np.int64(len(names)).tobytes() + names + _packed(counts.tobytes()))
         seen = {w: c for w, c in total.items() if c}
-        yield _top_row(seen)
-        sums = np.zeros((SHAPES, 2), np.int64)
+        top = dict(nlargest(SHORT, (top | seen).items(), key=_rank))
         for w, c in seen.items():
             sums[shape(w)] += (c, 1)
+
+    for r in rows(batches):
+        if held and r["bucket"] != held[0][0]:
+            yield from answers()
+            held = []
+        held.append((r["bucket"], r["block"], r["names"], r["values"]))
+    if held:
+        yield from answers()
+        yield _top_row(top)
         yield _row(4, 0, 0, b"", sums.tobytes())
 
 
+def _rank(word: tuple[bytes, int]) -> tuple[int, bytes]:
+    """Largest for the most frequent word, the first in the alphabet among ties."""
+    return word[1], bytes(255 - b for b in word[0]) + b"\xff"
+
+
 def _top_row(seen: dict[bytes, int]) -> pa.RecordBatch:
     top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SHORT]
     return _row(3, 0, 0, b"\n".join(w for w, _ in top), np.array([c for _, c in top], np.int64).tobytes())
@@ -206,6 +218,10 @@ class Lexicon:
         self.start_class = np.log(np.maximum(np.r_[by_class, self.tail.sum(1) + 1.0], 1e-9) / (by_class.sum() + self.tail.sum() + SHAPES))
         self.bos = len(chosen) + SHAPES  # as an input
 
+    def kinds(self, numbers: np.ndarray) -> np.ndarray:
+        """Classes of words by their input numbers."""
+        return np.r_[self.of_short, SHORT_CLASSES + np.arange(SHAPES)][numbers]
+
     def look_up(self, names: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input number, class, and log P(w | class) of tail words (0 for others)."""
         n = len(self.short)
@@ -219,13 +235,24 @@ class Lexicon:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """The logistic function, in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
 
+def _settle(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits ``h @ weights + bias`` in place, shifted if an exponential might overflow or a whole row vanish.
 
-def _settled(x: np.ndarray) -> np.ndarray:
-    """Logits shifted so that no exponential overflows, nor a whole row vanishes."""
-    top, low = x.max(initial=0), x.min(initial=0)
-    return x - top if top - low < 60 else x - x.max(1, keepdims=True)
+    States lie between -1 and 1, so the weights alone tell whether that can be.
+    """
+    x += bias
+    reach = np.abs(weights).sum(0)
+    if (reach + bias).max(initial=0) > 60 or (bias - reach).max(initial=-100) < -60:
+        x -= x.max(1, keepdims=True)
+    return x
 
 
 class Gru:
@@ -249,54 +276,71 @@ class Gru:
         self.w = dict(np.load(io.BytesIO(data)))
         return self
 
-    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    def states(self, inputs: np.ndarray, h: np.ndarray, back: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """States after each step (steps, lanes, HIDDEN), and what the way back needs."""
         w, d = self.w, HIDDEN
-        x = w["X"][inputs] + w["x"]
+        x = w["X"][inputs]
+        x += w["x"]
         gates, candidate = np.ascontiguousarray(w["U"][:, : 2 * d]), np.ascontiguousarray(w["U"][:, 2 * d :])
-        out, trail = np.empty((*inputs.shape, d), np.float32), []
+        out, trail = np.empty((*inputs.shape, d), h.dtype), []
         for t in range(len(inputs)):
-            rz = _sigmoid(x[t, :, : 2 * d] + h @ gates)
+            rz = h @ gates
+            rz += x[t, :, : 2 * d]
+            _sigmoid(rz)
             r, z = rz[:, :d], rz[:, d:]
             rh = r * h
-            c = np.tanh(x[t, :, 2 * d :] + rh @ candidate)
-            trail.append((h, r, z, rh, c))
-            h = h + z * (c - h)
-            out[t] = h
+            c = rh @ candidate
+            c += x[t, :, 2 * d :]
+            np.tanh(c, out=c)
+            if back:
+                trail.append((h, r, z, rh, c))
+            np.multiply(z, c - h, out=out[t])
+            out[t] += h
+            h = out[t]
         return out, trail
 
     def outputs(self, h: np.ndarray, word: np.ndarray, kind: np.ndarray, grads: bool = False) -> tuple[np.ndarray, tuple | None]:
         """log P(class) + log P(short word | class) of each target, and gradients."""
         w = self.w
         at = np.arange(len(h))
-        raw = _settled(h @ w["C"] + w["c"])
-        p = np.exp(raw)
-        total = p @ np.ones(p.shape[1], np.float32)
-        out = raw[at, kind] - np.log(total)
+        p = _settle(h @ w["C"], w["C"], w["c"])
+        out = p[at, kind]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        out -= np.log(total)
         if grads:
-            p /= total[:, None]
-            p[at, kind] -= 1
-            dh, ds, db = p @ w["C"].T, np.zeros_like(w["S"]), np.zeros_like(w["s"])
+            p[at, kind] -= total
+            part = 1 / total[:, None]
+            dh = p @ w["C"].T
+            dh *= part
+            dC, dc = (h * part).T @ p, part[:, 0] @ p
+            dS, ds = np.zeros_like(w["S"]), np.zeros_like(w["s"])
         short = np.flatnonzero(kind < SHORT_CLASSES)
         short = short[np.argsort(kind[short], kind="stable")]
-        cuts = np.searchsorted(kind[short], np.arange(SHORT_CLASSES + 1))
+        cuts = np.searchsorted(kind[short], np.arange(SHORT_CLASSES + 1)).tolist()
+        hs, words, more = h[short], word[short], np.zeros(len(short), h.dtype)
+        dhs = np.zeros_like(hs) if grads else None
         for k, own in enumerate(self.lexicon.members):
-            i = short[cuts[k] : cuts[k + 1]]
-            if len(i) and len(own) > 1:
-                first = own[0]  # members of a class are neighbours in the list
+            i = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1] and len(own) > 1:
+                first = int(own[0])  # members of a class are neighbours in the list
                 table = w["S"][first : first + len(own)]
-                x = _settled(h[i] @ table.T + w["s"][first : first + len(own)])
-                q = np.exp(x)
-                sums = q @ np.ones(q.shape[1], np.float32)
-                rows = np.arange(len(i))
-                out[i] += x[rows, word[i] - first] - np.log(sums)
+                q = _settle(hs[i] @ table.T, table.T, w["s"][first : first + len(own)])
+                rows_, target = np.arange(len(q)), words[i] - first
+                picked = q[rows_, target]
+                np.exp(q, out=q)
+                sums = q @ np.ones(q.shape[1], q.dtype)
+                more[i] = picked - np.log(sums)
                 if grads:
-                    q /= sums[:, None]
-                    q[rows, word[i] - first] -= 1
-                    dh[i] += q @ table
-                    ds[first : first + len(own)] += q.T @ h[i]
-                    db[first : first + len(own)] += q.sum(0)
-        return out, ((dh, h.T @ p, p.sum(0), ds, db) if grads else None)
+                    q[rows_, target] -= sums
+                    part = 1 / sums[:, None]
+                    dhs[i] = (q @ table) * part
+                    dS[first : first + len(own)] = q.T @ (hs[i] * part)
+                    ds[first : first + len(own)] = part[:, 0] @ q
+        out[short] += more
+        if grads:
+            dh[short] += dhs
+        return out, ((dh, dC, dc, dS, ds) if grads else None)
 
     def _back(self, inputs: np.ndarray, dstates: np.ndarray, trail: list) -> dict[str, np.ndarray]:
         """Backpropagation through the steps of one window."""
@@ -353,7 +397,7 @@ class Gru:
         for idx, mask, fresh, docs, keep in _abreast(offsets, SCORE_LANES, WINDOW):
             h = np.zeros((idx.shape[1], HIDDEN), np.float32) if h is None else h[keep]
             h[fresh] = 0
-            states, _ = self.states(inputs[idx], h)
+            states, _ = self.states(inputs[idx], h, False)
             h = states[-1].copy()
             at = np.nonzero(mask.ravel())[0]
             logs = np.zeros(mask.size)
@@ -396,29 +440,41 @@ def _abreast(offsets: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.n
 # -- learning ----------------------------------------------------------------
 
 
-def _read_runs(names: bytes, flags: bytes, lexicon: Lexicon) -> list[tuple[list[int], list[int], list[int]]]:
-    """Inputs, words and classes of each run; the word before it is an input only."""
-    out = []
-    runs = [r.split(b" ") if r else [] for r in _unpacked(names).split(b"\n")]
-    table = sorted({w for r in runs for w in r} | {END})
-    number, kind, _ = lexicon.look_up(table)
-    number, kind = dict(zip(table, number.tolist(), strict=True)), dict(zip(table, kind.tolist(), strict=True))
-    for r, flag in zip(runs, flags, strict=True):
-        own = [*r, END] if flag & 2 else r
-        inputs = [lexicon.bos, *[number[w] for w in own[:-1]]]
-        skip = 0 if flag & 1 else 1
-        if len(own) > skip:
-            out.append((inputs[skip:], [number[w] for w in own[skip:]], [kind[w] for w in own[skip:]]))
-    return out
+class _Numbers(dict):
+    """Word to its input number, filled on demand for words of the tail."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__(lexicon.short)
+        self.first = len(lexicon.short)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.first + shape(word)
+        return number
 
 
 def _number_batches(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
-    """Runs as numbers: inputs, words and classes end to end, and the sizes."""
+    """Training documents as numbers of their words and end, and their sizes, in rows of about PIECE_WORDS."""
     for r in rows(batches):
-        runs = _read_runs(r["names"], r["values"], lexicon.value)
-        if runs:
-            flat = np.concatenate([np.array(x, np.int16) for k in range(3) for x in (run[k] for run in runs)])
-            yield _row(1, 0, r["block"], flat.tobytes(), np.array([len(x[0]) for x in runs], np.int32).tobytes())
+        block, numbers = Block(r), _Numbers(lexicon.value)
+        number, end, cuts = numbers.__getitem__, numbers[END], block.offsets.tolist()
+        held: list[np.ndarray] = []
+        size = piece = 0
+
+        def row(held=held, block=block) -> pa.RecordBatch:
+            return _row(1, piece, block.block, np.concatenate(held).tobytes(), np.array([len(x) for x in held], np.int32).tobytes())  # noqa: B023
+
+        for i, (doc_id, absent) in enumerate(zip(block.ids.tolist(), block.absent.tolist(), strict=True)):
+            if held_out(doc_id, absent):
+                continue
+            own = np.fromiter(map(number, words(block.raw[cuts[i] : cuts[i + 1]])), np.int16)
+            held.append(np.append(own, np.int16(end)))
+            size += len(held[-1])
+            if size >= PIECE_WORDS:
+                yield row()
+                held.clear()
+                size, piece = 0, piece + 1
+        if held:
+            yield row()
 
 
 def _learn_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, rate: float) -> Iterator[pa.RecordBatch]:
@@ -426,14 +482,16 @@ def _learn_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, rate: fl
 
     def learned() -> pa.RecordBatch:
         offsets = np.r_[0, np.cumsum(np.concatenate([sizes for _, sizes in held]))]
-        inputs, word, kind = np.concatenate([flat for flat, _ in held], axis=1)
+        word = np.concatenate([flat for flat, _ in held]).astype(np.int64)
+        inputs = np.r_[lexicon.value.bos, word[:-1]]
+        inputs[offsets[:-1]] = lexicon.value.bos
         model = Gru(lexicon.value).load(weights.value)
-        model.learn(inputs, word, kind, offsets, rate)
+        model.learn(inputs, word, lexicon.value.kinds(word), offsets, rate)
         return _row(5, 0, int(offsets[-1]), model.dump(), b"")
 
     for r in rows(batches):
-        held.append((np.frombuffer(r["names"], np.int16).astype(np.int64).reshape(3, -1), np.frombuffer(r["values"], np.int32)))
-        if sum(len(flat[0]) for flat, _ in held) >= GROUP_WORDS:
+        held.append((np.frombuffer(r["names"], np.int16), np.frombuffer(r["values"], np.int32)))
+        if sum(len(flat) for flat, _ in held) >= GROUP_WORDS:
             yield learned()
             held = []
     if held:
@@ -459,18 +517,19 @@ def _mean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _row(5, 0, n, data, b"")
 
 
-def fit(spark: SparkSession, runs: DataFrame, lexicon: Lexicon) -> Gru:
-    """Learn from all runs, in rounds of parallel groups whose weights are averaged."""
-    model = Gru(lexicon)
+def fit(store: BlockStore, lexicon: Lexicon) -> Gru:
+    """Learn from all training documents, in rounds of parallel groups whose weights are averaged."""
+    spark, model = store.spark, Gru(lexicon)
     shared, groups = spark.sparkContext.broadcast(lexicon), shuffle_partitions(spark)
-    runs = materialize(runs.mapInArrow(lambda it: _number_batches(it, shared), ROW), "runs")
+    runs = materialize(store.table().mapInArrow(lambda it: _number_batches(it, shared), ROW), "runs")
     for i in range(ROUNDS):
         weights, rate = spark.sparkContext.broadcast(model.dump()), RATE * 0.5**i
-        dealt = runs.repartition(groups, "block")
+        own = runs.where(F.pmod(F.xxhash64("block", "bucket"), F.lit(ROUNDS)) == i)
+        dealt = own.repartition(groups, "block", "bucket").sortWithinPartitions("block", "bucket")
         learned = materialize(dealt.mapInArrow(lambda it, w=weights, rate=rate: _learn_batches(it, shared, w, rate), ROW), "weights")
-        rows = _few(learned, learned.count(), _mean_batches)
-        if rows:
-            model.load(_mean([(r["block"], r["names"]) for r in rows])[1])
+        found = _few(learned, learned.count(), _mean_batches)
+        if found:
+            model.load(_mean([(r["block"], r["names"]) for r in found])[1])
     return model
 
 
@@ -516,16 +575,17 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     store = BlockStore.write(docs, BLOCK_BYTES)
     try:
-        buckets = shuffle_partitions(spark)
-        counted = materialize(store.table().mapInArrow(lambda it: _count_batches(it, buckets), ROW), "counts")
-        dealt = counted.where("kind = 0").repartition(buckets, "bucket")
+        partitions = shuffle_partitions(spark)
+        buckets = max(partitions, store.table().select("block").count())  # a bucket holds about as much as a block
+        counted = store.table().mapInArrow(lambda it: _count_batches(it, buckets), ROW)
+        dealt = counted.repartition(partitions, "bucket").sortWithinPartitions("bucket", "block")
         totals = materialize(dealt.mapInArrow(_total_batches, ROW), "totals")
         top: dict[bytes, int] = {}
-        for r in _few(totals.where("kind = 3"), buckets, _merge_top):
+        for r in _few(totals.where("kind = 3"), partitions, _merge_top):
             top |= _listed(r)
-        sums = sum((np.frombuffer(r["values"], np.int64) for r in _few(totals.where("kind = 4"), buckets, _merge_sums)), np.zeros(2 * SHAPES, np.int64))
+        sums = sum((np.frombuffer(r["values"], np.int64) for r in _few(totals.where("kind = 4"), partitions, _merge_sums)), np.zeros(2 * SHAPES, np.int64))
         lexicon = Lexicon(top, sums.reshape(SHAPES, 2))
-        model = fit(spark, counted.where("kind = 1"), lexicon)
+        model = fit(store, lexicon)
         shared = spark.sparkContext.broadcast((lexicon, model.dump()))
         back = totals.where("kind = 2").select("block", F.col("values").alias("blob"))
         schema = T.StructType.fromDDL("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
