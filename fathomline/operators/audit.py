@@ -24,11 +24,19 @@ def _counts(df: DataFrame, **checks: str) -> DataFrame:
     return one.selectExpr(f"stack({len(checks)}, " + ", ".join(f"'{k}', {k}" for k in checks) + ") as (check, bad)")
 
 
-def ranges(positions: DataFrame, incidents: DataFrame, candidates: DataFrame, now: float) -> DataFrame:
-    """Impossible or missing values, one row a check."""
+def ranges(positions: DataFrame, incidents: DataFrame, candidates: DataFrame, now: float, vessels: DataFrame | None = None) -> DataFrame:
+    """Impossible or missing values, one row a check.
+
+    Incidents that have volumes are checked for their order.
+    """
     world = "not (lat between -90 and 90 and lon between -180 and 180)"
-    rows = _counts(positions, position_coordinates=world, position_future=f"ts > {now} + 3600", position_source="source is null")
-    rows = rows.unionByName(_counts(incidents, incident_coordinates=world, incident_future=f"detected_at > {now} + 3600", incident_confidence="not (confidence between 0 and 1)", incident_missing="region is null or scene_id is null or created_at is null"))
+    rows = _counts(positions, position_coordinates=world, position_future=f"ts > {now} + 3600", position_source="source is null", position_missing="mmsi is null or ts is null or lat is null or lon is null")
+    own = {"incident_coordinates": world, "incident_future": f"detected_at > {now} + 3600", "incident_confidence": "not (confidence between 0 and 1)", "incident_missing": "region is null or scene_id is null or created_at is null"}
+    if "volume_min_m3" in incidents.columns:
+        own["incident_volumes"] = "volume_min_m3 > volume_max_m3"
+    rows = rows.unionByName(_counts(incidents, **own))
+    if vessels is not None:
+        rows = rows.unionByName(_counts(vessels, vessel_missing="mmsi is null or coalesce(name, '') = ''", vessel_length="not (length_m between 0 and 500)"))
     return rows.unionByName(_counts(candidates, candidate_score="not (score between 0 and 1)"))
 
 
@@ -65,6 +73,17 @@ def report_totals(incidents: DataFrame, by_region: DataFrame, by_status: DataFra
     return total
 
 
+def region_totals(incidents: DataFrame, by_region: DataFrame, scoped: dict[str, DataFrame]) -> DataFrame:
+    """Of each region: its incidents by the table, by the report of all regions, and by reports scoped to it."""
+    stored = incidents.groupBy(F.coalesce("region", F.lit("unknown")).alias("region")).agg(F.count("*").alias("incidents"))
+    each = None
+    for key, df in sorted(scoped.items()):
+        row = df.agg(F.lit(key).alias("region"), F.coalesce(F.sum("n"), F.lit(0)).alias("by_scope"))
+        each = row if each is None else each.unionByName(row)
+    rows = stored.join(by_region.select("region", F.col("n").alias("by_region")), "region", "full")
+    return rows if each is None else rows.join(each, "region", "full")
+
+
 def repeated_values(incidents: DataFrame, *columns: str, most: int = 2) -> DataFrame:
     """Values of a measured column that many incidents share."""
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in columns)

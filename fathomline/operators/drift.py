@@ -10,6 +10,7 @@ longitudes are a second running sum: two windows, no loop.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from fathomline.functions.geo import floor_mod, km_per_deg_lon
 from fathomline.operators.shapes import hull_area, trimmed
 
 SERIES = ("wind_speed", "wind_from", "cur_speed", "cur_to")
+#: Series that drift does not need; ``at_times`` gives those that the table has.
+MORE = ("wave_m", "sst_c")
 
 
 def require(environment: DataFrame, *series: str) -> DataFrame:
@@ -33,13 +36,14 @@ def at_times(environment: DataFrame, times: list[float]) -> DataFrame:
     at north.
     """
     along = Window.orderBy("ts")  # an hourly series of one area: a few hundred rows
-    ahead = environment.select("ts", *SERIES, F.lead("ts").over(along).alias("ts1"), *[F.lead(s).over(along).alias(f"{s}1") for s in SERIES], F.lag("ts").over(along).alias("ts_"))
+    series = (*SERIES, *[s for s in MORE if s in environment.columns])
+    ahead = environment.select("ts", *series, F.lead("ts").over(along).alias("ts1"), *[F.lead(s).over(along).alias(f"{s}1") for s in series], F.lag("ts").over(along).alias("ts_"))
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(t)).alias("at")) for i, t in enumerate(times)])
     inside = lambda x: (F.col("ts1").isNull() | (x["at"] < F.col("ts1"))) & (F.col("ts_").isNull() | (x["at"] >= F.col("ts")))
     rows = ahead.select("*", F.explode(F.filter(steps, inside)).alias("s")).select("*", "s.step", "s.at")
     share = F.when(F.col("ts1").isNull() | (F.col("at") <= F.col("ts")), 0.0).otherwise((F.col("at") - F.col("ts")) / (F.col("ts1") - F.col("ts")))
     value = lambda s: F.col(s) + F.when(share == 0, 0.0).otherwise(share * (F.col(f"{s}1") - F.col(s)))
-    return rows.select("step", F.col("at").alias("ts"), *[value(s).alias(s) for s in SERIES]).withColumn("wind_to", floor_mod(F.col("wind_from") + 180.0, 360))
+    return rows.select("step", F.col("at").alias("ts"), *[value(s).alias(s) for s in series]).withColumn("wind_to", floor_mod(F.col("wind_from") + 180.0, 360))
 
 
 def velocity(wind_factor: Column, deflection: Column) -> tuple[Column, Column]:
@@ -91,35 +95,34 @@ def envelope(cloud: DataFrame) -> DataFrame:
     return hull_area(pooled.select("step", "lon", "lat"), "step").select("ring", "area_km2")
 
 
-def _inside(x: float, y: float, ring: np.ndarray) -> bool:
-    x1, y1 = ring.T
-    x2, y2 = np.roll(ring, -1, axis=0).T
-    on = (y1 > y) != (y2 > y)
-    return bool(np.count_nonzero(x < x1[on] + (y - y1[on]) * (x2[on] - x1[on]) / (y2[on] - y1[on])) % 2)
+def _inside(at: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Which points (rows of x, y) lie in a ring, by the crossings of a ray to the right."""
+    x, y = at[:, :1], at[:, 1:]
+    (x1, y1), (x2, y2) = ring.T, np.roll(ring, -1, axis=0).T
+    slope = (x2 - x1) / np.where(y2 == y1, 1.0, y2 - y1)
+    crossed = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * slope)
+    return crossed.sum(axis=1) % 2 == 1
 
 
 def draws(spark: SparkSession, ring: list[list[float]], steps: int, n: int = PARTICLES, seed: int = DRIFT_SEED) -> tuple[DataFrame, DataFrame]:
     """Random particles and noise of one slick, for ``backtrack``.
 
-    One generator is drawn from in a fixed order: points in the ring's box
-    (longitude, latitude) until ``n`` lie inside, 200 tries a particle at most;
-    wind factors; deflections; then noise step by step, north before east.
-    Too few points are used again; none at all gives the ring's centre.
+    Results to match fix the order of the draws from one generator: points in
+    the ring's box (longitude, latitude) until ``n`` lie inside, 200 tries a
+    particle at most; wind factors; deflections; then noise step by step, north
+    before east.  Too few points are taken in turns; none gives the ring's centre.
     """
-    rng, shape = np.random.default_rng(seed), np.array(ring, float)
+    shape = np.array(ring, float)
     low, span = shape.min(axis=0), np.ptp(shape, axis=0)
-    points: list[np.ndarray] = []
-    for _ in range(200 * n):
-        if len(points) == n:
-            break
-        at = low + span * rng.random(2)
-        if _inside(*at, shape):
-            points.append(at)
-    points = points or [shape.mean(axis=0)] * n
-    while len(points) < n:
-        points.append(points[len(points) % (len(points) // 2 + 1)])
+    tries = low + span * np.random.default_rng(seed).random((200 * n, 2))
+    hits = np.flatnonzero(_inside(tries, shape))[:n]
+    points = tries[hits] if len(hits) else shape.mean(axis=0, keepdims=True)
+    points = points[np.arange(n) % len(points)]
+    rng = np.random.default_rng(seed)
+    rng.random((hits[-1] + 1 if len(hits) == n else 200 * n, 2))  # as many as were looked at
     factor, turn = rng.uniform(0.65 * WIND_FACTOR, 1.35 * WIND_FACTOR, n), rng.normal(DEFLECTION_DEG, 8.0, n)
     noise = rng.normal(0, DIFFUSION_MS, (steps, 2, n))
-    particles = [(i, float(p[0]), float(p[1]), float(f), float(d)) for i, (p, f, d) in enumerate(zip(points, factor, turn, strict=True))]
-    moves = [(i, s, float(noise[s, 0, i]), float(noise[s, 1, i])) for s in range(steps) for i in range(n)]
+    number = np.arange(n, dtype=np.int32)
+    particles = pd.DataFrame({"p": number, "lon0": points[:, 0], "lat0": points[:, 1], "wind_factor": factor, "deflection": turn})
+    moves = pd.DataFrame({"p": np.tile(number, steps), "step": np.repeat(np.arange(steps, dtype=np.int32), n), "north": noise[:, 0].ravel(), "east": noise[:, 1].ravel()})
     return spark.createDataFrame(particles, "p int, lon0 double, lat0 double, wind_factor double, deflection double"), spark.createDataFrame(moves, "p int, step int, north double, east double")

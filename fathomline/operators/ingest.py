@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +21,24 @@ def clean(raw: DataFrame) -> DataFrame:
 def throttle(fixes: DataFrame, seq: str = "seq", interval: float = THROTTLE_S) -> DataFrame:
     """Per vessel in order of arrival, the fixes at least ``interval`` after the last one kept.
 
-    A fold over each vessel's (seq, ts) pairs, as the decision depends on the
-    last *kept* fix; the other columns are joined back by (mmsi, seq).
+    The decision depends on the last *kept* fix, so each vessel is a fold.  Its
+    sorted (seq, ts) pairs stream through a task, which remembers one number; the
+    other columns are joined back by (mmsi, seq).
     """
-    pairs = fixes.groupBy("mmsi").agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), "ts"))).alias("all"))
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["ts"] - acc["last"] >= interval)
-        return F.struct(F.when(keep, x["ts"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["seq"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = pairs.select("mmsi", F.explode(F.aggregate("all", zero, step, lambda acc: acc["kept"])).alias(seq))
-    return fixes.join(kept, ["mmsi", seq], "left_semi")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vessel, last = None, 0.0
+        for pdf in frames:
+            kept = []
+            for i, (mmsi, ts) in enumerate(zip(pdf["mmsi"].tolist(), pdf["ts"].tolist(), strict=True)):
+                if mmsi != vessel or ts - last >= interval:
+                    kept.append(i)
+                    vessel, last = mmsi, ts
+            yield pdf.iloc[kept][["mmsi", "seq"]]
+
+    pairs = fixes.where("mmsi is not null and ts is not null").select("mmsi", F.col(seq).cast("bigint").alias("seq"), "ts")
+    kept = pairs.repartition("mmsi").sortWithinPartitions("mmsi", "seq", "ts").mapInPandas(fold, f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, seq bigint")
+    return fixes.join(kept.withColumnRenamed("seq", seq), ["mmsi", seq], "left_semi")
 
 
 def first_wins(batch: DataFrame, history: DataFrame | None = None, seq: str = "seq", keys: Sequence[str] = ("mmsi", "ts")) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ from fathomline.operators import shapes
 STRONG, WEAK = 3.0, 1.8
 LEE = 7
 LEAST_DB, LEAST_CONFIDENCE, MOST_CONFIDENCE = 1.8, 0.20, 0.97
+# Fixed values of the confidence: the contrast in dB where its gate opens and its width, the gate's own share, and of
+# each measure of the shape where its score begins, its width and its weight.
+GATE_DB, GATE_SHARE = (1.5, 2.5), 0.55
+SHAPE_SCORE = {"complexity": (1.3, 2.5, 0.32), "elongation": (1.4, 3.0, 0.26), "homogeneity": (0.0, 1.0, 0.22), "area_km2": (0.0, 10.0, 0.20)}
+#: Pixels of a scene, at most.
+MOST_PIXELS = 64_000_000
 
 
 # -- pixel tables --------------------------------------------------------------
@@ -54,56 +61,68 @@ def morphology(pixels: DataFrame, k: int, value: str, grow: bool, keys: tuple[st
     return pixels
 
 
-def close(pixels: DataFrame, k: int, value: str) -> DataFrame:
-    return morphology(morphology(pixels, k, value, True), k, value, False)
+def close(pixels: DataFrame, k: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return morphology(morphology(pixels, k, value, True, keys), k, value, False, keys)
 
 
-def open_(pixels: DataFrame, k: int, value: str) -> DataFrame:
-    return morphology(morphology(pixels, k, value, False), k, value, True)
+def open_(pixels: DataFrame, k: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return morphology(morphology(pixels, k, value, False, keys), k, value, True, keys)
 
 
-def rescale(pixels: DataFrame) -> DataFrame:
-    """Values from 0 to 255 over the scene."""
-    ends = pixels.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return pixels.crossJoin(F.broadcast(ends)).withColumn("v", (F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-6)) * 255.0).drop("low", "high")
+def _with_sums(pixels: DataFrame, keys: tuple[str, ...], **sums: Column) -> DataFrame:
+    """Each pixel with aggregates of its scene, which are one row a scene."""
+    found = pixels.groupBy(*keys).agg(*[c.alias(k) for k, c in sums.items()])
+    return pixels.join(found, list(keys)) if keys else pixels.crossJoin(F.broadcast(found))
 
 
-def lee(pixels: DataFrame, size: tuple[int, int], k: int = LEE) -> DataFrame:
+def rescale(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Values from 0 to 255 over each scene."""
+    rows = _with_sums(pixels, keys, low=F.min("v"), high=F.max("v"))
+    return rows.withColumn("v", (F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-6)) * 255.0).drop("low", "high")
+
+
+def lee(pixels: DataFrame, size: tuple[int, int], k: int = LEE, keys: tuple[str, ...] = ()) -> DataFrame:
     """Speckle filter: the local mean, more of the pixel where the local variance is large."""
-    means = box_mean(pixels.withColumns({"m": F.col("v"), "q": F.col("v") * F.col("v")}), k, size, "m", "q")
-    overall = F.broadcast(pixels.agg(F.var_pop("v").alias("overall")))
+    rows = _with_sums(pixels, keys, overall=F.var_pop("v")).withColumns({"m": F.col("v"), "q": F.col("v") * F.col("v")})
     local = F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))
-    return means.crossJoin(overall).withColumn("v", F.col("m") + local / (local + F.col("overall") + 1e-9) * (F.col("v") - F.col("m"))).drop("m", "q", "overall")
+    return box_mean(rows, k, size, "m", "q", keys=keys).withColumn("v", F.col("m") + local / (local + F.col("overall") + 1e-9) * (F.col("v") - F.col("m"))).drop("m", "q", "overall")
 
 
-def band_pass(pixels: DataFrame, size: tuple[int, int], small: int, large: int) -> DataFrame:
+def band_pass(pixels: DataFrame, size: tuple[int, int], small: int, large: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Background minus local mean: large-scale darkness."""
     both = pixels.withColumns({"near": F.col("v"), "far": F.col("v")})
-    both = box_mean(box_mean(both, small, size, "near"), large, size, "far")
-    return both.select("r", "c", (F.col("far") - F.col("near")).alias("contrast"))
+    both = box_mean(box_mean(both, small, size, "near", keys=keys), large, size, "far", keys=keys)
+    return both.select(*keys, "r", "c", (F.col("far") - F.col("near")).alias("contrast"))
+
 
+def thresholds(contrast: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Median and robust deviation of the contrast, and the pixels above each limit.
 
-def thresholds(contrast: DataFrame) -> DataFrame:
-    """Median and robust deviation of the contrast, and the pixels above each limit."""
-    med = F.broadcast(contrast.agg(F.median("contrast").alias("med")))
-    rows = contrast.crossJoin(med)
-    sigma = F.broadcast(rows.agg((1.4826 * F.median(F.abs(F.col("contrast") - F.col("med"))) + 1e-6).alias("sigma")))
+    The contrast (four window passes) is read three times, so it is kept.
+    """
+    rows = _with_sums(contrast.persist(StorageLevel.MEMORY_AND_DISK), keys, med=F.median("contrast"))
+    rows = _with_sums(rows, keys, sigma=1.4826 * F.median(F.abs(F.col("contrast") - F.col("med"))) + 1e-6)
     above = lambda n: (F.col("contrast") > F.col("med") + n * F.col("sigma")).cast("int")
-    return rows.crossJoin(sigma).select("r", "c", "contrast", "med", "sigma", above(STRONG).alias("strong"), above(WEAK).alias("weak"))
+    return rows.select(*keys, "r", "c", "contrast", "med", "sigma", above(STRONG).alias("strong"), above(WEAK).alias("weak"))
 
 
 def confidence(contrast_db: Column, complexity: Column, elongation: Column, homogeneity: Column, area_km2: Column) -> Column:
     """Null for a look-alike; else the contrast's gate times the shape's score."""
-    gate = clip((contrast_db - 1.5) / 2.5, 0, 1)
-    shape = 0.32 * clip((complexity - 1.3) / 2.5, 0, 1) + 0.26 * clip((elongation - 1.4) / 3.0, 0, 1) + 0.22 * clip(homogeneity, 0, 1) + 0.20 * clip(area_km2 / 10.0, 0, 1)
-    value = gate * (0.55 + 0.45 * shape)
+    given = {"complexity": complexity, "elongation": elongation, "homogeneity": homogeneity, "area_km2": area_km2}
+    shape = sum((weight * clip((given[k] - low) / span, 0, 1) for k, (low, span, weight) in SHAPE_SCORE.items()), F.lit(0.0))
+    value = clip((contrast_db - GATE_DB[0]) / GATE_DB[1], 0, 1) * (GATE_SHARE + (1 - GATE_SHARE) * shape)
     return F.when((contrast_db >= LEAST_DB) & (value >= LEAST_CONFIDENCE), F.bround(F.least(value, F.lit(MOST_CONFIDENCE)), 3))
 
 
-def fill_missing(pixels: DataFrame) -> DataFrame:
-    """Zero means no data; what is missing takes the scene's median."""
-    known = F.when((F.col("v") != 0) & ~F.isnan("v"), F.col("v"))
-    return pixels.withColumn("v", known).crossJoin(F.broadcast(pixels.agg(F.median(known).alias("m")))).withColumn("v", F.coalesce("v", "m")).drop("m")
+def fill_missing(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Zero means no data; what is missing takes its scene's median."""
+    known = pixels.withColumn("v", F.when((F.col("v") != 0) & ~F.isnan("v"), F.col("v")))
+    return _with_sums(known, keys, m=F.median("v")).withColumn("v", F.coalesce("v", "m")).drop("m")
+
+
+def land_fraction(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of the pixels (column land, 0 or 1) of each scene that are land."""
+    return mask.groupBy(*keys).agg(F.avg(F.col("land").cast("double")).alias("land_fraction"))
 
 
 # -- whole scenes ---------------------------------------------------------------
@@ -139,65 +158,100 @@ def window_px(km: float, km_per_px: float, low: int = 3, high: int = 401) -> int
     return int(np.clip(round(km / max(km_per_px, 1e-6)), low, high)) | 1
 
 
-def detect_scene(image: np.ndarray, bounds: tuple[float, float, float, float], min_area_km2: float = 0.8, most: int = 5, land: np.ndarray | None = None) -> list[dict]:
-    """Dark, slick-like regions of one scene, the surest first."""
-    img = image.astype(np.float64)
-    img = (img - img.min()) / max(float(np.ptp(img)), 1e-6) * 255.0
-    h, w = img.shape
-    west, south, east, north = bounds
-    px = (east - west) * KM_PER_DEG_LON * math.cos(math.radians((south + north) / 2)) / max(w, 1)
-    py = (north - south) * KM_PER_DEG_LAT / max(h, 1)
-    win = lambda km: window_px(km, px)
-
-    mean = _blur(img, LEE)
-    local = np.maximum(_blur(img * img, LEE) - mean * mean, 0)
-    filt = mean + local / (local + img.var() + 1e-9) * (img - mean)
-    contrast = _blur(filt, win(10.0)) - _blur(filt, win(1.5))
-    med = np.median(contrast)
-    sigma = 1.4826 * np.median(np.abs(contrast - med)) + 1e-6
-
-    bridge = win(0.6)
-    labels = shapes.components(_shrink(_spread(contrast > med + WEAK * sigma, bridge), bridge))
-    mask = np.isin(labels, np.setdiff1d(labels[contrast > med + STRONG * sigma], [0]))
-    mask = _shrink(_spread(mask, 7), 7)
-    mask = _spread(_shrink(mask, 5), 5)
-    if land is not None:
-        mask &= ~_spread(land > 0, win(1.0))
-    margin = max(win(10.0) // 2, 8)
-    inner = np.zeros_like(mask)
-    inner[margin : h - margin, margin : w - margin] = True
-    mask &= inner
-
-    out, labels = [], shapes.components(mask)
-    for label in range(1, labels.max() + 1):
-        region = labels == label
-        ring = shapes.outline(region)
-        area_px, perimeter = shapes.ring_area(ring), shapes.ring_length(ring)
-        area = area_px * px * py
-        if area < min_area_km2:
-            continue
-        band = _spread(region, win(3.0)) & ~_spread(region, bridge) & ~mask
-        inside, outside = filt[region], filt[band]
+def _sure(db: float, **shape: float) -> tuple[float, float]:
+    """The contrast's gate, and the gated score of a shape: numbers as in ``confidence``."""
+    unit = lambda x: min(max(x, 0.0), 1.0)
+    gate = unit((db - GATE_DB[0]) / GATE_DB[1])
+    score = sum(weight * unit((shape[k] - low) / span) for k, (low, span, weight) in SHAPE_SCORE.items())
+    return gate, gate * (GATE_SHARE + (1 - GATE_SHARE) * score)
+
+
+class Scene:
+    """One image on its place on the earth, and the size of its pixels in km."""
+
+    def __init__(self, image: np.ndarray, bounds: tuple[float, float, float, float]):
+        self.west, self.south, self.east, self.north = bounds
+        self.h, self.w = image.shape
+        self.px = (self.east - self.west) * KM_PER_DEG_LON * math.cos(math.radians((self.south + self.north) / 2)) / max(self.w, 1)
+        self.py = (self.north - self.south) * KM_PER_DEG_LAT / max(self.h, 1)
+        raw = image.astype(np.float64)
+        raw = (raw - raw.min()) / max(float(np.ptp(raw)), 1e-6) * 255.0
+        mean = _blur(raw, LEE)
+        local = np.maximum(_blur(raw * raw, LEE) - mean * mean, 0)
+        self.filtered = mean + local / (local + raw.var() + 1e-9) * (raw - mean)
+
+    def window(self, km: float) -> int:
+        return window_px(km, self.px)
+
+    def dark(self, land: np.ndarray | None) -> np.ndarray:
+        """Pixels of dark regions: grown from strong ones, smoothed, off the coast and the image's edge."""
+        contrast = _blur(self.filtered, self.window(10.0)) - _blur(self.filtered, self.window(1.5))
+        middle = np.median(contrast)
+        deviation = 1.4826 * np.median(np.abs(contrast - middle)) + 1e-6
+        labels = shapes.components(_shrink(_spread(contrast > middle + WEAK * deviation, self.window(0.6)), self.window(0.6)))
+        mask = np.isin(labels, np.setdiff1d(labels[contrast > middle + STRONG * deviation], [0]))
+        mask = _spread(_shrink(_shrink(_spread(mask, 7), 7), 5), 5)
+        if land is not None:
+            mask &= ~_spread(land > 0, self.window(1.0))
+        edge = max(self.window(10.0) // 2, 8)
+        mask[:edge] = mask[self.h - edge :] = False
+        mask[:, :edge] = mask[:, self.w - edge :] = False
+        return mask
+
+    def brightness(self, region: np.ndarray, mask: np.ndarray) -> tuple[float, float] | None:
+        """Contrast in dB with the water around and homogeneity, if both sides have enough pixels."""
+        around = _spread(region, self.window(3.0)) & ~_spread(region, self.window(0.6)) & ~mask
+        inside, outside = self.filtered[region], self.filtered[around]
         if min(inside.size, outside.size) < 20:
-            continue
+            return None
         db = 10 * math.log10(max(float(np.median(outside)), 1e-6) / max(float(np.percentile(inside, 25)), 1e-6))
-        dark = inside[inside <= np.percentile(inside, 60)]
-        homogeneity = 1 / (1 + float((dark if dark.size > 10 else inside).std()) / 10)
+        core = inside[inside <= np.percentile(inside, 60)]
+        return db, 1 / (1 + float((core if core.size > 10 else inside).std()) / 10)
+
+    def place(self, x: float, y: float) -> list[float]:
+        """Longitude and latitude of a pixel's centre."""
+        return [self.west + x / max(self.w - 1, 1) * (self.east - self.west), self.north - y / max(self.h - 1, 1) * (self.north - self.south)]
+
+    def measured(self, region: np.ndarray, mask: np.ndarray, min_area_km2: float) -> dict | None:
+        """The detection of one region, or None for a look-alike."""
+        ring = shapes.outline(region)
+        pixels, perimeter = shapes.ring_area(ring), shapes.ring_length(ring)
+        area = pixels * self.px * self.py
+        light = self.brightness(region, mask) if area >= min_area_km2 else None
+        if light is None:
+            return None
+        db, homogeneity = light
         long, short = shapes.smallest_box(ring)
-        complexity, elongation = perimeter**2 / (4 * math.pi * max(area_px, 1)), long / max(short, 1.0)
-        unit = lambda x: min(max(x, 0.0), 1.0)
-        gate = unit((db - 1.5) / 2.5)
-        shape = 0.32 * unit((complexity - 1.3) / 2.5) + 0.26 * unit((elongation - 1.4) / 3) + 0.22 * unit(homogeneity) + 0.20 * unit(area / 10)
-        sure = gate * (0.55 + 0.45 * shape)
+        complexity, elongation = perimeter**2 / (4 * math.pi * max(pixels, 1)), long / max(short, 1.0)
+        gate, sure = _sure(db, complexity=complexity, elongation=elongation, homogeneity=homogeneity, area_km2=area)
         small = shapes.simplify(ring, 0.004 * perimeter)
         if db < LEAST_DB or sure < LEAST_CONFIDENCE or len(small) < 3:
-            continue
-        lonlat = [[west + x / max(w - 1, 1) * (east - west), north - y / max(h - 1, 1) * (north - south)] for x, y in small]
-        out.append({
-            "ring": [[round(a, 6), round(b, 6)] for a, b in lonlat], "lat": round(sum(p[1] for p in lonlat) / len(lonlat), 5), "lon": round(sum(p[0] for p in lonlat) / len(lonlat), 5),
-            "area_km2": round(area, 2), "length_km": round(long * px, 2), "width_km": round(max(short, 1.0) * py, 2), "confidence": round(min(sure, MOST_CONFIDENCE), 3),
+            return None
+        corners = [self.place(x, y) for x, y in small]
+        middle = [sum(p[k] for p in corners) / len(corners) for k in (0, 1)]
+        return {
+            "ring": [[round(a, 6), round(b, 6)] for a, b in corners], "lat": round(middle[1], 5), "lon": round(middle[0], 5),
+            "area_km2": round(area, 2), "length_km": round(long * self.px, 2), "width_km": round(max(short, 1.0) * self.py, 2), "confidence": round(min(sure, MOST_CONFIDENCE), 3),
             "contrast_db": round(db, 2), "shape_complexity": round(complexity, 2), "elongation": round(elongation, 2), "homogeneity": round(homogeneity, 3), "contrast_gate": round(gate, 3),
-        })
+        }
+
+
+def detect_scene(image: np.ndarray, bounds: tuple[float, float, float, float], min_area_km2: float = 0.8, most: int = 5, land: np.ndarray | None = None, classify: Callable[[np.ndarray], float] | None = None) -> list[dict]:
+    """Dark, slick-like regions of one scene, the surest first.
+
+    ``classify`` gets the patch of the image around a region.
+    """
+    scene = Scene(image, bounds)
+    mask = scene.dark(land)
+    labels, out = shapes.components(mask), []
+    for label in range(1, labels.max() + 1):
+        region = labels == label
+        found = scene.measured(region, mask, min_area_km2)
+        if found and classify is not None:
+            r, c = np.nonzero(region)
+            found["confidence"] = float(classify(image[r.min() : r.max() + 1, c.min() : c.max() + 1]))
+        if found:
+            out.append(found)
     return sorted(out, key=lambda d: -d["confidence"])[:most]
 
 
@@ -207,20 +261,24 @@ DETECTION = (
 )
 
 
-def detect(scenes: DataFrame, min_area_km2: float = 0.8, most: int = 5, classify: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+def detect(scenes: DataFrame, min_area_km2: float = 0.8, most: int = 5, classify: Callable[[np.ndarray], float] | None = None, coast: list[np.ndarray] | None = None) -> DataFrame:
     """Detections of scenes (scene_id, h, w, west, south, east, north, pixels as float32 bytes).
 
-    ``classify`` may be a trained model's score of the patch's brightness; it
-    replaces the confidence where given.
+    ``classify`` may be a trained model's score of a region's patch of the
+    image; it replaces the confidence where given.  ``coast`` are rings of land
+    (longitude, latitude), on and near which nothing is detected; they are shipped
+    with the tasks, so they must be of bounded size.  Scenes of over
+    ``MOST_PIXELS`` pixels are refused.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for s in pdf.itertuples():
-                image = np.frombuffer(s.pixels, "<f4").reshape(s.h, s.w)
-                found = detect_scene(image, (s.west, s.south, s.east, s.north), min_area_km2, most)
-                if classify is not None:
-                    found = [d | {"confidence": float(classify(image))} for d in found]
+                if s.h * s.w > MOST_PIXELS:
+                    raise ValueError(f"scene {s.scene_id} has {s.h * s.w} pixels, over {MOST_PIXELS}")
+                image, bounds = np.frombuffer(s.pixels, "<f4").reshape(s.h, s.w), (s.west, s.south, s.east, s.north)
+                land = land_mask(coast, bounds, image.shape) if coast else None
+                found = detect_scene(image, bounds, min_area_km2, most, land, classify)
                 if found:
                     yield pd.DataFrame([{"scene_id": s.scene_id} | d for d in found])
 

@@ -6,6 +6,7 @@ A region argument is a key, or None for all regions.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +121,13 @@ def by_region(incidents: DataFrame, now: float, days: int = 90, key: str | None
 
 
 def by_status(incidents: DataFrame, now: float, days: int = 90, key: str | None = None) -> DataFrame:
+    checked("days", days, 1, 3650)
     return scoped(incidents.where(F.col("detected_at") >= now - days * DAY), key).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def recent_scenes(incidents: DataFrame, now: float, days: int = 90, key: str | None = None, limit: int = 20) -> DataFrame:
+    checked("days", days, 1, 3650)
+    checked("limit", limit, 1, 200)
     own = scoped(incidents.where((F.col("detected_at") >= now - days * DAY) & F.col("scene_id").isNotNull()), key)
     return own.groupBy("scene_id").agg(F.count("*").alias("detections"), F.min("detected_at").alias("acquired")).orderBy(F.desc("acquired"), "scene_id").limit(limit)
 
@@ -133,6 +137,7 @@ def band(confidence: Column) -> Column:
 
 
 def confidence_bands(incidents: DataFrame, now: float, days: int = 90, key: str | None = None) -> DataFrame:
+    checked("days", days, 1, 3650)
     return scoped(incidents.where(F.col("detected_at") >= now - days * DAY), key).groupBy(band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
 
 
@@ -140,11 +145,15 @@ def no_candidate_reason(incidents: DataFrame, candidates: DataFrame, positions:
     """Why an incident has no candidates: one of five reasons."""
     bare = incidents.join(candidates.select("incident_id").distinct(), "incident_id", "left_anti").select("incident_id", "detected_at", (F.col("detected_at") - hours * 3600).alias("start"))
     held = positions.agg(F.count("*").alias("held"), F.min("ts").alias("oldest"))
-    # fixes by hour, and the two end hours exactly, so that each window reads few rows
-    fixes = positions.groupBy(F.floor(F.col("ts") / 3600).alias("hour")).agg(F.sort_array(F.collect_list("ts")).alias("times"))
-    hour = F.explode(F.sequence(F.floor(F.col("start") / 3600), F.floor(F.col("detected_at") / 3600))).alias("hour")
-    hits = bare.select("*", hour).join(fixes, "hour").withColumn("n", F.size(F.filter("times", lambda t: t.between(F.col("start"), F.col("detected_at")))))
-    rows = bare.join(hits.groupBy("incident_id").agg(F.sum("n").alias("in_window")), "incident_id", "left").crossJoin(held)
+    # whole minutes by their counts; only the two end minutes meet single fixes
+    minute = lambda c: F.floor(F.col(c) / 60)
+    first, last = minute("start"), minute("detected_at")
+    counts = positions.groupBy(minute("ts").alias("minute")).agg(F.count("*").alias("n"))
+    whole = bare.where(last - first >= 2).select("incident_id", F.explode(F.sequence(first + 1, last - 1)).alias("minute")).join(counts, "minute").select("incident_id", "n")
+    ends = bare.select("*", F.explode(F.array_distinct(F.array(first, last))).alias("minute"))
+    at_ends = ends.join(positions.select("ts", minute("ts").alias("minute")), "minute").where(F.col("ts").between(F.col("start"), F.col("detected_at"))).groupBy("incident_id").agg(F.count("*").alias("n"))
+    hits = whole.unionByName(at_ends).groupBy("incident_id").agg(F.sum("n").alias("in_window"))
+    rows = bare.join(hits, "incident_id", "left").crossJoin(held)  # held is one row
     inside = F.coalesce(F.col("in_window"), F.lit(0))
     reason = (
         F.when((F.col("held") == 0) & F.lit(region(key).ais_live == "none"), "no coverage")
@@ -162,9 +171,24 @@ def set_status(incidents: DataFrame, incident_id: str, status: str) -> DataFrame
     return incidents.withColumn("status", F.when(F.col("incident_id") == incident_id, status).otherwise(F.col("status")))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``n``, their number from 1 in the given order.
+
+    Rows are dealt by ranges of the order and sorted there; a range begins
+    after the rows of all ranges before it, so no task sees more than a range.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_range").withColumn("n", F.col("_start") + inside).drop("_range", "_start")
+
+
 def next_incident_ids(incidents: DataFrame, new: DataFrame, year: int, *order: str) -> DataFrame:
     """``new`` rows numbered on from the largest numeric suffix of the year."""
-    number = F.regexp_extract("incident_id", rf"^OTA-{year}-(\d+)$", 1).try_cast("int")
-    last = incidents.agg(F.coalesce(F.max(number), F.lit(0)).alias("last"))
-    rows = new.crossJoin(last).withColumn("n", F.col("last") + F.row_number().over(Window.orderBy(*order)))
-    return rows.withColumn("incident_id", F.concat(F.lit(f"OTA-{year}-"), F.lpad(F.col("n").cast("string"), 4, "0"))).drop("n", "last")
+    suffix = F.regexp_extract("incident_id", rf"^OTA-{year}-(\d+)$", 1).try_cast("bigint")
+    last = incidents.agg(F.coalesce(F.max(suffix), F.lit(0)).alias("last"))
+    rows = numbered(new, *order).crossJoin(F.broadcast(last))  # one row
+    number = (F.col("last") + F.col("n")).cast("string")
+    return rows.withColumn("incident_id", F.concat(F.lit(f"OTA-{year}-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")))).drop("n", "last")

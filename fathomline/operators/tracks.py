@@ -10,6 +10,8 @@ from fathomline.functions.geo import angle_diff, haversine_km, local_km
 
 #: Seconds beyond a track's ends for which its end point still counts.
 REACH_S = 1800.0
+#: Rows of a cloud (or of its cells) that are broadcast; more are joined by a shuffle.
+BROADCAST_PARTICLES = 500_000
 
 
 def grid(end: float, steps: int, seconds: float) -> list[float]:
@@ -41,27 +43,35 @@ def interpolate(positions: DataFrame, times: list[float]) -> DataFrame:
     return rows.select("mmsi", "step", F.col("at").alias("ts"), between("lat", "lat1").alias("lat"), between("lon", "lon1").alias("lon"))
 
 
+def _beside(cloud: DataFrame) -> DataFrame:
+    """A cloud, broadcast if its rows are counted to be few."""
+    return F.broadcast(cloud) if cloud.count() <= BROADCAST_PARTICLES else cloud
+
+
 def nearest_matched(points: DataFrame, cloud: DataFrame) -> DataFrame:
     """Distance of each vessel and step to the nearest particle of the same step."""
     own = cloud.select("step", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return points.join(own, "step").groupBy("mmsi", "step", "ts").agg(F.min(d).alias("km"))
+    return points.join(_beside(own), "step").groupBy("mmsi", "step", "ts").agg(F.min(d).alias("km"))
 
 
 def nearest_any(points: DataFrame, cloud: DataFrame, cell_km: float = 25.0) -> DataFrame:
     """Distance of each vessel to the nearest particle of any step, as far as ``cell_km``.
 
-    Particles and positions meet by cells of a grid (a position in its cell
+    Particles and positions meet by cells of a grid (a particle in its cell
     and the eight around it); a vessel with none so near is left out.  Cells
-    are wide enough at every latitude of the cloud.
+    are wide enough at every latitude of the cloud.  Particles that share a
+    place count once.
     """
+    places = cloud.select("lat", "lon").distinct()
     rows = F.lit(cell_km / KM_PER_DEG_LAT)
-    wide = cloud.agg((F.lit(cell_km / KM_PER_DEG_LON) / F.cos(F.radians(F.least(F.lit(85.0), F.max(F.abs("lat")) + 1)))).alias("width"))
-    binned = cloud.crossJoin(wide).select(F.floor(F.col("lat") / rows).alias("y"), F.floor(F.col("lon") / F.col("width")).alias("x"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    wide = F.broadcast(cloud.agg((F.lit(cell_km / KM_PER_DEG_LON) / F.cos(F.radians(F.least(F.lit(85.0), F.max(F.abs("lat")) + 1)))).alias("width")))  # one row
+    cell = lambda i, j: [(F.floor(F.col("lat") / rows) + i).alias("y"), (F.floor(F.col("lon") / F.col("width")) + j).alias("x")]
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    spread = points.crossJoin(wide).select("mmsi", "lat", "lon", "width", around).select("mmsi", "lat", "lon", (F.floor(F.col("lat") / rows) + F.col("o.i")).alias("y"), (F.floor(F.col("lon") / F.col("width")) + F.col("o.j")).alias("x"))
+    spread = places.crossJoin(wide).select("*", around).select(*cell(F.col("o.i"), F.col("o.j")), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    own = points.crossJoin(wide).select("mmsi", "lat", "lon", *cell(F.lit(0), F.lit(0)))
     d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return spread.join(binned, ["y", "x"]).groupBy("mmsi").agg(F.min(d).alias("any_km")).where(F.col("any_km") <= cell_km)
+    return own.join(_beside(spread), ["y", "x"]).groupBy("mmsi").agg(F.min(d).alias("any_km")).where(F.col("any_km") <= cell_km)
 
 
 def closest(matched: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def density(points: DataFrame, cloud: DataFrame, radius_km: float) -> DataFrame:
     """Share of the particles of the same step within the radius."""
     own = cloud.select("step", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     near = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= radius_km
-    return points.join(own, "step").groupBy("mmsi", "step").agg(F.avg(near.cast("double")).alias("density"))
+    return points.join(_beside(own), "step").groupBy("mmsi", "step").agg(F.avg(near.cast("double")).alias("density"))
 
 
 def snap(times: DataFrame, snapshots: list[float], step_s: float) -> DataFrame:
@@ -100,9 +110,8 @@ def course_deviation(positions: DataFrame) -> DataFrame:
 
 
 def upper_median_speed(positions: DataFrame) -> DataFrame:
-    """The middle known speed, the upper one of two."""
-    speeds = positions.where("sog is not null").groupBy("mmsi").agg(F.sort_array(F.collect_list("sog")).alias("s"))
-    return speeds.select("mmsi", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("baseline"))
+    """The middle known speed, the upper one of two: the lower one in descending order, from counts of values."""
+    return positions.where("sog is not null").groupBy("mmsi").agg(F.expr("percentile_disc(0.5) within group (order by sog desc)").alias("baseline"))
 
 
 def stationary(positions: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, TYPE_BASE_OTHER, WEIGHTS
+from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, TYPE_BASE_OTHER, WEIGHTS, region
 from fathomline.functions import geo, scalars
 from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
 from fathomline.plans.fixtures import DETECTED, NOW, Tables, with_tables
-from fathomline.sources import archives
+from fathomline.sources import archives, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,7 +154,7 @@ def confidence_bands(t: Tables) -> DataFrame:
 
 
 # incidents moved into and around the days of the fixes, so that all reasons occur
-_MOVED = f"select incident_id, {DETECTED} + (cast(substr(incident_id, 10) as int) % 9 - 4) * 43200e0 as detected_at from incidents"
+_MOVED = f"select incident_id, {DETECTED} + (cast(substr(incident_id, 10) as bigint) % 9 - 4) * 43200e0 as detected_at from incidents"
 
 
 @query(
@@ -164,7 +164,7 @@ from (select incident_id, any_value(detected_at) as d, count(p.ts) as n from mov
     "incidents", "candidates", "ais_positions", more={"moved": _MOVED},
 )
 def no_candidate_reason(t: Tables) -> DataFrame:
-    moved = t.incidents.select("incident_id", F.expr(f"{DETECTED}d + (cast(substr(incident_id, 10) as int) % 9 - 4) * 43200d").alias("detected_at"))
+    moved = t.incidents.select("incident_id", F.expr(f"{DETECTED}d + (cast(substr(incident_id, 10) as bigint) % 9 - 4) * 43200d").alias("detected_at"))
     return reports.no_candidate_reason(moved, t.candidates, t.positions, SEA)
 
 
@@ -175,12 +175,12 @@ def status_update(t: Tables) -> DataFrame:
 
 
 @query(
-    "select i.* replace ('OTA-2024-' || lpad(cast(1999 + row_number() over (order by incident_id) as varchar), 4, '0') as incident_id) from (select incident_id, area_km2 from incidents where incident_id <= 'OTA-2024-00009') i",
+    "select 'OTA-2024-' || lpad(n, cast(greatest(4, length(n)) as int), '0') as incident_id, area_km2 from (select cast(1999 + row_number() over (order by incident_id) as varchar) as n, area_km2 from incidents)",
     "incidents",
 )
 def next_ids(t: Tables) -> DataFrame:
     known = t.spark.sql("select 'OTA-2024-1999' as incident_id union all select 'OTA-2024-0007' union all select 'OTA-2023-9999'")
-    new = t.incidents.where("incident_id <= 'OTA-2024-00009'").select(F.col("incident_id").alias("old"), "area_km2")
+    new = t.incidents.select(F.col("incident_id").alias("old"), "area_km2")
     return reports.next_incident_ids(known, new, 2024, "old").select("incident_id", "area_km2")
 
 
@@ -255,11 +255,11 @@ def region_stamp(t: Tables) -> DataFrame:
     return ingest.stamp_region(t.incidents, "mumbai").select("incident_id", "stamped")
 
 
-_DETECTIONS = "select incident_id || 'd' as detection_id, scene_id, lat + (cast(substr(incident_id, 10) as int) % 5) * 0.005e0 as lat, lon, area_km2 * 2 as area_km2, confidence / 2 as confidence from incidents"
+_DETECTIONS = "select incident_id || 'd' as detection_id, scene_id, lat + (cast(substr(incident_id, 10) as bigint) % 5) * 0.005e0 as lat, lon, area_km2 * 2 as area_km2, confidence / 2 as confidence from incidents"
 
 
 def _detections(t: Tables) -> DataFrame:
-    return t.incidents.selectExpr("concat(incident_id, 'd') as detection_id", "scene_id", "lat + (cast(substr(incident_id, 10) as int) % 5) * 0.005d as lat", "lon", "area_km2 * 2 as area_km2", "confidence / 2 as confidence")
+    return t.incidents.selectExpr("concat(incident_id, 'd') as detection_id", "scene_id", "lat + (cast(substr(incident_id, 10) as bigint) % 5) * 0.005d as lat", "lon", "area_km2 * 2 as area_km2", "confidence / 2 as confidence")
 
 
 _EXISTING = f"select d.detection_id, min(i.incident_id) as existing from d left join incidents i on i.scene_id = d.scene_id and {_haversine_sql('d.lat', 'd.lon', 'i.lat', 'i.lon')} <= 1.5 group by 1"
@@ -289,6 +289,102 @@ def volume_range(t: Tables) -> DataFrame:
     return ingest.volumes(t.incidents).select("incident_id", F.round("volume_min_m3", 6).alias("volume_min_m3"), F.round("volume_max_m3", 6).alias("volume_max_m3"))
 
 
+# -- sources ---------------------------------------------------------------------
+
+
+def _utc(seconds: str, form: str) -> str:
+    return f"date_format(timestamp_seconds({seconds}), \"{form}\")"
+
+
+def _live_lines(t: Tables) -> DataFrame:
+    """Messages of all fixes: times in four notations, one of which is none; every sixth a description."""
+    at = "floor(ts)"
+    when = f"""case seq % 4 when 0 then {_utc(at, "yyyy-MM-dd HH:mm:ss.250 +0000 'UTC'")} when 1 then {_utc(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+      when 2 then {_utc(at + ' + 7200', 'yyyy-MM-dd HH:mm:ss +0200')} else 'soon' end"""
+    report = "named_struct('UserID', mmsi, 'Latitude', lat, 'Longitude', case when seq % 7 = 0 then null else lon end, 'Sog', raw_sog, 'Cog', raw_cog, 'TrueHeading', cast(raw_heading as int), 'NavigationalStatus', nav_status)"
+    about = "named_struct('UserID', mmsi, 'Name', case when seq % 5 = 0 then '  ' else concat(' SHIP ', mmsi, ' ') end, 'ImoNumber', case when seq % 5 = 1 then 0 else mmsi end, 'Type', 70 + seq % 20, 'Dimension', named_struct('A', 100d, 'B', 20d, 'C', 0d, 'D', 0d))"
+    meta = f"named_struct('MMSI', case when seq % 9 = 0 then null else mmsi end, 'time_utc', {when}, 'latitude', lat, 'longitude', lon)"
+    fixes = t.ais_raw.where("seq % 6 <> 5").selectExpr(f"to_json(named_struct('MessageType', 'PositionReport', 'MetaData', {meta}, 'Message', named_struct('PositionReport', {report}))) as value", "seq", "1d as ingest_ts")
+    told = t.ais_raw.where("seq % 6 = 5").selectExpr(f"to_json(named_struct('MessageType', 'ShipStaticData', 'MetaData', {meta}, 'Message', named_struct('ShipStaticData', {about}))) as value", "seq", "1d as ingest_ts")
+    noise = t.ais_raw.where("seq % 50 = 0").selectExpr("case when seq % 100 = 0 then '{broken' else '{\"MessageType\": \"Other\"}' end as value", "seq", "1d as ingest_ts")
+    return fixes.unionByName(told).unionByName(noise)
+
+
+_LIVE_TIME = "case seq % 4 when 0 then floor(ts) + 0.25e0 when 3 then 1e0 else floor(ts) end as ts"
+
+
+@query(f"""select p.mmsi, seq, {_LIVE_TIME.replace('ts)', 'p.ts)')}, p.lat, p.lon, sog, cog, heading, p.nav_status from ais_positions p join ais_raw r on r.mmsi = p.mmsi and r.ts = p.ts and r.lat = p.lat and r.lon = p.lon and r.nav_status = p.nav_status
+where seq % 6 <> 5 and p.lat between 51.5 and 56.5 and p.lon between 2 and 9""", "ais_positions")
+def live_positions(t: Tables) -> DataFrame:
+    found = live.positions(live.parse(_live_lines(t), F.col("ingest_ts")), region(SEA))
+    return found.select("mmsi", "seq", "ts", "lat", "lon", "sog", "cog", "heading", "nav_status")
+
+
+@query(f"""select mmsi, seq, {_LIVE_TIME}, case when seq % 5 <> 0 then 'SHIP ' || mmsi end as name, case when seq % 5 <> 1 then cast(mmsi as varchar) end as imo, cast(70 + seq % 20 as int) as ship_type, 120e0 as length_m
+from ais_raw where seq % 6 = 5""", "ais_raw")
+def live_vessels(t: Tables) -> DataFrame:
+    found = live.vessels(live.parse(_live_lines(t), F.col("ingest_ts"))).where("ship_type is not null")
+    return found.select("mmsi", "seq", "ts", "name", "imo", "ship_type", "length_m")
+
+
+_ARCHIVED = f"select mmsi, seq, floor(ts) as ts, lat, lon, case when seq % 3 = 0 then null else raw_sog end as sog, nav_status from ais_raw where seq % 8 <> 3 and {SEA_BOX}"
+
+
+@query(f"select mmsi, seq, ts, lat, lon, sog, nav_status from ({_ARCHIVED})", "ais_raw")
+def archive_positions(t: Tables) -> DataFrame:
+    rows = t.ais_raw.selectExpr(
+        "case when seq % 16 = 3 then 'unknown' else cast(mmsi as string) end as MMSI", "seq", f"case when seq % 16 = 11 then 'later' else {_utc('floor(ts)', 'yyyy-MM-dd')} || 'T' || {_utc('floor(ts)', 'HH:mm:ss')} end as BaseDateTime",
+        "cast(lat as string) as LAT", "cast(lon as string) as LON", "case when seq % 6 = 0 then '0.0' when seq % 6 = 3 then ' ' else cast(raw_sog as string) end as SOG", "'' as COG", "'511.0' as Heading", "cast(nav_status as string) as Status",
+    )
+    sea = region(SEA)
+    found = archives.archive_fixes(rows, (sea.lon_min, sea.lat_min, sea.lon_max, sea.lat_max), interval=float("-inf"))
+    return found.select("mmsi", "seq", "ts", "lat", "lon", "sog", "nav_status")
+
+
+@query("select mmsi, cast(floor(ts) as double) as ts, lat, lon, 'gfw' as source from ais_raw where seq % 3 <> 1", "ais_raw")
+def activity_reports(t: Tables) -> DataFrame:
+    row = f"named_struct('lat', lat, 'lon', lon, 'mmsi', case when seq % 3 = 1 then 'x' else cast(mmsi as string) end, 'entryTimestamp', {_utc('floor(ts)', 'yyyy-MM-dd HH:mm:ss')})"
+    bodies = t.ais_raw.selectExpr(f"to_json(named_struct('entries', array(map('public-presence', array({row}))))) as body")
+    return archives.activity_fixes(archives.activity_rows(bodies))
+
+
+@query("select 'S' || user_id as shipname, cast(200000000 + user_id as varchar) as ssvid from (select distinct user_id from events)")
+def vessel_found(t: Tables) -> DataFrame:
+    info = "named_struct('ssvid', cast(200000000 + user_id as string), 'shipname', concat('S', user_id), 'flag', 'NOR')"
+    bodies = t.source("events").select("user_id").distinct().selectExpr(f"to_json(named_struct('entries', array(named_struct('selfReportedInfo', array({info}, named_struct('ssvid', 'no', 'shipname', 'no', 'flag', 'no')))))) as body")
+    return archives.vessel_matches(bodies).select("shipname", "ssvid")
+
+
+_CATALOGUE = "select o_orderkey as k, date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 86400e0 as ts, o_orderkey % 90 as west from orders"
+
+
+@query("select 'S' || k as id, ts from c where ts between 820454400 and 831454400 and k % 3 <> 0 and west <= 30 and west + 2 >= 20 order by ts desc, id", more={"c": _CATALOGUE})
+def scene_search(t: Tables) -> DataFrame:
+    return archives.scenes(_catalogue(t), (20.0, 0.0, 30.0, 10.0), 820454400.0, 831454400.0).select("id", "ts")
+
+
+@query("select 'S' || k as id, ts from c where k % 3 <> 0 and k % 5 = 2 and west <= 30 and west + 2 >= 20 order by ts desc, id limit 1", more={"c": _CATALOGUE})
+def scene_newest(t: Tables) -> DataFrame:
+    return archives.newest_scene(archives.scenes(_catalogue(t), (20.0, 0.0, 30.0, 10.0), 0.0, 1e12)).select("id", "ts")
+
+
+def _catalogue(t: Tables) -> DataFrame:
+    day = "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00Z')"
+    kind = f"named_struct('datetime', {day}, 'sar:instrument_mode', case when o_orderkey % 3 = 0 then 'EW' else 'IW' end, 'sar:polarizations', case when o_orderkey % 5 = 2 then array('VH', 'VV') else array('VH') end)"
+    return t.source("orders").selectExpr("concat('S', o_orderkey) as id", f"{kind} as properties", "array(cast(o_orderkey % 90 as double), 0d, cast(o_orderkey % 90 + 2 as double), 5d) as bbox")
+
+
+@query("select 1704067200e0 + 3600e0 * i as ts, cast(i as double) / 2 as wind_speed, cast(i * 3.6e0 as double) / 3.6e0 as cur_speed, case when i < 24 then 15e0 end as sst_c from range(48) t(i)")
+def hourly_series(t: Tables) -> DataFrame:
+    hour = _utc("1704067200 + 3600 * id", "yyyy-MM-dd'T'HH:mm")
+    lists = t.spark.range(48).selectExpr("1 as one", "id", f"{hour} as time").groupBy("one").agg(F.sort_array(F.collect_list(F.struct("id", "time"))).alias("x"))
+    wind = "named_struct('time', transform(x, y -> y.time), 'wind_speed_10m', transform(x, y -> y.id / 2d))"
+    sea = "named_struct('time', transform(slice(x, 1, 24), y -> y.time), 'ocean_current_velocity', transform(slice(x, 1, 24), y -> y.id * 3.6d), 'sea_surface_temperature', transform(slice(x, 1, 24), y -> 15d))"
+    rest = "named_struct('time', transform(slice(x, 25, 24), y -> y.time), 'ocean_current_velocity', transform(slice(x, 25, 24), y -> y.id * 3.6d))"
+    bodies = lists.selectExpr(f"to_json(named_struct('hourly', {wind})) as body").unionByName(lists.selectExpr(f"to_json(named_struct('hourly', {sea})) as body")).unionByName(lists.selectExpr(f"to_json(named_struct('hourly', {rest})) as body"))
+    return archives.environment(bodies).select("ts", "wind_speed", "cur_speed", "sst_c")
+
+
 # -- functions -------------------------------------------------------------------
 
 _PAIR = "select mmsi, ts, lat, lon, lag(lat) over w as lat0, lag(lon) over w as lon0 from ais_positions window w as (partition by mmsi order by ts)"
@@ -434,9 +530,9 @@ def track_interp(t: Tables) -> DataFrame:
     return tracks.interpolate(t.positions, _grid()).select("mmsi", "step", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query(f"select p.ts, case when gap <= 2700 then step end as step from (select distinct floor(ts) as ts from ais_positions where mmsi < 200000040) p, lateral (select step, abs(tt - p.ts) as gap from grid order by gap, step limit 1)", "ais_positions", more={"grid": f"select cast(s as int) as step, {DETECTED} - s * 1800e0 as tt from range(25) t(s)"})
+@query(f"select p.ts, case when gap <= 2700 then step end as step from (select distinct floor(ts) as ts from ais_positions) p, lateral (select step, abs(tt - p.ts) as gap from grid order by gap, step limit 1)", "ais_positions", more={"grid": f"select cast(s as int) as step, {DETECTED} - s * 1800e0 as tt from range(25) t(s)"})
 def snapshot_at(t: Tables) -> DataFrame:
-    times = t.positions.where("mmsi < 200000040").select(F.floor("ts").cast("double").alias("ts")).distinct()
+    times = t.positions.select(F.floor("ts").cast("double").alias("ts")).distinct()
     return tracks.snap(times, tracks.grid(DETECTED, 24, 1800.0), 1800.0)
 
 
@@ -512,6 +608,10 @@ def drift_seeded(t: Tables) -> DataFrame:
     "select incident_id, arg_max(hours, computed_at) as hours, max(computed_at) as computed_at from (select 'OTA-2024-' || lpad(cast(user_id as varchar), 5, '0') as incident_id, cast(event_id as double) as computed_at, cast(event_id % 48 as int) as hours from events) group by 1"
 )
 def drift_runs_latest(t: Tables) -> DataFrame:
+    return _latest_runs(t)
+
+
+def _latest_runs(t: Tables) -> DataFrame:
     runs = t.source("events").selectExpr("concat('OTA-2024-', lpad(cast(user_id as string), 5, '0')) as incident_id", "cast(event_id as double) as computed_at", "cast(event_id % 48 as int) as hours")
     return ingest.keep_latest(runs, "incident_id", "computed_at")
 
@@ -670,6 +770,27 @@ def bandpass_mad(t: Tables) -> DataFrame:
     return rows.select("r", "c", *[F.round(c, 5).alias(c) for c in ("contrast", "med", "sigma")], "strong", "weak")
 
 
+@query(
+    "select scene, r, c, round((v - low) / greatest(high - low, 1e-6) * 255e0, 6) as v from scenes join (select scene, min(v) as low, max(v) as high from scenes group by 1) using (scene)",
+    "raster", more={"scenes": "select 'a' as scene, r, c, v from raster union all select 'b', r, c, v * 3 + 100 from raster where r < 50"},
+)
+def rescale_scenes(t: Tables) -> DataFrame:
+    return raster.rescale(_two(t), ("scene",)).withColumn("v", F.round("v", 6))
+
+
+def _two(t: Tables) -> DataFrame:
+    one = t.raster.select(F.lit("a").alias("scene"), "r", "c", "v")
+    return one.unionByName(t.raster.where("r < 50").select(F.lit("b").alias("scene"), "r", "c", (F.col("v") * 3 + 100).alias("v")))
+
+
+@query(
+    "select scene, avg(case when v > 120e0 then 1e0 else 0e0 end) as land_fraction from scenes group by 1",
+    "raster", more={"scenes": "select 'a' as scene, r, c, v from raster union all select 'b', r, c, v * 3 + 100 from raster where r < 50"},
+)
+def land_fraction(t: Tables) -> DataFrame:
+    return raster.land_fraction(_two(t).withColumn("land", (F.col("v") > 120).cast("int")), ("scene",))
+
+
 def _morph_sql(source: str, k: int, f: str) -> str:
     m = k // 2
     once = f"select r, c, {f}(weak) over (partition by r order by c rows between {m} preceding and {m} following) as weak from {source}"
@@ -726,11 +847,12 @@ def detect_scene(t: Tables) -> DataFrame:
 
 @query(
     """select 'alerts' as "table", count(*) as orphans from alerts where incident_id is not null and incident_id not in (select incident_id from incidents)
-union all select 'candidates', count(*) from candidates where incident_id not in (select incident_id from incidents) union all select 'timeline', count(*) from timeline where incident_id not in (select incident_id from incidents)""",
+union all select 'candidates', count(*) from candidates where incident_id not in (select incident_id from incidents) union all select 'timeline', count(*) from timeline where incident_id not in (select incident_id from incidents)
+union all select 'drift_runs', count(*) from (select distinct 'OTA-2024-' || lpad(cast(user_id as varchar), 5, '0') as incident_id from events) where incident_id not in (select incident_id from incidents)""",
     "alerts", "candidates", "timeline", "incidents",
 )
 def orphans(t: Tables) -> DataFrame:
-    return audit.orphans(t.incidents, alerts=t.alerts, candidates=t.candidates, timeline=t.timeline)
+    return audit.orphans(t.incidents, alerts=t.alerts, candidates=t.candidates, timeline=t.timeline, drift_runs=_latest_runs(t))
 
 
 _WORLD = "not (lat between -90 and 90 and lon between -180 and 180)"
@@ -739,13 +861,15 @@ _WORLD = "not (lat between -90 and 90 and lon between -180 and 180)"
 @query(
     " union all ".join(f"select '{k}' as \"check\", count(*) as bad from {s} where {c}" for k, s, c in (
         ("position_coordinates", "ais_positions", _WORLD), ("position_future", "ais_positions", f"ts > {NOW} + 3600"), ("position_source", "ais_positions", "source is null"),
+        ("position_missing", "ais_positions", "mmsi is null or ts is null or lat is null or lon is null"), ("incident_volumes", "incidents", "area_km2 > area_km2 * 50"),
+        ("vessel_missing", "vessels", "mmsi is null or coalesce(name, '') = ''"), ("vessel_length", "vessels", "not (length_m between 0 and 500)"),
         ("incident_coordinates", "incidents", _WORLD), ("incident_future", "incidents", f"detected_at > {NOW} + 3600"), ("incident_confidence", "incidents", "not (confidence between 0 and 1)"),
         ("incident_missing", "incidents", "region is null or scene_id is null or created_at is null"), ("candidate_score", "candidates", "not (score between 0 and 1)"),
     )),
-    "ais_positions", "incidents", "candidates",
+    "ais_positions", "incidents", "candidates", "vessels",
 )
 def range_checks(t: Tables) -> DataFrame:
-    return audit.ranges(t.positions, t.incidents, t.candidates, NOW)
+    return audit.ranges(t.positions, ingest.volumes(t.incidents), t.candidates, NOW, t.vessels)
 
 
 @query("select incident_id, rank % 3 as rank, count(*) as n from candidates group by 1, 2 having count(*) > 1", "candidates")
@@ -761,9 +885,9 @@ def outside_region(t: Tables) -> DataFrame:
     return audit.outside_region(t.incidents).select("incident_id")
 
 
-@query(f"select incident_id from incidents where {_haversine_sql('lat', 'lon', 'lat + 0.03e0 * (cast(substr(incident_id, 10) as int) % 4)', 'lon + 0.02e0')} > 10", "incidents")
+@query(f"select incident_id from incidents where {_haversine_sql('lat', 'lon', 'lat + 0.03e0 * (cast(substr(incident_id, 10) as bigint) % 4)', 'lon + 0.02e0')} > 10", "incidents")
 def broken_polygons(t: Tables) -> DataFrame:
-    lat = "(lat + 0.03d * (cast(substr(incident_id, 10) as int) % 4))"
+    lat = "(lat + 0.03d * (cast(substr(incident_id, 10) as bigint) % 4))"
     ring = F.expr(f"array(array(lon, {lat} - 0.01d), array(lon + 0.04d, {lat} - 0.01d), array(lon + 0.04d, {lat} + 0.01d), array(lon, {lat} + 0.01d))")
     return audit.broken_polygons(t.incidents.withColumn("polygon", ring))
 
@@ -777,11 +901,28 @@ def score_recompute(t: Tables) -> DataFrame:
     return audit.wrong_scores(parts, WEIGHTS).select("incident_id", "mmsi", F.round("recomputed", 6).alias("recomputed"))
 
 
-@query("select (select count(*) from incidents) as incidents, (select count(*) from incidents) as by_region, (select count(*) from incidents) as by_status, (select count(*) from incidents) as by_band", "incidents")
+@query(
+    "select (select count(*) from incidents) as incidents, (select sum(n) from reg) as by_region, (select sum(n) from sta) as by_status, (select sum(n) from ban) as by_band",
+    "incidents", more={
+        "reg": f"select coalesce(region, 'unknown') as k, cast(count(*) as bigint) as n from incidents where {_SINCE} group by 1", "sta": f"select status as k, cast(count(*) as bigint) as n from incidents where {_SINCE} group by 1",
+        "ban": f"select case when confidence >= 0.7 then 'h' when confidence >= 0.45 then 'm' else 'l' end as k, cast(count(*) as bigint) as n from incidents where {_SINCE} group by 1",
+    },
+)
 def report_reconciliation(t: Tables) -> DataFrame:
     return audit.report_totals(t.incidents, reports.by_region(t.incidents, NOW, 3650), reports.by_status(t.incidents, NOW, 3650), reports.confidence_bands(t.incidents, NOW, 3650))
 
 
+@query(
+    f"""select region, incidents, by_region, by_scope from (select coalesce(region, 'unknown') as region, count(*) as incidents from incidents group by 1)
+full join (select coalesce(region, 'unknown') as region, count(*) as by_region from incidents where {_SINCE} group by 1) using (region) full join (
+{' union all '.join(f"select '{r.key}' as region, count(*) as by_scope from incidents where {_SINCE} and region = '{r.key}'" for r in REGIONS)}) using (region)""",
+    "incidents",
+)
+def region_reconciliation(t: Tables) -> DataFrame:
+    scoped = {r.key: reports.by_status(t.incidents, NOW, 3650, r.key) for r in REGIONS}
+    return audit.region_totals(t.incidents, reports.by_region(t.incidents, NOW, 3650), scoped)
+
+
 @query("select measure, value, count(*) as n from (select 'area_km2' as measure, area_km2 as value from incidents union all select 'confidence', confidence from incidents union all select 'lat', lat from incidents) group by 1, 2 having count(*) > 2", "incidents")
 def constant_hunt(t: Tables) -> DataFrame:
     return audit.repeated_values(t.incidents, "area_km2", "confidence", "lat")

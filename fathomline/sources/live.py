@@ -25,8 +25,16 @@ TYPES = ("PositionReport", "ShipStaticData")
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Text lines of a landing folder as a stream, in the order of their files."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", 100).load(folder)
+    """Lines of a landing folder as a stream: value, seq and ingest_ts.
+
+    ``seq`` orders lines by the time of their file and their place in it;
+    ``ingest_ts`` (epoch seconds) is the time of the file.  Files are small, as
+    they land every few seconds, and each is read whole.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 100).load(folder)
+    landed = F.unix_millis("_metadata.file_modification_time")
+    lines = files.select(F.posexplode(F.split("value", "\r?\n")).alias("place", "value"), landed.alias("landed")).where("value <> ''")
+    return lines.select("value", (F.shiftleft("landed", 21) + F.col("place")).alias("seq"), (F.col("landed") / 1000.0).alias("ingest_ts"))
 
 
 def message_time(text: Column, otherwise: Column) -> Column:

@@ -25,6 +25,34 @@ def write_positions(df: DataFrame, path: str) -> None:
     df.withColumn("day", day).repartition("day", "source").sortWithinPartitions("mmsi", "ts").write.mode("append").partitionBy("day", "source").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored_positions(spark: SparkSession, path: str, days: list[object] | None = None) -> DataFrame | None:
+    """The fixes stored below ``path``, of some days only if given; None if there are none yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    return rows if days is None else rows.where(F.col("day").isin(days))
+
+
+def drop_old_days(spark: SparkSession, path: str, now: float, days: float) -> list[str]:
+    """Delete the folders of live fixes of whole days before the retention's last one; those dropped."""
+    stored = stored_positions(spark, path)
+    if stored is None:
+        return []
+    last = F.to_date(F.timestamp_seconds(F.lit(now - days * 86400.0)))
+    old = stored.where((F.col("source") == "live") & (F.col("day") < last)).select("day").distinct().collect()  # a row a day
+    jvm = spark.sparkContext._jvm
+    gone = sorted(f"{path.rstrip('/')}/day={r.day}/source=live" for r in old)
+    for folder in gone:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return gone
+
+
 class Versions:
     """A table kept as numbered folders: a merge writes the next one, then points to it.
 
@@ -35,15 +63,10 @@ class Versions:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
     def number(self) -> int:
         """The version last completed, 0 if none."""
         n = 0
-        while self._exists(f"{self.path}/v={n + 1}/_SUCCESS"):
+        while exists(self.spark, f"{self.path}/v={n + 1}/_SUCCESS"):
             n += 1
         return n
 

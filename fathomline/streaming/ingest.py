@@ -11,9 +11,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathomline.constants import FLUSH_S, THROTTLE_S, Region
+from fathomline.functions.geo import in_box
 from fathomline.operators.ingest import first_wins, merge_vessels
 from fathomline.sources import live
-from fathomline.sources.sinks import Versions, write_positions
+from fathomline.sources.sinks import Versions, stored_positions, write_positions
 
 
 def throttle(fixes: DataFrame, interval: float = THROTTLE_S, seq: str = "seq") -> DataFrame:
@@ -39,10 +40,18 @@ def throttle(fixes: DataFrame, interval: float = THROTTLE_S, seq: str = "seq") -
 
 
 def sink(path: str):
-    """A ``foreachBatch`` function: append new fixes of a batch, keeping what was first."""
+    """A ``foreachBatch`` function: append the fixes of a batch whose (mmsi, ts) is not stored yet.
+
+    Only the days that the batch touches are read again.  A batch that is
+    replayed, or whose first attempt was cut off, adds what is missing and
+    nothing twice.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        write_positions(first_wins(batch).drop("seq"), path)
+        batch = batch.where("mmsi is not null and ts is not null").persist()  # used twice; its state is to be stepped once
+        days = [r.day for r in batch.select(F.to_date(F.timestamp_seconds("ts")).alias("day")).distinct().collect()]  # a row a day
+        write_positions(first_wins(batch, stored_positions(batch.sparkSession, path, days)).drop("seq"), path)
+        batch.unpersist()
 
     return write
 
@@ -66,9 +75,26 @@ def vessel_sink(path: str):
 
 
 def run(lines: DataFrame, positions_path: str, checkpoint: str, area: Region | None = None, once: bool = False) -> StreamingQuery:
-    """Parse, clean, throttle and store a stream of live messages (columns value, seq, ingest_ts)."""
-    fixes = live.positions(live.parse(lines, F.col("ingest_ts")), area).drop("ingest_ts")
-    # counters of what arrives and what is kept, readable from the query's progress
-    fixes = fixes.observe("received", F.count(F.lit(1)).alias("fixes"))
-    writer = throttle(fixes).writeStream.foreachBatch(sink(positions_path)).option("checkpointLocation", checkpoint).outputMode("append")
+    """Parse, clean, throttle and store a stream of live messages (columns value, seq, ingest_ts).
+
+    The query's progress tells how many messages came by kind, how many fixes
+    lay out of the area, and how many were kept; the rest was throttled.
+    """
+    kind = F.col("m.MessageType")
+    messages = live.parse(lines, F.col("ingest_ts")).observe("messages", F.count_if(kind == live.TYPES[0]).alias("positions"), F.count_if(kind == live.TYPES[1]).alias("static"))
+    fixes = live.positions(messages).drop("ingest_ts")
+    inside = F.lit(True) if area is None else in_box(F.col("lat"), F.col("lon"), area)
+    fixes = fixes.observe("fixes", F.count(F.lit(1)).alias("received"), F.count_if(~inside).alias("out_of_area")).where(inside)
+    kept = throttle(fixes).observe("kept", F.count(F.lit(1)).alias("fixes"))
+    return _started(kept, sink(positions_path), checkpoint, once)
+
+
+def run_vessels(lines: DataFrame, vessels_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the merged vessel table of a stream of live messages."""
+    found = live.vessels(live.parse(lines, F.col("ingest_ts"))).drop("ingest_ts")
+    return _started(found, vessel_sink(vessels_path), checkpoint, once)
+
+
+def _started(rows: DataFrame, write, checkpoint: str, once: bool) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_S} seconds")).start()

@@ -8,7 +8,7 @@ from fathomline.constants import region
 from fathomline.operators import ingest
 from fathomline.plans.fixtures import Tables
 from fathomline.sources import live
-from fathomline.sources.sinks import Versions
+from fathomline.sources.sinks import Versions, drop_old_days
 from fathomline.streaming import ingest as streaming
 
 
@@ -49,3 +49,35 @@ def test_live_messages(spark, tmp_path):
     write(vessels.where("mmsi = 2").withColumn("name", F.lit("B")), 1)
     rows = {r.mmsi: r for r in Versions(spark, str(tmp_path / "vessels")).read().collect()}
     assert rows[1].name == "A" and rows[1].ship_type == 80 and rows[1].length_m == 150 and rows[1].width_m is None and rows[2].name == "B"
+
+
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    fixes = lambda *rows: spark.createDataFrame([(m, s, float(t), "live") for m, s, t in rows], "mmsi long, seq long, ts double, source string")
+    write = streaming.sink(path)
+    first = fixes((1, 0, 10), (1, 1, 10), (2, 2, 10), (1, 3, 90_000))
+    write(first, 0)
+    write(first, 0)
+    write(fixes((1, 9, 10), (3, 10, 11), (None, 11, 5)), 1)
+    assert sorted((r.mmsi, r.ts) for r in spark.read.parquet(path).collect()) == [(1, 10.0), (1, 90_000.0), (2, 10.0), (3, 11.0)]
+    write(fixes(), 2)
+    gone = drop_old_days(spark, path, 3 * 86400.0, 2.0)
+    assert len(gone) == 1 and "day=1970-01-01" in gone[0]
+    assert [(r.mmsi, r.ts) for r in spark.read.parquet(path).collect()] == [(1, 90_000.0)]
+    assert drop_old_days(spark, str(tmp_path / "none"), 0.0, 1.0) == []
+
+
+def test_landing_folder_to_tables(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join([message(1, 0, 54.0), message(1, 10, 54.0), message(2, 0, 10.0), message(3, 0, 0.0, kind="ShipStaticData", Name="C", Type=70)]))
+    lines = live.stream(spark, str(tmp_path / "in"))
+    assert lines.columns == ["value", "seq", "ingest_ts"]
+    q = streaming.run(lines, str(tmp_path / "fixes"), str(tmp_path / "cp1"), region("north-sea"), once=True)
+    assert q.awaitTermination(120)
+    assert [r.mmsi for r in spark.read.parquet(str(tmp_path / "fixes")).collect()] == [1]
+    told = {k: v.asDict() for p in q.recentProgress for k, v in p["observedMetrics"].items()} if q.recentProgress else {}
+    assert told["messages"] == {"positions": 3, "static": 1} and told["fixes"] == {"received": 3, "out_of_area": 1} and told["kept"] == {"fixes": 1}
+    v = streaming.run_vessels(lines, str(tmp_path / "vessels"), str(tmp_path / "cp2"), once=True)
+    assert v.awaitTermination(120)
+    rows = {r.mmsi: r.name for r in Versions(spark, str(tmp_path / "vessels")).read().collect()}
+    assert rows == {1: None, 2: None, 3: "C"}
