@@ -7,11 +7,11 @@ the distribution of words within the tail classes of the model.
 
 The model is a GRU over words with a class-factored softmax,
 P(w | h) = P(class | h) P(w | class, h).  The ``SHORT`` most frequent words are
-split into classes of about equal mass, with a softmax of their own in each;
-all other words belong to the class of their shape (length, last byte, ASCII
-or not), within which P(w | class) = (c + 1) / (mass + types + 1), the rest
-being an unseen word.  So probabilities sum to one over all known words and an
-unseen one of each shape.
+split into classes of about equal mass, with a softmax of their own in each.
+All other words are one more class, whose softmax gives their shape (length,
+last byte, ASCII or not); within a shape, P(w) = (c + 1) / (mass + types + 1),
+the rest being an unseen word.  So probabilities sum to one over all known
+words and an unseen one of each shape.
 
 Its weights are learned by truncated backpropagation in numpy from all words
 of every training document, each once.  Groups of documents are learned on
@@ -49,7 +49,7 @@ MODULUS, HELD = 7, 2
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
 HIDDEN = 24
-ROUNDS, LANES, BACK, RATE = 2, 256, 16, 1e-2
+ROUNDS, LANES, BACK, RATE = 2, 384, 16, 1e-2
 #: Words that one group learns from in a round, and of one row of them, about.
 GROUP_WORDS, PIECE_WORDS = 1_000_000, 250_000
 SCORE_LANES, WINDOW = 256, 32
@@ -207,27 +207,28 @@ class Lexicon:
         self.tokens, self.types = (int(x) for x in sums.sum(0))
         mass = np.sqrt([c + 1.0 for _, c in chosen])
         self.of_short = np.minimum(SHORT_CLASSES - 1, (np.cumsum(mass) - mass) * SHORT_CLASSES // mass.sum()).astype(np.int64)
-        self.members = [np.flatnonzero(self.of_short == k) for k in range(SHORT_CLASSES)]
+        self.members = [*[np.flatnonzero(self.of_short == k) for k in range(SHORT_CLASSES)], len(chosen) + np.arange(SHAPES)]
         rest = sums.copy()
         for w, c in chosen:
             rest[shape(w)] -= (c, 1 if c else 0)
         self.tail = np.maximum(rest, 0)
         counts = np.array([c for _, c in chosen], np.float64)
         by_class = np.bincount(self.of_short, weights=counts + 1, minlength=SHORT_CLASSES)
-        self.start_short = np.log((counts + 1) / by_class[self.of_short])
-        self.start_class = np.log(np.maximum(np.r_[by_class, self.tail.sum(1) + 1.0], 1e-9) / (by_class.sum() + self.tail.sum() + SHAPES))
+        shapes = self.tail.sum(1) + 1.0
+        self.start_member = np.log(np.r_[(counts + 1) / by_class[self.of_short], shapes / shapes.sum()])
+        self.start_class = np.log(np.maximum(np.r_[by_class, shapes.sum()], 1e-9) / (by_class.sum() + shapes.sum()))
         self.bos = len(chosen) + SHAPES  # as an input
 
     def kinds(self, numbers: np.ndarray) -> np.ndarray:
         """Classes of words by their input numbers."""
-        return np.r_[self.of_short, SHORT_CLASSES + np.arange(SHAPES)][numbers]
+        return np.r_[self.of_short, np.full(SHAPES, SHORT_CLASSES)][numbers]
 
     def look_up(self, names: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input number, class, and log P(w | class) of tail words (0 for others)."""
+        """Number (of the word or its shape), class, and log P(w | shape) of tail words (0 for others)."""
         n = len(self.short)
         known = np.fromiter((self.short.get(w, -1) for w in names), np.int64, len(names))
         shapes = np.fromiter((shape(w) if k < 0 else 0 for w, k in zip(names, known.tolist(), strict=True)), np.int64, len(names))
-        kind = np.where(known >= 0, self.of_short[np.maximum(known, 0)], SHORT_CLASSES + shapes)
+        kind = np.where(known >= 0, self.of_short[np.maximum(known, 0)], SHORT_CLASSES)
         inside = np.zeros(len(names))
         if counts is not None:
             inside = np.where(known >= 0, 0.0, np.log(counts + 1.0) - np.log(self.tail.sum(1) + 1.0)[shapes])
@@ -243,16 +244,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _settle(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits ``h @ weights + bias`` in place, shifted if an exponential might overflow or a whole row vanish.
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of logits ``weights @ h + bias`` can overflow nor a whole row vanish.
 
-    States lie between -1 and 1, so the weights alone tell whether that can be.
+    States lie between -1 and 1, so the weights alone tell.
     """
-    x += bias
-    reach = np.abs(weights).sum(0)
-    if (reach + bias).max(initial=0) > 60 or (bias - reach).max(initial=-100) < -60:
-        x -= x.max(1, keepdims=True)
-    return x
+    reach = np.abs(weights).sum(1)
+    return bool((reach + bias).max(initial=0) <= 60 and (bias - reach).min(initial=0) >= -60)
 
 
 class Gru:
@@ -263,7 +261,7 @@ class Gru:
         self.lexicon = lexicon
         self.w = {
             "X": rng.normal(0, 0.1, (n + SHAPES + 1, 3 * HIDDEN)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), "x": np.zeros(3 * HIDDEN),
-            "C": np.zeros((HIDDEN, SHORT_CLASSES + SHAPES)), "c": lexicon.start_class, "S": np.zeros((n, HIDDEN)), "s": lexicon.start_short,
+            "C": np.zeros((HIDDEN, SHORT_CLASSES + 1)), "c": lexicon.start_class, "S": np.zeros((n + SHAPES, HIDDEN)), "s": lexicon.start_member,
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -300,67 +298,85 @@ class Gru:
         return out, trail
 
     def outputs(self, h: np.ndarray, word: np.ndarray, kind: np.ndarray, grads: bool = False) -> tuple[np.ndarray, tuple | None]:
-        """log P(class) + log P(short word | class) of each target, and gradients."""
+        """log P(class) + log P(member | class) of each target, and gradients."""
         w = self.w
-        at = np.arange(len(h))
-        p = _settle(h @ w["C"], w["C"], w["c"])
-        out = p[at, kind]
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        hs, words, kinds = h[order], word[order], kind[order]
+        at = np.arange(len(hs))
+        p = hs @ w["C"]
+        p += w["c"]
+        if not _tame(w["C"].T, w["c"]):
+            p -= p.max(1, keepdims=True)
+        logs = p[at, kinds]
         np.exp(p, out=p)
+        ones, tame = np.ones(max(map(len, self.lexicon.members)), p.dtype), _tame(w["S"], w["s"])
         total = p @ np.ones(p.shape[1], p.dtype)
-        out -= np.log(total)
+        logs -= np.log(total)
         if grads:
-            p[at, kind] -= total
+            p[at, kinds] -= total
             part = 1 / total[:, None]
-            dh = p @ w["C"].T
-            dh *= part
-            dC, dc = (h * part).T @ p, part[:, 0] @ p
+            dhs = p @ w["C"].T
+            dhs *= part
+            dC, dc = (hs * part).T @ p, part[:, 0] @ p
             dS, ds = np.zeros_like(w["S"]), np.zeros_like(w["s"])
-        short = np.flatnonzero(kind < SHORT_CLASSES)
-        short = short[np.argsort(kind[short], kind="stable")]
-        cuts = np.searchsorted(kind[short], np.arange(SHORT_CLASSES + 1)).tolist()
-        hs, words, more = h[short], word[short], np.zeros(len(short), h.dtype)
-        dhs = np.zeros_like(hs) if grads else None
+        cuts = np.searchsorted(kinds, np.arange(SHORT_CLASSES + 2)).tolist()
         for k, own in enumerate(self.lexicon.members):
             i = slice(cuts[k], cuts[k + 1])
             if cuts[k] < cuts[k + 1] and len(own) > 1:
-                first = int(own[0])  # members of a class are neighbours in the list
-                table = w["S"][first : first + len(own)]
-                q = _settle(hs[i] @ table.T, table.T, w["s"][first : first + len(own)])
-                rows_, target = np.arange(len(q)), words[i] - first
-                picked = q[rows_, target]
+                first, last = int(own[0]), int(own[-1]) + 1  # members of a class are neighbours in the list
+                table = w["S"][first:last]
+                q = hs[i] @ table.T
+                q += w["s"][first:last]
+                if not tame:
+                    q -= q.max(1, keepdims=True)
+                target = words[i] - first
+                near = at[: len(q)]
+                picked = q[near, target]
                 np.exp(q, out=q)
-                sums = q @ np.ones(q.shape[1], q.dtype)
-                more[i] = picked - np.log(sums)
+                sums = q @ ones[: last - first]
+                logs[i] += picked - np.log(sums)
                 if grads:
-                    q[rows_, target] -= sums
+                    q[near, target] -= sums
                     part = 1 / sums[:, None]
-                    dhs[i] = (q @ table) * part
-                    dS[first : first + len(own)] = q.T @ (hs[i] * part)
-                    ds[first : first + len(own)] = part[:, 0] @ q
-        out[short] += more
-        if grads:
-            dh[short] += dhs
-        return out, ((dh, dC, dc, dS, ds) if grads else None)
+                    dhs[i] += (q @ table) * part
+                    dS[first:last] = q.T @ (hs[i] * part)
+                    ds[first:last] = part[:, 0] @ q
+        out = np.empty_like(logs)
+        out[order] = logs
+        if not grads:
+            return out, None
+        dh = np.empty_like(dhs)
+        dh[order] = dhs
+        return out, (dh, dC, dc, dS, ds)
 
     def _back(self, inputs: np.ndarray, dstates: np.ndarray, trail: list) -> dict[str, np.ndarray]:
         """Backpropagation through the steps of one window."""
         w, d = self.w, HIDDEN
         gates, candidate = np.ascontiguousarray(w["U"][:, : 2 * d].T), np.ascontiguousarray(w["U"][:, 2 * d :].T)
-        dx, du, dh = np.empty((*inputs.shape, 3 * d), np.float32), np.zeros_like(w["U"]), np.zeros_like(dstates[0])
+        dx, dh = np.empty((*inputs.shape, 3 * d), dstates.dtype), np.zeros_like(dstates[0])
         for t in range(len(inputs) - 1, -1, -1):
-            h, r, z, rh, c = trail[t]
-            dh = dh + dstates[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ candidate
+            h, r, z, _, c = trail[t]
+            dh += dstates[t]
             own = dx[t]
+            dhz = dh * z
+            dc = 1 - c * c
+            dc *= dhz
             own[:, 2 * d :] = dc
-            own[:, :d] = drh * h * r * (1 - r)
-            own[:, d : 2 * d] = dh * (c - h) * z * (1 - z)
-            du[:, 2 * d :] += rh.T @ dc
-            du[:, : 2 * d] += h.T @ own[:, : 2 * d]
-            dh = dh * (1 - z) + drh * r + own[:, : 2 * d] @ gates
+            drh = dc @ candidate
+            slope = h * r
+            slope *= 1 - r
+            np.multiply(drh, slope, out=own[:, :d])
+            slope = c - h
+            slope *= dhz
+            np.multiply(slope, 1 - z, out=own[:, d : 2 * d])
+            drh *= r
+            dh -= dhz
+            dh += drh
+            dh += own[:, : 2 * d] @ gates
         flat, ids = dx.reshape(-1, 3 * d), inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        before, mixed = (np.concatenate([x[k] for x in trail]) for k in (0, 3))
+        du = np.concatenate([before.T @ flat[:, : 2 * d], mixed.T @ flat[:, 2 * d :]], axis=1)
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
         table = np.zeros_like(w["X"])
         table[ids[order][starts]] = np.add.reduceat(flat[order], starts, axis=0)

@@ -495,7 +495,7 @@ def test_language_model_is_a_distribution():
     model.w["C"] += np.random.default_rng(6).normal(size=model.w["C"].shape).astype(np.float32) * 0.3
     total = sum(math.exp(float(model.outputs(h, number[i : i + 1], kind[i : i + 1])[0][0]) + inside[i]) for i in range(len(names)))
     for s in range(lm.SHAPES):  # an unseen word of each shape
-        log = float(model.outputs(h, np.array([len(lexicon.short) + s]), np.array([lm.SHORT_CLASSES + s]))[0][0])
+        log = float(model.outputs(h, np.array([len(lexicon.short) + s]), np.array([lm.SHORT_CLASSES]))[0][0])
         total += math.exp(log - math.log(lexicon.tail[s, 0] + lexicon.tail[s, 1] + 1))
     empty = [k for k in range(lm.SHORT_CLASSES) if not len(lexicon.members[k])]
     raw = np.exp(h @ model.w["C"] + model.w["c"])[0]
@@ -531,11 +531,9 @@ def brute_score_of_words(model, ids):
         at = w["X"][before] + w["x"]
         r, z = sigmoid(at[:d] + h @ w["U"][:, :d]), sigmoid(at[d : 2 * d] + h @ w["U"][:, d : 2 * d])
         h = h + z * (np.tanh(at[2 * d :] + (r * h) @ w["U"][:, 2 * d :]) - h)
-        kind = lexicon.of_short[x] if x < len(lexicon.short) else lm.SHORT_CLASSES + x - len(lexicon.short)
-        out += soft(h @ w["C"] + w["c"])[kind]
-        if x < len(lexicon.short):
-            own = lexicon.members[kind]
-            out += soft(w["S"][own] @ h + w["s"][own])[list(own).index(x)]
+        kind = lexicon.of_short[x] if x < len(lexicon.short) else lm.SHORT_CLASSES
+        own = lexicon.members[kind]
+        out += soft(h @ w["C"] + w["c"])[kind] + soft(w["S"][own] @ h + w["s"][own])[list(own).index(x)]
         before = x
     return out
 
