@@ -1,15 +1,17 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are integers, so scores are exact.  For pivots p_1..p_m the table of
+Vectors are integers, so scores are exact (products are summed as doubles, which
+is exact below 2 ** 53; larger squares are refused).  For pivots p_1..p_m the table of
 distances |x - p_j| is computed once per candidate.  For a query q the triangle
 inequality gives |q - x| >= max_j | |q - p_j| - |x - p_j| |, the maximum lower
 bound of the row; with 2 <q, x> = |q|^2 + |x|^2 - |q - x|^2 it is an upper
 bound on the score.  Candidates are evaluated in order of that bound and the
 evaluation stops exactly when the next bound is below the k-th score so far.
 
-Queries are dealt in blocks of a fixed size; a block is broadcast and each
-partition of the written pivot table returns k rows a query, which one
-window merges.  Within a partition the k best so far go on from chunk to chunk,
+Queries are dealt in blocks of a fixed size.  A block is broadcast, each
+partition of the written pivot table returns k rows a query, and these are
+written before the next block begins, so neither plan nor memory grows with the
+number of queries; one window merges them.  Within a partition the k best so far go on from chunk to chunk,
 so later chunks are eliminated faster.
 
 Edge cases: vectors that are null, hold a null or non-finite
@@ -20,6 +22,7 @@ fewer than k candidates give fewer rows; an empty table gives none.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import materialize
+from fathomline.llm.common import materialize, shared_dir
 
 K, EVERY, SCALE = 5, 50, 256.0
 PIVOTS = 32
-#: Queries broadcast at once.
-QUERY_BLOCK = 4096
+#: Queries broadcast at once, about; at most that many bytes of them.
+QUERY_BLOCK, QUERY_BYTES = 16_384, 32 << 20
 #: Candidates eliminated at once, and evaluated between two looks at the bound.
 CHUNK, STEP = 4096, 512
+MATCH = "query_id long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -54,6 +58,8 @@ def _table_batches(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Ite
     dim = pivots.shape[1]
     for batch in batches:
         x = _matrix(batch.column("v"), dim)
+        if (x * x).sum(1).max(initial=0) >= 2**53:
+            raise ValueError("vectors are too long for exact scores")
         far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T), 0))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), len(pivots)).cast(pa.list_(pa.float64()))], [*batch.schema.names, "far"])
 
@@ -123,18 +129,15 @@ def _top_k(rows: DataFrame, dim: int, k: int, every: int, pivots: int) -> DataFr
     points = np.array([r.v for r in first], np.float64)
     schema = "vec_id long, v array<bigint>, far array<double>"
     candidates = materialize(rows.mapInArrow(lambda it: _table_batches(it, points), schema), "pivot-table")
-    queries = candidates.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(blocks, 1))))
-    found = []
+    queries = candidates.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").distinct()
+    blocks = -(-queries.count() // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * (dim + len(points))))))
+    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(blocks, 1)))), "queries")
+    folder = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex[:12]}"
     for b in range(blocks):
-        own = queries.where(F.col("block") == b).select("vec_id", "v").distinct().orderBy("vec_id").collect()
-        if own:
-            block = spark.sparkContext.broadcast(QueryBlock(np.array([r.vec_id for r in own]), np.array([r.v for r in own], np.float64), points, k))
-            found.append(candidates.mapInArrow(lambda it, block=block: _search_batches(it, block), "query_id long, vec_id long, score long"))
-    if not found:
+        own = queries.where(F.col("block") == b).select("vec_id", "v").orderBy("vec_id").collect()
+        block = spark.sparkContext.broadcast(QueryBlock(np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], np.float64).reshape(-1, dim), points, k))
+        candidates.mapInArrow(lambda it, block=block: _search_batches(it, block), MATCH).write.parquet(f"{folder}/block={b}")
+        block.unpersist()
+    if not blocks:
         return None
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
-    return merged.withColumn("dim", F.lit(dim))
+    return spark.read.schema(MATCH).parquet(*[f"{folder}/block={b}" for b in range(blocks)]).withColumn("dim", F.lit(dim))
