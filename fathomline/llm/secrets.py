@@ -37,24 +37,43 @@ WIDE_HINT = "[A-Za-z0-9+/_-]{8}[0-9]|[0-9][A-Za-z0-9+/_-]{8}"
 WIDE_VARIETY = 9
 EXAMPLE_OWNERS = 3
 BROADCAST_ROWS = 50_000
+#: Matches whose places are summed in one run.
+RUN = 256
 MASK = "[REDACTED]"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def _placed(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Spans of all matches: the text between matches gives their places."""
+    """Spans of all matches: the text between matches gives their places.
+
+    Sums run over ``RUN`` matches at a time and then over the runs, so long lists
+    are not copied once a match.
+    """
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zeros = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
         end = start + F.length(m["whole"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span(start, end, m["value"]))).alias("out"))
+
+    def join(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"], s["value"]))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(matches: Column) -> Column:
+        few = F.aggregate(matches, zero, step, lambda acc: acc["out"])
+        starts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(matches, i, F.lit(RUN)), zero, step))
+        return F.when(F.size(matches) <= RUN, few).otherwise(F.flatten(F.aggregate(runs, zeros, join, lambda acc: acc["out"])))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return placed(pairs)
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, hint: str | None = None) -> Column:
