@@ -23,7 +23,6 @@ are ignored (and kept by ``sharded``).
 
 from __future__ import annotations
 
-from os.path import commonprefix
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,9 +62,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _counts(keys: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
     """Prefix, rows, bytes, and the digits that all its keys share."""
-    prefix = F.substring("key", 1, digits).alias("prefix")
-    rows = keys.groupBy(prefix).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-    return [(r.prefix, r.n, r.size, len(commonprefix((r.low, r.high)))) for r in rows]
+    sums = keys.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
+    places = F.sequence(F.lit(1), F.lit(KEY_DIGITS))
+    shared = F.size(F.filter(places, lambda i: F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i)))
+    return [(r.prefix, r.n, r.size, r.shared) for r in sums.select("prefix", "n", "size", shared.alias("shared")).collect()]
 
 
 def histogram(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, leaf_rows: int = LEAF_ROWS) -> tuple[list[Leaf], list[tuple[int, list[str]]]]:
