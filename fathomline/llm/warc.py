@@ -42,7 +42,7 @@ from fathomline.llm.common import materialize, shared_dir, short_batches
 #: Payloads below it are always stored.
 DEDUPE_BYTES = 100
 #: Bytes of compressed records in one archive, about.
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 32 << 20
 #: Rows of repeated digests that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 DATA, INDEX = "data.warc.gz", "index.cdx"
