@@ -7,6 +7,15 @@
 5. byte-level BPE: the texts as token ids.
 
 All stages but the last return the columns of ``documents``.
+
+Edge cases: a null text counts as empty in every stage and stays null; a null
+doc_id is a value like any other, and of near copies the row with an id stays;
+repeated rows are near copies of each other; very long texts are whole; empty
+tables give empty results; further columns of ``documents``, whatever their
+names, stay with their rows; without ``labels`` of both kinds every text scores
+alike, and stays if the share of good labels (half, without any) is the threshold
+or more; without ``benchmark`` items none goes; n_chars follows a text's length
+where there is such a column.
 """
 
 from __future__ import annotations
@@ -31,7 +40,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    masked = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
