@@ -248,12 +248,15 @@ def _packed_batches(batches: Iterator[pa.RecordBatch], path: str, decoded: bool)
 
 
 def encoded_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The other columns of each document, n_tokens, ids and the hash of the decoded bytes."""
+    """The other columns of each document, n_tokens, ids and the hash of the decoded bytes.
+
+    A column of ``docs`` that has the name of one of these results gives way to it.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.select(boxed(docs, "text").alias("row"), "text")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("ids array<int>, decoded_sha256 string")])
     found = rows.mapInArrow(lambda it: _packed_batches(it, path, True), schema)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"]
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
     return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
