@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathomline.constants import REGIONS, RETENTION_DAYS, THROTTLE_S
 from fathomline.functions.geo import haversine_km
 from fathomline.functions.scalars import sane
+from fathomline.operators.reports import next_incident_ids
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -89,6 +90,29 @@ def upsert_incidents(incidents: DataFrame, matched: DataFrame, measured: Sequenc
     return rows.select(*[F.when(F.col("existing").isNotNull(), F.col(f"new_{c}")).otherwise(incidents[c]).alias(c) if c in measured else incidents[c] for c in incidents.columns])
 
 
+def new_incidents(incidents: DataFrame, matched: DataFrame, year: int, default_region: str, now: float, status: str = "Under Investigation") -> DataFrame:
+    """Rows of incidents for the detections that match none: numbered on, stamped with a region, with volumes.
+
+    ``matched`` is a result of ``existing_incident`` with a column detected_at.
+    """
+    fresh = volumes(stamp_region(matched.where("existing is null"), default_region)).withColumnRenamed("stamped", "region")
+    return next_incident_ids(incidents, fresh.drop("existing"), year, "detection_id").withColumns({"status": F.lit(status), "created_at": F.lit(now)})
+
+
+def store_detections(incidents: DataFrame, detections: DataFrame, year: int, default_region: str, now: float) -> DataFrame:
+    """All incidents after a scene: known ones refreshed in place, new ones added."""
+    matched = existing_incident(detections, incidents)
+    return upsert_incidents(incidents, matched).unionByName(new_incidents(incidents, matched, year, default_region, now).drop("detection_id"), allowMissingColumns=True)
+
+
+def detection_stages(incidents: DataFrame) -> DataFrame:
+    """Two stages of an incident's timeline, with words: when it was seen, and when it was stored."""
+    seen = F.format_string("Dark region of %.1f km2 in %s, confidence %d %%", F.col("area_km2"), F.coalesce("scene_id", F.lit("an unknown scene")), F.bround(F.col("confidence") * 100).cast("int"))
+    kept = F.concat(F.lit("Stored as "), F.col("incident_id"), F.lit(", "), F.lower("status"))
+    stages = F.array(F.struct(F.col("detected_at").alias("ts"), F.lit("detected").alias("stage"), seen.alias("text")), F.struct(F.col("created_at").alias("ts"), F.lit("created").alias("stage"), kept.alias("text")))
+    return incidents.select("incident_id", F.explode(stages).alias("s")).select("incident_id", "s.*")
+
+
 def replace_stages(timeline: DataFrame, fresh: DataFrame) -> DataFrame:
     """Delete the incident's stages that come anew, then append them."""
     return timeline.join(fresh.select("incident_id", "stage").distinct(), ["incident_id", "stage"], "left_anti").unionByName(fresh)

@@ -171,6 +171,29 @@ def set_status(incidents: DataFrame, incident_id: str, status: str) -> DataFrame
     return incidents.withColumn("status", F.when(F.col("incident_id") == incident_id, status).otherwise(F.col("status")))
 
 
+def status_alert(incidents: DataFrame, incident_id: str, status: str, now: float) -> DataFrame:
+    """The alert that goes with a change of status; none for an incident that is not there."""
+    if status not in STATUSES:
+        raise ValueError(f"status must be one of {STATUSES}")
+    own = incidents.where(F.col("incident_id") == incident_id)
+    text = F.concat(F.col("incident_id"), F.lit(f" is now {status.lower()}, before: "), F.lower("status"))
+    return own.select(F.lit(now).alias("ts"), "incident_id", F.lit("status").alias("kind"), text.alias("text"))
+
+
+def incident_detail(incidents: DataFrame, candidates: DataFrame, vessels: DataFrame, timeline: DataFrame, runs: DataFrame, reasons: DataFrame, incident_id: str) -> DataFrame:
+    """One row: the incident with its ranked candidates, its timeline, its drift run and, without candidates, the reason.
+
+    Each list is of one incident: candidates are capped where they are ranked, and stages are few.
+    """
+    own = lambda df: df.where(F.col("incident_id") == incident_id)
+    ranked = incident_candidates(candidates, vessels, incident_id)
+    listed = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "mmsi", "score", "name", "vessel_type", "length_m"))).alias("candidates"))
+    stages = own(timeline).agg(F.array_sort(F.collect_list(F.struct("ts", "stage"))).alias("timeline"))
+    run = own(runs).groupBy("incident_id").agg(F.max_by("hours", "computed_at").alias("drift_hours"), F.max("computed_at").alias("drift_computed_at"))
+    rows = own(incidents).crossJoin(listed).crossJoin(stages).join(run, "incident_id", "left")  # one row each
+    return rows.join(own(reasons).select("incident_id", "reason"), "incident_id", "left")
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``n``, their number from 1 in the given order.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, TYPE_BASE_OTHER, WEIGHTS, region
-from fathomline.functions import geo, scalars
+from fathomline.functions import geo, scalars, sql
 from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
 from fathomline.plans.fixtures import DETECTED, NOW, Tables, with_tables
 from fathomline.sources import archives, live
@@ -289,6 +289,47 @@ def volume_range(t: Tables) -> DataFrame:
     return ingest.volumes(t.incidents).select("incident_id", F.round("volume_min_m3", 6).alias("volume_min_m3"), F.round("volume_max_m3", 6).alias("volume_max_m3"))
 
 
+_NEW = f"""select incident_id, scene_id, status, area_km2, confidence from (
+  select i.incident_id, i.scene_id, i.status, coalesce(m.area_km2, i.area_km2) as area_km2, coalesce(m.confidence, i.confidence) as confidence from incidents i left join m using (incident_id)
+  union all select 'OTA-2024-' || lpad(n, cast(greatest(4, length(n)) as int), '0'), scene_id, 'Under Investigation', area_km2, confidence from (
+    select *, cast(last + row_number() over (order by detection_id) as varchar) as n from d join x using (detection_id), (select max(cast(substr(incident_id, 10) as bigint)) as last from incidents) where existing is null))"""
+
+
+@query(
+    _NEW, "incidents",
+    more={"d": _DETECTIONS, "x": _EXISTING, "m": "select existing as incident_id, arg_max(area_km2, detection_id) as area_km2, arg_max(confidence, detection_id) as confidence from x join d using (detection_id) where existing is not null group by 1"},
+)
+def incident_insert(t: Tables) -> DataFrame:
+    found = _detections(t).withColumn("detected_at", F.lit(DETECTED))
+    return ingest.store_detections(t.incidents, found, 2024, SEA, NOW).select("incident_id", "scene_id", "status", "area_km2", "confidence")
+
+
+@query(f"select {NOW} as ts, incident_id, 'status' as kind, incident_id || ' is now closed, before: ' || lower(status) as text from incidents where incident_id = 'OTA-2024-00007'", "incidents")
+def status_alert(t: Tables) -> DataFrame:
+    return reports.status_alert(t.incidents, "OTA-2024-00007", "Closed", NOW)
+
+
+@query("""select incident_id, detected_at as ts, 'detected' as stage, 'Dark region of ' || format('{:.1f}', area_km2) || ' km2 in ' || scene_id || ', confidence ' || cast(cast(round_even(confidence * 100, 0) as int) as varchar) || ' %' as text from incidents
+union all select incident_id, created_at, 'created', 'Stored as ' || incident_id || ', ' || lower(status) from incidents""", "incidents")
+def timeline_texts(t: Tables) -> DataFrame:
+    return ingest.detection_stages(t.incidents)
+
+
+_DETAIL = "OTA-2024-00007"
+
+
+@query(
+    f"""select incident_id, status, (select string_agg(cast(mmsi as varchar), ',' order by rank) from candidates where incident_id = '{_DETAIL}') as vessels, (select string_agg(stage, ',' order by ts) from timeline where incident_id = '{_DETAIL}') as stages,
+(select arg_max(cast(event_id % 48 as int), event_id) from events where user_id = 7) as drift_hours, cast(null as varchar) as reason from incidents where incident_id = '{_DETAIL}'""",
+    "incidents", "candidates", "timeline",
+)
+def incident_detail(t: Tables) -> DataFrame:
+    reasons = reports.no_candidate_reason(t.incidents, t.candidates, t.positions, SEA)
+    row = reports.incident_detail(t.incidents, t.candidates, t.vessels, t.timeline, _latest_runs(t), reasons, _DETAIL)
+    joined = lambda c: F.array_join(F.transform(c[0], lambda x: x[c[1]].cast("string")), ",")
+    return row.select("incident_id", "status", joined(("candidates", "mmsi")).alias("vessels"), joined(("timeline", "stage")).alias("stages"), "drift_hours", "reason")
+
+
 # -- sources ---------------------------------------------------------------------
 
 
@@ -332,13 +373,24 @@ _ARCHIVED = f"select mmsi, seq, floor(ts) as ts, lat, lon, case when seq % 3 = 0
 
 @query(f"select mmsi, seq, ts, lat, lon, sog, nav_status from ({_ARCHIVED})", "ais_raw")
 def archive_positions(t: Tables) -> DataFrame:
-    rows = t.ais_raw.selectExpr(
+    sea = region(SEA)
+    found = archives.archive_fixes(_archive_rows(t), (sea.lon_min, sea.lat_min, sea.lon_max, sea.lat_max), interval=float("-inf"))
+    return found.select("mmsi", "seq", "ts", "lat", "lon", "sog", "nav_status")
+
+
+def _archive_rows(t: Tables) -> DataFrame:
+    return t.ais_raw.selectExpr(
         "case when seq % 16 = 3 then 'unknown' else cast(mmsi as string) end as MMSI", "seq", f"case when seq % 16 = 11 then 'later' else {_utc('floor(ts)', 'yyyy-MM-dd')} || 'T' || {_utc('floor(ts)', 'HH:mm:ss')} end as BaseDateTime",
         "cast(lat as string) as LAT", "cast(lon as string) as LON", "case when seq % 6 = 0 then '0.0' when seq % 6 = 3 then ' ' else cast(raw_sog as string) end as SOG", "'' as COG", "'511.0' as Heading", "cast(nav_status as string) as Status",
     )
+
+
+@query(f"select (select count(*) from ais_raw) as scanned, (select count(*) from ais_raw where {SEA_BOX}) as in_box, count(*) as stored, count(distinct mmsi) as vessels from ({_ARCHIVED})", "ais_raw")
+def archive_report(t: Tables) -> DataFrame:
     sea = region(SEA)
-    found = archives.archive_fixes(rows, (sea.lon_min, sea.lat_min, sea.lon_max, sea.lat_max), interval=float("-inf"))
-    return found.select("mmsi", "seq", "ts", "lat", "lon", "sog", "nav_status")
+    box = (sea.lon_min, sea.lat_min, sea.lon_max, sea.lat_max)
+    rows = _archive_rows(t)
+    return archives.archive_report(rows, archives.archive_fixes(rows, box, interval=float("-inf")), box)
 
 
 @query("select mmsi, cast(floor(ts) as double) as ts, lat, lon, 'gfw' as source from ais_raw where seq % 3 <> 1", "ais_raw")
@@ -468,6 +520,18 @@ def compass_and_age(t: Tables) -> DataFrame:
     return t.ais_raw.select("seq", scalars.compass(F.col("raw_cog")).alias("wind"), scalars.ago_text(F.col("ts"), DETECTED).alias("ago"))
 
 
+@query(f"select mmsi, ts, round({_haversine_sql('lat0', 'lon0', 'lat', 'lon')}, 5) as km, round({_BEARING}, 4) as bearing from q where lat0 is not null", "ais_positions", more={"q": _PAIR})
+def sql_functions(t: Tables) -> DataFrame:
+    sql.register(t.spark)
+    return _pairs(t).selectExpr("mmsi", "ts", "round(haversine_km(lat0, lon0, lat, lon), 5) as km", "round(bearing_deg(lat0, lon0, lat, lon), 4) as bearing")
+
+
+@query(f"select mmsi, {_type_sql('ship_type')} as vessel_type, round({_TYPE_SCORE}, 6) as score from vessels", "vessels")
+def sql_ship_types(t: Tables) -> DataFrame:
+    sql.register(t.spark)
+    return t.vessels.selectExpr("mmsi", "ship_type_name(ship_type) as vessel_type", "round(type_score(ship_type, length_m), 6) as score")
+
+
 # -- tracks -----------------------------------------------------------------------
 
 

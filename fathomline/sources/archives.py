@@ -59,6 +59,14 @@ def archive_fixes(rows: DataFrame, box: tuple[float, float, float, float] | None
     return throttle(fixes.where("mmsi is not null and ts is not null and lat is not null and lon is not null"), interval=interval)
 
 
+def archive_report(rows: DataFrame, kept: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """One row of what became of an archive: rows read, rows in the box, fixes kept, vessels."""
+    west, south, east, north = box
+    inside = F.col("LAT").try_cast("double").between(south, north) & F.col("LON").try_cast("double").between(west, east)
+    read = rows.agg(F.count("*").alias("scanned"), F.count_if(inside).alias("in_box"))
+    return read.crossJoin(kept.agg(F.count("*").alias("stored"), F.count_distinct("mmsi").alias("vessels")))  # one row each
+
+
 def archive_vessels(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The vessel described by the first kept row of each number."""
     first = kept.groupBy("mmsi").agg(F.min("seq").alias("seq"))
@@ -68,6 +76,12 @@ def archive_vessels(rows: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+def archive_url(base: str, day: str) -> str:
+    """Where the archive of a day (``2024-12-29``) lies below an index page."""
+    year, month, number = day.split("-")
+    return f"{base.rstrip('/')}/{int(year):04d}/AIS_{int(year):04d}_{int(month):02d}_{int(number):02d}.zip"
+
+
 def newest_day(listing: DataFrame, year: int) -> DataFrame:
     """The newest day that an index page (column ``page``) links."""
     days = F.explode(F.regexp_extract_all("page", F.lit(rf"AIS_({year}_\d\d_\d\d)\.zip"), 1)).alias("day")

@@ -243,3 +243,25 @@ def test_scenes_do_not_mix(spark):
             own = both.where(F.col("scene") == s).drop("scene")
             rows = work(own, ())
             assert all(together[s, r.r, r.c] == tuple(round(v, 6) for v in r[2:]) for r in rows.select("r", "c", *[c for c in rows.columns if c not in ("r", "c")]).collect())
+
+
+def test_sql_functions_and_backtrack(spark):
+    from fathomline.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("select haversine_km(19.07, 72.87, 18.64, 72.87), bearing_deg(19.07, 72.87, 18.64, 72.87), angle_diff(350, 10), knots_to_ms(10), ship_type_name(82), type_score(80, 250)").first()
+    assert abs(r[0] - 47.8) < 0.5 and abs(r[1] - 180) < 0.1 and r[2] == 20 and abs(r[3] - 5.14444) < 1e-9 and r[4] == "Tanker" and r[5] == constants.TYPE_BASE["Tanker"]
+    detected, ring = 1704153600.0, [[5.0, 54.0], [5.2, 54.02], [5.1, 54.1]]
+    series = [(detected - 3600.0 * k, 6.0 + k, 300.0 + k, 0.3, 90.0 - 5 * k) for k in range(5)]
+    env = spark.createDataFrame(series, "ts double, wind_speed double, wind_from double, cur_speed double, cur_to double")
+    particles = spark.createDataFrame([(i, *p, constants.WIND_FACTOR, constants.DEFLECTION_DEG) for i, p in enumerate(ring)], "p int, lon0 double, lat0 double, wind_factor double, deflection double")
+    still = particles.select("p", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step")).withColumns({"north": F.lit(0.0), "east": F.lit(0.0)})
+    want = {(r.p, r.step): (r.ts, r.lat, r.lon) for r in drift.backtrack(particles, env, still, detected, 6).collect()}
+    literal = lambda rows: "array(" + ", ".join("array(" + ", ".join(f"{v!r}d" for v in r) + ")" for r in rows) + ")"
+    got = {(r.p, r.step): (r.ts, r.lat, r.lon) for r in spark.sql(f"select * from backtrack({literal(ring)}, {detected!r}d, 3, {literal(series)})").collect()}
+    assert got.keys() == want.keys() and len(got) == 21
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_archive_url():
+    assert archives.archive_url("https://host/x/", "2024-12-09") == "https://host/x/2024/AIS_2024_12_09.zip"
