@@ -12,7 +12,10 @@ in 35) and knowing the bytes left of them decides every window.
 2. Each task sorts the suffixes at the other anchors into runs.  Anchors with
    equal surroundings are decided within the run: only the earliest goes on.
 3. The runs are *front-coded* (shared prefix length and rest) and exchanged
-   once, dealt by gram, so all suffixes that share 32 bytes meet.
+   once, dealt by gram, so all suffixes that share 32 bytes meet.  A gram of
+   ``HOT`` records or more is dealt by more of its surroundings: for every few
+   offsets of a window, a record is cut to what these windows cover and dealt
+   by the bytes that all of them hold.
 4. A loser tree merges the runs.  It keeps, for each run, the length of the
    prefix shared with the last output: suffixes of different lengths shared
    are ordered without looking at a byte, and equal ones are compared from
@@ -37,6 +40,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +60,8 @@ BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 18
 #: Suffixes that a task sorts into one run, and suffixes dealt to one merge, about.
 RUN_RECORDS, MERGE_RECORDS = 200_000, 150_000
+#: Records of a gram from which on it is dealt by its surroundings, for so many offsets together.
+HOT, OFFSETS = 20_000, 4
 
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -114,23 +120,27 @@ def block_anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in rows(batches):
         block = Block(row)
-        grams = np.unique(block_anchors(block)[3]).view(np.int64)
+        grams, times = np.unique(block_anchors(block)[3], return_counts=True)
         for i in range(0, len(grams), 65536):
-            part = grams[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block.block))], ["gram", "block"])
+            part = slice(i, i + 65536)
+            columns = [grams[part].view(np.int64), np.full(len(grams[part]), block.block), times[part].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "block", "times"])
 
 
-def _repeated_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all (gram, block) of a partition: by block, the grams that other blocks have too."""
-    own = [(np.asarray(b.column("gram")), np.asarray(b.column("block"))) for b in batches if b.num_rows]
+def _repeated_batches(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of all (gram, block, times) of a partition: by block, the grams that other blocks have too; hot ones count twice."""
+    own = [tuple(np.asarray(b.column(c)) for c in ("gram", "block", "times")) for b in batches if b.num_rows]
     if not own:
         return
-    gram, block = (np.concatenate(x) for x in zip(*own, strict=True))
+    gram, block, times = (np.concatenate(x) for x in zip(*own, strict=True))
     order = np.argsort(gram, kind="stable")
-    gram, block = gram[order], block[order]
-    same = gram[1:] == gram[:-1]
-    keep = np.r_[same, False] | np.r_[False, same]
-    gram, block = gram[keep], block[keep]
+    gram, block, times = gram[order], block[order], times[order]
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    sizes = np.diff(np.r_[starts, len(gram)])
+    total = np.repeat(np.add.reduceat(times.astype(np.int64), starts), sizes)
+    again = np.repeat(sizes, sizes) > 1
+    twice = again & (total >= hot)
+    gram, block = np.r_[gram[again], gram[twice]], np.r_[block[again], block[twice]]
     order = np.argsort(block, kind="stable")
     gram, block = gram[order], block[order]
     for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
@@ -203,13 +213,30 @@ def _intervals(block: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.nd
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array(block[part[:1]]), pa.array([spans[part].tobytes()], pa.binary())], ["part", "block", "blob"])
 
 
+def _cut(right: bytes, left: bytes) -> Iterator[tuple[bytes, bytes, int]]:
+    """A hot record for each few offsets that its windows have: what these windows cover, and a hash of what all of them hold."""
+    low, high = LENGTH - len(right), len(left)
+    for a in range(low - low % OFFSETS, high + 1, OFFSETS):
+        b = min(a + OFFSETS, SPAN) - 1
+        first, last = max(a, low), min(b, high)
+        held = right[: LENGTH - b] + left[len(left) - a :]  # so long in every record that has such a window
+        yield right[: LENGTH - first], left[len(left) - last :], zlib.crc32(held, a)
+
+
 def _run_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     count = 0
 
     def runs() -> Iterator[pa.RecordBatch]:
         right, left = ([s for x in held for s in x[k]] for k in (0, 1))
-        doc, block, row, pos, gram = (np.concatenate([x[k] for x in held]) for k in range(2, 7))
+        doc, block, row, pos, gram, hot = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
+        deal = (gram % np.uint64(parts)).astype(np.int64)
+        if hot.any():
+            usual, copies = np.flatnonzero(~hot), [(i, *cut) for i in np.flatnonzero(hot).tolist() for cut in _cut(right[i], left[i])]
+            index = np.r_[usual, np.array([c[0] for c in copies])]
+            right, left = [right[i] for i in usual.tolist()] + [c[1] for c in copies], [left[i] for i in usual.tolist()] + [c[2] for c in copies]
+            deal = np.r_[deal[usual], np.array([c[3] for c in copies]) % parts]
+            doc, block, row, pos = doc[index], block[index], row[index], pos[index]
         seen: dict[tuple[bytes, bytes], int] = {}
         again = []
         for i in np.lexsort((pos, row, block, doc)).tolist():  # the earliest of equal surroundings goes on
@@ -221,22 +248,22 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
             yield from _intervals(block[i], row[i], pos[i] - size[0], pos[i] + size[1])
         order = np.array(sorted(seen.values(), key=right.__getitem__))
         whole = Run(right, left, doc, block, row, pos, np.zeros(0))
-        part = (gram[order] % np.uint64(parts)).astype(np.int64)
+        part = deal[order]
         for p in np.unique(part).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([-1]), pa.array([whole.take(order[part == p]).pack()], pa.binary())], ["part", "block", "blob"])
 
     for r in rows(batches):
         block = Block(r)
         place, first, last, gram = block_anchors(block)
-        known = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in r["found"]])) if r["found"] else np.zeros(0, np.uint64)
+        known, listed = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in r["found"]]), return_counts=True) if r["found"] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         values, inverse, times = np.unique(gram, return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(((times > 1) | np.isin(values, known))[inverse])
         if len(open_):
             place, first, last, gram = place[open_], first[open_], last[open_], gram[open_]
             row = np.searchsorted(block.offsets, place, side="right") - 1
             raw, p, f, e = block.raw, place.tolist(), first.tolist(), (last + LENGTH).tolist()
-            held.append(([raw[a:b] for a, b in zip(p, e, strict=True)], [raw[a:b] for a, b in zip(f, p, strict=True)], block.ids[row], np.full(len(p), block.block), row, place - block.offsets[row], gram))
-            count += len(p)
+            held.append(([raw[a:b] for a, b in zip(p, e, strict=True)], [raw[a:b] for a, b in zip(f, p, strict=True)], block.ids[row], np.full(len(p), block.block), row, place - block.offsets[row], gram, np.isin(gram, known[listed > 1])))
+            count += len(p) * (1 + 16 * float(held[-1][7].mean()))
         if count >= RUN_RECORDS:
             yield from runs()
             held, count = [], 0
@@ -393,8 +420,8 @@ def report(docs: DataFrame, texts: bool = False) -> DataFrame:
     spark = docs.sparkSession
     store = BlockStore.write(docs, BLOCK_BYTES)
     try:
-        grams = store.table().mapInArrow(_gram_batches, "gram long, block long")
-        dealt = grams.repartition("gram").mapInArrow(_repeated_batches, "block long, blob binary")
+        grams, hot = store.table().mapInArrow(_gram_batches, "gram long, block long, times int"), HOT
+        dealt = grams.repartition("gram").mapInArrow(lambda it: _repeated_batches(it, hot), "block long, blob binary")
         repeated = materialize(dealt, "grams")
         records = repeated.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
         parts = max(shuffle_partitions(spark), int(records) // 8 // MERGE_RECORDS)
