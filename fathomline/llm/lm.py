@@ -55,7 +55,7 @@ GROUP_WORDS, PIECE_WORDS = 1_000_000, 250_000
 SCORE_LANES, WINDOW = 256, 32
 BLOCK_BYTES = 12 << 20
 #: Rows that the driver collects at once from partial sums, top lists or weights.
-COLLECT = 64
+COLLECT = 16
 LOG10 = float(np.log(10))
 
 # Shapes of tail words: four lengths, seven kinds of last byte, ASCII or not.
