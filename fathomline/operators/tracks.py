@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.constants import KM_PER_DEG_LAT, KM_PER_DEG_LON
 from fathomline.functions.geo import angle_diff, haversine_km, local_km
 
+Keys = tuple[str, ...]
+
 #: Seconds beyond a track's ends for which its end point still counts.
 REACH_S = 1800.0
 #: Rows of a cloud (or of its cells) that are broadcast; more are joined by a shuffle.
@@ -19,16 +21,18 @@ def grid(end: float, steps: int, seconds: float) -> list[float]:
     return [end - i * seconds for i in range(steps + 1)]
 
 
-def interpolate(positions: DataFrame, times: list[float]) -> DataFrame:
+def interpolate(positions: DataFrame, times: list[float] | Column, keys: Keys = ()) -> DataFrame:
     """mmsi, step, ts, lat, lon at the grid's times that the track covers.
 
-    The grid is small, so each segment takes the times inside it from a
-    literal array: no range join.  The ends of a track reach a little further.
+    The grid is small, so each segment takes the times inside it from an
+    array: no range join.  The ends of a track reach a little further.  ``times``
+    may be a column with an array of (step, at), where each of the ``keys`` (an
+    incident) has tracks and a grid of its own.
     """
-    along = Window.partitionBy("mmsi").orderBy("ts")
-    whole = Window.partitionBy("mmsi")
-    ahead = positions.select("mmsi", "ts", "lat", "lon", F.lead("ts").over(along).alias("ts1"), F.lead("lat").over(along).alias("lat1"), F.lead("lon").over(along).alias("lon1"), F.min("ts").over(whole).alias("first"))
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("at")) for i, t in enumerate(times)])
+    along = Window.partitionBy(*keys, "mmsi").orderBy("ts")
+    whole = Window.partitionBy(*keys, "mmsi")
+    steps = times if isinstance(times, Column) else F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("at")) for i, t in enumerate(times)])
+    ahead = positions.select(*keys, "mmsi", "ts", "lat", "lon", steps.alias("steps"), F.lead("ts").over(along).alias("ts1"), F.lead("lat").over(along).alias("lat1"), F.lead("lon").over(along).alias("lon1"), F.min("ts").over(whole).alias("first"))
 
     def covered(x):
         at = x["at"]
@@ -37,10 +41,10 @@ def interpolate(positions: DataFrame, times: list[float]) -> DataFrame:
         end = F.col("ts1").isNull() & (at >= F.col("ts")) & (at - F.col("ts") < REACH_S) & ((at > F.col("first")) | ~start)
         return F.coalesce(inside, F.lit(False)) | start | end
 
-    rows = ahead.select("*", F.explode(F.filter(steps, covered)).alias("s")).select("*", "s.step", F.col("s.at"))
+    rows = ahead.select("*", F.explode(F.filter("steps", covered)).alias("s")).select("*", "s.step", F.col("s.at"))
     share = F.when(F.col("ts1").isNull() | (F.col("at") <= F.col("ts")), 0.0).otherwise((F.col("at") - F.col("ts")) / (F.col("ts1") - F.col("ts")))
     between = lambda a, b: F.col(a) + F.when(share == 0, 0.0).otherwise(share * (F.col(b) - F.col(a)))
-    return rows.select("mmsi", "step", F.col("at").alias("ts"), between("lat", "lat1").alias("lat"), between("lon", "lon1").alias("lon"))
+    return rows.select(*keys, "mmsi", "step", F.col("at").alias("ts"), between("lat", "lat1").alias("lat"), between("lon", "lon1").alias("lon"))
 
 
 def _beside(cloud: DataFrame) -> DataFrame:
@@ -48,14 +52,14 @@ def _beside(cloud: DataFrame) -> DataFrame:
     return F.broadcast(cloud) if cloud.count() <= BROADCAST_PARTICLES else cloud
 
 
-def nearest_matched(points: DataFrame, cloud: DataFrame) -> DataFrame:
+def nearest_matched(points: DataFrame, cloud: DataFrame, keys: Keys = ()) -> DataFrame:
     """Distance of each vessel and step to the nearest particle of the same step."""
-    own = cloud.select("step", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    own = cloud.select(*keys, "step", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return points.join(_beside(own), "step").groupBy("mmsi", "step", "ts").agg(F.min(d).alias("km"))
+    return points.join(_beside(own), [*keys, "step"]).groupBy(*keys, "mmsi", "step", "ts").agg(F.min(d).alias("km"))
 
 
-def nearest_any(points: DataFrame, cloud: DataFrame, cell_km: float = 25.0) -> DataFrame:
+def nearest_any(points: DataFrame, cloud: DataFrame, cell_km: float = 25.0, keys: Keys = ()) -> DataFrame:
     """Distance of each vessel to the nearest particle of any step, as far as ``cell_km``.
 
     Particles and positions meet by cells of a grid (a particle in its cell
@@ -63,21 +67,21 @@ def nearest_any(points: DataFrame, cloud: DataFrame, cell_km: float = 25.0) -> D
     are wide enough at every latitude of the cloud.  Particles that share a
     place count once.
     """
-    places = cloud.select("lat", "lon").distinct()
+    places = cloud.select(*keys, "lat", "lon").distinct()
     rows = F.lit(cell_km / KM_PER_DEG_LAT)
     wide = F.broadcast(cloud.agg((F.lit(cell_km / KM_PER_DEG_LON) / F.cos(F.radians(F.least(F.lit(85.0), F.max(F.abs("lat")) + 1)))).alias("width")))  # one row
     cell = lambda i, j: [(F.floor(F.col("lat") / rows) + i).alias("y"), (F.floor(F.col("lon") / F.col("width")) + j).alias("x")]
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    spread = places.crossJoin(wide).select("*", around).select(*cell(F.col("o.i"), F.col("o.j")), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    own = points.crossJoin(wide).select("mmsi", "lat", "lon", *cell(F.lit(0), F.lit(0)))
+    spread = places.crossJoin(wide).select("*", around).select(*keys, *cell(F.col("o.i"), F.col("o.j")), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    own = points.crossJoin(wide).select(*keys, "mmsi", "lat", "lon", *cell(F.lit(0), F.lit(0)))
     d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return own.join(_beside(spread), ["y", "x"]).groupBy("mmsi").agg(F.min(d).alias("any_km")).where(F.col("any_km") <= cell_km)
+    return own.join(_beside(spread), [*keys, "y", "x"]).groupBy(*keys, "mmsi").agg(F.min(d).alias("any_km")).where(F.col("any_km") <= cell_km)
 
 
-def closest(matched: DataFrame) -> DataFrame:
+def closest(matched: DataFrame, keys: Keys = ()) -> DataFrame:
     """The nearest step of each vessel; of equal ones, the latest in time."""
     best = F.min_by(F.struct("step", "ts", "km"), F.struct("km", "step")).alias("b")
-    return matched.groupBy("mmsi").agg(best).select("mmsi", F.col("b.step").alias("best_step"), F.col("b.ts").alias("best_ts"), F.col("b.km").alias("best_km"))
+    return matched.groupBy(*keys, "mmsi").agg(best).select(*keys, "mmsi", F.col("b.step").alias("best_step"), F.col("b.ts").alias("best_ts"), F.col("b.km").alias("best_km"))
 
 
 def density(points: DataFrame, cloud: DataFrame, radius_km: float) -> DataFrame:
@@ -114,10 +118,10 @@ def upper_median_speed(positions: DataFrame) -> DataFrame:
     return positions.where("sog is not null").groupBy("mmsi").agg(F.expr("percentile_disc(0.5) within group (order by sog desc)").alias("baseline"))
 
 
-def stationary(positions: DataFrame) -> DataFrame:
+def stationary(positions: DataFrame, keys: Keys = ()) -> DataFrame:
     """Tracks of three fixes or more that stay within 1.5 km and are slow."""
-    sums = positions.groupBy("mmsi").agg(F.count("*").alias("n"), haversine_km(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).alias("span_km"), F.coalesce(F.median("sog"), F.lit(0.0)).alias("median_sog"))
-    return sums.select("mmsi", F.when(F.col("n") >= 3, F.col("span_km")).otherwise(0.0).alias("span_km"), ((F.col("n") >= 3) & (F.col("span_km") < 1.5) & (F.col("median_sog") < 0.6)).alias("stationary"))
+    sums = positions.groupBy(*keys, "mmsi").agg(F.count("*").alias("n"), haversine_km(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).alias("span_km"), F.coalesce(F.median("sog"), F.lit(0.0)).alias("median_sog"))
+    return sums.select(*keys, "mmsi", F.when(F.col("n") >= 3, F.col("span_km")).otherwise(0.0).alias("span_km"), ((F.col("n") >= 3) & (F.col("span_km") < 1.5) & (F.col("median_sog") < 0.6)).alias("stationary"))
 
 
 def thin(positions: DataFrame, most: int = 120) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -772,6 +773,40 @@ def candidate_ranking(t: Tables) -> DataFrame:
     return ranked.select("rank", "mmsi", "name", "score", F.round("best_km", 3).alias("closest_km"), F.col("best_ts").alias("closest_ts"), F.col("minutes").alias("minutes_in_region"), "stationary", *factors, F.round("vessel_type_score", 4).alias("vessel_type"))
 
 
+#: Three incidents: by how much their clouds lie further east, and how much earlier they were seen.
+_MANY = {"a": (0.0, 0.0), "b": (0.06, 0.0), "c": (-0.05, 21600.0)}
+
+
+def _many_sql() -> dict[str, str]:
+    """The tables of one ranking, for each of the incidents under names of its own."""
+    own = [k for k in _RANKED if k not in _CLOUD]
+    out = dict(_CLOUD)
+    for key, (east, early) in _MANY.items():
+        out[f"cloud_{key}"] = f"select p, step, ts - {early}e0 as ts, lat, lon + {east}e0 as lon from cloud"
+        out[f"grid_{key}"] = _GRID.replace(str(DETECTED), str(DETECTED - early))
+        for name in own:
+            text = re.sub(rf"\b(?:from|join) ({'|'.join([*own, 'cloud', 'grid'])})\b", lambda m: f"{m[0]}_{key}", _RANKED[name])  # noqa: B023
+            out[f"{name}_{key}"] = re.sub(r", cloud c\b", f", cloud_{key} c", text).replace(str(DETECTED), str(DETECTED - early))
+    return out
+
+
+@query(
+    " union all ".join(
+        f"""select 'OTA-{k}' as incident_id, cast(rank as int) as rank, mmsi, score, round(best_km, 3) as closest_km, best_ts as closest_ts, stationary, round(behaviour, 4) as behaviour
+from (select *, row_number() over (order by score desc, mmsi) as rank from (select *, {_SCORE} as score from factors_{k})) where rank <= 25""" for k in _MANY
+    ),
+    "ais_positions", "vessels", *_CLOUD_NEEDS, more=_many_sql(),
+)
+def candidate_ranking_all(t: Tables) -> DataFrame:
+    one, clouds = _cloud(t), None
+    for key, (east, early) in _MANY.items():
+        own = one.select(F.lit(f"OTA-{key}").alias("incident_id"), "p", "step", (F.col("ts") - early).alias("ts"), "lat", (F.col("lon") + east).alias("lon"))
+        clouds = own if clouds is None else clouds.unionByName(own)
+    incidents = t.spark.createDataFrame([(f"OTA-{k}", DETECTED - early, SCALE) for k, (_, early) in _MANY.items()], "incident_id string, detected_at double, scale_km double")
+    ranked = attribution.rank_all(t.positions, t.vessels, clouds, incidents)
+    return ranked.select("incident_id", "rank", "mmsi", "score", F.round("best_km", 3).alias("closest_km"), F.col("best_ts").alias("closest_ts"), "stationary", F.round("behaviour", 4).alias("behaviour"))
+
+
 @query()
 def candidate_evidence(t: Tables) -> DataFrame:
     cloud = _cloud(t)
