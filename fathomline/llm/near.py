@@ -248,7 +248,7 @@ def _mixed(node: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _token_batches(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
     """A row for each shared shingle of a prefix; ``rest`` counts it and those after it in the order.
 
     Texts of a very frequent shingle are dealt to several groups (``salts``).
@@ -261,7 +261,7 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             power = np.frombuffer(b"".join(part.column("powers").to_pylist()), np.uint8).astype(np.int64)
             node, size, singles = (np.repeat(np.asarray(part.column(c)), n) for c in ("node", "size", "singles"))
             place = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if n else np.zeros(0, np.int32)
-            salts = np.int64(1) << np.maximum(power - SPREAD + 1, 0)
+            salts = np.int64(1) << np.maximum(power - spread + 1, 0)
             token = np.concatenate(tokens) if n else np.zeros(0, np.int64)
             salt = (_mixed(node ^ token) % salts.astype(np.uint64)).astype(np.int32)  # other groups for each shingle, so neighbours join them
             columns = [token, salt, salts.astype(np.int32), node, size, size - singles - place]
@@ -396,23 +396,21 @@ def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
 def pairs_across(tokens: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     """Candidates of different parts, up to ``most`` of each two parts at each shingle.
 
-    Only shingles of three texts or more, of different parts, matter (two texts have met).
+    Only shingles of different parts matter, and of these only those of three
+    texts or more, as two in one group have met.
 
     A shingle of up to GROUP texts is one group.  Of a more frequent one, the
     texts of its largest part are dealt to several groups and the others go to
     each of these.
     """
     own = tokens.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    several = own.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high")
-    own = own.join(several, "token", "left_semi")
-    usual = own.where("salts = 1").withColumn("major", F.lit(False))
-    hot = own.where("salts > 1")
-    largest = hot.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("most"))
-    hot = hot.join(largest, "token").withColumn("major", F.col("part") == F.col("most.part")).drop("most")
-    salts = F.when(F.col("major"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    hot = hot.withColumn("salt", F.explode(salts)).select(usual.columns)
-    all_ = usual.unionByName(hot).join(nodes.select("node", "sketch"), "node")
-    dealt = all_.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
+    sums = own.groupBy("token", "part").agg(F.count("*").alias("n"), F.max("salts").alias("salts")).groupBy("token").agg(F.sum("n").alias("n"), F.max("salts").alias("salts"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("largest"))
+    several = materialize(sums.where("(n > 2 or salts > 1) and parts > 1").select("token", F.col("largest.part").alias("major")), "several")
+    own = own.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "token")
+    own = own.withColumn("major", (F.col("salts") > 1) & (F.col("part") == F.col("major")))
+    salts = F.when((F.col("salts") == 1) | F.col("major"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    own = own.withColumn("salt", F.explode(salts)).join(nodes.select("node", "sketch"), "node")
+    dealt = own.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
     return dealt.mapInArrow(lambda it: _across_batches(it, most), "a long, b long")
 
 
@@ -444,7 +442,8 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """Verified edges (a, b) that connect what all links of open texts connect."""
-    tokens = nodes.select("node", "size", "singles", "tokens", "powers").mapInArrow(_token_batches, TOKEN)
+    spread = SPREAD
+    tokens = nodes.select("node", "size", "singles", "tokens", "powers").mapInArrow(lambda it: _token_batches(it, spread), TOKEN)
     tried = materialize(first_pairs(nodes, tokens), "candidates")
     found, most = verified(tried, nodes), SLICE
     while True:

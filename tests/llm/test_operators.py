@@ -377,8 +377,10 @@ def test_near_copies_by_kind_of_edit(spark):
     assert {r.doc_id for r in near.dedup(df).collect()} == kept_of(rows)
 
 
-def test_near_copies_in_groups(spark):
+@pytest.mark.parametrize("spread", [near.SPREAD, 2])  # a shingle's texts in one group, and dealt to several
+def test_near_copies_in_groups(spark, monkeypatch, spread):
     """A similar pair stays linked in groups whose other pairs are just not similar, and in groups beyond the window."""
+    monkeypatch.setattr(near, "SPREAD", spread)
     rng, rows = np.random.default_rng(7), []
     draw = lambda n: [f"word{i}" for i in rng.integers(0, 5000, n)]
     for g in range(60):
