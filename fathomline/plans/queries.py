@@ -701,6 +701,31 @@ def convex_hull(t: Tables) -> DataFrame:
     return shapes.hull_area(t.positions.select("mmsi", "lon", "lat"), "mmsi")
 
 
+def _hull_sql(points: str, key: str) -> str:
+    """Vertices and area of the hulls of distinct points: edges with no point to their right, nor beyond them in line."""
+    turn = "((b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon))"
+    edges = f"""select a.{key}, a.lon, a.lat, b.lon as lon1, b.lat as lat1 from {points} a join {points} b on a.{key} = b.{key} and (a.lon <> b.lon or a.lat <> b.lat)
+  where not exists (select 1 from {points} p where p.{key} = a.{key} and ({turn} < 0 or ({turn} = 0 and (p.lon - a.lon) * (p.lon - b.lon) + (p.lat - a.lat) * (p.lat - b.lat) > 0)))"""
+    return f"select {key}, count(*) as vertices, abs(sum(lon * lat1 - lon1 * lat)) * 111.32e0 * cos(radians(avg(lat))) * 110.574e0 / 2 as area from ({edges}) group by 1 having count(*) >= 3"
+
+
+@query("select mmsi, vertices, round(area, 2) as area_km2 from hulls", "ais_positions", more={"pts": "select distinct mmsi, lon, lat from ais_positions", "hulls": _hull_sql("pts", "mmsi")})
+def hull_sizes(t: Tables) -> DataFrame:
+    rows = shapes.hull_area(t.positions.select("mmsi", "lon", "lat"), "mmsi").withColumn("vertices", F.size("ring").cast("long"))
+    return rows.where("vertices >= 3").select("mmsi", "vertices", F.round("area_km2", 2).alias("area_km2"))
+
+
+_TRIMMED = "select distinct step, lon, lat from (select *, quantile_cont(d, 0.9) over (partition by step) as most from (select *, sqrt(pow(lon - avg(lon) over (partition by step), 2) + pow(lat - avg(lat) over (partition by step), 2)) as d from cloud)) where d <= most"
+
+
+@query(
+    f"select cast(step / 2 as int) as hours_back, {DETECTED} - step * 1800e0 as ts, vertices, round_even(area, 1) as area_km2 from hulls where step in ({', '.join(str(2 * h) for h in REGION_HOURS)})",
+    *_CLOUD_NEEDS, more={**_CLOUD, "pts": _TRIMMED, "hulls": _hull_sql("pts", "step")},
+)
+def drift_region_sizes(t: Tables) -> DataFrame:
+    return drift.regions(_cloud(t), DETECTED, REGION_HOURS).select("hours_back", "ts", F.size("ring").cast("long").alias("vertices"), "area_km2")
+
+
 _KM = "sqrt(pow((c.lon - s.lon) * 111.32e0 * cos(radians(s.lat)), 2) + pow((c.lat - s.lat) * 110.574e0, 2))"
 _POINTS = {**_CLOUD, "points": _interp_sql("ais_positions"), "matched": f"select s.mmsi, step, s.ts, min({_KM}) as km from points s join cloud c using (step) group by 1, 2, 3"}
 
