@@ -581,9 +581,9 @@ def brute_score_of_words(model, ids):
     soft = lambda v: v - np.log(np.exp(v).sum())
     h, out, before = np.zeros(d), 0.0, lexicon.bos
     for x in ids:
-        at = w["X"][before] + w["x"]
-        r, z = sigmoid(at[:d] + h @ w["U"][:, :d]), sigmoid(at[d : 2 * d] + h @ w["U"][:, d : 2 * d])
-        h = h + z * (np.tanh(at[2 * d :] + (r * h) @ w["U"][:, 2 * d :]) - h)
+        at = w["X"][:, before] + w["x"]
+        r, z = sigmoid(at[0] + h @ w["U"][0]), sigmoid(at[1] + h @ w["U"][1])
+        h = h + z * (np.tanh(at[2] + (r * h) @ w["U"][2]) - h)
         kind = lexicon.of_short[x] if x < len(lexicon.short) else lm.SHORT_CLASSES
         own = lexicon.members[kind]
         out += soft(h @ w["C"] + w["c"])[kind] + soft(w["S"][own] @ h + w["s"][own])[list(own).index(x)]
@@ -613,7 +613,7 @@ def test_language_model_scores_as_by_hand():
 
 def test_language_model_has_all_states():
     model = lm.Gru(lm.Lexicon({b"a": 2, lm.END: 1}, np.zeros((lm.SHAPES, 2), np.int64)))
-    assert lm.HIDDEN == 24 and model.w["U"].shape == (24, 72)
+    assert lm.HIDDEN == 24 and model.w["U"].shape == (3, 24, 24)
 
 
 def test_language_model_gradients():
@@ -633,7 +633,7 @@ def test_language_model_gradients():
     _, states, trail = loss()
     _, (dh, dc, dcb, ds, dsb) = model.outputs(states.reshape(-1, lm.HIDDEN).astype(np.float64), words.ravel(), kind.ravel(), True)
     grads = model._back(inputs, dh.reshape(6, 3, -1), trail) | {"C": dc, "c": dcb, "S": ds, "s": dsb}
-    for k, at in (("X", (int(inputs[0, 0]), 3)), ("U", (2, 5)), ("U", (2, 2 * lm.HIDDEN + 1)), ("x", (1,)), ("C", (1, 0)), ("S", (int(words[0, 0]), 2)), ("s", (int(words[0, 0]),))):
+    for k, at in (("X", (0, int(inputs[0, 0]), 3)), ("X", (2, int(inputs[1, 1]), 3)), ("U", (0, 2, 5)), ("U", (1, 2, 5)), ("U", (2, 2, 1)), ("x", (1, 1)), ("C", (1, 0)), ("S", (int(words[0, 0]), 2)), ("s", (int(words[0, 0]),))):
         v = model.w[k]
         v[at] += 1e-3
         up = loss()[0]
