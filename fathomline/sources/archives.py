@@ -29,8 +29,8 @@ def archive_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
-def archive_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of zipped archive files, one task a file, read in pieces."""
+def archive_zip(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Rows of zipped archive files, one task a file, read in pieces; the first ``max_rows`` of each file, if given."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -39,7 +39,7 @@ def archive_zip(spark: SparkSession, path: str) -> DataFrame:
                     for name in archive.namelist():
                         if name.lower().endswith(".csv"):
                             with archive.open(name) as file:
-                                for part in pd.read_csv(file, dtype=str, keep_default_na=False, chunksize=ZIP_ROWS):
+                                for part in pd.read_csv(file, dtype=str, keep_default_na=False, chunksize=ZIP_ROWS, nrows=max_rows):
                                     out = part.reindex(columns=list(ARCHIVE_COLUMNS)).astype(object)
                                     yield out.where(out.notna(), None).assign(seq=part.index.astype("int64") + (number << 40))
 

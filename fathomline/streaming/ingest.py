@@ -39,6 +39,15 @@ def throttle(fixes: DataFrame, interval: float = THROTTLE_S, seq: str = "seq") -
     return fixes.groupBy("mmsi").applyInPandasWithState(keep, fixes.schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def distinct_fixes(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream's fixes without those whose (mmsi, ts) came before, as long as they come no later than ``late``.
+
+    The state is bounded by the watermark; the sink keeps out whatever comes later.
+    """
+    timed = fixes.withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", late)
+    return timed.dropDuplicatesWithinWatermark(["mmsi", "ts"]).drop("_at")
+
+
 def sink(path: str):
     """A ``foreachBatch`` function: append the fixes of a batch whose (mmsi, ts) is not stored yet.
 

@@ -81,3 +81,13 @@ def test_landing_folder_to_tables(spark, tmp_path):
     assert v.awaitTermination(120)
     rows = {r.mmsi: r.name for r in Versions(spark, str(tmp_path / "vessels")).read().collect()}
     assert rows == {1: None, 2: None, 3: "C"}
+
+
+def test_distinct_fixes(spark, tmp_path):
+    for i, rows in enumerate(([(1, 10.0), (1, 10.0), (2, 10.0)], [(1, 10.0), (1, 20.0)])):
+        spark.createDataFrame(rows, "mmsi long, ts double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("mmsi long, ts double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = []
+    q = streaming.distinct_fixes(stream).writeStream.foreachBatch(lambda df, _: got.extend((r.mmsi, r.ts) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(got) == [(1, 10.0), (1, 20.0), (2, 10.0)]
