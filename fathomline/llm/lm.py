@@ -49,7 +49,9 @@ MODULUS, HELD = 7, 2
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
 HIDDEN = 24
-ROUNDS, LANES, BACK, RATE = 2, 512, 16, 1e-2
+ROUNDS, BACK, RATE = 2, 16, 1e-2
+#: Steps that a group learns in, about: so many words abreast, within these limits.
+STEPS, FEW_LANES, LANES = 120, 64, 512
 #: Words that one group learns from in a round, and of one row of them, about.
 GROUP_WORDS, PIECE_WORDS = 1_000_000, 250_000
 SCORE_LANES, WINDOW = 256, 32
@@ -394,11 +396,12 @@ class Gru:
         return {"X": table, "U": du, "x": flat.sum(1)}
 
     def learn(self, inputs: np.ndarray, word: np.ndarray, kind: np.ndarray, offsets: np.ndarray, rate: float) -> None:
-        """One pass over runs of words, ``LANES`` abreast, by Adam on windows of ``BACK`` steps."""
+        """One pass over runs of words, many abreast, by Adam on windows of ``BACK`` words."""
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         h, steps = None, 0
-        total = max(1, int(offsets[-1]) // (LANES * BACK))
-        for idx, mask, fresh, _, keep in _abreast(offsets, LANES, BACK):
+        lanes = int(np.clip(offsets[-1] // (BACK * STEPS), FEW_LANES, LANES))
+        total = max(1, int(offsets[-1]) // (lanes * BACK))
+        for idx, mask, fresh, _, keep in _abreast(offsets, lanes, BACK):
             h = np.zeros((idx.shape[1], HIDDEN), np.float32) if h is None else h[keep]
             h[fresh] = 0
             ids = inputs[idx]
