@@ -55,9 +55,12 @@ def hull_area(points: DataFrame, key: str) -> DataFrame:
 
 
 def trimmed(cloud: DataFrame, keep: float, key: str = "step") -> DataFrame:
-    """Points within a quantile of the distances (in degrees) from their group's centre; small groups whole."""
+    """Points within a quantile of the distances (in degrees) from their group's centre; small groups whole.
+
+    Distances that differ by less than 1e-9 degrees are equal, whatever the order in which the centre was summed.
+    """
     centre = cloud.groupBy(key).agg(F.avg("lon").alias("clon"), F.avg("lat").alias("clat"), F.count("*").alias("n"))
-    rows = cloud.join(centre, key).withColumn("d", F.hypot(F.col("lon") - F.col("clon"), F.col("lat") - F.col("clat")))
+    rows = cloud.join(centre, key).withColumn("d", F.round(F.hypot(F.col("lon") - F.col("clon"), F.col("lat") - F.col("clat")), 9))
     limit = rows.groupBy(key).agg(F.percentile("d", keep).alias("limit"))
     return rows.join(limit, key).where((F.col("n") < 8) | (F.col("d") <= F.col("limit"))).drop("clon", "clat", "n", "d", "limit")
 

@@ -653,7 +653,7 @@ def drift_centreline(t: Tables) -> DataFrame:
 
 
 @query(
-    "select step, p from (select *, quantile_cont(d, 0.9) over (partition by step) as most from (select *, sqrt(pow(lon - avg(lon) over (partition by step), 2) + pow(lat - avg(lat) over (partition by step), 2)) as d from cloud)) where d <= most",
+    "select step, p from (select *, quantile_cont(d, 0.9) over (partition by step) as most from (select *, round(sqrt(pow(lon - avg(lon) over (partition by step), 2) + pow(lat - avg(lat) over (partition by step), 2)), 9) as d from cloud)) where d <= most",
     *_CLOUD_NEEDS, more=_CLOUD,
 )
 def drift_trim_quantile(t: Tables) -> DataFrame:
@@ -715,7 +715,7 @@ def hull_sizes(t: Tables) -> DataFrame:
     return rows.where("vertices >= 3").select("mmsi", "vertices", F.round("area_km2", 2).alias("area_km2"))
 
 
-_TRIMMED = "select distinct step, lon, lat from (select *, quantile_cont(d, 0.9) over (partition by step) as most from (select *, sqrt(pow(lon - avg(lon) over (partition by step), 2) + pow(lat - avg(lat) over (partition by step), 2)) as d from cloud)) where d <= most"
+_TRIMMED = "select distinct step, lon, lat from (select *, quantile_cont(d, 0.9) over (partition by step) as most from (select *, round(sqrt(pow(lon - avg(lon) over (partition by step), 2) + pow(lat - avg(lat) over (partition by step), 2)), 9) as d from cloud)) where d <= most"
 
 
 @query(
