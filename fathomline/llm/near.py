@@ -53,8 +53,8 @@ BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Bits of a hash that are counted; the others only tell sets apart.
 COUNTED = 48
-#: Texts of a shingle that meet in one task, about; the power of two from which on a shingle's texts are dealt to several.
-GROUP, SPREAD = 1024, 11
+#: The power of two of a shingle's texts from which on they are dealt to several groups, of about half as many.
+SPREAD = 11
 #: Pairs of two parts that meet at a shingle in the first slice, and the growth of slices.
 SLICE, GROWTH = 8, 64
 #: Pairs looked at at once, and those whose sketches are compared at once.
@@ -399,7 +399,7 @@ def pairs_across(tokens: DataFrame, nodes: DataFrame, parts: DataFrame, most: in
     Only shingles of different parts matter, and of these only those of three
     texts or more, as two in one group have met.
 
-    A shingle of up to GROUP texts is one group.  Of a more frequent one, the
+    The texts of a shingle that is not very frequent are one group.  Of a more frequent one, the
     texts of its largest part are dealt to several groups and the others go to
     each of these.
     """
