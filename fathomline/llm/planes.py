@@ -42,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import gives_back, shared_dir, short_batches, shuffle_partitions, small_batches
-from fathomline.llm.wordwise import Words, byte_level, runs, tokens_of
+from fathomline.llm.common import gives_back, shared_dir, short_batches, shuffle_partitions
+from fathomline.llm.wordwise import Cut, Words, byte_level, gathered, in_chunks, runs
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 MARK = b"FLPLANES"
@@ -51,7 +51,7 @@ HEAD = struct.Struct(">8s7q")
 #: Ids of a block and, at most but for the last document, of a file.
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 21
 #: Bytes of text encoded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 23
 LEVEL = 3
 
 
@@ -141,20 +141,22 @@ class Reader:
 
 
 def encoder(path: str):
-    """A function from texts to their ids."""
+    """A function from texts (no nulls) to the ids of each."""
     own = byte_level(path, True)
-    words = Words(lambda new: ((w, x.tobytes()) for w, x in tokens_of(new, own.encode, own.lengths)), own.marks)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") for t in texts]
-        extra = words.learn([c[1:] for c in cut])
-        out = []
-        for text, (first, *rest) in zip(texts, cut, strict=True):
-            found = None if any(m in first for m in own.marks) else words.of(rest, extra)
-            if found is None:
-                out.append(np.concatenate([own.encode(r) for r in runs(text)]))
+    words = Words(own.words, own.marks)
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        cut = Cut(texts)
+        found = words.of(cut.words)
+        lost = cut.texts_with(np.array([x is None for x in found], bool))
+        ids, ends = gathered([x or b"" for x in found], cut.index)
+        ends, out = ends[cut.offsets], []
+        for i, first in enumerate(cut.first):
+            if lost[i] or any(m in first for m in own.marks):
+                out.append(np.frombuffer(b"".join([own.encode(r) for r in runs(texts[i].as_py())]), "<u4"))
             else:
-                out.append(np.frombuffer((own.encode(first).tobytes() if first else b"") + b"".join(found), "<u4"))
+                rest = ids[ends[i] : ends[i + 1]]
+                out.append(np.concatenate([np.frombuffer(own.encode(first), "<u4"), rest]) if first else rest)
         return out
 
     return encode
@@ -168,15 +170,13 @@ def _file_batches(batches: Iterator[pa.RecordBatch], path: str, end: int, bits:
     def row() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([pack(part, seq, held, bits)], pa.binary())], ["value"])
 
-    for batch in batches:
-        for some in small_batches(batch, CHUNK):
-            texts = [t or "" for t in some.column("text").to_pylist()]
-            for i, ids in zip(some.column("doc_id").to_pylist(), encode(texts), strict=True):
-                held.append((i, np.concatenate([ids, last])))
-                size += len(ids) + 1
-                if size >= FILE_IDS:
-                    yield row()
-                    held, size, seq = [], 0, seq + 1
+    for some in in_chunks(batches, CHUNK):
+        for i, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text")), strict=True):
+            held.append((i, np.concatenate([ids, last])))
+            size += len(ids) + 1
+            if size >= FILE_IDS:
+                yield row()
+                held, size, seq = [], 0, seq + 1
     if held:
         yield row()
 

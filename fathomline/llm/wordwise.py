@@ -5,26 +5,37 @@ a white-space character does not stand on both sides of the space and no special
 token is near, for a byte-level vocabulary with the usual pattern (a space joins
 the letters, digits or signs after it, and white space before it stays whole) and
 for pieces that hold their space mark in front only.  So the tokens of a text are
-those of its words, end to end, and only words not met before are encoded, many
-in one call of the library: token lengths in bytes tell whose token is whose.
-Texts where a cut is not sure (``odd``) are encoded whole, in runs cut at sure
-places, so that a long text needs no more memory than its tokens.
+those of its words, end to end, and only words not met before are encoded.
+
+The library's model encodes many new words in one call: where no token of the
+vocabulary crosses a boundary of the pattern (tested when it is read), merges stay
+within matches by themselves, and token lengths in bytes tell whose token is whose.
+Words with an apostrophe or white space in a row are cut by the pattern first.
+Texts where a cut is not sure (``odd``) are encoded whole by the library, in runs
+cut at sure places, so that a long text needs no more memory than its tokens.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from fathomline.llm.bpe import splitter
+from fathomline.llm.common import small_batches
+
 #: Words kept by a worker; beyond it the cache starts anew.  Longer words are not kept.
-CACHE, KEPT = 400_000, 64
-#: Characters of words, or of an odd text, that one call encodes.
+CACHE, KEPT = 800_000, 64
+#: Characters of an odd text that one call encodes.
 CALL = 1 << 17
+#: Words that one call encodes.
+TOGETHER = 1000
 _SURE = re.compile(r"\S(?= )")
 
 
@@ -50,12 +61,49 @@ class ByteLevel:
         own = byte_chars()
         self.tokens = {i: bytes(own[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in own for c in t)}
         self.tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"] if t["id"] not in self.tokens}
+        spec_marks = {t["content"] for t in spec["added_tokens"]}
         self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
         for i, b in self.tokens.items():
             self.lengths[i] = len(b)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.table, self.bare = {b: c for c, b in own.items()}, Tokenizer(self.library.model)
+        for i, b in self.tokens.items():
+            text = b.decode(errors="replace")
+            if "\ufffd" not in text and text not in spec_marks and len(splitter().findall(text)) != 1:
+                raise ValueError(f"token {i} of {path} crosses a boundary of the pattern")
+        self.plain = re.compile(r"^\s|^$|'|\s\s|\s$" + "".join("|" + re.escape(m) for m in self.marks))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, whole, as 32-bit numbers."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _model(self, text: str) -> np.ndarray:
+        """Ids of a text by the merges alone."""
+        return np.array(self.bare.encode_batch_fast([text.encode().decode("latin-1").translate(self.table)], add_special_tokens=False)[0].ids, "<u4")
+
+    def _together(self, words: list[str]) -> Iterator[bytes]:
+        ids = self._model(" " + " ".join(words))
+        ends, reach = np.cumsum([len(w.encode()) + 1 for w in words]), np.cumsum(self.lengths[ids])
+        at = np.searchsorted(reach, ends)
+        if at[-1] >= len(reach) or (reach[at] != ends).any():
+            raise ValueError("a token crosses the end of a word")
+        data, start = ids.tobytes(), 0
+        for end in (4 * at + 4).tolist():
+            yield data[start:end]
+            start = end
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with the space before it; none may be odd."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if not self.plain.search(w)]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            for i, x in zip(some, self._together([words[i] for i in some]), strict=True):
+                out[i] = x
+        for i, w in enumerate(words):
+            if not out[i]:
+                out[i] = b"".join([self._model(m).tobytes() for m in splitter().findall(" " + w)])
+        return out
 
 
 @lru_cache(2)
@@ -72,55 +120,76 @@ def runs(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def tokens_of(words: Sequence[str], encode: Callable[[str], np.ndarray], lengths: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-    """Each word with the tokens of it and the space before it, from calls on many words at once."""
-    at = 0
-    while at < len(words):
-        to, size = at, 0
-        while to < len(words) and size < CALL:
-            size += len(words[to]) + 1
-            to += 1
-        own = words[at:to]
-        ids = encode(" " + " ".join(own))
-        ends = np.cumsum([len(w.encode()) + 1 for w in own])
-        at_end = np.searchsorted(reach := np.cumsum(lengths[ids]), ends)
-        if at_end[-1] >= len(reach) or (reach[at_end] != ends).any():
-            raise ValueError("a token crosses the end of a word")
-        start = 0
-        for w, end in zip(own, (at_end + 1).tolist(), strict=True):
-            yield w, ids[start:end]
-            start = end
-        at = to
-
-
 def odd(word: str, marks: tuple[str, ...]) -> bool:
     """Whether the cut before this word may not be a boundary of tokens."""
     return not word or word[0].isspace() or any(m in word for m in marks)
 
 
 class Words(dict):
-    """Word to whatever ``make`` gives for many new words at once; ``None`` for odd ones, which are not kept."""
+    """Word to the value that ``make`` gives for it; odd words have none."""
 
-    def __init__(self, make: Callable[[list[str]], Iterator[tuple[str, object]]], marks: tuple[str, ...] = ()):
+    def __init__(self, make: Callable[[list[str]], Iterable], marks: tuple[str, ...] = (), most: int = CACHE):
         super().__init__()
-        self.make, self.marks = make, marks
+        self.make, self.marks, self.most = make, marks, most
 
-    def learn(self, cut: list[list[str]]) -> dict[str, object]:
-        """Values of all words of some cut texts; the cache, and what is too long to stay in it."""
-        if len(self) > CACHE:
+    def of(self, words: list[str]) -> list:
+        """The values of distinct words; ``None`` for odd ones."""
+        if len(self) > self.most:
             self.clear()
-        new = [w for w in set().union(*cut) if w not in self]
-        sure = [w for w in new if not odd(w, self.marks)]
-        extra = dict.fromkeys(new)
-        for w, value in self.make(sure):
-            extra[w] = value
-            if len(w) <= KEPT:
-                self[w] = value
-        return extra
-
-    def of(self, words: list[str], extra: dict[str, object]) -> list | None:
-        """Values in order, or ``None`` if a word is odd."""
         found = list(map(self.get, words))
-        if None in found:
-            found = [extra.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        return None if None in found else found
+        at = [i for i, x in enumerate(found) if x is None and not odd(words[i], self.marks)]
+        for i, x in zip(at, self.make([words[i] for i in at]), strict=True):
+            found[i] = x
+            if len(words[i]) <= KEPT:
+                self[words[i]] = x
+        return found
+
+
+class Cut:
+    """Texts cut before every space: distinct words, and which words make each text.
+
+    The first word of a text, with no space before it, is apart (``first``); ``index`` has the
+    others of all texts end to end, ``offsets`` where those of each text begin.
+    """
+
+    def __init__(self, texts: pa.Array, space_first: bool = False):
+        lists = pc.split_pattern(texts, " ")
+        flat = lists.flatten().dictionary_encode()
+        every, at = flat.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        names = flat.dictionary.to_numpy(zero_copy_only=False)
+        self.first: list[str] = names[every[at[:-1]]].tolist()
+        if not space_first:
+            every, at = np.delete(every, at[:-1]), at - np.arange(len(at))
+        used, self.index = np.unique(every, return_inverse=True)
+        self.words: list[str] = names[used].tolist()
+        self.offsets = at
+
+    def texts_with(self, flag: np.ndarray) -> np.ndarray:
+        """Whether each text has a word with the flag."""
+        return np.diff(np.r_[0, np.cumsum(flag[self.index])][self.offsets]) > 0
+
+
+def gathered(parts: list[bytes], index: np.ndarray, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the parts that ``index`` names, end to end, and where each begins."""
+    flat = np.frombuffer(b"".join(parts), kind)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // flat.itemsize
+    starts, own = np.r_[0, np.cumsum(sizes)][:-1], sizes[index]
+    ends = np.r_[0, np.cumsum(own)]
+    return flat[np.repeat(starts[index] - ends[:-1], own) + np.arange(ends[-1])], ends
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``size`` bytes, and cut where they have more; null texts become empty."""
+    held, count = [], 0
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        batch = batch.set_column(at, column, pc.fill_null(batch.column(at), ""))
+        for some in small_batches(batch, size, column):
+            held.append(some)
+            count += pc.sum(pc.binary_length(some.column(at))).as_py() or 0
+            if count >= size:
+                yield pa.concat_batches(held)
+                held, count = [], 0
+    if held:
+        yield pa.concat_batches(held)

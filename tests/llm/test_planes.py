@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,10 +54,10 @@ def test_words_are_those_of_the_whole_text():
     rng, encode, own = random.Random(5), planes.encoder(PATH), Tokenizer.from_file(PATH)
     parts = [" ", "  ", "\n", "\t", " ", "a", "Hello", "it's", "'s", "12", "é", "日本", "\U0001f600", ".", "!?", "<|endoftext|>", "x" * 70, "\r\n", "　", "\x00", "▁"]
     texts = ["", " ", "<|endoftext|>", "a\n <|endoftext|> b"] + ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(3000)]
-    for text, ids in zip(texts, encode(texts), strict=True):
+    for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
         assert ids.tolist() == own.encode(text, add_special_tokens=False).ids, text
     long = "word  and \n more  " * 40_000
-    assert len(list(wordwise.runs(long))) > 2 and encode([long])[0].tolist() == own.encode(long, add_special_tokens=False).ids
+    assert len(list(wordwise.runs(long))) > 2 and encode(pa.array([long]))[0].tolist() == own.encode(long, add_special_tokens=False).ids
 
 
 def test_planes(spark, data, docs):
