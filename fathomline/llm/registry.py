@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import bpe, decontam, lm, planes, quality, repair, secrets, sharding, simhash, suffix, topk, warc
+from fathomline.llm import align, bpe, decontam, lm, planes, quality, repair, secrets, sharding, simhash, suffix, topk, warc
 from fathomline.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
 def op12_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.report(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_quality, op3_pivot_top_k, op4_bpe, op5_decontamination, op6_simhash, op7_warc, op8_secrets, op9_gru, op10_suffix_dedup, op12_planes, op13_repair)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_quality, op3_pivot_top_k, op4_bpe, op5_decontamination, op6_simhash, op7_warc, op8_secrets, op9_gru, op10_suffix_dedup, op11_align, op12_planes, op13_repair)}
 
 
 OP5_SQL = r"""
