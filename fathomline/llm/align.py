@@ -41,12 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import gives_back, materialize, short_batches
-from fathomline.llm.wordwise import Cut, Words, byte_level, gathered, in_chunks, runs
+from fathomline.llm.wordwise import Cut, Words, byte_level, in_chunks, runs, spread
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block, about.
-BLOCK_BYTES = 8 << 20
-CACHE = 300_000
+BLOCK_BYTES = 4 << 20
+#: Words that DuckDB gets at once, and that a task keeps.
+TOGETHER, CACHE = 20_000, 200_000
 MARK = "▁"
 
 BLOCK = "block long, doc_ids array<long>, stats array<long>, shas array<string>, pairs array<long>, documents array<int>, sizes array<long>, entries binary"
@@ -93,6 +94,9 @@ class Linked:
         self.links, self.groups, self.counts = links, groups, counts
 
 
+EMPTY = Linked(b"", "", (0, 0, 0))
+
+
 def _groups(aid: list[str], bid: list[str], is_a: list[bool], is_b: list[bool]) -> str:
     """``a1,a2|b1;a3|b2,b3`` of the overlaps of one text in order."""
     out, a, b = [], [], []
@@ -114,7 +118,7 @@ class Aligner:
         self.a, self.b = byte_level(first, False), pieces(second)
         self.con = duckdb.connect()
         self.con.execute("set threads = 1")
-        self.con.execute("set memory_limit = '600MB'")
+        self.con.execute("set memory_limit = '300MB'")
         self.words = Words(self._words, most=CACHE)
 
     def linked(self, a: list[np.ndarray], b: list[np.ndarray], want: list[bytes]) -> list[Linked | None]:
@@ -144,12 +148,12 @@ class Aligner:
             found[i] = Linked(codes[8 * lo : 8 * to], _groups(aid[lo:to], bid[lo:to], is_a[lo:to], is_b[lo:to]), tuple(counts[k]))
         return found
 
-    def _words(self, words: list[str]) -> list[Linked | None]:
-        if not words:
-            return []
-        a = [np.frombuffer(x, "<u4") for x in self.a.words(words)]
-        b = [np.array(x, np.int64) for x in self.b.library.encode(words, num_threads=1)]
-        return self.linked(a, b, [b" " + w.encode() for w in words])
+    def _words(self, words: list[str]) -> Iterator[Linked | None]:
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            a = [np.frombuffer(x, "<u4") for x in self.a.words(own)]
+            b = [np.array(x, np.int32) for x in self.b.library.encode(own, num_threads=1)]
+            yield from self.linked(a, b, [b" " + w.encode() for w in own])
 
     def whole(self, text: str) -> Linked | None:
         """A text where a cut is not sure."""
@@ -158,30 +162,22 @@ class Aligner:
         a = np.frombuffer(b"".join([self.a.encode(r) for r in runs(" " + text)]), "<u4")
         return self.linked([a], [np.array(self.b.library.encode(text, num_threads=1), np.int64)], [b" " + text.encode()])[0]
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
-        """Counts (a, b, groups, links), group hashes and link codes of each text."""
+    def texts(self, texts: pa.Array) -> tuple[list[Linked], np.ndarray, np.ndarray]:
+        """Alignments of words and of whole odd texts, those that make each text end to end, and where each text begins."""
         cut = Cut(texts, space_first=True)
-        words = self.words.of(cut.words)
-        lost = cut.texts_with(np.array([x is None for x in words], bool))
-        parts = [b"" if x is None else x.links for x in words]
-        links, ends = gathered(parts, cut.index, "<i8")
-        ends = ends[cut.offsets]
-        counts = np.array([(0, 0, 0) if x is None else x.counts for x in words], np.int64).reshape(-1, 3)[cut.index]
-        sums = np.diff(np.r_[np.zeros((1, 3), np.int64), np.cumsum(counts, 0)][cut.offsets], axis=0)
-        names = np.array(["" if x is None else x.groups for x in words], object)
-        stats, shas, found = [], [], []
-        for i in range(len(lost)):
-            if lost[i]:
-                own = self.whole(texts[i].as_py())
-                codes = np.frombuffer(own.links if own else b"", "<i8")
-                stats.append((*(own.counts if own else (0, 0, 0)), len(codes)))
-                shas.append(hashlib.sha256(own.groups.encode()).hexdigest() if own else "")
-            else:
-                codes = links[ends[i] : ends[i + 1]]
-                stats.append((*sums[i].tolist(), len(codes)))
-                shas.append(hashlib.sha256(";".join(names[cut.index[cut.offsets[i] : cut.offsets[i + 1]]].tolist()).encode()).hexdigest())
-            found.append(codes)
-        return np.array(stats, np.int64).reshape(-1, 4), shas, found
+        known = self.words.of(cut.words)
+        lost = cut.texts_with(np.array([x is None for x in known], bool))
+        sizes = np.diff(cut.offsets)
+        index, every = cut.index[~np.repeat(lost, sizes)], [x for x in known if x is not None]
+        place = np.cumsum([x is not None for x in known]) - 1  # among those that have one
+        index = place[index]
+        if lost.any():
+            own = [self.whole(texts[int(i)].as_py()) or EMPTY for i in np.flatnonzero(lost)]
+            at = np.r_[0, np.cumsum(np.where(lost, 0, sizes))][:-1][lost]
+            index = np.insert(index, at, len(every) + np.arange(len(own)))
+            every += own
+        used, index = np.unique(index, return_inverse=True)
+        return [every[i] for i in used.tolist()], index, np.r_[0, np.cumsum(np.where(lost, 1, sizes))]
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -197,10 +193,14 @@ def _unpack(blob: bytes, columns: int) -> np.ndarray:
 def _block_batches(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
     own, task, number = Aligner(first, second), TaskContext.get().partitionId(), 0
     for some in in_chunks(batches, BLOCK_BYTES):
-        stats, shas, links = own.texts(some.column("text"))
-        pairs, at = np.unique(np.concatenate(links), return_inverse=True)
-        doc = np.repeat(np.arange(len(links)), [len(x) for x in links])
-        del links
+        parts, index, offsets = own.texts(some.column("text"))
+        pairs, inside = np.unique(np.frombuffer(b"".join([x.links for x in parts]), "<i8"), return_inverse=True)
+        counts = np.array([(*x.counts, len(x.links) // 8) for x in parts], np.int64).reshape(-1, 4)
+        stats = np.diff(np.r_[np.zeros((1, 4), np.int64), np.cumsum(counts[index], 0)][offsets], axis=0)
+        names = np.array([x.groups for x in parts], object)
+        shas = [hashlib.sha256(t.encode()).hexdigest() if (t := ";".join(names[index[a:b]].tolist())) else "" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        at, ends = spread(inside, counts[:, 3], index)
+        doc = np.repeat(np.arange(len(shas)), np.diff(ends[offsets]))
         keys, times = np.unique(doc * max(1, len(pairs)) + at, return_counts=True)
         doc, at = np.divmod(keys, max(1, len(pairs)))
         lists = [pairs.astype(np.int64), np.bincount(at, minlength=len(pairs)).astype(np.int32), np.bincount(doc, minlength=len(shas)).astype(np.int64)]

@@ -170,15 +170,18 @@ class Cut:
         return np.diff(np.r_[0, np.cumsum(flag[self.index])][self.offsets]) > 0
 
 
-def gathered(parts: list[bytes], index: np.ndarray, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the parts that ``index`` names, end to end, and where each begins."""
-    flat = np.frombuffer(b"".join(parts), kind)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // flat.itemsize
+def spread(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts that lie end to end in ``flat``, those that ``index`` names end to end, and where each begins."""
     starts, own = np.r_[0, np.cumsum(sizes)][:-1], sizes[index]
     ends = np.r_[0, np.cumsum(own)]
     return flat[np.repeat(starts[index] - ends[:-1], own) + np.arange(ends[-1])], ends
 
 
+def gathered(parts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for ids as bytes."""
+    return spread(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, index)
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches joined up to about ``size`` bytes, and cut where they have more; null texts become empty."""
     held, count = [], 0

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
@@ -81,12 +82,15 @@ def test_texts_word_by_word():
     rng, own = random.Random(5), align.Aligner(FIRST, SECOND)
     parts = [" ", "  ", "\n", "\t", "a", "Hello", "it's", "'s", "12", "é", "日本", "\U0001f600", ".", "!?", "<|endoftext|>", "<s>", "<0x41>", "x" * 70, "\r\n", "　", "▁", "<unk>"]
     texts = ["", " ", "a", "▁", " a", "a  b"] + ["".join(rng.choices(parts, weights=[8] + [1] * (len(parts) - 1), k=rng.randint(1, 12))) for _ in range(1500)]
-    stats, shas, links = own.texts(pa.array(texts))
+    parts, index, offsets = own.texts(pa.array(texts))
     some = 0
-    for text, (a, b, g, n), sha, codes in zip(texts, stats.tolist(), shas, links, strict=True):
-        w = PLAIN.of(text)
-        assert (a, b, g, sha) == (*w[:3], w[4]) and Counter((c >> 32, c & 0xFFFFFFFF) for c in codes.tolist()) == w[3] and n == sum(w[3].values()), text
-        some += bool(text) and not a
+    for text, lo, hi in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        w, mine = PLAIN.of(text), [parts[i] for i in index[lo:hi]]
+        codes = np.frombuffer(b"".join(x.links for x in mine), "<i8").tolist()
+        groups = ";".join(x.groups for x in mine)
+        assert tuple(sum(x.counts[k] for x in mine) for k in range(3)) == w[:3] and Counter((c >> 32, c & 0xFFFFFFFF) for c in codes) == w[3], text
+        assert (hashlib.sha256(groups.encode()).hexdigest() if groups else "") == w[4]
+        some += bool(text) and not w[0]
     assert some > 20
 
 
