@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -97,20 +98,6 @@ class Linked:
 EMPTY = Linked(b"", "", (0, 0, 0))
 
 
-def _groups(aid: list[str], bid: list[str], is_a: list[bool], is_b: list[bool]) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of the overlaps of one text in order."""
-    out, a, b = [], [], []
-    for x, y, p, q in zip(aid, bid, is_a, is_b, strict=True):
-        if p:
-            a.append(x)
-        if q:
-            b.append(y)
-        if p and q:
-            out.append(",".join(a) + "|" + ",".join(b))
-            a, b = [], []
-    return ";".join(out)
-
-
 class Aligner:
     """Encodes with both sides and aligns in DuckDB; one a task."""
 
@@ -120,17 +107,27 @@ class Aligner:
         self.con.execute("set threads = 1")
         self.con.execute("set memory_limit = '300MB'")
         self.words = Words(self._words, most=CACHE)
+        self.digits = [np.array([f"{i}{c}" for i in range(max(len(self.a.lengths), len(self.b.lengths)))], object) for c in ",|;"]
 
-    def linked(self, a: list[np.ndarray], b: list[np.ndarray], want: list[bytes]) -> list[Linked | None]:
+    def _spelt(self, tokens: list[bytes], ids: list[int], ends: list[int], want: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each byte string, which end at ``ends``, spell it."""
+        parts = [tokens[k] for k in ids]
+        bounds = [0, *ends]
+        return np.fromiter((b"".join(parts[a:b]) == w for a, b, w in zip(bounds, ends, want, strict=False)), bool, len(want))
+
+    def linked(self, a: list[bytes], b: list[list[int]], want: list[bytes]) -> list[Linked | None]:
         """Alignments of the tokens of some byte strings; ``None`` where they do not spell them."""
         found: list[Linked | None] = [None] * len(want)
-        good = [i for i, (x, y, w) in enumerate(zip(a, b, want, strict=True)) if b"".join([self.a.tokens[k] for k in x.tolist()]) == w and b"".join([self.b.tokens[k] for k in y.tolist()]) == w]
-        if not good:
+        ia, ib = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        na, nb = np.fromiter(map(len, a), np.int64, len(a)) // 4, np.fromiter(map(len, b), np.int64, len(b))
+        ok = self._spelt(self.a.tokens, ia.tolist(), np.cumsum(na).tolist(), want) & self._spelt(self.b.tokens, ib.tolist(), np.cumsum(nb).tolist(), want)
+        if not ok.any():
             return found
-        ia, ib = np.concatenate([a[i] for i in good]), np.concatenate([b[i] for i in good])
+        ia, ib = ia[np.repeat(ok, na)], ib[np.repeat(ok, nb)]
+        good = np.flatnonzero(ok).tolist()
         hi = np.cumsum([len(want[i]) for i in good])
         tables = {
-            "a": {"e": np.cumsum(self.a.lengths[ia]), "id": ia.astype(np.int64)}, "b": {"e": np.cumsum(self.b.lengths[ib]), "id": ib.astype(np.int64)},
+            "a": {"e": np.cumsum(self.a.lengths[ia]), "id": ia}, "b": {"e": np.cumsum(self.b.lengths[ib]), "id": ib},
             "w": {"n": np.arange(len(good)), "lo": np.r_[0, hi[:-1]], "hi": hi},
         }
         for name, columns in tables.items():
@@ -142,25 +139,31 @@ class Aligner:
         codes = (r["aid"] << 32 | r["bid"]).astype("<i8").tobytes()
         before = np.r_[0, np.cumsum(r["is_a"])], np.r_[0, np.cumsum(r["is_b"])], np.r_[r["g"], r["g"][-1:] + 1]
         counts = np.stack([np.diff(x[cuts]) for x in before], 1).tolist()
-        aid, bid, is_a, is_b = (list(map(str, r["aid"].tolist())), list(map(str, r["bid"].tolist())), r["is_a"].tolist(), r["is_b"].tolist())
+        parts, starts = self._groups(r), (before[0] + before[1])[cuts].tolist()
         for k, i in enumerate(good):
-            lo, to = cuts[k], cuts[k + 1]
-            found[i] = Linked(codes[8 * lo : 8 * to], _groups(aid[lo:to], bid[lo:to], is_a[lo:to], is_b[lo:to]), tuple(counts[k]))
+            found[i] = Linked(codes[8 * cuts[k] : 8 * cuts[k + 1]], "".join(parts[starts[k] : starts[k + 1]])[:-1], tuple(counts[k]))
         return found
 
+    def _groups(self, r: dict[str, np.ndarray]) -> list[str]:
+        """``a1,a2|b1;`` of all groups in order, token by token."""
+        ga, gb = r["g"][r["is_a"]], r["g"][r["is_b"]]
+        ia, ib = r["aid"][r["is_a"]], r["bid"][r["is_b"]]
+        out = np.empty(len(ga) + len(gb), object)
+        comma, bar, end = self.digits
+        out[np.arange(len(ga)) + np.searchsorted(gb, ga)] = np.where(np.r_[ga[1:] != ga[:-1], True], bar[ia], comma[ia])
+        out[np.arange(len(gb)) + np.searchsorted(ga, gb, "right")] = np.where(np.r_[gb[1:] != gb[:-1], True], end[ib], comma[ib])
+        return out.tolist()
+
     def _words(self, words: list[str]) -> Iterator[Linked | None]:
         for at in range(0, len(words), TOGETHER):
             own = words[at : at + TOGETHER]
-            a = [np.frombuffer(x, "<u4") for x in self.a.words(own)]
-            b = [np.array(x, np.int32) for x in self.b.library.encode(own, num_threads=1)]
-            yield from self.linked(a, b, [b" " + w.encode() for w in own])
+            yield from self.linked(self.a.words(own), self.b.library.encode(own, num_threads=1), [b" " + w.encode() for w in own])
 
     def whole(self, text: str) -> Linked | None:
         """A text where a cut is not sure."""
         if not text:
             return None
-        a = np.frombuffer(b"".join([self.a.encode(r) for r in runs(" " + text)]), "<u4")
-        return self.linked([a], [np.array(self.b.library.encode(text, num_threads=1), np.int64)], [b" " + text.encode()])[0]
+        return self.linked([b"".join([self.a.encode(r) for r in runs(" " + text)])], [self.b.library.encode(text, num_threads=1)], [b" " + text.encode()])[0]
 
     def texts(self, texts: pa.Array) -> tuple[list[Linked], np.ndarray, np.ndarray]:
         """Alignments of words and of whole odd texts, those that make each text end to end, and where each text begins."""
