@@ -96,14 +96,14 @@ from d left join c using (doc_id) left join n using (doc_id)
 
 OP3_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  select q.n, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
 )
 select query_id, cast(rank as int) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+from (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
 OP7_SQL = """

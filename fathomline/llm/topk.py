@@ -16,8 +16,8 @@ so later chunks are eliminated faster.
 
 Edge cases: vectors that are null, hold a null or non-finite
 component or are empty take no part; each length of vectors is searched by
-itself, as products need equal lengths; ties go to the smaller id, rows that share an id count each (a query's own id never);
-fewer than k candidates give fewer rows; an empty table gives none.
+itself, as products need equal lengths; ties go to the smaller id; rows that share an id count each (a query's own id never),
+and each row of a query's id, repeated ones too, is a query with results of its own; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ PIVOTS = 32
 QUERY_BLOCK, QUERY_BYTES = 16_384, 32 << 20
 #: Candidates eliminated at once, and evaluated between two looks at the bound.
 CHUNK, STEP = 4096, 512
-MATCH = "query_id long, vec_id long, score long"
+MATCH = "query long, query_id long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -65,8 +65,8 @@ def _table_batches(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Ite
 
 
 class QueryBlock:
-    def __init__(self, ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
+        self.numbers, self.ids, self.q, self.k = numbers, ids, q, k
         self.square = (q * q).sum(1)
         self.far = np.sqrt(np.maximum(self.square[:, None] + (pivots * pivots).sum(1) - 2 * (q @ pivots.T), 0))
 
@@ -103,8 +103,8 @@ def _search_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
             best = [eliminate(block, i, ids, x, square, far, best[i]) for i in range(len(best))]
     rows = [len(s) for s, _ in best]
     if sum(rows):
-        columns = [np.repeat(block.ids, rows), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best]).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+        columns = [np.repeat(block.numbers, rows), np.repeat(block.ids, rows), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best]).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, pivots: int = PIVOTS) -> DataFrame:
@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
     merged = parts[0]
     for more in parts[1:]:
         merged = merged.unionByName(more)
-    best = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query", "dim").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -129,13 +129,13 @@ def _top_k(rows: DataFrame, dim: int, k: int, every: int, pivots: int) -> DataFr
     points = np.array([r.v for r in first], np.float64)
     schema = "vec_id long, v array<bigint>, far array<double>"
     candidates = materialize(rows.mapInArrow(lambda it: _table_batches(it, points), schema), "pivot-table")
-    queries = candidates.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").distinct()
+    queries = candidates.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", F.monotonically_increasing_id().alias("query"))
     blocks = -(-queries.count() // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * (dim + len(points))))))
-    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(blocks, 1)))), "queries")
+    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(blocks, 1)))), "queries")
     folder = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex[:12]}"
     for b in range(blocks):
-        own = queries.where(F.col("block") == b).select("vec_id", "v").orderBy("vec_id").collect()
-        block = spark.sparkContext.broadcast(QueryBlock(np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], np.float64).reshape(-1, dim), points, k))
+        own = queries.where(F.col("block") == b).select("query", "vec_id", "v").orderBy("vec_id").collect()
+        block = spark.sparkContext.broadcast(QueryBlock(np.array([r.query for r in own], np.int64), np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], np.float64).reshape(-1, dim), points, k))
         candidates.mapInArrow(lambda it, block=block: _search_batches(it, block), MATCH).write.parquet(f"{folder}/block={b}")
         block.unpersist()
     if not blocks:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -149,18 +150,20 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=8).astype("f4")]) for i in range(400)]
     vectors[7] = (7, vectors[100][1])
-    odd = [(401, None), (402, [None] + [1.0] * 7), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (50, vectors[3][1])]
+    odd = [(50, vectors[3][1]), (100, vectors[100][1]), (401, None), (402, [None] + [1.0] * 7), (403, [float("nan")] * 8), (404, [float("inf")] * 8)]
     df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>").repartition(3)
-    whole = [(i, np.floor(np.array(v, "f8") * 256)) for i, v in vectors + odd[4:]]
-    want = set()
+    whole = [(i, np.floor(np.array(v, "f8") * 256)) for i, v in vectors + odd[:2]]
+    want = Counter()  # each row of an id is a query of its own
     for q, x in whole:
-        if q % 50 == 0 and q != 50:
+        if q % 50 == 0:
             best = sorted(((int(x @ y), i) for i, y in whole if i != q), key=lambda s: (-s[0], s[1]))[:5]
-            want |= {(q, k, i, s) for k, (s, i) in enumerate(best, 1)}
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect()}
-    assert {g for g in got if g[0] != 50} == want
+            want += Counter((q, k, i, s) for k, (s, i) in enumerate(best, 1))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == want and got.total() == 50
+    table = pa.table({"vec_id": [i for i, _ in vectors + odd[:2]], "embedding": pa.array([v for _, v in vectors + odd[:2]], pa.list_(pa.float32()))})
+    assert Counter(duckdb.from_arrow(table).query("embeddings", registry.OP3_SQL).fetchall()) == Counter((q, k, i, s) for q, k, i, s in got.elements())
     assert topk.top_k(df.where("false")).count() == 0
-    assert topk.top_k(df.where("vec_id in (100, 101)")).count() == 1
+    assert topk.top_k(df.where("vec_id in (100, 101)")).count() == 2
 
 
 def test_top_k_in_blocks(spark, monkeypatch):
