@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,27 +19,27 @@ def clean(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"sog": sane(F.col("raw_sog"), 102.3, 0, 102.2), "cog": sane(F.col("raw_cog"), 360, 0, 359.9), "heading": sane(F.col("raw_heading"), 511, 0, 359)})
 
 
-def throttle(fixes: DataFrame, seq: str = "seq", interval: float = THROTTLE_S) -> DataFrame:
+def throttle(fixes: DataFrame, seq: str | Sequence[str] = "seq", interval: float = THROTTLE_S) -> DataFrame:
     """Per vessel in order of arrival, the fixes at least ``interval`` after the last one kept.
 
     The decision depends on the last *kept* fix, so each vessel is a fold.  Its
-    sorted (seq, ts) pairs stream through a task, which remembers one number; the
-    other columns are joined back by (mmsi, seq).
+    rows stream through a task in order of ``seq`` (one column or several, which
+    need not be unique), and the task remembers one number.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vessel, last = None, 0.0
-        for pdf in frames:
+        for batch in batches:
             kept = []
-            for i, (mmsi, ts) in enumerate(zip(pdf["mmsi"].tolist(), pdf["ts"].tolist(), strict=True)):
+            for i, (mmsi, ts) in enumerate(zip(batch.column("mmsi").to_pylist(), batch.column("ts").to_pylist(), strict=True)):
                 if mmsi != vessel or ts - last >= interval:
                     kept.append(i)
                     vessel, last = mmsi, ts
-            yield pdf.iloc[kept][["mmsi", "seq"]]
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    pairs = fixes.where("mmsi is not null and ts is not null").select("mmsi", F.col(seq).cast("bigint").alias("seq"), "ts")
-    kept = pairs.repartition("mmsi").sortWithinPartitions("mmsi", "seq", "ts").mapInPandas(fold, f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, seq bigint")
-    return fixes.join(kept.withColumnRenamed("seq", seq), ["mmsi", seq], "left_semi")
+    order = [seq] if isinstance(seq, str) else list(seq)
+    known = fixes.where("mmsi is not null and ts is not null")
+    return known.repartition("mmsi").sortWithinPartitions("mmsi", *order, "ts").mapInArrow(fold, fixes.schema)
 
 
 def first_wins(batch: DataFrame, history: DataFrame | None = None, seq: str = "seq", keys: Sequence[str] = ("mmsi", "ts")) -> DataFrame:

@@ -17,13 +17,13 @@ from fathomline.functions.scalars import sane
 DETECTED, NOW = 1704153600.0, 996624000.0
 
 
-def _padded(x: str) -> str:
+def padded(x: str) -> str:
     """A number of five digits at least, never cut."""
     return f"lpad(cast({x} as string), cast(greatest(5, length(cast({x} as string))) as int), '0')"
 
 
-def _padded_sql(x: str) -> str:
-    return _padded(x).replace("string", "varchar")
+def padded_sql(x: str) -> str:
+    return padded(x).replace("string", "varchar")
 
 
 class Tables:
@@ -76,7 +76,7 @@ class Tables:
     @cached_property
     def incidents(self) -> DataFrame:
         return self.source("orders").selectExpr(
-            f"concat('OTA-2024-', {_padded('o_orderkey')}) as incident_id",
+            f"concat('OTA-2024-', {padded('o_orderkey')}) as incident_id",
             "cast(datediff(o_orderdate, date'1970-01-01') * 86400L as double) as detected_at",
             "50 + (o_orderkey % 700) / 100d as lat",
             "2 + (o_custkey % 700) / 100d as lon",
@@ -90,7 +90,7 @@ class Tables:
     @cached_property
     def candidates(self) -> DataFrame:
         rows = self.source("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
-        rows = rows.selectExpr(f"concat('OTA-2024-', {_padded('l_orderkey')}) as incident_id", "200000000 + l_suppkey as mmsi", "round(1 - d * 5, 4) as score", "d")
+        rows = rows.selectExpr(f"concat('OTA-2024-', {padded('l_orderkey')}) as incident_id", "200000000 + l_suppkey as mmsi", "round(1 - d * 5, 4) as score", "d")
         best = Window.partitionBy("incident_id").orderBy(F.desc("score"), "mmsi")
         return rows.withColumn("rank", F.row_number().over(best))
 
@@ -147,13 +147,13 @@ CTES = {
   cast(case when user_id % 9 = 0 then null else 20 + (user_id * 7) % 80 end as int) as ship_type, cast(20 + (user_id * 13) % 380 as double) as length_m
   from (select distinct user_id from events where user_id % 12 <> 5) u left join customer on c_custkey = user_id""",
     "incidents": f"""select *, detected_at + 3600e0 * (1 + cast(substr(incident_id, 10) as bigint) % 48) as created_at from (
-  select 'OTA-2024-' || {_padded_sql('o_orderkey')} as incident_id, cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 86400 as double) as detected_at,
+  select 'OTA-2024-' || {padded_sql('o_orderkey')} as incident_id, cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 86400 as double) as detected_at,
   50 + (o_orderkey % 700) / 100e0 as lat, 2 + (o_custkey % 700) / 100e0 as lon, o_totalprice / 10000e0 as area_km2, ((o_orderkey * 31) % 1000) / 1000e0 as confidence,
   case o_orderstatus when 'F' then 'Confirmed' when 'O' then 'Under Investigation' else 'Dismissed' end as status,
   case o_custkey % 7 when 0 then 'mumbai' when 1 then 'gulf-of-kutch' when 2 then 'north-sea' when 3 then 'english-channel' when 4 then 'gulf-of-mexico' when 5 then 'singapore' end as region,
   'S1A_' || o_custkey as scene_id from orders)""",
     "candidates": f"""select *, cast(row_number() over (partition by incident_id order by score desc, mmsi) as int) as rank from (
-  select 'OTA-2024-' || {_padded_sql('l_orderkey')} as incident_id, 200000000 + l_suppkey as mmsi, round(1 - d * 5, 4) as score, d
+  select 'OTA-2024-' || {padded_sql('l_orderkey')} as incident_id, 200000000 + l_suppkey as mmsi, round(1 - d * 5, 4) as score, d
   from (select l_orderkey, l_suppkey, max(l_discount) as d from lineitem group by 1, 2))""",
     "alerts": "select event_id as id, e as ts, case when event_id % 3 = 0 then null else 'OTA-2024-' || lpad(cast(event_id % 2500 as varchar), 5, '0') end as incident_id, event_type as kind from ev where event_type = 'error'",
     "timeline": "select incident_id, detected_at as ts, 'detected' as stage from incidents union all select incident_id, created_at, 'created' from incidents",

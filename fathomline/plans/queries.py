@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, TYPE_BASE_OTHER, WEIGHTS, region
 from fathomline.functions import geo, scalars, sql
 from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
-from fathomline.plans.fixtures import DETECTED, NOW, Tables, with_tables
+from fathomline.plans.fixtures import DETECTED, NOW, Tables, padded, padded_sql, with_tables
 from fathomline.sources import archives, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,12 +376,12 @@ _ARCHIVED = f"select mmsi, seq, floor(ts) as ts, lat, lon, case when seq % 3 = 0
 def archive_positions(t: Tables) -> DataFrame:
     sea = region(SEA)
     found = archives.archive_fixes(_archive_rows(t), (sea.lon_min, sea.lat_min, sea.lon_max, sea.lat_max), interval=float("-inf"))
-    return found.select("mmsi", "seq", "ts", "lat", "lon", "sog", "nav_status")
+    return found.select("mmsi", F.col("row").alias("seq"), "ts", "lat", "lon", "sog", "nav_status")
 
 
 def _archive_rows(t: Tables) -> DataFrame:
     return t.ais_raw.selectExpr(
-        "case when seq % 16 = 3 then 'unknown' else cast(mmsi as string) end as MMSI", "seq", f"case when seq % 16 = 11 then 'later' else {_utc('floor(ts)', 'yyyy-MM-dd')} || 'T' || {_utc('floor(ts)', 'HH:mm:ss')} end as BaseDateTime",
+        "case when seq % 16 = 3 then 'unknown' else cast(mmsi as string) end as MMSI", "concat('day-', cast(floor(ts / 86400) as string)) as file", "'' as member", "seq as row", f"case when seq % 16 = 11 then 'later' else {_utc('floor(ts)', 'yyyy-MM-dd')} || 'T' || {_utc('floor(ts)', 'HH:mm:ss')} end as BaseDateTime",
         "cast(lat as string) as LAT", "cast(lon as string) as LON", "case when seq % 6 = 0 then '0.0' when seq % 6 = 3 then ' ' else cast(raw_sog as string) end as SOG", "'' as COG", "'511.0' as Heading", "cast(nav_status as string) as Status",
     )
 
@@ -670,14 +670,14 @@ def drift_seeded(t: Tables) -> DataFrame:
 
 
 @query(
-    "select incident_id, arg_max(hours, computed_at) as hours, max(computed_at) as computed_at from (select 'OTA-2024-' || lpad(cast(user_id as varchar), 5, '0') as incident_id, cast(event_id as double) as computed_at, cast(event_id % 48 as int) as hours from events) group by 1"
+    f"select incident_id, arg_max(hours, computed_at) as hours, max(computed_at) as computed_at from (select 'OTA-2024-' || {padded_sql('user_id')} as incident_id, cast(event_id as double) as computed_at, cast(event_id % 48 as int) as hours from events) group by 1"
 )
 def drift_runs_latest(t: Tables) -> DataFrame:
     return _latest_runs(t)
 
 
 def _latest_runs(t: Tables) -> DataFrame:
-    runs = t.source("events").selectExpr("concat('OTA-2024-', lpad(cast(user_id as string), 5, '0')) as incident_id", "cast(event_id as double) as computed_at", "cast(event_id % 48 as int) as hours")
+    runs = t.source("events").selectExpr(f"concat('OTA-2024-', {padded('user_id')}) as incident_id", "cast(event_id as double) as computed_at", "cast(event_id % 48 as int) as hours")
     return ingest.keep_latest(runs, "incident_id", "computed_at")
 
 
@@ -970,9 +970,9 @@ def detect_scene(t: Tables) -> DataFrame:
 
 
 @query(
-    """select 'alerts' as "table", count(*) as orphans from alerts where incident_id is not null and incident_id not in (select incident_id from incidents)
+    f"""select 'alerts' as "table", count(*) as orphans from alerts where incident_id is not null and incident_id not in (select incident_id from incidents)
 union all select 'candidates', count(*) from candidates where incident_id not in (select incident_id from incidents) union all select 'timeline', count(*) from timeline where incident_id not in (select incident_id from incidents)
-union all select 'drift_runs', count(*) from (select distinct 'OTA-2024-' || lpad(cast(user_id as varchar), 5, '0') as incident_id from events) where incident_id not in (select incident_id from incidents)""",
+union all select 'drift_runs', count(*) from (select distinct 'OTA-2024-' || {padded_sql('user_id')} as incident_id from events) where incident_id not in (select incident_id from incidents)""",
     "alerts", "candidates", "timeline", "incidents",
 )
 def orphans(t: Tables) -> DataFrame:

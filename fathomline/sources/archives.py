@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,42 +23,49 @@ ARCHIVE_COLUMNS = (
 )
 ARCHIVE_SCHEMA = ", ".join(f"{c} string" for c in ARCHIVE_COLUMNS)
 ZIP_ROWS = 50_000
+#: The order of arrival of an archive's rows, unique over all files.
+PLACE = ("file", "member", "row")
 
 
 def archive_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of unpacked archive files, all as text, with their order of arrival."""
     rows = spark.read.schema(ARCHIVE_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.lit("").alias("member"), F.monotonically_increasing_id().alias("row"))
 
 
 def archive_zip(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Rows of zipped archive files, one task a file, read in pieces; the first ``max_rows`` of each file, if given."""
+    """Rows of zipped archive files with their order of arrival (file, member, row).
+
+    One task a file, which inflates its members as streams: it holds the packed file
+    and one piece of rows.  The first ``max_rows`` of each member, if given.
+    """
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for number, content in enumerate(pdf["content"]):
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if name.lower().endswith(".csv"):
-                            with archive.open(name) as file:
-                                for part in pd.read_csv(file, dtype=str, keep_default_na=False, chunksize=ZIP_ROWS, nrows=max_rows):
-                                    out = part.reindex(columns=list(ARCHIVE_COLUMNS)).astype(object)
-                                    yield out.where(out.notna(), None).assign(seq=part.index.astype("int64") + (number << 40))
+                    names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+                    for number, name in enumerate(names):
+                        with archive.open(name) as packed:
+                            lines = csv.DictReader(io.TextIOWrapper(packed, encoding="utf-8-sig", errors="replace", newline=""))
+                            rows = ([*(line.get(c) for c in ARCHIVE_COLUMNS), file, f"{number:06d} {name}", n] for n, line in enumerate(islice(lines, max_rows)))
+                            while piece := list(islice(rows, ZIP_ROWS)):
+                                yield pd.DataFrame(piece, columns=[*ARCHIVE_COLUMNS, *PLACE], dtype=object).astype({"row": "int64"})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, f"{ARCHIVE_SCHEMA}, seq long")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, f"{ARCHIVE_SCHEMA}, file string, member string, row long")
 
 
 def archive_fixes(rows: DataFrame, box: tuple[float, float, float, float] | None = None, interval: float = THROTTLE_S) -> DataFrame:
     """Positions of an archive: box first, then number and time, then the throttle."""
     fixes = rows.select(
-        F.col("MMSI").try_cast("long").alias("mmsi"), "seq", F.try_to_timestamp("BaseDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("double").alias("ts"),
+        F.col("MMSI").try_cast("long").alias("mmsi"), *PLACE, F.try_to_timestamp("BaseDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("double").alias("ts"),
         F.col("LAT").try_cast("double").alias("lat"), F.col("LON").try_cast("double").alias("lon"), archive_number(F.col("SOG")).alias("sog"), archive_number(F.col("COG")).alias("cog"),
         archive_number(F.col("Heading")).alias("heading"), F.col("Status").try_cast("int").alias("nav_status"), F.lit("noaa").alias("source"),
     )
     if box is not None:
         west, south, east, north = box
         fixes = fixes.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-    return throttle(fixes.where("mmsi is not null and ts is not null and lat is not null and lon is not null"), interval=interval)
+    return throttle(fixes.where("mmsi is not null and ts is not null and lat is not null and lon is not null"), PLACE, interval)
 
 
 def archive_report(rows: DataFrame, kept: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -69,8 +78,8 @@ def archive_report(rows: DataFrame, kept: DataFrame, box: tuple[float, float, fl
 
 def archive_vessels(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The vessel described by the first kept row of each number."""
-    first = kept.groupBy("mmsi").agg(F.min("seq").alias("seq"))
-    return rows.join(first.withColumnRenamed("mmsi", "number"), "seq").select(
+    first = kept.groupBy(F.col("mmsi").alias("number")).agg(F.min(F.struct(*PLACE)).alias("place")).select("number", "place.*")
+    return rows.where(F.col("MMSI").try_cast("long").isNotNull()).join(first, list(PLACE)).select(
         F.col("number").alias("mmsi"), blank_to_null(F.col("VesselName")).alias("name"), blank_to_null(F.replace(F.col("IMO"), F.lit("IMO"), F.lit(""))).alias("imo"), blank_to_null(F.col("CallSign")).alias("callsign"),
         F.col("VesselType").try_cast("int").alias("ship_type"), archive_number(F.col("Length")).alias("length_m"), archive_number(F.col("Width")).alias("width_m"), archive_number(F.col("Draft")).alias("draught_m"),
     )

@@ -43,7 +43,7 @@ def test_regions(spark):
 
 
 def test_region_stamp(spark):
-    pts = spark.createDataFrame([(r.key, *r.center) for r in constants.REGIONS] + [("gulf-of-mexico", 28.6, -88.9), ("north-sea", 51.5, 2.2)], "k string, lat double, lon double")
+    pts = spark.createDataFrame([(r.key, (r.lat_min + r.lat_max) / 2, (r.lon_min + r.lon_max) / 2) for r in constants.REGIONS] + [("gulf-of-mexico", 28.6, -88.9), ("north-sea", 51.5, 2.2)], "k string, lat double, lon double")
     assert all(r.stamped == r.k for r in ingest.stamp_region(pts, "mumbai").collect())
 
 
@@ -149,6 +149,22 @@ def test_archive(spark, tmp_path):
         assert got == [(0.0, None, 90.0, None), (40.0, None, 90.0, None)]
         v = archives.archive_vessels(rows, fixes).collect()
         assert len(v) == 1 and (v[0].name, v[0].imo, v[0].length_m) == ("SHIP", "777", 100.0)
+    # two files and two members: rows of one number are not mixed up, names are those of their own vessel
+    head = ",".join(archives.ARCHIVE_COLUMNS)
+    line = lambda m, s, n: f"{m},2024-12-29T00:00:{s:02d},28.5,-88.0,1.0,90.0,511.0,{n},IMO{m},,70,0,100,20,5.5,70,A"
+    many = tmp_path / "many"
+    many.mkdir()
+    with zipfile.ZipFile(many / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", "\n".join([head, line(1, 0, "ALPHA"), line(1, 10, "ALPHA")]))
+        z.writestr("notes.txt", "no rows")
+        z.writestr("y.csv", "\n".join([head, line(1, 40, "ALPHA")]))
+    with zipfile.ZipFile(many / "b.zip", "w") as z:
+        z.writestr("x.csv", "\n".join([head, line(2, 5, "BRAVO"), line(2, 20, "BRAVO"), line(1, 50, "LATER")]))
+    rows = archives.archive_zip(spark, str(many))
+    fixes = archives.archive_fixes(rows)
+    assert sorted((r.mmsi, r.ts % 60) for r in fixes.collect()) == [(1, 0.0), (1, 40.0), (2, 5.0)]
+    assert sorted((r.mmsi, r.name, r.imo) for r in archives.archive_vessels(rows, fixes).collect()) == [(1, "ALPHA", "1"), (2, "BRAVO", "2")]
+    assert archives.archive_zip(spark, str(many), 1).count() == 3
     page = spark.createDataFrame([("<a href=AIS_2024_12_29.zip><a href=AIS_2024_12_31.zip>",)], "page string")
     assert archives.newest_day(page, 2024).first().day == "2024-12-31"
 
