@@ -78,6 +78,45 @@ def nearest_any(points: DataFrame, cloud: DataFrame, cell_km: float = 25.0, keys
     return own.join(_beside(spread), [*keys, "y", "x"]).groupBy(*keys, "mmsi").agg(F.min(d).alias("any_km")).where(F.col("any_km") <= cell_km)
 
 
+#: Degrees of the finest cells of the descent, and how many of them side by side make one of the next level.
+CELL_DEG, WIDEN, LEVELS = 0.05, 4, 6
+
+
+def nearest(points: DataFrame, cloud: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Distance of each vessel to the nearest particle (``any_km``), however far that is.
+
+    Cells of six levels hold the cloud's boxes.  Each point goes down from the
+    widest cells (70 are around the earth, so they are broadcast without keys):
+    of the cells that its pairs open, those stay whose box may hold something
+    nearer than the farthest corner of the best one.  Few cells a point remain
+    on each level, whatever the distance, and only the particles of the last
+    ones are measured.  All joins are on cells; nothing is paired with a whole cloud.
+    """
+    here = [*keys, "mmsi", "lat", "lon"]
+    fine = lambda c: F.floor(F.col(c) / CELL_DEG)
+    places = cloud.select(*keys, F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct().withColumns({"y": fine("plat"), "x": fine("plon")})
+    cells = [places.groupBy(*keys, "y", "x").agg(F.min("plat").alias("s"), F.max("plat").alias("n"), F.min("plon").alias("w"), F.max("plon").alias("e"))]
+    up = lambda c: F.floor(F.col(c) / WIDEN).cast("long")
+    for _ in range(LEVELS - 1):
+        cells.append(cells[-1].groupBy(*keys, up("y").alias("y"), up("x").alias("x")).agg(*[f(c).alias(c) for f, c in ((F.min, "s"), (F.max, "n"), (F.min, "w"), (F.max, "e"))]))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        aside = lambda low, high, at: F.greatest(F.lit(0.0), F.col(low) - F.col(at), F.col(at) - F.col(high))
+        across = lambda low, high, at: F.greatest(F.abs(F.col(at) - F.col(low)), F.abs(F.col(at) - F.col(high)))
+        far = lambda f: local_km(F.col("lat"), F.col("lon"), F.col("lat") + f("s", "n", "lat"), F.col("lon") + f("w", "e", "lon"))
+        best = F.min(far(across)).over(Window.partitionBy(*here))  # the few cells of one place
+        return pairs.withColumns({"low": far(aside), "best": best}).where(F.col("low") <= F.col("best") * (1 + 1e-9) + 1e-9).select(*here, "y", "x")
+
+    places_of = points.select(*here).where("lat is not null and lon is not null").distinct()
+    top = cells[-1]
+    pairs = pruned(places_of.join(top, list(keys)) if keys else places_of.crossJoin(F.broadcast(top)))
+    for own in reversed(cells[:-1]):
+        below = own.withColumns({"py": up("y"), "px": up("x")})
+        pairs = pruned(pairs.select(*here, F.col("y").alias("py"), F.col("x").alias("px")).join(below, [*keys, "py", "px"]))
+    d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    return pairs.join(places, [*keys, "y", "x"]).groupBy(*keys, "mmsi").agg(F.min(d).alias("any_km"))
+
+
 def closest(matched: DataFrame, keys: Keys = ()) -> DataFrame:
     """The nearest step of each vessel; of equal ones, the latest in time."""
     best = F.min_by(F.struct("step", "ts", "km"), F.struct("km", "step")).alias("b")

@@ -125,6 +125,20 @@ class Tables:
         each = self.particles.select("p", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("step"))
         return each.selectExpr("p", "step", f"0.06d * (2d * {frac('0.5698403')} - 1d) as north", f"0.06d * (2d * {frac('0.3247179')} - 1d) as east")
 
+    @cached_property
+    def pixels(self) -> DataFrame:
+        """Fixes of the sea counted by cells of a fiftieth of a degree, a scene every 2,500 events."""
+        rows = self.ais_raw.where("lat between 53 and 54.5 and lon between 4 and 6.1")
+        rows = rows.selectExpr("cast(floor(seq / 2500) as bigint) as scene", "cast(floor((lat - 53) * 50) as int) as r", "cast(floor((lon - 4) * 50) as int) as c")
+        return rows.groupBy("scene", "r", "c").agg(F.count("*").alias("v"))
+
+    @cached_property
+    def rings(self) -> DataFrame:
+        """A five-cornered, not convex ring for each supplier."""
+        lon, lat, size = "(2 + (s_suppkey * 37 % 500) / 100d)", "(52 + (s_suppkey * 53 % 400) / 100d)", "(0.05d + (s_suppkey % 7) / 50d)"
+        corners = ((0, 1), (0.9, 0.3), (0.2, 0.1), (0.5, -0.8), (-1, -0.4))
+        return self.source("supplier").selectExpr("s_suppkey as ring_id", f"array({', '.join(f'array({lon} + {x}d * {size}, {lat} + {y}d * {size})' for x, y in corners)}) as ring")
+
     @cached_property
     def raster(self) -> DataFrame:
         cells = self.spark.range(96 * 96).selectExpr("cast(floor(id / 96d) as int) as r", "cast(id % 96 as int) as c")
@@ -166,7 +180,10 @@ CTES = {
     "raster": """select r, c, (120e0 + 30e0 * (((r * 31 + c * 17 + r * c) % 97) / 97e0)) * (1e0 - 0.7e0 * exp(-pow(pow((c - 48) / 12e0, 2e0) + pow((r - 48) / 6e0, 2e0), 3e0))) as v
   from (select cast(i // 96 as int) as r, cast(i % 96 as int) as c from range(9216) t(i))""",
 }
+CTES["pixels"] = """select seq // 2500 as scene, cast(floor((lat - 53) * 50) as int) as r, cast(floor((lon - 4) * 50) as int) as c, count(*) as v
+  from ais_raw where lat between 53 and 54.5 and lon between 4 and 6.1 group by 1, 2, 3"""
 _NEEDS = {
+    "pixels": ["ev", "ais_raw"],
     "ais_raw": ["ev"], "ais_positions": ["ev", "ais_raw"], "alerts": ["ev"], "timeline": ["incidents"], "noise": ["particles"],
 }
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, TYPE_BASE_OTHER, WEIGHTS, region
 from fathomline.functions import geo, scalars, sql
 from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
+from fathomline.operators import regions as regional
 from fathomline.plans.fixtures import DETECTED, NOW, Tables, padded, padded_sql, with_tables
 from fathomline.sources import archives, live
 
@@ -740,6 +741,16 @@ def nearest_any(t: Tables) -> DataFrame:
     return tracks.nearest_any(tracks.interpolate(t.positions, _grid()), _cloud(t)).select("mmsi", F.round("any_km", 4).alias("any_km"))
 
 
+@query(
+    """select p.mmsi, round(min(sqrt(pow((i.lon - p.lon) * 111.32e0 * cos(radians(p.lat)), 2) + pow((i.lat - p.lat) * 110.574e0, 2))), 4) as any_km
+from (select distinct mmsi, lat, lon from ais_positions) p, (select distinct lat, lon from incidents) i group by 1""",
+    "ais_positions", "incidents",
+)
+def nearest_incident(t: Tables) -> DataFrame:
+    """All vessels against the places of all incidents, beyond any radius."""
+    return tracks.nearest(t.positions, t.incidents).select("mmsi", F.round("any_km", 4).alias("any_km"))
+
+
 @query("select mmsi, step as best_step, ts as best_ts, round(km, 4) as best_km from (select *, row_number() over (partition by mmsi order by km, step) as k from matched) where k = 1", "ais_positions", *_CLOUD_NEEDS, more=_POINTS)
 def closest_approach(t: Tables) -> DataFrame:
     return tracks.closest(tracks.nearest_matched(tracks.interpolate(t.positions, _grid()), _cloud(t))).withColumn("best_km", F.round("best_km", 4))
@@ -798,6 +809,23 @@ def candidate_ranking(t: Tables) -> DataFrame:
     return ranked.select("rank", "mmsi", "name", "score", F.round("best_km", 3).alias("closest_km"), F.col("best_ts").alias("closest_ts"), F.col("minutes").alias("minutes_in_region"), "stationary", *factors, F.round("vessel_type_score", 4).alias("vessel_type"))
 
 
+_SEEN = "1704067200e0 + (cast(substr(incident_id, 10) as bigint) * 577) % 86400"
+
+
+@query(
+    f"""select incident_id, count(distinct mmsi) as vessels, round(min(km), 4) as closest_km from (
+  select incident_id, mmsi, sqrt(pow((i.lon - p.lon) * 111.32e0 * cos(radians(p.lat)), 2) + pow((i.lat - p.lat) * 110.574e0, 2)) as km
+  from ais_positions p join (select incident_id, lat, lon, {_SEEN} as t1 from incidents) i
+    on p.ts between t1 - 10800 and t1 and p.lat between i.lat - 0.1 and i.lat + 0.1) where km <= 5 group by 1""",
+    "ais_positions", "incidents",
+)
+def incident_passers(t: Tables) -> DataFrame:
+    """All incidents of the orders, seen within the fixes' days, in one job."""
+    seen = t.incidents.withColumn("detected_at", F.expr(_SEEN.replace("e0", "d")))
+    found = attribution.passers(t.positions, seen, 3.0, 5.0)
+    return found.groupBy("incident_id").agg(F.count("*").alias("vessels"), F.round(F.min("km"), 4).alias("closest_km"))
+
+
 #: Three incidents: by how much their clouds lie further east, and how much earlier they were seen.
 _MANY = {"a": (0.0, 0.0), "b": (0.06, 0.0), "c": (-0.05, 21600.0)}
 
@@ -966,6 +994,77 @@ def detect_scene(t: Tables) -> DataFrame:
     return raster.detect(_scenes(t), 0.3)
 
 
+# -- rasters as tables of pixels --------------------------------------------------------------
+
+#: Every pixel with the first pixel of its region, by growing all of them at once.
+_LABELLED = {
+    "spread": """select scene, r as r0, c as c0, r, c from px union
+  select s.scene, s.r0, s.c0, p.r, p.c from spread s join px p on p.scene = s.scene and abs(p.r - s.r) <= 1 and abs(p.c - s.c) <= 1""",
+    "labelled": "select scene, r, c, min(struct_pack(r := r0, c := c0)) as root from spread group by 1, 2, 3",
+}
+
+
+def _labelled_sql(body: str, where: str = "true") -> str:
+    text = with_tables(body, "pixels", more={"px": f"select * from pixels where {where}", **_LABELLED})
+    text = text.replace(") , apart as", "), apart as")
+    return text.replace("with ", "with recursive ", 1).replace("spread as (", "spread(scene, r0, c0, r, c) as (")
+
+
+def labelled_query(body: str, where: str = "true") -> Callable[[Callable[[Tables], DataFrame]], Callable]:
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        query()(f)
+        SQL[f.__name__] = _labelled_sql(body, where)
+        return f
+
+    return add
+
+
+@labelled_query(
+    """select l.scene, root.r as region_r, root.c as region_c, count(*) as pixels, round(avg(l.r), 6) as mid_r, round(avg(l.c), 6) as mid_c, min(l.r) as r0, max(l.r) as r1, min(l.c) as c0, max(l.c) as c1, round(avg(v), 6) as mean,
+min(l.r) >= 5 and min(l.c) >= 5 and max(l.r) < 70 and max(l.c) < 100 as "inner" from labelled l join px p on l.scene = p.scene and l.r = p.r and l.c = p.c group by 1, 2, 3"""
+)
+def scene_regions(t: Tables) -> DataFrame:
+    found = regional.features(regional.label(t.pixels), "v", 75, 105, 5)
+    return found.withColumns({k: F.round(k, 6) for k in ("mid_r", "mid_c", "mean")}).withColumns({k: F.col(k).cast("int") for k in ("region_r", "region_c")})
+
+
+@labelled_query(
+    """select scene, r, c, root.r as region_r, root.c as region_c from (select l.*, max(v) over (partition by l.scene, root) as most
+from labelled l join px p on l.scene = p.scene and l.r = p.r and l.c = p.c) where most >= 3"""
+)
+def scene_hysteresis(t: Tables) -> DataFrame:
+    found = regional.hysteresis(t.pixels, F.col("v") >= 1, F.col("v") >= 3)
+    return found.select("scene", "r", "c", F.col("region_r").cast("int").alias("region_r"), F.col("region_c").cast("int").alias("region_c"))
+
+
+@labelled_query(
+    """, apart as (select p.scene, root, p.r, p.c, any_value(p.v) as v, min(greatest(abs(p.r - l.r), abs(p.c - l.c))) as d
+  from labelled l join pixels p on p.scene = l.scene and abs(p.r - l.r) <= 4 and abs(p.c - l.c) <= 4 group by 1, 2, 3, 4)
+select scene, root.r as region_r, root.c as region_c, round(avg(v), 6) as around, count(*) as around_n from apart where d between 2 and 4 group by 1, 2, 3""",
+    "v >= 2",
+)
+def scene_rings(t: Tables) -> DataFrame:
+    found = regional.ring(regional.label(t.pixels.where("v >= 2")), t.pixels, "v", 2, 4)
+    return found.select("scene", F.col("region_r").cast("int").alias("region_r"), F.col("region_c").cast("int").alias("region_c"), F.round("around", 6).alias("around"), "around_n")
+
+
+_CORNERS = ((0, 1), (0.9, 0.3), (0.2, 0.1), (0.5, -0.8), (-1, -0.4))
+
+
+@query(
+    f"""select ring_id, cast(r as bigint) as r, cast(c as bigint) as c from (
+  select ring_id, r, c, count(*) as n from (select ring_id, r, c, x, y, lead(x) over w as x2, lead(y) over w as y2, (c + 0.5e0) * 0.02e0 as lon, (r + 0.5e0) * 0.02e0 as lat, first_value(x) over w as fx, first_value(y) over w as fy
+    from (select s_suppkey as ring_id, k, 2 + (s_suppkey * 37 % 500) / 100e0 + px * (0.05e0 + (s_suppkey % 7) / 50e0) as x, 52 + (s_suppkey * 53 % 400) / 100e0 + py * (0.05e0 + (s_suppkey % 7) / 50e0) as y,
+        cast(floor((2 + (s_suppkey * 37 % 500) / 100e0) / 0.02e0) as bigint) + dc as c, cast(floor((52 + (s_suppkey * 53 % 400) / 100e0) / 0.02e0) as bigint) + dr as r
+      from supplier, (values {', '.join(f'({k}, {x}e0, {y}e0)' for k, (x, y) in enumerate(_CORNERS))}) v(k, px, py), range(-12, 13) a(dr), range(-12, 13) b(dc))
+    window w as (partition by ring_id, r, c order by k))
+  where (y > lat) <> (coalesce(y2, fy) > lat) and lon < x + (lat - y) * (coalesce(x2, fx) - x) / (coalesce(y2, fy) - y) group by 1, 2, 3)
+where n % 2 = 1"""
+)
+def land_pixels(t: Tables) -> DataFrame:
+    return regional.filled(t.rings, 0.02)
+
+
 # -- audit ------------------------------------------------------------------------------------
 
 

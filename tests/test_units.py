@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline import constants, schemas
 from fathomline.functions import geo, scalars
-from fathomline.operators import audit, drift, ingest, raster, reports, shapes, tracks
+from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
 from fathomline.sources import archives, live, sinks
 
 RING = "array(array(72.7d, 18.9d), array(72.9d, 18.9d), array(72.9d, 19.05d), array(72.7d, 19.05d))"
@@ -281,3 +281,35 @@ def test_sql_functions_and_backtrack(spark):
 
 def test_archive_url():
     assert archives.archive_url("https://host/x/", "2024-12-09") == "https://host/x/2024/AIS_2024_12_09.zip"
+
+
+def test_nearest_has_no_radius(spark):
+    rng = np.random.default_rng(4)
+    cloud = [(int(k), float(a), float(o)) for k, a, o in zip(rng.integers(0, 3, 400), rng.normal(54, 0.5, 400), rng.normal(5, 0.5, 400))] + [(0, -70.0, 170.0)]
+    points = [(int(k), int(m), float(a), float(o)) for k, m, a, o in zip(rng.integers(0, 3, 300), rng.integers(1, 40, 300), rng.uniform(-80, 80, 300), rng.uniform(-179, 179, 300))]
+    points += [(1, 99, 54.0, 5.0), (1, 99, None, 5.0), (2, 98, *cloud[3][1:])]
+    c, p = spark.createDataFrame(cloud, "k int, lat double, lon double"), spark.createDataFrame(points, "k int, mmsi int, lat double, lon double")
+    km = lambda a, o, x, y: np.hypot((y - o) * 111.32 * np.cos(np.radians(a)), (x - a) * 110.574)
+
+    def want(keyed):
+        out = {}
+        for k, m, a, o in points:
+            if a is not None:
+                own = (k, m) if keyed else (m,)
+                out[own] = min([out.get(own, 1e9), *(km(a, o, x, y) for j, x, y in cloud if j == k or not keyed)])
+        return out
+
+    for keys in ((), ("k",)):
+        got = {tuple(r)[:-1]: r.any_km for r in tracks.nearest(p, c, keys).collect()}
+        full = want(bool(keys))
+        assert got.keys() == full.keys() and all(abs(got[k] - full[k]) < 1e-6 for k in full)
+    assert tracks.nearest(p, c.where("false")).count() == tracks.nearest(p.where("false"), c).count() == 0
+
+
+def test_vessels_and_incidents_meet_on_legs(spark):
+    # a leg of hundreds of km passes the cloud between two fixes; one on another day, one too long and one aside do not
+    fixes = [(1, 0.0, 50.0, 0.0), (1, 3600.0, 58.0, 8.0), (2, 0.0, 54.0, 4.0), (2, 500_000.0, 54.0, 4.0), (3, 300_000.0, 54.0, 4.0), (4, 0.0, 10.0, 4.0), (4, 90.0, 10.1, 4.0), (5, 7000.0, 54.0, None)]
+    positions = spark.createDataFrame(fixes, "mmsi int, ts double, lat double, lon double")
+    clouds = spark.createDataFrame([("a", 54.0, 4.0), ("a", 54.2, 4.1), ("b", -10.0, 4.0)], "incident_id string, lat double, lon double")
+    spans = spark.createDataFrame([("a", 0.0, 7200.0), ("b", 0.0, 7200.0)], "incident_id string, t0 double, t1 double")
+    assert sorted(map(tuple, attribution.met(positions, clouds, spans, 7200.0).collect())) == [("a", 1), ("a", 2)]
