@@ -131,3 +131,48 @@ def filled(rings: DataFrame, cell: float, box: tuple[float, float, float, float]
     column = lambda v, by: bound(F.floor(F.col(v) / cell) + by, west, east)
     found = spans.withColumn("c", F.explode(F.sequence(column("x", -1), column("x1", 1)))).withColumn("lon", (F.col("c") + 0.5) * cell)
     return found.where((F.col("lon") >= F.col("x")) & (F.col("lon") < F.col("x1"))).where(F.col("lon").between(west, east) & ((F.col("r") + 0.5) * cell).between(south, north)).select(id, "r", "c")
+
+
+#: Sides of a pixel as steps to the neighbour there, then to the start and end of the side that keeps the pixel on its right.
+_SIDES = (((-1, 0), (0, 0), (0, 1)), ((0, 1), (0, 1), (1, 1)), ((1, 0), (1, 1), (1, 0)), ((0, -1), (1, 0), (0, 0)))
+
+
+def outlines(labelled: DataFrame) -> DataFrame:
+    """The outlines of regions, edge by edge: ring (its least edge), place in the ring, end (er, ec) and whether it is a corner.
+
+    Sides without a neighbour of the region are edges, and each is followed by one that
+    begins where it ends; where two do, the left one keeps diagonal neighbours together.
+    So edges make cycles, which pointer doubling numbers (list ranking): in each round an
+    edge learns the least edge among twice as many successors, and how far it is.  A round
+    without news ends it, after about the logarithm of the longest ring.  Rounds are joins
+    on single edges, whatever the size of a ring, and are written.
+    """
+    sides = F.array(*[
+        F.struct(F.lit(d).alias("d"), *[(F.col(a) + k).alias(n) for n, a, k in (("nr", "r", nr), ("nc", "c", nc), ("sr", "r", sr), ("sc", "c", sc), ("er", "r", er), ("ec", "c", ec))])
+        for d, ((nr, nc), (sr, sc), (er, ec)) in enumerate(_SIDES)
+    ])
+    each = labelled.select(*REGION, "r", "c", F.explode(sides).alias("s")).select(*REGION, "r", "c", "s.*")
+    taken = labelled.select(*REGION, F.col("r").alias("nr"), F.col("c").alias("nc"))
+    edge = F.struct("scene", "r", "c", "d")
+    edges = each.join(taken, [*REGION, "nr", "nc"], "left_anti").select(*REGION, edge.alias("edge"), "d", "sr", "sc", "er", "ec")
+    begin = edges.select(*REGION, F.col("sr").alias("er"), F.col("sc").alias("ec"), F.col("edge").alias("to"), F.col("d").alias("to_d"))
+    turn = F.pmod(F.col("to_d") - F.col("d") + 1, F.lit(4))  # left, straight, right
+    linked = edges.join(begin, [*REGION, "er", "ec"]).groupBy("edge").agg(F.min(F.struct(turn.alias("turn"), "to")).alias("n"))
+    rows = written(edges.join(linked, "edge").select("edge", *REGION, "er", "ec", (F.col("n.turn") != 1).alias("corner"), F.col("n.to").alias("to")))
+    state, step = rows.select("edge", "to", F.col("edge").alias("low"), F.lit(0).cast("long").alias("off")), 1
+    while True:
+        ahead = state.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("off").alias("off2"))
+        news = F.col("low2") < F.col("low")
+        state = written(state.join(ahead, "to").select("edge", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), F.when(news, F.col("off2") + step).otherwise(F.col("off")).alias("off"), news.alias("news")))
+        step *= 2
+        if state.where("news").limit(1).count() == 0:
+            break
+    longest = state.groupBy("low").agg(F.count("*").alias("edges"))
+    placed = state.select("edge", "low", "off").join(longest, "low").select("edge", F.col("low").alias("ring"), F.pmod(F.col("edges") - F.col("off"), F.col("edges")).alias("place"))
+    return rows.join(placed, "edge").select(*REGION, "ring", "place", "er", "ec", "corner", F.col("edge.d").alias("d"))
+
+
+def ring_sizes(edges: DataFrame) -> DataFrame:
+    """Edges, corners and area of each ring of ``outlines``; holes have negative areas."""
+    along = F.when(F.col("d") == 0, -F.col("er")).when(F.col("d") == 1, F.col("ec")).when(F.col("d") == 2, F.col("er")).otherwise(-F.col("ec"))
+    return edges.groupBy(*REGION, "ring").agg(F.count("*").alias("edges"), F.count_if("corner").alias("corners"), (F.sum(along) / 2).alias("area"))

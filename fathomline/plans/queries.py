@@ -1048,6 +1048,22 @@ def scene_rings(t: Tables) -> DataFrame:
     return found.select("scene", F.col("region_r").cast("int").alias("region_r"), F.col("region_c").cast("int").alias("region_c"), F.round("around", 6).alias("around"), "around_n")
 
 
+@labelled_query(
+    """, quad as (select scene, root, r + dr as vr, c + dc as vc, bit_or(cast(pow(2, 2 * dr + dc) as int)) as bits, count(*) as n from labelled, range(2) a(dr), range(2) b(dc) group by 1, 2, 3, 4),
+side as (select l.scene, l.root, count(*) as edges from labelled l, (values (-1, 0), (0, 1), (1, 0), (0, -1)) v(dr, dc)
+  where not exists (select 1 from labelled o where o.scene = l.scene and o.r = l.r + dr and o.c = l.c + dc) group by 1, 2),
+size as (select scene, root, count(*) as area from labelled group by 1, 2),
+shape as (select scene, root, count(*) filter (n = 1) as q1, count(*) filter (n = 3) as q3, count(*) filter (bits in (6, 9)) as qd from quad group by 1, 2)
+select scene, root.r as region_r, root.c as region_c, cast(2 - (q1 - q3 - 2 * qd) / 4 as bigint) as rings, edges, q1 + q3 + 2 * qd as corners, cast(area as double) as area
+from size join side using (scene, root) join shape using (scene, root)"""
+)
+def scene_outlines(t: Tables) -> DataFrame:
+    """Rings, edges, corners and area of each region; its SQL counts sides, and rings by Euler's number."""
+    sizes = regional.ring_sizes(regional.outlines(regional.label(t.pixels)))
+    keys = ["scene", F.col("region_r").cast("int").alias("region_r"), F.col("region_c").cast("int").alias("region_c")]
+    return sizes.groupBy(*keys).agg(F.count("*").alias("rings"), F.sum("edges").alias("edges"), F.sum("corners").alias("corners"), F.sum("area").alias("area"))
+
+
 _CORNERS = ((0, 1), (0.9, 0.3), (0.2, 0.1), (0.5, -0.8), (-1, -0.4))
 
 

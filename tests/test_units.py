@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline import constants, schemas
 from fathomline.functions import geo, scalars
-from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
+from fathomline.operators import attribution, audit, drift, ingest, raster, regions, reports, shapes, tracks
 from fathomline.sources import archives, live, sinks
 
 RING = "array(array(72.7d, 18.9d), array(72.9d, 18.9d), array(72.9d, 19.05d), array(72.7d, 19.05d))"
@@ -313,3 +313,36 @@ def test_vessels_and_incidents_meet_on_legs(spark):
     clouds = spark.createDataFrame([("a", 54.0, 4.0), ("a", 54.2, 4.1), ("b", -10.0, 4.0)], "incident_id string, lat double, lon double")
     spans = spark.createDataFrame([("a", 0.0, 7200.0), ("b", 0.0, 7200.0)], "incident_id string, t0 double, t1 double")
     assert sorted(map(tuple, attribution.met(positions, clouds, spans, 7200.0).collect())) == [("a", 1), ("a", 2)]
+
+
+def test_connected_in_few_rounds(spark, monkeypatch):
+    rounds, write = [], regions.written
+    monkeypatch.setattr(regions, "written", lambda df: rounds.append(1) or write(df))
+    path = [(i, i + 1) for i in range(400)]
+    star = [(1000, 1001 + i) for i in range(300)] + [(5000, 5000), (6001, 6000), (6001, 6000)]
+    got = {r.node: r.root for r in regions.connected(spark.createDataFrame(path + star, "a long, b long").repartition(3)).collect()}
+    assert got == {i: 0 for i in range(401)} | {i: 1000 for i in range(1000, 1301)} | {6000: 6000, 6001: 6000}
+    assert len(rounds) <= 14
+    assert regions.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_outline_with_hole_and_diagonal(spark):
+    art = ["#####...", "#...#...", "#.#.#...", "#...#...", "#####...", ".....##.", "......#."]
+    pixels = spark.createDataFrame([(1, r, c) for r, line in enumerate(art) for c, x in enumerate(line) if x == "#"], "scene int, r int, c int")
+    edges = regions.outlines(regions.label(pixels))
+    rings = sorted((r.region_r, r.region_c, r.edges, r.corners, r.area) for r in regions.ring_sizes(edges).collect())
+    assert rings == [(0, 0, 12, 4, -9.0), (0, 0, 28, 10, 28.0), (2, 2, 4, 4, 1.0)]
+    outer = [r for r in edges.orderBy("place").collect() if r.ring == (1, 0, 0, 0)]
+    assert [r.place for r in outer] == list(range(28)) and all(abs(a.er - b.er) + abs(a.ec - b.ec) == 1 for a, b in zip(outer, outer[1:], strict=False))
+    assert [(r.er, r.ec) for r in outer if r.corner] == [(0, 5), (5, 5), (5, 7), (7, 7), (7, 6), (6, 6), (6, 5), (5, 5), (5, 0), (0, 0)]
+    assert regions.outlines(regions.label(pixels.where("false"))).count() == 0
+
+
+def test_filled_rings(spark):
+    rng = np.random.default_rng(9)
+    shapes_ = [(k, rng.uniform(-1, 1, (n, 2)).tolist()) for k, n in enumerate((3, 4, 7, 12))] + [(9, [[0.0, 0.0], [1.0, 1.0]]), (10, [[5.0, 5.0], [6.0, 5.0], [6.0, 6.0]])]
+    rings = spark.createDataFrame(shapes_, "ring_id int, ring array<array<double>>")
+    got = {tuple(r) for r in regions.filled(rings, 0.05, (-1.0, -1.0, 1.0, 0.5)).collect()}
+    at = np.array([((c + 0.5) * 0.05, (r + 0.5) * 0.05) for r in range(-20, 10) for c in range(-20, 20)])
+    want = {(k, int(np.floor(y / 0.05)), int(np.floor(x / 0.05))) for k, ring in shapes_[:4] for (x, y), ok in zip(at, drift._inside(at, np.array(ring)), strict=True) if ok}
+    assert got == want and len(got) > 300
