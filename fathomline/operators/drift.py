@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.constants import DEFLECTION_DEG, DIFFUSION_MS, DRIFT_SEED, KM_PER_DEG_LAT, PARTICLES, STEP_MINUTES, WIND_FACTOR
-from fathomline.functions.geo import floor_mod, km_per_deg_lon
+from fathomline.functions.geo import floor_mod, km_per_deg_lon, point_in_ring, ring_centroid
 from fathomline.operators.shapes import hull_area, trimmed
 
 SERIES = ("wind_speed", "wind_from", "cur_speed", "cur_to")
@@ -95,6 +95,41 @@ def envelope(cloud: DataFrame) -> DataFrame:
     return hull_area(pooled.select("step", "lon", "lat"), "step").select("ring", "area_km2")
 
 
+#: Steps of an even sequence in the plane and of two more: fractions of the powers of the roots of x^3 = x + 1 and x^5 = x + 1.
+EVEN = (0.7548776662466927, 0.5698402909980532, 0.8566748838545029, 0.733891856627126)
+
+
+def seeds(rings: DataFrame, n: int = PARTICLES, id: str = "incident_id") -> DataFrame:
+    """Particles (p, lon0, lat0, wind_factor, deflection) of many slicks, ``n`` in each ring ([[lon, lat], ...]).
+
+    Places are the first ``n`` points inside, of an even sequence over the ring's box;
+    one and a half times as many as the ring's share of its box asks for, and 64 more,
+    are tried, 200 a particle at most.  Too few are taken in turns; none (a ring without
+    area) gives the ring's centre.  Wind factors are even, deflections normal.  The
+    sequence decides everything, so a task that runs again draws the same.
+    """
+    side = lambda k, f: f(F.transform("ring", lambda p: p[k]))
+    boxed = rings.where(F.size("ring") > 0).select(id, "ring", *[side(k, f).alias(f"{c}{m}") for k, c in ((0, "x"), (1, "y")) for f, m in ((F.array_min, 0), (F.array_max, 1))])
+    following = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(1))), F.slice("ring", 1, 1))
+    area = F.abs(F.aggregate(F.zip_with("ring", following, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda s, x: s + x)) / 2
+    box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    tries = F.least(F.lit(200 * n), F.ceil(1.5 * n * box / F.when(area > 0, area)) + 64)
+    fraction = lambda i, k: i * EVEN[k] - F.floor(i * EVEN[k])
+    each = boxed.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce(tries, F.lit(1)).cast("long"))))
+    each = each.withColumns({"lon0": F.col("x0") + fraction(F.col("i"), 0) * (F.col("x1") - F.col("x0")), "lat0": F.col("y0") + fraction(F.col("i"), 1) * (F.col("y1") - F.col("y0"))})
+    inside = each.where(point_in_ring(F.col("lon0"), F.col("lat0"), F.col("ring"))).withColumn("k", F.row_number().over(Window.partitionBy(id).orderBy("i"))).where(F.col("k") <= n)
+    centred = boxed.select(id, ring_centroid(F.col("ring")).alias("m"))
+    found = centred.join(inside.groupBy(id).agg(F.max("k").alias("found")), id, "left").select(id, "found", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+    found = found.withColumn("k", F.pmod("p", F.coalesce("found", F.lit(1))) + 1)
+    rows = found.join(inside.select(id, "k", "lon0", "lat0"), [id, "k"], "left")
+    i = F.col("p") + 1
+    normal = F.sqrt(-2 * F.log(1 - fraction(i, 2))) * F.cos(2 * F.pi() * fraction(i, 3))
+    return rows.select(
+        id, F.col("p").cast("int").alias("p"), F.coalesce("lon0", "m.lon").alias("lon0"), F.coalesce("lat0", "m.lat").alias("lat0"),
+        (WIND_FACTOR * (0.65 + 0.7 * fraction(i, 2))).alias("wind_factor"), (DEFLECTION_DEG + 8.0 * normal).alias("deflection"),
+    )
+
+
 def _inside(at: np.ndarray, ring: np.ndarray) -> np.ndarray:
     """Which points (rows of x, y) lie in a ring, by the crossings of a ray to the right."""
     x, y = at[:, :1], at[:, 1:]

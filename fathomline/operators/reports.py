@@ -104,6 +104,7 @@ def incident_list(incidents: DataFrame, candidates: DataFrame, vessels: DataFram
     """Incidents, newest first, with their number of candidates, the best named vessel and the best score."""
     checked("limit", limit, 1, 500)
     top = scoped(incidents, key).orderBy(F.desc("detected_at"), "incident_id").limit(limit)
+    candidates = candidates.join(F.broadcast(top.select("incident_id")), "incident_id", "left_semi")  # 500 incidents at most
     scores = candidates.groupBy("incident_id").agg(F.count("*").alias("candidate_count"), F.min_by("score", "rank").alias("top_score"))
     named = candidates.join(vessels.select("mmsi", "name"), "mmsi").groupBy("incident_id").agg(F.min_by("name", "rank").alias("top_vessel"))
     rows = top.join(scores, "incident_id", "left").join(named, "incident_id", "left")

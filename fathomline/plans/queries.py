@@ -1048,6 +1048,30 @@ def scene_rings(t: Tables) -> DataFrame:
     return found.select("scene", F.col("region_r").cast("int").alias("region_r"), F.col("region_c").cast("int").alias("region_c"), F.round("around", 6).alias("around"), "around_n")
 
 
+_RINGS_SQL = f"""select s_suppkey as ring_id, k, 2 + (s_suppkey * 37 % 500) / 100e0 + px * (0.05e0 + (s_suppkey % 7) / 50e0) as x, 52 + (s_suppkey * 53 % 400) / 100e0 + py * (0.05e0 + (s_suppkey % 7) / 50e0) as y
+  from supplier, (values (0, 0e0, 1e0), (1, 0.9e0, 0.3e0), (2, 0.2e0, 0.1e0), (3, 0.5e0, -0.8e0), (4, -1e0, -0.4e0)) v(k, px, py)"""
+_EVEN = lambda i, k: f"({i} * {drift.EVEN[k]}e0 - floor({i} * {drift.EVEN[k]}e0))"
+
+
+@query(
+    f"""select ring_id, cast(k - 1 as int) as p, round(lon0, 6) as lon0, round(lat0, 6) as lat0, round(0.03e0 * (0.65e0 + 0.7e0 * {_EVEN('k', 2)}), 6) as wind_factor,
+round(15 + 8 * sqrt(-2 * ln(1 - {_EVEN('k', 2)})) * cos(2 * pi() * {_EVEN('k', 3)}), 6) as deflection from (
+  select ring_id, lon0, lat0, row_number() over (partition by ring_id order by i) as k from (
+    select t.ring_id, i, lon0, lat0 from tries t join edge using (ring_id)
+    where (y > lat0) <> (y2 > lat0) and lon0 < x + (lat0 - y) * (x2 - x) / (y2 - y) group by all having count(*) % 2 = 1)) where k <= 40""",
+    more={
+        "ring": _RINGS_SQL,
+        "edge": "select ring_id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by ring_id order by k)",
+        "box": "select ring_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from ring group by 1",
+        "tries": f"select ring_id, i, x0 + {_EVEN('i', 0)} * (x1 - x0) as lon0, y0 + {_EVEN('i', 1)} * (y1 - y0) as lat0 from box, range(1, 400) t(i)",
+    },
+)
+def drift_seeds(t: Tables) -> DataFrame:
+    """Forty even particles in the ring of every supplier."""
+    found = drift.seeds(t.rings, 40, "ring_id")
+    return found.select("ring_id", "p", *[F.round(c, 6).alias(c) for c in ("lon0", "lat0", "wind_factor", "deflection")])
+
+
 @labelled_query(
     """, quad as (select scene, root, r + dr as vr, c + dc as vc, bit_or(cast(pow(2, 2 * dr + dc) as int)) as bits, count(*) as n from labelled, range(2) a(dr), range(2) b(dc) group by 1, 2, 3, 4),
 side as (select l.scene, l.root, count(*) as edges from labelled l, (values (-1, 0), (0, 1), (1, 0), (0, -1)) v(dr, dc)

@@ -53,22 +53,32 @@ def drop_old_days(spark: SparkSession, path: str, now: float, days: float) -> li
     return gone
 
 
+#: Versions of a merged table that stay for readers of older ones.
+KEPT_VERSIONS = 3
+
+
 class Versions:
-    """A table kept as numbered folders: a merge writes the next one, then points to it.
+    """A table kept as numbered folders: a merge writes the next one.
 
-    The pointer is a one-row table of its own, replaced after the version is
-    whole, so readers never see half a merge.
+    A version counts when Spark has marked it whole, so readers never see half a
+    merge.  One listing finds the last one; versions before the last three go.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _numbers(self) -> list[int]:
+        """All numbers in use, the largest first."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(at)]
+        return sorted((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), reverse=True)
+
     def number(self) -> int:
         """The version last completed, 0 if none."""
-        n = 0
-        while exists(self.spark, f"{self.path}/v={n + 1}/_SUCCESS"):
-            n += 1
-        return n
+        return next((n for n in self._numbers() if exists(self.spark, f"{self.path}/v={n}/_SUCCESS")), 0)
 
     def read(self) -> DataFrame | None:
         n = self.number()
@@ -77,6 +87,11 @@ class Versions:
     def write(self, df: DataFrame) -> int:
         n = self.number() + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
+        jvm = self.spark.sparkContext._jvm
+        for old in self._numbers():
+            if old <= n - KEPT_VERSIONS:
+                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}")
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         return n
 
 

@@ -1,7 +1,9 @@
 """The stateful throttle and the sinks against their batch forms."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from fathomline.constants import region
@@ -10,6 +12,7 @@ from fathomline.plans.fixtures import Tables
 from fathomline.sources import live
 from fathomline.sources.sinks import Versions, drop_old_days
 from fathomline.streaming import ingest as streaming
+from fathomline.streaming import supervise
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
@@ -91,3 +94,54 @@ def test_distinct_fixes(spark, tmp_path):
     q = streaming.distinct_fixes(stream).writeStream.foreachBatch(lambda df, _: got.extend((r.mmsi, r.ts) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(got) == [(1, 10.0), (1, 20.0), (2, 10.0)]
+
+
+def test_counters_over_a_restart(spark, tmp_path):
+    for i, second in enumerate((0, 10, 50)):
+        rows = [(message(1, second, 54.0), 2 * i, 0.0), (message(2, second, 10.0), 2 * i + 1, 0.0)]
+        spark.createDataFrame(rows, "value string, seq long, ingest_ts double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("value string, seq long, ingest_ts double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    counters, out, starts = supervise.Counters(spark, str(tmp_path / "counts")), str(tmp_path / "out"), []
+    write = streaming.sink(out)
+
+    def failing(batch, epoch):
+        if epoch == 1 and len(starts) == 1:
+            raise RuntimeError("the store is away")
+        write(batch, epoch)
+
+    def start():
+        starts.append(1)
+        fixes = live.positions(live.parse(stream, F.col("ingest_ts"))).drop("ingest_ts")
+        inside = F.col("lat") > 50
+        fixes = fixes.observe("fixes", F.count(F.lit(1)).alias("received"), F.count_if(~inside).alias("out_of_area")).where(inside)
+        return streaming._started(streaming.throttle(fixes).observe("kept", F.count(F.lit(1)).alias("stored")), failing, str(tmp_path / "cp"), True)
+
+    spark.streams.addListener(counters)
+    try:
+        causes = supervise.supervised(start, 0.01)
+        for _ in range(100):
+            totals = {r.name: r.total for r in supervise.counted(spark, str(tmp_path / "counts")).collect()} if (tmp_path / "counts").exists() else {}
+            if totals.get("fixes.received") == 6:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert len(starts) == 2 and len(causes) == 1
+    assert totals == {"fixes.received": 6, "fixes.out_of_area": 3, "kept.stored": 2} and spark.read.parquet(out).count() == 2  # one was throttled
+
+    def broken():
+        return stream.writeStream.foreachBatch(lambda *_: 1 / 0).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="ZeroDivision|division by zero|failed|FOREACH"):
+        supervise.supervised(broken, 0.01, most_restarts=1)
+
+
+def test_versions_keep_a_few(spark, tmp_path):
+    table = Versions(spark, str(tmp_path / "v"))
+    assert table.number() == 0 and table.read() is None
+    for i in range(12):
+        assert table.write(spark.range(i)) == i + 1
+    (tmp_path / "v/v=13").mkdir()  # a merge that did not end
+    assert table.number() == 12 and table.read().count() == 11
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["v=10", "v=11", "v=12", "v=13"]
+    assert table.write(spark.range(5)) == 13 and table.read().count() == 5

@@ -346,3 +346,13 @@ def test_filled_rings(spark):
     at = np.array([((c + 0.5) * 0.05, (r + 0.5) * 0.05) for r in range(-20, 10) for c in range(-20, 20)])
     want = {(k, int(np.floor(y / 0.05)), int(np.floor(x / 0.05))) for k, ring in shapes_[:4] for (x, y), ok in zip(at, drift._inside(at, np.array(ring)), strict=True) if ok}
     assert got == want and len(got) > 300
+
+
+def test_seeds_of_odd_rings(spark):
+    rings = [("line", [[1.0, 1.0], [2.0, 2.0]]), ("thin", [[0.0, 0.0], [1.0, 0.0], [1.0, 1e-9]]), ("box", [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.0, 1.0]]), ("none", [])]
+    got = drift.seeds(spark.createDataFrame(rings, "incident_id string, ring array<array<double>>"), 50).toPandas()
+    assert got.groupby("incident_id").size().to_dict() == {"line": 50, "thin": 50, "box": 50}
+    line, box = got[got.incident_id == "line"], got[got.incident_id == "box"]
+    assert (line.lon0 == 1.5).all() and (line.lat0 == 1.5).all()
+    assert box.lon0.between(0, 2).all() and box.lat0.between(0, 1).all() and abs(box.lon0.mean() - 1) < 0.05 and box.lon0.nunique() == 50
+    assert abs(got.deflection.mean() - constants.DEFLECTION_DEG) < 2 and 4 < box.deflection.std() < 12
