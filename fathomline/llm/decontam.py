@@ -10,7 +10,8 @@ join or shuffle of texts is needed at any size.
 Edge cases: a null or wordless text has no words and no hits; a null or
 wordless item has no windows; rows that share an item_id are one item; an item
 row whose item_id is null still marks words but is never listed; repeated
-document rows are judged one by one; extra columns are ignored.
+document rows are judged one by one; a very long text is scanned whole, by the
+task that reads it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,31 +73,62 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Windows:
-    """The windows of one benchmark block: exact words, and a hash filter."""
+    """The windows of one benchmark block, in arrays: some 28 bytes a window beside the text.
+
+    ``of[m]`` has the distinct windows of m words in order of their hashes: the
+    hash, the place of the words in ``raw``, and the numbers of the items.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
         self.n = n
-        self.items: dict[bytes, set] = {}
+        ids: dict[str, int] = {}
+        parts, numbers = [], []
         for item_id, text in items:
-            own = words(text)
-            for i in range(max(1, len(own) - n + 1) if own else 0):
-                found = self.items.setdefault(b" ".join(own[i : i + n]), set())
-                if item_id is not None:
-                    found.add(str(item_id))
-        by: dict[int, list[bytes]] = {}
-        for key in self.items:
-            by.setdefault(key.count(b" ") + 1, []).append(key)
-        self.hashes = {m: self._filter(m, keys) for m, keys in sorted(by.items())}
-
-    @staticmethod
-    def _filter(m: int, keys: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"".join(keys), np.uint8)
-        offsets = np.r_[0, np.cumsum([len(k) for k in keys])]
-        w = word_hashes(data, offsets)[2].reshape(-1, m)
-        out = np.zeros(len(w), np.uint64)
-        for j in range(m):
-            out = out * _C + w[:, j]
-        return np.unique(out)
+            if own := words(text):
+                parts.append(b" ".join(own))
+                numbers.append(-1 if item_id is None else ids.setdefault(str(item_id), len(ids)))
+        self.names, self.raw = list(ids), b"".join(parts)
+        offsets = np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)]
+        place = np.int32 if len(self.raw) < 1 << 31 else np.int64
+        data, found = np.frombuffer(self.raw, np.uint8), []
+        for a, b in pieces(offsets, CHUNK):
+            starts, ends, w = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found.append(((starts + offsets[a]).astype(place), (ends + offsets[a]).astype(place), w))
+        self.of: dict[int, tuple[np.ndarray, ...]] = {}
+        if not found:
+            return
+        starts, ends, w = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found, parts
+        first = np.searchsorted(starts, offsets)
+        count = np.diff(first)
+        rolling, done = np.zeros(len(w), np.uint64), 0
+        for m in np.unique(np.minimum(count, n)).tolist():
+            while done < m:
+                rolling = rolling[: len(w) - done] * _C + w[done:]
+                done += 1
+            own = np.flatnonzero(count >= m) if m == n else np.flatnonzero(count == m)
+            each = count[own] - m + 1
+            word = (np.repeat(first[own] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())).astype(place)
+            self.of[m] = self._distinct(m, rolling[word], starts[word], ends[word + m - 1], np.repeat(np.array(numbers, np.int32)[own], each))
+
+    def _distinct(self, m: int, h: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hashes, places and items of the windows that differ in their words."""
+        order = np.argsort(h, kind="stable")
+        h, start, end, item = h[order], start[order], end[order], item[order]
+        raw = self.raw
+        new = np.r_[True, h[1:] != h[:-1]]
+        same = np.flatnonzero(~new)
+        places = (x.tolist() for x in (start[same - 1], end[same - 1], start[same], end[same]))
+        unlike = [k for k, (a, b, c, d) in zip(same.tolist(), zip(*places, strict=True), strict=True) if raw[a:b] != raw[c:d]]
+        for k in unlike:  # other words of one hash: put equal ones together
+            lo, hi = (int(np.searchsorted(h, h[k], side)) for side in ("left", "right"))
+            own = sorted(range(lo, hi), key=lambda i: raw[start[i] : end[i]])
+            start[lo:hi], end[lo:hi], item[lo:hi] = start[own], end[own], item[own]
+            new[lo + 1 : hi] = [raw[start[i - 1] : end[i - 1]] != raw[start[i] : end[i]] for i in range(lo + 1, hi)]
+        window = np.cumsum(new) - 1
+        pairs = np.unique((window * (len(self.names) + 1) + item)[item >= 0])
+        held = np.searchsorted(pairs, np.arange(int(new.sum()) + 1) * (len(self.names) + 1))
+        return h[new], start[new], end[new], held.astype(np.int32 if len(pairs) < 1 << 31 else np.int64), (pairs % (len(self.names) + 1)).astype(np.int32)
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
         """Words per document, hit flag of each word, items by document."""
@@ -104,23 +136,33 @@ class Windows:
         first = np.searchsorted(starts, offsets[:-1])
         count = np.diff(np.r_[first, len(starts)])
         last = np.repeat(first + count, count)
-        hit, items = np.zeros(len(w) + 1, np.int64), {}
+        hit, items, raw = np.zeros(len(w) + 1, np.int64), {}, self.raw
         rolling, done = np.zeros(len(w), np.uint64), 0
-        for m, known in self.hashes.items():
+        for m, (known, start, end, held, numbers) in self.of.items():
             while done < m:  # hash of the done + 1 words from here on
                 rolling = rolling[: len(w) - done] * _C + w[done:] if done < len(w) else rolling[:0]
                 done += 1
             flags = np.zeros(1 << 16, bool)
             flags[(known >> np.uint64(48)).astype(np.int64)] = True
             near = np.flatnonzero(flags[(rolling >> np.uint64(48)).astype(np.int64)])
-            near = near[(known[np.minimum(np.searchsorted(known, rolling[near]), len(known) - 1)] == rolling[near]) & (near + m <= last[near])]
-            for i in near.tolist():
-                key = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + m))
-                if (own := self.items.get(key)) is not None:
-                    hit[i] += 1
-                    hit[i + m] -= 1
-                    if own:
-                        items.setdefault(int(np.searchsorted(first, i, side="right")) - 1, set()).update(own)
+            at = np.searchsorted(known, rolling[near])
+            ok = (known[np.minimum(at, len(known) - 1)] == rolling[near]) & (near + m <= last[near])
+            near, at = near[ok], at[ok]
+            docs = np.searchsorted(first, near, side="right") - 1
+            found: dict[int, set[int]] = {}
+            for i, k, doc in zip(near.tolist(), at.tolist(), docs.tolist(), strict=True):
+                key = b" ".join(data[starts[i] : ends[i + m - 1]].tobytes().split())
+                while k < len(known) and known[k] == rolling[i]:
+                    if raw[start[k] : end[k]] == key:
+                        hit[i] += 1
+                        hit[i + m] -= 1
+                        found.setdefault(doc, set()).add(k)
+                        break
+                    k += 1
+            for doc, own in found.items():
+                listed = np.unique(np.concatenate([numbers[held[k] : held[k + 1]] for k in own]))
+                if len(listed):
+                    items.setdefault(doc, set()).update(self.names[j] for j in listed.tolist())
         return count, np.cumsum(hit[:-1]) > 0, items
 
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -262,6 +264,32 @@ def test_decontamination(spark, docs, odd, data):
 # -- 6 ------------------------------------------------------------------------
 
 
+def test_windows_are_small():
+    """What a block holds and what it needs while it is made are bounded multiples of its text."""
+    rng = np.random.default_rng(5)
+    items = [(f"b{i}", " ".join(f"w{x}" for x in rng.integers(0, 50_000, 120))) for i in range(3_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontam.Windows(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(pickle.dumps(windows)) < 8 * size and held < 8 * size and peak - decontam._POWERS["n"] * 16 < 32 * size
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows whose hashes are equal are told apart by their words."""
+    monkeypatch.setattr(decontam, "_mixed", lambda h: h & np.uint64(1))
+    items = [("a", "one two three four"), ("b", "two three four five six"), ("c", "one two three nine"), (None, "seven eight nine ten"), ("d", "six")]
+    docs = ["so one two three it is", "two three four five six", "six seven eight nine", "three two one", ""]
+    windows = decontam.Windows(items, 3)
+    raw = [t.encode() for t in docs]
+    count, hit, found = windows.scan(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    want = brute_hits([(i, t) for i, t in enumerate(docs)], items, 3)
+    ends = np.cumsum(count)
+    own = Counter((i, int(c), int(hit[e - c : e].sum()), len(found.get(i, ())), sha(",".join(sorted(found.get(i, ())))), bool(hit[e - c : e].any())) for i, (c, e) in enumerate(zip(count, ends)))
+    assert own == want
+
+
 def brute_simhash(rows):
     fps = []
     for _, t in rows:
