@@ -55,6 +55,8 @@ RANGE_BYTES = 8 << 20
 COUNTED = 48
 #: The power of two of a shingle's texts from which on they are dealt to several groups, of about half as many.
 SPREAD = 11
+#: Texts of a shingle in one block; of a shingle with more, texts of different parts meet block by block.
+GROUP = 4096
 #: Pairs of two parts that meet at a shingle in the first slice, and the growth of slices.
 SLICE, GROWTH = 8, 64
 #: Pairs looked at at once, and those whose sketches are compared at once.
@@ -319,15 +321,14 @@ def _slices(group: np.ndarray, part_a: np.ndarray, part_b: np.ndarray, gap: np.n
     return order[rank < most], bool((rank >= most).any())
 
 
-def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, major: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
-    """Pairs (a, b) of different parts that share a group and may be similar; rows are sorted by token and salt.
+def across(token: np.ndarray, group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray, part: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Pairs (a, b) of different parts that share a group and may be similar; rows are sorted by token and group.
 
-    A pair of two minor rows of a shingle that is dealt to several groups, which
-    are in all of them, meets in one only.
+    Rows of sides 0 and 1 meet those of the other side only, rows of side 2 all of their group.
     """
-    starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+    starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
     counts = np.diff(np.r_[starts, len(token)])
-    group = np.repeat(np.arange(len(starts)), counts)
+    number = np.repeat(np.arange(len(starts)), counts)
     found: list[list[np.ndarray]] = []
     more = False
 
@@ -335,34 +336,44 @@ def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndar
         nonlocal more
         ok = (part[x] != part[y]) & _may(size[x], size[y], rest[x], rest[y])
         x, y = x[ok], y[ok]
-        spread = (salts[x] > 1) & ~major[x] & ~major[y]
-        ok = ~spread | (_mixed(node[x] ^ node[y]) % salts[x].astype(np.uint64) == salt[x].astype(np.uint64))
-        x, y = x[ok], y[ok]
         far = _apart(sketches, x, y)
         ok = 9 * far <= size[x] + size[y]
         x, y, far = x[ok], y[ok], far[ok]
-        keep, cut = _slices(group[x], part[x], part[y], far, most)
+        keep, cut = _slices(number[x], part[x], part[y], far, most)
         more |= cut
         found.append([x[keep], y[keep], far[keep]])
 
+    def cross(left: np.ndarray, right: np.ndarray) -> None:
+        step = max(1, BLOCK_PAIRS // max(1, len(right)))
+        for i in range(0, len(left), step):
+            own = left[i : i + step]
+            take(np.repeat(own, len(right)), np.tile(right, len(own)))
+
     small = np.flatnonzero(np.repeat(counts <= 64, counts))
     for d in range(1, 64):
-        x = small[small + d < len(group)]
-        x = x[group[x] == group[x + d]]
+        x = small[small + d < len(number)]
+        x = x[number[x] == number[x + d]]
         if not len(x):
             break
+        x = x[(side[x] == 2) | (side[x] != side[x + d])]
         take(x, x + d)
     for s, n in zip(starts[counts > 64].tolist(), counts[counts > 64].tolist(), strict=True):
-        names, sizes = np.unique(part[s : s + n], return_counts=True)
-        minor = s + np.flatnonzero(part[s : s + n] != names[np.argmax(sizes)])
+        rows = np.arange(s, s + n)
+        if side[s] != 2:
+            cross(rows[side[rows] == 0], rows[side[rows] == 1])
+            continue
+        names, sizes = np.unique(part[rows], return_counts=True)
+        largest = part[rows] == names[np.argmax(sizes)]
+        minor = rows[~largest]
+        cross(minor, rows[largest])
         step = max(1, BLOCK_PAIRS // n)
-        for i in range(0, len(minor), step):
-            own = minor[i : i + step]
-            take(np.repeat(own, n), np.tile(np.arange(s, s + n), len(own)))
+        for i in range(0, len(minor), step):  # each of these with those after it
+            x, y = np.triu_indices(min(step, len(minor) - i), 1, len(minor) - i)
+            take(minor[i + x], minor[i + y])
     if not found:
         return np.zeros((0, 2), np.int64), False
     x, y, far = (np.concatenate(c) for c in zip(*found, strict=True))
-    keep, cut = _slices(group[x], part[x], part[y], far, most)
+    keep, cut = _slices(number[x], part[x], part[y], far, most)
     a, b = node[x[keep]], node[y[keep]]
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0), more or cut
 
@@ -371,10 +382,10 @@ def across(token: np.ndarray, salt: np.ndarray, salts: np.ndarray, node: np.ndar
 def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Candidates of different parts; a row (-1, -1) says that some were left for a larger slice."""
     held: list[list[np.ndarray]] = []
-    names = ("token", "salt", "salts", "node", "size", "rest", "part")
+    names = ("token", "group", "side", "node", "size", "rest", "part")
 
     def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, more = across(*columns[:7], columns[7].astype(bool), columns[8], most)
+        pairs, more = across(*columns, most)
         out = np.r_[pairs, np.full((int(more), 2), -1)]
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
@@ -382,7 +393,7 @@ def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
         if not batch.num_rows:
             continue
         sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names] + [batch.column("major").to_numpy(zero_copy_only=False), sketches])
+        held.append([np.asarray(batch.column(c)).astype(np.int64) for c in names] + [sketches])
         if sum(len(x[0]) for x in held) >= HELD_ROWS and (held[0][0][0], held[0][1][0]) != (held[-1][0][-1], held[-1][1][-1]):
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))
@@ -393,24 +404,48 @@ def _across_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
         yield emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def pairs_across(tokens: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-    """Candidates of different parts, up to ``most`` of each two parts at each shingle.
+def dealt_across(tokens: DataFrame, parts: DataFrame) -> DataFrame:
+    """The prefix shingles at which different parts meet, each row once for every group that it takes part in.
 
     Only shingles of different parts matter, and of these only those of three
     texts or more, as two in one group have met.
 
-    The texts of a shingle that is not very frequent are one group.  Of a more frequent one, the
-    texts of its largest part are dealt to several groups and the others go to
-    each of these.
+    The texts of a shingle are one group up to ``GROUP`` of them.  Those of a
+    more frequent one are cut into blocks of about that many, the largest part
+    apart from the others, and each two blocks are a group, but no two of the
+    largest part.  So every pair of different parts meets in one group alone,
+    no group has more than about two blocks, and n texts send a row for each of
+    about n / GROUP blocks at most.
     """
     own = tokens.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     sums = own.groupBy("token", "part").agg(F.count("*").alias("n"), F.max("salts").alias("salts")).groupBy("token").agg(F.sum("n").alias("n"), F.max("salts").alias("salts"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("largest"))
-    several = materialize(sums.where("(n > 2 or salts > 1) and parts > 1").select("token", F.col("largest.part").alias("major")), "several")
+    blocks = lambda n: F.when(F.col("n") > GROUP, F.ceil(n / GROUP)).otherwise(0)
+    several = sums.where("(n > 2 or salts > 1) and parts > 1").select("token", F.col("largest.part").alias("major"), blocks(F.col("largest.n")).alias("majors"), blocks(F.col("n") - F.col("largest.n")).alias("minors"))
+    several = materialize(several, "several")
     own = own.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "token")
-    own = own.withColumn("major", (F.col("salts") > 1) & (F.col("part") == F.col("major")))
-    salts = F.when((F.col("salts") == 1) | F.col("major"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    own = own.withColumn("salt", F.explode(salts)).join(nodes.select("node", "sketch"), "node")
-    dealt = own.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
+    ours = F.when(F.col("part") == F.col("major"), F.col("majors")).otherwise(F.col("minors"))
+    own = own.withColumn("home", F.pmod(F.xxhash64("node", "token"), F.greatest(ours, F.lit(1))))
+
+    def met(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct((F.lit(kind << 60) + i * (1 << 30) + j).alias("group"), side.cast("int").alias("side"))
+
+    def each(n: str, f: object) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+
+    home = F.col("home")
+    others = each("minors", lambda k: met(2, F.least(home, k), F.greatest(home, k), F.when(home == k, 2).otherwise((home > k).cast("int"))))
+    groups = (
+        F.when(F.col("majors") == 0, F.array(met(0, F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(2))))
+        .when(F.col("part") == F.col("major"), each("minors", lambda k: met(1, home, k, F.lit(0))))
+        .otherwise(F.concat(each("majors", lambda k: met(1, k, home, F.lit(1))), others))
+    )
+    return own.select("token", "node", "size", "rest", "part", F.explode(groups).alias("met")).select("token", "met.group", "met.side", "node", "size", "rest", "part")
+
+
+def pairs_across(tokens: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """Candidates of different parts, up to ``most`` of each two parts in each group of ``dealt_across``."""
+    own = dealt_across(tokens, parts).join(nodes.select("node", "sketch"), "node")
+    dealt = own.repartition("token", "group").sortWithinPartitions("token", "group", "size", "node")
     return dealt.mapInArrow(lambda it: _across_batches(it, most), "a long, b long")
 
 

@@ -408,10 +408,11 @@ def test_near_copies_by_kind_of_edit(spark):
     assert {r.doc_id for r in near.dedup(df).collect()} == kept_of(rows)
 
 
-@pytest.mark.parametrize("spread", [near.SPREAD, 2])  # a shingle's texts in one group, and dealt to several
-def test_near_copies_in_groups(spark, monkeypatch, spread):
+@pytest.mark.parametrize("spread,group", [(near.SPREAD, near.GROUP), (2, near.GROUP), (2, 3)])  # a shingle's texts in one group, and dealt to several
+def test_near_copies_in_groups(spark, monkeypatch, spread, group):
     """A similar pair stays linked in groups whose other pairs are just not similar, and in groups beyond the window."""
     monkeypatch.setattr(near, "SPREAD", spread)
+    monkeypatch.setattr(near, "GROUP", group)
     rng, rows = np.random.default_rng(7), []
     draw = lambda n: [f"word{i}" for i in rng.integers(0, 5000, n)]
     for g in range(60):
@@ -425,6 +426,26 @@ def test_near_copies_in_groups(spark, monkeypatch, spread):
     assert {r.doc_id for r in near.dedup(df).collect()} == want
 
 
+@pytest.mark.parametrize("group", [10, 70, 1000])
+@pytest.mark.parametrize("alone", [250, 20, 300])
+def test_each_pair_of_parts_meets_once(spark, monkeypatch, group, alone):
+    """Of 300 texts of one shingle, of which all but ``alone`` are one part: every pair of different parts, in one group each."""
+    monkeypatch.setattr(near, "GROUP", group)
+    n, formed = 300, []
+    monkeypatch.setattr(near, "_apart", lambda s, x, y: formed.append(len(x)) or np.zeros(len(x), np.int64))
+    tokens = spark.range(n).selectExpr("7L as token", "0 as salt", "1 as salts", "id as node", "100 as size", "100 as rest")
+    parts = spark.range(alone, n).selectExpr("id as node", f"{alone}L as component")
+    dealt = sorted(near.dealt_across(tokens, parts).select("token", "group", "side", "node", "size", "rest", "part").collect())
+    columns = [np.array(c, np.int64) for c in zip(*dealt)]
+    pairs, more = near.across(*columns, np.zeros((len(dealt), 1), np.uint64), 1 << 40)
+    part = [min(i, alone) for i in range(n)]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if part[i] != part[j]}
+    assert {tuple(p) for p in pairs.tolist()} == want and not more and sum(formed) == len(want)
+    sizes = Counter(r.group for r in dealt)
+    assert max(sizes.values()) <= (n if group >= n else 4 * group)
+    assert len(dealt) <= (n if group >= n else n * (-(-n // group) + 2))
+
+
 # -- 7 ------------------------------------------------------------------------
 
 
