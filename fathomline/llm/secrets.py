@@ -16,11 +16,14 @@ rows hold is pre-aggregated to few rows.
 
 Edge cases: a null text counts as empty and has no spans; null owners are one
 owner; repeated rows are reported each; texts without any match skip the
-position work; extra columns are ignored (and kept by ``redact``).
+position work; a very long text is scanned whole by one task, whose work on its
+matches is done in runs; extra columns are ignored (and kept by ``redact``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +84,59 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, hint: str | No
     return F.when(text.rlike(hint or pattern), _placed(text, pattern, kind, group)).otherwise(none)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _runs(items: Column) -> Column:
+    """The items in runs of ``RUN``; one empty run if there are none."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN)), lambda i: F.slice(items, i, F.lit(RUN)))
+
+
+def _reached(events: Column, kind: str) -> Column:
+    """Each event (a struct of ``kind`` with a field ``top``) with ``at``, the largest top before it, or 0.
+
+    Largest tops are taken over runs first, so lists are not copied once an event.
+    """
+    none = F.array().cast(f"array<struct<event:{kind},at:int>>")
+
+    def step(acc: Column, e: Column) -> Column:
+        out = F.concat(acc["out"], F.array(F.struct(e.alias("event"), acc["at"].alias("at"))))
+        return F.struct(F.greatest(acc["at"], e["top"]).alias("at"), out.alias("out"))
+
+    def within(runs: Column, tops: Column) -> Column:
+        before = lambda k: F.coalesce(F.array_max(F.slice(tops, F.lit(1), k)), F.lit(0))
+        return F.flatten(F.transform(runs, lambda run, k: F.aggregate(run, F.struct(before(k).alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    return _let(_runs(events), lambda runs: _let(F.transform(runs, lambda run: F.array_max(run["top"])), lambda tops: within(runs, tops)))
+
+
+def _apart(bare: Column, base: Column) -> Column:
+    """The bare spans that touch no base span: met in one order of bare ends and base starts."""
+    kind = f"struct<key:int,base:int,top:int,span:{SPAN}>"
+
+    def event(key: Column, base: int, top: Column, span: Column) -> Column:
+        return F.struct(key.alias("key"), F.lit(base).alias("base"), top.alias("top"), span.cast(SPAN).alias("span"))
+
+    ends = F.transform(bare, lambda s: event(s["end"], 0, F.lit(0), s))
+    starts = F.transform(base, lambda s: event(s["start"], 1, s["end"], F.lit(None)))
+    free = F.filter(_reached(F.array_sort(F.concat(ends, starts)), kind), lambda r: (r["event"]["base"] == 0) & (r["at"] <= r["event"]["span"]["start"]))
+    return F.when((F.size(bare) == 0) | (F.size(base) == 0), bare).otherwise(F.transform(free, lambda r: r["event"]["span"]))
+
+
+def _pieces(text: Column, places: Column) -> Column:
+    """The parts of a text at ascending places (start, end), cut from the text of each run of places."""
+    cut = lambda text, a, b: F.substring(text, a + 1, b - a)
+
+    def of_run(run: Column) -> Column:
+        first = F.get(run, 0)["start"]
+        whole = cut(text, first, F.get(run, F.size(run) - 1)["end"])
+        return _let(whole, lambda own: F.transform(run, lambda p: cut(own, p["start"] - first, p["end"] - first)))
+
+    return F.flatten(F.transform(_runs(places), of_run))
+
+
 def _variety(value: Column) -> Column:
     return F.size(F.array_distinct(F.split(value, "")))
 
@@ -96,8 +152,7 @@ def detected(docs: DataFrame, owner: str = "source", inner: str = "lang") -> Dat
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(inner).cast("string"), F.lit("")).alias("inner"), text.alias("text"),
     )
     rows = rows.withColumns({"base": base, "bare": bare}).drop("text")
-    apart = F.filter("bare", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return materialize(rows.withColumn("bare", apart), "detected")
+    return materialize(rows.withColumn("bare", _apart(F.col("bare"), F.col("base"))), "detected")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -152,11 +207,9 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
         found = F.broadcast(found)
     rows = docs.join(found, docs["doc_id"].eqNullSafe(found["secret_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["secret_text"]), "left")
     text = docs["text"]
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
-        return F.when(s["start"] >= acc["at"], cut).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    place = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    spans = F.transform("secret_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("top")))
+    opened = F.filter(_reached(spans, "struct<start:int,top:int>"), lambda r: r["event"]["start"] >= r["at"])
+    places = F.concat(F.transform(opened, lambda r: place(r["at"], r["event"]["start"])), F.array(place(F.array_max(spans["top"]), F.length(text))))
+    clean = F.array_join(_let(places, lambda p: _pieces(text, p)), mask)
     return rows.select(*[F.when(F.col("secret_spans").isNull(), text).otherwise(clean).alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -530,12 +530,25 @@ def check_ownership(df):
 
 
 def test_many_secrets_in_one_text(spark, monkeypatch):
+    """Lists of spans over several runs: places, what bare runs touch, and what is cut."""
     monkeypatch.setattr(secrets, "RUN", 7)
-    rows = [(n, " ".join(f"token=abc{i:06d} x" for i in range(n)) + " end", "en", "a") for n in (0, 1, 6, 7, 8, 49, 50, 300)]
+    kinds = ("token=abc{0:06d} x", "é Zq{0:05d}Wx8Er7Ty6Ui5Op", "secret={1} AKIA{0:016d}", "token=AKIA{0:016d}+{1}", "{1}Zx")
+    counts = (0, 1, 6, 7, 8, 49, 50, 300)
+    rows = [(n, " ".join(f"token=abc{i:06d} x" for i in range(n)) + " end", "en", "a") for n in counts]
+    rows += [(1000 + n, " ".join(kinds[(i * i + n) % 5].format(i, hashlib.md5(b"%d" % i).hexdigest()) for i in range(n)), "en", "b") for n in counts]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     check_secrets(df)
     check_ownership(df)
-    assert all("abc0" not in r.text for r in secrets.redact(df).collect())
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.report(df).collect()}
+    want = {}
+    for doc_id, text, *_ in rows:
+        out, at = [], 0
+        for start, end in spans[doc_id]:
+            if start >= at:
+                out.append(text[at:start])
+            at = max(at, end)
+        want[doc_id] = "[REDACTED]".join([*out, text[at:]])
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == want and all("abc0" not in t for t in want.values())
 
 
 def test_secrets(spark, docs, odd):
