@@ -47,6 +47,16 @@ MASK = "[REDACTED]"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _runs(items: Column) -> Column:
+    """The items in runs of ``RUN``; one empty run if there are none."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN)), lambda i: F.slice(items, i, F.lit(RUN)))
+
+
 def _placed(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Spans of all matches: the text between matches gives their places.
 
@@ -72,11 +82,10 @@ def _placed(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
     def placed(matches: Column) -> Column:
         few = F.aggregate(matches, zero, step, lambda acc: acc["out"])
-        starts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
-        runs = F.transform(starts, lambda i: F.aggregate(F.slice(matches, i, F.lit(RUN)), zero, step))
+        runs = F.transform(_runs(matches), lambda run: F.aggregate(run, zero, step))
         return F.when(F.size(matches) <= RUN, few).otherwise(F.flatten(F.aggregate(runs, zeros, join, lambda acc: acc["out"])))
 
-    return placed(pairs)
+    return _let(pairs, placed)
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, hint: str | None = None) -> Column:
@@ -84,16 +93,6 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, hint: str | No
     return F.when(text.rlike(hint or pattern), _placed(text, pattern, kind, group)).otherwise(none)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def _runs(items: Column) -> Column:
-    """The items in runs of ``RUN``; one empty run if there are none."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN)), lambda i: F.slice(items, i, F.lit(RUN)))
-
-
 def _reached(events: Column, kind: str) -> Column:
     """Each event (a struct of ``kind`` with a field ``top``) with ``at``, the largest top before it, or 0.
 
