@@ -77,8 +77,8 @@ def backtrack(particles: DataFrame, environment: DataFrame, noise: DataFrame, de
     return rows.withColumn("lon", F.col("lon0") + F.sum(dlon).over(so_far)).select(*keys, "p", "step", (F.lit(detected_at) - F.col("step") * dt).alias("ts"), "lat", "lon")
 
 
-def centreline(cloud: DataFrame) -> DataFrame:
-    return cloud.groupBy("step", "ts").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+def centreline(cloud: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return cloud.groupBy(*keys, "step", "ts").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
 def regions(cloud: DataFrame, detected_at: float, hours: tuple[int, ...]) -> DataFrame:

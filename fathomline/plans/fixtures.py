@@ -106,24 +106,33 @@ class Tables:
 
     @cached_property
     def environment(self) -> DataFrame:
-        return self.spark.range(31).selectExpr(
-            "1704056400d + 3600d * id as ts", "6d + 2d * sin(id / 4d) as wind_speed", "cast((300 + 5 * id) % 360 as double) as wind_from", "0.3d + 0.1d * cos(id / 6d) as cur_speed", "cast((90 + 7 * id) % 360 as double) as cur_to"
+        """Wind and current of each hour, from the events of the hour."""
+        hours = self.events.groupBy(F.floor((1704067200 + (F.col("e") - 1704067200) / 30) / 3600).alias("h"))
+        sums = {"a": "event_id % 101", "b": "user_id", "c": "user_id % 13", "d": "event_id % 17"}
+        return hours.agg(*[F.sum(F.expr(x)).alias(k) for k, x in sums.items()]).selectExpr(
+            "3600d * h as ts", "6d + (a % 101) / 50d as wind_speed", "cast((280 + b % 120) % 360 as double) as wind_from", "0.2d + (c % 101) / 500d as cur_speed", "cast(90 + d % 150 as double) as cur_to"
         )
 
     @cached_property
     def particles(self) -> DataFrame:
+        """A slick of 64 particles; the customers of each decide how wind moves it."""
         frac = lambda x: f"(({x}) - floor({x}))"
-        return self.spark.range(64).selectExpr(
-            "cast(id as int) as p", "5d + 0.01d * (id % 8) as lon0", "54d + 0.01d * floor(id / 8d) as lat0",
-            f"0.03d * (0.65d + 0.7d * {frac('id * 0.618034d')}) as wind_factor", f"15d + 8d * (2d * {frac('id * 0.7548777d')} - 1d) as deflection",
+        dealt = self.source("customer").groupBy(F.expr("cast(c_custkey % 64 as int)").alias("p")).agg(F.expr("sum(c_custkey + c_nationkey) % 100003").alias("k"))
+        return dealt.selectExpr(
+            "p", "5d + 0.01d * (p % 8) as lon0", "54d + 0.01d * floor(p / 8d) as lat0",
+            f"0.03d * (0.65d + 0.7d * {frac('k * 0.618034d')}) as wind_factor", f"15d + 8d * (2d * {frac('k * 0.7548777d')} - 1d) as deflection",
         )
 
     @cached_property
     def noise(self) -> DataFrame:
+        return self.noise_of(self.particles)
+
+    @staticmethod
+    def noise_of(particles: DataFrame, *keys: str) -> DataFrame:
         """Currents that stand for diffusion, by particle and step."""
         frac = lambda c: f"((p * 131 + step * 71) * {c}d - floor((p * 131 + step * 71) * {c}d))"
-        each = self.particles.select("p", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("step"))
-        return each.selectExpr("p", "step", f"0.06d * (2d * {frac('0.5698403')} - 1d) as north", f"0.06d * (2d * {frac('0.3247179')} - 1d) as east")
+        each = particles.select(*keys, "p", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("step"))
+        return each.selectExpr(*keys, "p", "step", f"0.06d * (2d * {frac('0.5698403')} - 1d) as north", f"0.06d * (2d * {frac('0.3247179')} - 1d) as east")
 
     @cached_property
     def pixels(self) -> DataFrame:
@@ -141,8 +150,13 @@ class Tables:
 
     @cached_property
     def raster(self) -> DataFrame:
-        cells = self.spark.range(96 * 96).selectExpr("cast(floor(id / 96d) as int) as r", "cast(id % 96 as int) as c")
-        return cells.selectExpr("r", "c", "(120d + 30d * (((r * 31 + c * 17 + r * c) % 97) / 97d)) * (1d - 0.7d * exp(-pow(pow((c - 48) / 12d, 2d) + pow((r - 48) / 6d, 2d), 3d))) as v")
+        """Scenes of 96 x 96 pixels, each from 9,216 events in turn: speckle of its events, and a dark slick amidst."""
+        rows = self.source("events").selectExpr("event_id div 9216 as scene", "cast(event_id % 9216 as int) as k", "user_id * 31 + event_id as x")
+        grid = rows.select("scene").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9215))))
+        cells = grid.join(rows.groupBy("scene", "k").agg(F.sum("x").alias("x")), ["scene", "k"], "left").selectExpr("scene", "k div 96 as r", "k % 96 as c", "coalesce(x, 0) as x")
+        return cells.selectExpr(
+            "scene", "cast(r as int) as r", "c", "(120d + 30d * (((x + r * 31 + c * 17 + r * c) % 97) / 97d)) * (1d - (0.7d - 0.25d * (scene % 3)) * exp(-pow(pow((c - 48) / 12d, 2d) + pow((r - 48) / 6d, 2d), 3d))) as v"
+        )
 
 
 # The same as SQL.  A projection may use those before it.
@@ -171,20 +185,22 @@ CTES = {
   from (select l_orderkey, l_suppkey, max(l_discount) as d from lineitem group by 1, 2))""",
     "alerts": "select event_id as id, e as ts, case when event_id % 3 = 0 then null else 'OTA-2024-' || lpad(cast(event_id % 2500 as varchar), 5, '0') end as incident_id, event_type as kind from ev where event_type = 'error'",
     "timeline": "select incident_id, detected_at as ts, 'detected' as stage from incidents union all select incident_id, created_at, 'created' from incidents",
-    "environment": """select 1704056400e0 + 3600e0 * i as ts, 6e0 + 2e0 * sin(i / 4e0) as wind_speed, cast((300 + 5 * i) % 360 as double) as wind_from,
-  0.3e0 + 0.1e0 * cos(i / 6e0) as cur_speed, cast((90 + 7 * i) % 360 as double) as cur_to from range(31) t(i)""",
-    "particles": """select cast(i as int) as p, 5e0 + 0.01e0 * (i % 8) as lon0, 54e0 + 0.01e0 * floor(i / 8e0) as lat0,
-  0.03e0 * (0.65e0 + 0.7e0 * (i * 0.618034e0 - floor(i * 0.618034e0))) as wind_factor, 15e0 + 8e0 * (2e0 * (i * 0.7548777e0 - floor(i * 0.7548777e0)) - 1e0) as deflection from range(64) t(i)""",
+    "environment": """select 3600e0 * h as ts, 6e0 + (a % 101) / 50e0 as wind_speed, cast((280 + b % 120) % 360 as double) as wind_from, 0.2e0 + (c % 101) / 500e0 as cur_speed, cast(90 + d % 150 as double) as cur_to
+  from (select cast(floor((1704067200 + (e - 1704067200) / 30e0) / 3600) as bigint) as h, sum(event_id % 101) as a, sum(user_id) as b, sum(user_id % 13) as c, sum(event_id % 17) as d from ev group by 1)""",
+    "particles": """select p, 5e0 + 0.01e0 * (p % 8) as lon0, 54e0 + 0.01e0 * floor(p / 8e0) as lat0,
+  0.03e0 * (0.65e0 + 0.7e0 * (k * 0.618034e0 - floor(k * 0.618034e0))) as wind_factor, 15e0 + 8e0 * (2e0 * (k * 0.7548777e0 - floor(k * 0.7548777e0)) - 1e0) as deflection
+  from (select cast(c_custkey % 64 as int) as p, cast(sum(c_custkey + c_nationkey) % 100003 as bigint) as k from customer group by 1)""",
     "noise": """select p, cast(s as int) as step, 0.06e0 * (2e0 * ((p * 131 + s * 71) * 0.5698403e0 - floor((p * 131 + s * 71) * 0.5698403e0)) - 1e0) as north,
   0.06e0 * (2e0 * ((p * 131 + s * 71) * 0.3247179e0 - floor((p * 131 + s * 71) * 0.3247179e0)) - 1e0) as east from particles, range(48) t(s)""",
-    "raster": """select r, c, (120e0 + 30e0 * (((r * 31 + c * 17 + r * c) % 97) / 97e0)) * (1e0 - 0.7e0 * exp(-pow(pow((c - 48) / 12e0, 2e0) + pow((r - 48) / 6e0, 2e0), 3e0))) as v
-  from (select cast(i // 96 as int) as r, cast(i % 96 as int) as c from range(9216) t(i))""",
+    "raster": """select scene, r, c, (120e0 + 30e0 * (((x + r * 31 + c * 17 + r * c) % 97) / 97e0)) * (1e0 - (0.7e0 - 0.25e0 * (scene % 3)) * exp(-pow(pow((c - 48) / 12e0, 2e0) + pow((r - 48) / 6e0, 2e0), 3e0))) as v
+  from (select scene, cast(k // 96 as int) as r, cast(k % 96 as int) as c, cast(coalesce(x, 0) as bigint) as x from (select distinct event_id // 9216 as scene, k from events, range(9216) t(k))
+    left join (select event_id // 9216 as scene, event_id % 9216 as k, sum(user_id * 31 + event_id) as x from events group by 1, 2) using (scene, k))""",
 }
 CTES["pixels"] = """select seq // 2500 as scene, cast(floor((lat - 53) * 50) as int) as r, cast(floor((lon - 4) * 50) as int) as c, count(*) as v
   from ais_raw where lat between 53 and 54.5 and lon between 4 and 6.1 group by 1, 2, 3"""
 _NEEDS = {
     "pixels": ["ev", "ais_raw"],
-    "ais_raw": ["ev"], "ais_positions": ["ev", "ais_raw"], "alerts": ["ev"], "timeline": ["incidents"], "noise": ["particles"],
+    "ais_raw": ["ev"], "ais_positions": ["ev", "ais_raw"], "alerts": ["ev"], "timeline": ["incidents"], "noise": ["particles"], "environment": ["ev"],
 }
 
 

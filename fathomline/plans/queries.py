@@ -14,7 +14,7 @@ from fathomline.constants import REGION_HOURS, REGIONS, SHIP_TYPES, TYPE_BASE, T
 from fathomline.functions import geo, scalars, sql
 from fathomline.operators import attribution, audit, drift, ingest, raster, reports, shapes, tracks
 from fathomline.operators import regions as regional
-from fathomline.plans.fixtures import DETECTED, NOW, Tables, padded, padded_sql, with_tables
+from fathomline.plans.fixtures import CTES, DETECTED, NOW, Tables, padded, padded_sql, with_tables
 from fathomline.sources import archives, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,15 +428,15 @@ def _catalogue(t: Tables) -> DataFrame:
     return t.source("orders").selectExpr("concat('S', o_orderkey) as id", f"{kind} as properties", "array(cast(o_orderkey % 90 as double), 0d, cast(o_orderkey % 90 + 2 as double), 5d) as bbox")
 
 
-@query("select 1704067200e0 + 3600e0 * i as ts, cast(i as double) / 2 as wind_speed, cast(i * 3.6e0 as double) / 3.6e0 as cur_speed, case when i < 24 then 15e0 end as sst_c from range(48) t(i)")
+@query("select h * 3600e0 as ts, n / 2e0 as wind_speed, n * 3.6e0 / 3.6e0 as cur_speed, case when h // 24 % 2 = 0 then 15e0 end as sst_c from (select cast(floor(e / 3600) as bigint) as h, count(*) as n from ev group by 1)", "ev")
 def hourly_series(t: Tables) -> DataFrame:
-    hour = _utc("1704067200 + 3600 * id", "yyyy-MM-dd'T'HH:mm")
-    lists = t.spark.range(48).selectExpr("1 as one", "id", f"{hour} as time").groupBy("one").agg(F.sort_array(F.collect_list(F.struct("id", "time"))).alias("x"))
-    wind = "named_struct('time', transform(x, y -> y.time), 'wind_speed_10m', transform(x, y -> y.id / 2d))"
-    sea = "named_struct('time', transform(slice(x, 1, 24), y -> y.time), 'ocean_current_velocity', transform(slice(x, 1, 24), y -> y.id * 3.6d), 'sea_surface_temperature', transform(slice(x, 1, 24), y -> 15d))"
-    rest = "named_struct('time', transform(slice(x, 25, 24), y -> y.time), 'ocean_current_velocity', transform(slice(x, 25, 24), y -> y.id * 3.6d))"
-    bodies = lists.selectExpr(f"to_json(named_struct('hourly', {wind})) as body").unionByName(lists.selectExpr(f"to_json(named_struct('hourly', {sea})) as body")).unionByName(lists.selectExpr(f"to_json(named_struct('hourly', {rest})) as body"))
-    return archives.environment(bodies).select("ts", "wind_speed", "cur_speed", "sst_c")
+    """A weather and a sea result a day, with the events of each hour as readings."""
+    hours = t.events.groupBy(F.floor(F.col("e") / 3600).alias("h")).agg(F.count("*").alias("n")).withColumn("time", F.expr(_utc("3600 * h", "yyyy-MM-dd'T'HH:mm")))
+    days = hours.groupBy(F.expr("h div 24").alias("d")).agg(F.sort_array(F.collect_list(F.struct("h", "time", "n"))).alias("x"))
+    time = "'time', transform(x, y -> y.time)"
+    wind = f"to_json(named_struct('hourly', named_struct({time}, 'wind_speed_10m', transform(x, y -> y.n / 2d))))"
+    sea = f"to_json(named_struct('hourly', named_struct({time}, 'ocean_current_velocity', transform(x, y -> y.n * 3.6d), 'sea_surface_temperature', if(d % 2 = 0, transform(x, y -> 15d), null))))"
+    return archives.environment(days.selectExpr(f"explode(array({wind}, {sea})) as body")).select("ts", "wind_speed", "cur_speed", "sst_c")
 
 
 # -- functions -------------------------------------------------------------------
@@ -627,15 +627,20 @@ def drift_vectors(t: Tables) -> DataFrame:
 
 
 _PW = _WIND.format(d="deflection")
-_CLOUD = {
-    "grid": _GRID, "env": _ENV,
-    "moves": f"""select p, lon0, lat0, step + 1 as step, -(({_NORTH.format(f='wind_factor', w=_PW)}) + north) * 1800e0 / 1000e0 / 110.574e0 as dlat, ({_EAST.format(f='wind_factor', w=_PW)}) + east as ve
-  from particles join noise using (p) join env using (step)""",
-    "lats": "select p, lon0, step, ve, lat0 + sum(dlat) over (partition by p order by step) as lat from (select p, lon0, lat0, 0 as step, 0e0 as dlat, 0e0 as ve from particles union all select * from moves)",
-    "means": "select step + 1 as step, avg(lat) as mean_lat from lats group by step",
-    "cloud": f"""select p, step, {DETECTED} - step * 1800e0 as ts, lat, lon0 + sum(case when step = 0 then 0e0 else -(ve * 1800e0) / 1000e0 / greatest(111.32e0 * cos(radians(mean_lat)), 1e-6) end) over (partition by p order by step) as lon
-  from lats left join means using (step)""",
-}
+
+
+def _cloud_sql(particles: str = "particles", noise: str = "noise", key: str = "") -> dict[str, str]:
+    return {
+        "moves": f"""select {key}p, lon0, lat0, step + 1 as step, -(({_NORTH.format(f='wind_factor', w=_PW)}) + north) * 1800e0 / 1000e0 / 110.574e0 as dlat, ({_EAST.format(f='wind_factor', w=_PW)}) + east as ve
+  from {particles} join {noise} using ({key}p) join env using (step)""",
+        "lats": f"select {key}p, lon0, step, ve, lat0 + sum(dlat) over (partition by {key}p order by step) as lat from (select {key}p, lon0, lat0, 0 as step, 0e0 as dlat, 0e0 as ve from {particles} union all select * from moves)",
+        "means": f"select {key}step + 1 as step, avg(lat) as mean_lat from lats group by {key}lats.step",
+        "cloud": f"""select {key}p, step, {DETECTED} - step * 1800e0 as ts, lat, lon0 + sum(case when step = 0 then 0e0 else -(ve * 1800e0) / 1000e0 / greatest(111.32e0 * cos(radians(mean_lat)), 1e-6) end) over (partition by {key}p order by step) as lon
+  from lats left join means using ({key}step)""",
+    }
+
+
+_CLOUD = {"grid": _GRID, "env": _ENV, **_cloud_sql()}
 _CLOUD_NEEDS = ("environment", "particles", "noise")
 
 
@@ -661,15 +666,6 @@ def drift_trim_quantile(t: Tables) -> DataFrame:
     return shapes.trimmed(_cloud(t), 0.9).select("step", "p")
 
 
-RING = [[5.0, 54.0], [5.2, 54.02], [5.15, 54.12], [5.02, 54.1]]
-
-
-@query()
-def drift_seeded(t: Tables) -> DataFrame:
-    particles, noise = drift.draws(t.spark, RING, STEPS)
-    return drift.centreline(drift.backtrack(particles, t.environment, noise, DETECTED, STEPS)).select("step", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
-
-
 @query(
     f"select incident_id, arg_max(hours, computed_at) as hours, max(computed_at) as computed_at from (select 'OTA-2024-' || {padded_sql('user_id')} as incident_id, cast(event_id as double) as computed_at, cast(event_id % 48 as int) as hours from events) group by 1"
 )
@@ -682,9 +678,14 @@ def _latest_runs(t: Tables) -> DataFrame:
     return ingest.keep_latest(runs, "incident_id", "computed_at")
 
 
-@query(" union all ".join(f"select '{r.key}' as key, {r.lat_min}e0 as lat_min, {r.lat_max}e0 as lat_max, {r.lon_min}e0 as lon_min, {r.lon_max}e0 as lon_max, '{r.ais_live}' as ais_live" for r in REGIONS))
+_KNOWN = " union all ".join(f"select '{r.key}' as key, {r.lat_min}e0 as lat_min, {r.lat_max}e0 as lat_max, {r.lon_min}e0 as lon_min, {r.lon_max}e0 as lon_max, '{r.ais_live}' as ais_live" for r in REGIONS)
+
+
+@query(f"select k.*, coalesce(n, 0) as incidents from ({_KNOWN}) k left join (select region as key, count(*) as n from incidents group by 1) using (key)", "incidents")
 def regions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([tuple(r) for r in REGIONS], "key string, lat_min double, lat_max double, lon_min double, lon_max double, ais_live string")
+    """The regions, with the number of incidents of each."""
+    known = t.spark.createDataFrame([tuple(r) for r in REGIONS], "key string, lat_min double, lat_max double, lon_min double, lon_max double, ais_live string")
+    return known.join(t.incidents.groupBy(F.col("region").alias("key")).agg(F.count("*").alias("incidents")), "key", "left").fillna(0, ["incidents"])
 
 
 @query()
@@ -875,69 +876,73 @@ def candidate_tracks(t: Tables) -> DataFrame:
 
 # -- rasters -----------------------------------------------------------------------------
 
-SIZE = (96, 96)
+SIZE, SCENE = (96, 96), ("scene",)
 
 
 def _blur_sql(source: str, k: int, out: str) -> str:
     """Two window passes over a table mirrored at its edges."""
     m = k // 2
-    mirror = lambda rel, a: f"select r, c, v from {rel} union all select {'-r, c' if a == 'r' else 'r, -c'}, v from {rel} where {a} between 1 and {m} union all select {'190 - r, c' if a == 'r' else 'r, 190 - c'}, v from {rel} where {a} between {95 - m} and 94"
-    once = f"select r, c, avg(v) over (partition by r order by c rows between {m} preceding and {m} following) as v from ({mirror(source, 'c')})"
+    mirror = lambda rel, a: f"select scene, r, c, v from {rel} union all select scene, {'-r, c' if a == 'r' else 'r, -c'}, v from {rel} where {a} between 1 and {m} union all select scene, {'190 - r, c' if a == 'r' else 'r, 190 - c'}, v from {rel} where {a} between {95 - m} and 94"
+    once = f"select scene, r, c, avg(v) over (partition by scene, r order by c rows between {m} preceding and {m} following) as v from ({mirror(source, 'c')})"
     once = f"(select * from ({once}) where c between 0 and 95)"
-    twice = f"select r, c, avg(v) over (partition by c order by r rows between {m} preceding and {m} following) as v from ({mirror(once, 'r')})"
-    return f"select r, c, v as {out} from ({twice}) where r between 0 and 95"
+    twice = f"select scene, r, c, avg(v) over (partition by scene, c order by r rows between {m} preceding and {m} following) as v from ({mirror(once, 'r')})"
+    return f"select scene, r, c, v as {out} from ({twice}) where r between 0 and 95"
 
 
-@query(f"select r, c, round(b, 6) as v from ({_blur_sql('raster', 7, 'b')})", "raster")
+@query(f"select scene, r, c, round(b, 6) as v from ({_blur_sql('raster', 7, 'b')})", "raster")
 def box_blur(t: Tables) -> DataFrame:
-    return raster.box_mean(t.raster, 7, SIZE, "v").withColumn("v", F.round("v", 6))
+    return raster.box_mean(t.raster, 7, SIZE, "v", keys=SCENE).withColumn("v", F.round("v", 6))
 
 
-@query("select r, c, round((v - min(v) over ()) / greatest(max(v) over () - min(v) over (), 1e-6) * 255e0, 6) as v from raster", "raster")
+@query("select scene, r, c, round((v - min(v) over w) / greatest(max(v) over w - min(v) over w, 1e-6) * 255e0, 6) as v from raster window w as (partition by scene)", "raster")
 def rescale(t: Tables) -> DataFrame:
-    return raster.rescale(t.raster).withColumn("v", F.round("v", 6))
+    return raster.rescale(t.raster, SCENE).withColumn("v", F.round("v", 6))
 
 
 _LEE = {
-    "m": _blur_sql("raster", 7, "m"), "sq": "select r, c, v * v as v from raster", "q": _blur_sql("sq", 7, "q"),
-    "lee": "select r, c, m + l / (l + o + 1e-9) * (v - m) as v from (select r, c, v, m, greatest(q - m * m, 0e0) as l from raster join m using (r, c) join q using (r, c)), (select var_pop(v) as o from raster)",
+    "m": _blur_sql("raster", 7, "m"), "sq": "select scene, r, c, v * v as v from raster", "q": _blur_sql("sq", 7, "q"),
+    "lee": "select scene, r, c, m + l / (l + o + 1e-9) * (v - m) as v from (select scene, r, c, v, m, greatest(q - m * m, 0e0) as l from raster join m using (scene, r, c) join q using (scene, r, c)) join (select scene, var_pop(v) as o from raster group by 1) using (scene)",
 }
 
 
-@query("select r, c, round(v, 5) as v from lee", "raster", more=_LEE)
+@query("select scene, r, c, round(v, 5) as v from lee", "raster", more=_LEE)
 def lee_filter(t: Tables) -> DataFrame:
-    return raster.lee(t.raster, SIZE).withColumn("v", F.round("v", 5))
+    return raster.lee(t.raster, SIZE, keys=SCENE).withColumn("v", F.round("v", 5))
 
 
 _BAND = {
-    "near": _blur_sql("raster", 5, "near"), "far": _blur_sql("raster", 31, "far"), "x": "select r, c, far - near as contrast from near join far using (r, c)",
-    "med": "select median(contrast) as med from x", "sig": "select 1.4826e0 * median(abs(contrast - med)) + 1e-6 as sigma from x, med",
-    "lim": "select r, c, contrast, med, sigma, cast(contrast > med + 3.0e0 * sigma as int) as strong, cast(contrast > med + 1.8e0 * sigma as int) as weak from x, med, sig",
+    "near": _blur_sql("raster", 5, "near"), "far": _blur_sql("raster", 31, "far"), "x": "select scene, r, c, far - near as contrast from near join far using (scene, r, c)",
+    "med": "select scene, median(contrast) as med from x group by 1", "sig": "select scene, 1.4826e0 * median(abs(contrast - med)) + 1e-6 as sigma from x join med using (scene) group by 1",
+    "lim": "select scene, r, c, contrast, med, sigma, cast(contrast > med + 3.0e0 * sigma as int) as strong, cast(contrast > med + 1.8e0 * sigma as int) as weak from x join med using (scene) join sig using (scene)",
 }
 
 
-@query("select r, c, round(contrast, 5) as contrast, round(med, 5) as med, round(sigma, 5) as sigma, strong, weak from lim", "raster", more=_BAND)
+@query("select scene, r, c, round(contrast, 5) as contrast, round(med, 5) as med, round(sigma, 5) as sigma, strong, weak from lim", "raster", more=_BAND)
 def bandpass_mad(t: Tables) -> DataFrame:
-    rows = raster.thresholds(raster.band_pass(t.raster, SIZE, 5, 31))
-    return rows.select("r", "c", *[F.round(c, 5).alias(c) for c in ("contrast", "med", "sigma")], "strong", "weak")
+    rows = raster.thresholds(raster.band_pass(t.raster, SIZE, 5, 31, SCENE), SCENE)
+    return rows.select("scene", "r", "c", *[F.round(c, 5).alias(c) for c in ("contrast", "med", "sigma")], "strong", "weak")
+
+
+#: Each scene, and its upper part in other units.
+_TWO_SQL = "select scene * 2 as scene, r, c, v from raster union all select scene * 2 + 1, r, c, v * 3 + 100 from raster where r < 50"
 
 
 @query(
     "select scene, r, c, round((v - low) / greatest(high - low, 1e-6) * 255e0, 6) as v from scenes join (select scene, min(v) as low, max(v) as high from scenes group by 1) using (scene)",
-    "raster", more={"scenes": "select 'a' as scene, r, c, v from raster union all select 'b', r, c, v * 3 + 100 from raster where r < 50"},
+    "raster", more={"scenes": _TWO_SQL},
 )
 def rescale_scenes(t: Tables) -> DataFrame:
     return raster.rescale(_two(t), ("scene",)).withColumn("v", F.round("v", 6))
 
 
 def _two(t: Tables) -> DataFrame:
-    one = t.raster.select(F.lit("a").alias("scene"), "r", "c", "v")
-    return one.unionByName(t.raster.where("r < 50").select(F.lit("b").alias("scene"), "r", "c", (F.col("v") * 3 + 100).alias("v")))
+    one = t.raster.select((F.col("scene") * 2).alias("scene"), "r", "c", "v")
+    return one.unionByName(t.raster.where("r < 50").select((F.col("scene") * 2 + 1).alias("scene"), "r", "c", (F.col("v") * 3 + 100).alias("v")))
 
 
 @query(
     "select scene, avg(case when v > 120e0 then 1e0 else 0e0 end) as land_fraction from scenes group by 1",
-    "raster", more={"scenes": "select 'a' as scene, r, c, v from raster union all select 'b', r, c, v * 3 + 100 from raster where r < 50"},
+    "raster", more={"scenes": _TWO_SQL},
 )
 def land_fraction(t: Tables) -> DataFrame:
     return raster.land_fraction(_two(t).withColumn("land", (F.col("v") > 120).cast("int")), ("scene",))
@@ -945,18 +950,18 @@ def land_fraction(t: Tables) -> DataFrame:
 
 def _morph_sql(source: str, k: int, f: str) -> str:
     m = k // 2
-    once = f"select r, c, {f}(weak) over (partition by r order by c rows between {m} preceding and {m} following) as weak from {source}"
-    return f"select r, c, {f}(weak) over (partition by c order by r rows between {m} preceding and {m} following) as weak from ({once})"
+    once = f"select scene, r, c, {f}(weak) over (partition by scene, r order by c rows between {m} preceding and {m} following) as weak from {source}"
+    return f"select scene, r, c, {f}(weak) over (partition by scene, c order by r rows between {m} preceding and {m} following) as weak from ({once})"
 
 
 @query(
-    "select r, c, closed.weak as closed, opened.weak as opened from closed join opened using (r, c)",
+    "select scene, r, c, closed.weak as closed, opened.weak as opened from closed join opened using (scene, r, c)",
     "raster", more={**_BAND, "g": _morph_sql("lim", 7, "max"), "closed": _morph_sql("g", 7, "min"), "e": _morph_sql("lim", 5, "min"), "opened": _morph_sql("e", 5, "max")},
 )
 def dilate_erode(t: Tables) -> DataFrame:
-    weak = raster.thresholds(raster.band_pass(t.raster, SIZE, 5, 31)).select("r", "c", "weak")
-    closed = raster.close(weak, 7, "weak").withColumnRenamed("weak", "closed")
-    return closed.join(raster.open_(weak, 5, "weak").withColumnRenamed("weak", "opened"), ["r", "c"])
+    weak = raster.thresholds(raster.band_pass(t.raster, SIZE, 5, 31, SCENE), SCENE).select("scene", "r", "c", "weak")
+    closed = raster.close(weak, 7, "weak", SCENE).withColumnRenamed("weak", "closed")
+    return closed.join(raster.open_(weak, 5, "weak", SCENE).withColumnRenamed("weak", "opened"), ["scene", "r", "c"])
 
 
 _DB, _CX, _EL, _HO, _AR = "1 + 4 * confidence", "1 + 3 * (area_km2 - floor(area_km2))", "1 + area_km2 / 10", "confidence", "area_km2"
@@ -969,24 +974,21 @@ def confidence_gate(t: Tables) -> DataFrame:
     return t.incidents.select("incident_id", raster.confidence(*[F.expr(x) for x in (_DB, _CX, _EL, _HO, _AR)]).alias("sure"))
 
 
-@query("select r, c, case when z = 0 then m else z end as v from (select r, c, case when (r + c) % 5 = 0 then 0 else v end as z from raster), (select median(v) as m from raster where (r + c) % 5 <> 0)", "raster")
+@query("select scene, r, c, case when z = 0 then m else z end as v from (select scene, r, c, case when (r + c) % 5 = 0 then 0 else v end as z from raster) join (select scene, median(v) as m from raster where (r + c) % 5 <> 0 group by 1) using (scene)", "raster")
 def fill_missing(t: Tables) -> DataFrame:
-    return raster.fill_missing(t.raster.withColumn("v", F.when((F.col("r") + F.col("c")) % 5 == 0, 0.0).otherwise(F.col("v"))))
+    return raster.fill_missing(t.raster.withColumn("v", F.when((F.col("r") + F.col("c")) % 5 == 0, 0.0).otherwise(F.col("v"))), SCENE)
 
 
 def _scenes(t: Tables) -> DataFrame:
-    """Three speckled scenes with one slick each, made on the executors."""
+    """The scenes of the pixel table as images of some 20 km, a row each."""
 
-    def make(frames):
-        y, x = np.mgrid[0:700, 0:700]
-        slick = np.exp(-((((x - 350) / 40) ** 2 + ((y - 350) / 15) ** 2) ** 3))
+    def packed(frames):
         for pdf in frames:
-            for i in pdf["id"]:
-                noise = np.random.default_rng(7 + int(i)).gamma(4, 30, (700, 700))
-                pixels = (noise * (1 - (0.85, 0.5, 0.12)[int(i)] * slick)).astype("<f4")
-                yield pd.DataFrame([{"scene_id": f"scene-{i}", "h": 700, "w": 700, "west": 0.0, "south": 50.0, "east": 0.5, "north": 50.4, "pixels": pixels.tobytes()}])
+            yield pd.DataFrame({"scene_id": pdf["scene"].astype(str), "pixels": [np.asarray(v, "<f4").tobytes() for v in pdf["v"]]})
 
-    return t.spark.range(3).repartition(3, "id").mapInPandas(make, "scene_id string, h int, w int, west double, south double, east double, north double, pixels binary")
+    images = t.raster.groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("r", "c", "v"))).alias("x")).select("scene", F.col("x.v").alias("v"))  # 9,216 values a scene
+    images = images.mapInPandas(packed, "scene_id string, pixels binary")
+    return images.selectExpr("scene_id", "96 as h", "96 as w", "0d as west", "50d as south", "0.3d as east", "50.193d as north", "pixels")
 
 
 @query()
@@ -1053,25 +1055,37 @@ _RINGS_SQL = f"""select s_suppkey as ring_id, k, 2 + (s_suppkey * 37 % 500) / 10
 _EVEN = lambda i, k: f"({i} * {drift.EVEN[k]}e0 - floor({i} * {drift.EVEN[k]}e0))"
 
 
-@query(
-    f"""select ring_id, cast(k - 1 as int) as p, round(lon0, 6) as lon0, round(lat0, 6) as lat0, round(0.03e0 * (0.65e0 + 0.7e0 * {_EVEN('k', 2)}), 6) as wind_factor,
-round(15 + 8 * sqrt(-2 * ln(1 - {_EVEN('k', 2)})) * cos(2 * pi() * {_EVEN('k', 3)}), 6) as deflection from (
+_SEEDS = {
+    "ring": _RINGS_SQL,
+    "edge": "select ring_id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by ring_id order by k)",
+    "box": "select ring_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from ring group by 1",
+    "tries": f"select ring_id, i, x0 + {_EVEN('i', 0)} * (x1 - x0) as lon0, y0 + {_EVEN('i', 1)} * (y1 - y0) as lat0 from box, range(1, 400) t(i)",
+    "seeds": f"""select ring_id, cast(k - 1 as int) as p, lon0, lat0, 0.03e0 * (0.65e0 + 0.7e0 * {_EVEN('k', 2)}) as wind_factor,
+15 + 8 * sqrt(-2 * ln(1 - {_EVEN('k', 2)})) * cos(2 * pi() * {_EVEN('k', 3)}) as deflection from (
   select ring_id, lon0, lat0, row_number() over (partition by ring_id order by i) as k from (
     select t.ring_id, i, lon0, lat0 from tries t join edge using (ring_id)
     where (y > lat0) <> (y2 > lat0) and lon0 < x + (lat0 - y) * (x2 - x) / (y2 - y) group by all having count(*) % 2 = 1)) where k <= 40""",
-    more={
-        "ring": _RINGS_SQL,
-        "edge": "select ring_id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by ring_id order by k)",
-        "box": "select ring_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from ring group by 1",
-        "tries": f"select ring_id, i, x0 + {_EVEN('i', 0)} * (x1 - x0) as lon0, y0 + {_EVEN('i', 1)} * (y1 - y0) as lat0 from box, range(1, 400) t(i)",
-    },
-)
+}
+
+
+@query("select ring_id, p, round(lon0, 6) as lon0, round(lat0, 6) as lat0, round(wind_factor, 6) as wind_factor, round(deflection, 6) as deflection from seeds", more=_SEEDS)
 def drift_seeds(t: Tables) -> DataFrame:
     """Forty even particles in the ring of every supplier."""
     found = drift.seeds(t.rings, 40, "ring_id")
     return found.select("ring_id", "p", *[F.round(c, 6).alias(c) for c in ("lon0", "lat0", "wind_factor", "deflection")])
 
 
+@query(
+    "select ring_id, step, ts, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from cloud group by 1, 2, 3", "environment",
+    more={"grid": _GRID, "env": _ENV, **_SEEDS, "shaken": CTES["noise"].replace("select p,", "select ring_id, p,", 1).replace("from particles", "from seeds"), **_cloud_sql("seeds", "shaken", "ring_id, ")},
+)
+def drift_seeded(t: Tables) -> DataFrame:
+    """The ways back of the slicks in the rings of all suppliers, each from its own particles."""
+    particles = drift.seeds(t.rings, 40, "ring_id")
+    cloud = drift.backtrack(particles, t.environment, t.noise_of(particles, "ring_id"), DETECTED, STEPS, ("ring_id",))
+    return drift.centreline(cloud, ("ring_id",)).select("ring_id", "step", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @labelled_query(
     """, quad as (select scene, root, r + dr as vr, c + dc as vc, bit_or(cast(pow(2, 2 * dr + dc) as int)) as bits, count(*) as n from labelled, range(2) a(dr), range(2) b(dc) group by 1, 2, 3, 4),
 side as (select l.scene, l.root, count(*) as edges from labelled l, (values (-1, 0), (0, 1), (1, 0), (0, -1)) v(dr, dc)
