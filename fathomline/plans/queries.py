@@ -688,27 +688,61 @@ def regions(t: Tables) -> DataFrame:
     return known.join(t.incidents.groupBy(F.col("region").alias("key")).agg(F.count("*").alias("incidents")), "key", "left").fillna(0, ["incidents"])
 
 
-@query()
+def _edges_sql(points: str, key: str) -> str:
+    """Edges of the hulls of distinct points: those with no point to their right, nor beyond them in line."""
+    turn = "((b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon))"
+    return f"""select a.{key}, a.lon, a.lat, b.lon as lon1, b.lat as lat1 from {points} a join {points} b on a.{key} = b.{key} and (a.lon <> b.lon or a.lat <> b.lat)
+  where not exists (select 1 from {points} p where p.{key} = a.{key} and ({turn} < 0 or ({turn} = 0 and (p.lon - a.lon) * (p.lon - b.lon) + (p.lat - a.lat) * (p.lat - b.lat) > 0)))"""
+
+
+def _hull_sql(points: str, key: str) -> str:
+    """Vertices and area of the hulls of distinct points."""
+    return f"select {key}, count(*) as vertices, abs(sum(lon * lat1 - lon1 * lat)) * 111.32e0 * cos(radians(avg(lat))) * 110.574e0 / 2 as area from ({_edges_sql(points, key)}) group by 1 having count(*) >= 3"
+
+
+def _ring_sql(points: str, key: str) -> str:
+    """The hulls' vertices in turn (k), counter-clockwise from the leftmost: by angle around their middle."""
+    turned = f"select *, atan2(lat - avg(lat) over (partition by {key}), lon - avg(lon) over (partition by {key})) as angle from ({_edges_sql(points, key)})"
+    turned = f"select *, angle - first_value(angle) over (partition by {key} order by lon, lat) as ahead from ({turned})"
+    return f"select {key}, cast(row_number() over (partition by {key} order by {_mod_pi('ahead')}) - 1 as int) as k, lon, lat from ({turned})"
+
+
+def _mod_pi(x: str) -> str:
+    return f"({x} - 2 * pi() * floor({x} / (2 * pi())))"
+
+
+_TRIM = """select {key}, p, lon, lat from (select *, quantile_cont(d, {keep}) over (partition by {key}) as most from (
+  select *, round(sqrt(pow(lon - avg(lon) over (partition by {key}), 2) + pow(lat - avg(lat) over (partition by {key}), 2)), 9) as d from {cloud})) where d <= most"""
+_POINT = ("round(at[0], 6) as lon", "round(at[1], 6) as lat")
+
+
+@query(
+    f"select cast(step / 2 as int) as hours_back, {DETECTED} - step * 1800e0 as ts, k, round(lon, 6) as lon, round(lat, 6) as lat from rings where step in ({', '.join(str(2 * h) for h in REGION_HOURS)})",
+    *_CLOUD_NEEDS, more={**_CLOUD, "pts": _TRIM.format(key="step", keep="0.9e0", cloud="cloud"), "rings": _ring_sql("pts", "step")},
+)
 def drift_regions(t: Tables) -> DataFrame:
-    return drift.regions(_cloud(t), DETECTED, REGION_HOURS)
+    """The corners of the regions, one by one; ``drift_region_sizes`` has their areas."""
+    found = drift.regions(_cloud(t), DETECTED, REGION_HOURS)
+    return found.select("hours_back", "ts", F.posexplode("ring").alias("k", "at")).selectExpr("hours_back", "ts", "k", *_POINT)
 
 
-@query()
+@query(
+    "select k, round(lon, 6) as lon, round(lat, 6) as lat from rings",
+    *_CLOUD_NEEDS, more={
+        **_CLOUD, "pooled": "select 0 as one, * from cloud", "trim": _TRIM.format(key="one", keep="0.97e0", cloud="pooled").replace("select one, p,", "select one, step, p,", 1),
+        # only corners of a step's hull can be corners of the whole
+        "outer_pts": f"select distinct 0 as one, lon, lat from ({_edges_sql('trim', 'step')})", "rings": _ring_sql("outer_pts", "one"),
+    },
+)
 def drift_envelope(t: Tables) -> DataFrame:
-    return drift.envelope(_cloud(t))
+    return drift.envelope(_cloud(t)).select(F.posexplode("ring").alias("k", "at")).selectExpr("k", *_POINT)
 
 
-@query()
+@query("select * from rings union all select mmsi, 0, any_value(lon), any_value(lat) from pts group by 1 having count(*) = 1", "ais_positions", more={"pts": "select distinct mmsi, lon, lat from ais_positions", "rings": _ring_sql("pts", "mmsi")})
 def convex_hull(t: Tables) -> DataFrame:
-    return shapes.hull_area(t.positions.select("mmsi", "lon", "lat"), "mmsi")
-
-
-def _hull_sql(points: str, key: str) -> str:
-    """Vertices and area of the hulls of distinct points: edges with no point to their right, nor beyond them in line."""
-    turn = "((b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon))"
-    edges = f"""select a.{key}, a.lon, a.lat, b.lon as lon1, b.lat as lat1 from {points} a join {points} b on a.{key} = b.{key} and (a.lon <> b.lon or a.lat <> b.lat)
-  where not exists (select 1 from {points} p where p.{key} = a.{key} and ({turn} < 0 or ({turn} = 0 and (p.lon - a.lon) * (p.lon - b.lon) + (p.lat - a.lat) * (p.lat - b.lat) > 0)))"""
-    return f"select {key}, count(*) as vertices, abs(sum(lon * lat1 - lon1 * lat)) * 111.32e0 * cos(radians(avg(lat))) * 110.574e0 / 2 as area from ({edges}) group by 1 having count(*) >= 3"
+    """The corners of each vessel's hull in turn; a vessel that never moved has one."""
+    found = shapes.hull_area(t.positions.select("mmsi", "lon", "lat"), "mmsi")
+    return found.select("mmsi", F.posexplode("ring").alias("k", "at")).selectExpr("mmsi", "k", "at[0] as lon", "at[1] as lat")
 
 
 @query("select mmsi, vertices, round(area, 2) as area_km2 from hulls", "ais_positions", more={"pts": "select distinct mmsi, lon, lat from ais_positions", "hulls": _hull_sql("pts", "mmsi")})
@@ -868,7 +902,14 @@ def candidate_evidence(t: Tables) -> DataFrame:
     return ranked.select("rank", "mmsi", "score", "evidence")
 
 
-@query()
+@query(
+    """select mmsi, ts, lat, lon, sog, cog from (select *, row_number() over (partition by mmsi order by ts) - 1 as i, count(*) over (partition by mmsi) as n from (
+  select *, bool_or(near) over (partition by mmsi) as ever from seen) where near or not ever) where i % greatest(1, n // 120) = 0""",
+    "ais_positions", "vessels", *_CLOUD_NEEDS, more={
+        **_RANKED, "top": f"select mmsi, w0, w1 from (select *, row_number() over (order by {_SCORE} desc, mmsi) as rank from factors) join windows using (mmsi) where rank <= 25",
+        "seen": "select p.*, ts between w0 - 1800 and w1 + 1800 as near from ais_positions p join top using (mmsi)",
+    },
+)
 def candidate_tracks(t: Tables) -> DataFrame:
     ranked = attribution.rank(t.positions, t.vessels, _cloud(t), DETECTED, scale_km=SCALE)
     return attribution.track_excerpt(t.positions, ranked).select("mmsi", "ts", "lat", "lon", "sog", "cog")
