@@ -6,48 +6,78 @@ hold vertices of the whole, so few points move, whatever the group's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fathomline.functions.geo import polygon_area_km2
 
 
+def _outer(sorted_points: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Vertices counter-clockwise from the leftmost of points that come sorted; it holds both chains only."""
+    low: list[tuple[float, float]] = []
+    high: list[tuple[float, float]] = []
+    for p in sorted_points:
+        if low and low[-1] == p:
+            continue
+        x, y = p
+        while len(low) > 1 and (low[-1][0] - low[-2][0]) * (y - low[-2][1]) - (low[-1][1] - low[-2][1]) * (x - low[-2][0]) <= 0:
+            low.pop()
+        while len(high) > 1 and (high[-1][0] - x) * (high[-2][1] - y) - (high[-1][1] - y) * (high[-2][0] - x) <= 0:
+            high.pop()
+        low.append(p)
+        high.append(p)
+    return low if len(low) < 2 else low[:-1] + high[:0:-1]
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Vertices counter-clockwise from the leftmost, no three in line."""
-    pts = np.unique(np.asarray(points, float), axis=0)
-    if len(pts) < 3:
-        return pts
+    pts = np.asarray(points, float).reshape(-1, 2)
+    return np.array(_outer(map(tuple, pts[np.lexsort(pts.T[::-1])].tolist()))).reshape(-1, 2)
 
-    def half(seq: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    return np.array(half(pts) + half(pts[::-1]))
+#: Points of a group in a batch from which on the batch's own hull is taken first, and rings a batch of results.
+HULL_FIRST, RINGS = 64, 2_000
 
 
 def hulls(points: DataFrame, key: str) -> DataFrame:
-    """key and ring ([[lon, lat], ...]) of each group of points (lon, lat)."""
+    """key and ring ([[lon, lat], ...]) of each group of points (lon, lat).
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for k, own in pdf.groupby(key):
-                ring = convex_hull(own[["lon", "lat"]].to_numpy())
-                yield pd.DataFrame({key: k, "lon": ring[:, 0], "lat": ring[:, 1]})
+    Rows come sorted, and a task holds the chains of one group at a time.
+    """
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [convex_hull(pdf[["lon", "lat"]].to_numpy()).tolist()]})
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, _ = pd.factorize(batch.column(0).to_pandas())
+            lon, lat = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            order = np.lexsort((lat, lon, code))
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            keep = np.ones(len(order), bool)
+            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+                if b - a >= HULL_FIRST:
+                    own = list(zip(lon[order[a:b]].tolist(), lat[order[a:b]].tolist(), strict=True))
+                    corners = set(_outer(own))
+                    keep[a:b] = [p in corners for p in own]
+            yield batch.take(pa.array(order[keep]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rings = ((k, [list(p) for p in _outer(row[1:] for row in own)]) for k, own in groupby(rows, itemgetter(0)))
+        while piece := list(islice(rings, RINGS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece, strict=True), types, strict=True)], names=[key, "ring"])
 
     kind = dict(points.dtypes)[key]
-    few = points.select(key, "lon", "lat").mapInPandas(partial, f"{key} {kind}, lon double, lat double")
-    return few.groupBy(key).applyInPandas(whole, f"{key} {kind}, ring array<array<double>>")
+    types = [to_arrow_type(points.schema[key].dataType), pa.list_(pa.list_(pa.float64()))]
+    known = points.select(key, F.col("lon").cast("double"), F.col("lat").cast("double")).dropna()
+    few = known.mapInArrow(partial, f"`{key}` {kind}, lon double, lat double")
+    return few.repartition(key).sortWithinPartitions(key, "lon", "lat").mapInArrow(whole, f"`{key}` {kind}, ring array<array<double>>")
 
 
 def hull_area(points: DataFrame, key: str) -> DataFrame:
