@@ -33,6 +33,11 @@ def archive_number(value: Column) -> Column:
     return null_if(text, "", "0.0", "511.0", "511", "360.0").try_cast("double")
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal, rounded by the exact value, halves to even (``%.1f`` rounds the shortest decimals half up)."""
+    return F.call_function("format_number", value, F.lit("0.0"))
+
+
 def ship_type_name(code: Column) -> Column:
     """Name of a ship-type code, else of its decade, else Other; Unknown without a code."""
     number = code.try_cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline.constants import REGIONS, RETENTION_DAYS, THROTTLE_S
 from fathomline.functions.geo import haversine_km
-from fathomline.functions.scalars import sane
+from fathomline.functions.scalars import one_decimal, sane
 from fathomline.operators.reports import next_incident_ids
 
 
@@ -107,7 +107,7 @@ def store_detections(incidents: DataFrame, detections: DataFrame, year: int, def
 
 def detection_stages(incidents: DataFrame) -> DataFrame:
     """Two stages of an incident's timeline, with words: when it was seen, and when it was stored."""
-    seen = F.format_string("Dark region of %.1f km2 in %s, confidence %d %%", F.col("area_km2"), F.coalesce("scene_id", F.lit("an unknown scene")), F.bround(F.col("confidence") * 100).cast("int"))
+    seen = F.format_string("Dark region of %s km2 in %s, confidence %d %%", one_decimal(F.col("area_km2")), F.coalesce("scene_id", F.lit("an unknown scene")), F.bround(F.col("confidence") * 100).cast("int"))
     kept = F.concat(F.lit("Stored as "), F.col("incident_id"), F.lit(", "), F.lower("status"))
     stages = F.array(F.struct(F.col("detected_at").alias("ts"), F.lit("detected").alias("stage"), seen.alias("text")), F.struct(F.col("created_at").alias("ts"), F.lit("created").alias("stage"), kept.alias("text")))
     return incidents.select("incident_id", F.explode(stages).alias("s")).select("incident_id", "s.*")
