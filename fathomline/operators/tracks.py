@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fathomline.constants import KM_PER_DEG_LAT, KM_PER_DEG_LON
@@ -21,6 +21,15 @@ def grid(end: float, steps: int, seconds: float) -> list[float]:
     return [end - i * seconds for i in range(steps + 1)]
 
 
+#: What orders fixes of equal times.
+TIES = ("lat", "lon", "sog", "cog", "heading", "nav_status", "source")
+
+
+def along(rows: DataFrame, *keys: str) -> WindowSpec:
+    """A vessel's fixes by time, and by all else that is known of them where times are equal: every run is alike."""
+    return Window.partitionBy(*keys, "mmsi").orderBy("ts", *[c for c in TIES if c in rows.columns])
+
+
 def interpolate(positions: DataFrame, times: list[float] | Column, keys: Keys = ()) -> DataFrame:
     """mmsi, step, ts, lat, lon at the grid's times that the track covers.
 
@@ -29,10 +38,10 @@ def interpolate(positions: DataFrame, times: list[float] | Column, keys: Keys =
     may be a column with an array of (step, at), where each of the ``keys`` (an
     incident) has tracks and a grid of its own.
     """
-    along = Window.partitionBy(*keys, "mmsi").orderBy("ts")
+    order = along(positions, *keys)
     whole = Window.partitionBy(*keys, "mmsi")
     steps = times if isinstance(times, Column) else F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("at")) for i, t in enumerate(times)])
-    ahead = positions.select(*keys, "mmsi", "ts", "lat", "lon", steps.alias("steps"), F.lead("ts").over(along).alias("ts1"), F.lead("lat").over(along).alias("lat1"), F.lead("lon").over(along).alias("lon1"), F.min("ts").over(whole).alias("first"))
+    ahead = positions.select(*keys, "mmsi", "ts", "lat", "lon", steps.alias("steps"), F.lead("ts").over(order).alias("ts1"), F.lead("lat").over(order).alias("lat1"), F.lead("lon").over(order).alias("lon1"), F.min("ts").over(whole).alias("first"))
 
     def covered(x):
         at = x["at"]
@@ -138,7 +147,7 @@ def snap(times: DataFrame, snapshots: list[float], step_s: float) -> DataFrame:
 
 def gaps(positions: DataFrame) -> DataFrame:
     """Seconds since the fix before, within a vessel."""
-    return positions.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("mmsi").orderBy("ts")))
+    return positions.withColumn("gap", F.col("ts") - F.lag("ts").over(along(positions)))
 
 
 def gap_stats(positions: DataFrame) -> DataFrame:
@@ -148,7 +157,7 @@ def gap_stats(positions: DataFrame) -> DataFrame:
 def course_deviation(positions: DataFrame) -> DataFrame:
     """Largest change between consecutive known courses; needs three of them."""
     known = positions.where("cog is not null")
-    turn = angle_diff(F.col("cog"), F.lag("cog").over(Window.partitionBy("mmsi").orderBy("ts")))
+    turn = angle_diff(F.col("cog"), F.lag("cog").over(along(known)))
     return known.withColumn("turn", turn).groupBy("mmsi").agg(F.when(F.count("*") >= 3, F.max("turn")).alias("worst"))
 
 
@@ -165,6 +174,6 @@ def stationary(positions: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def thin(positions: DataFrame, most: int = 120) -> DataFrame:
     """Every k-th fix of each track, for about ``most`` fixes."""
-    along, whole = Window.partitionBy("mmsi").orderBy("ts"), Window.partitionBy("mmsi")
-    rows = positions.withColumns({"_i": F.row_number().over(along) - 1, "_n": F.count("*").over(whole)})
+    order, whole = along(positions), Window.partitionBy("mmsi")
+    rows = positions.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(whole)})
     return rows.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_i", "_n")
