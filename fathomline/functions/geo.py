@@ -82,6 +82,17 @@ def polygon_area_km2(ring: Column) -> Column:
     return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.abs(twice) * km_per_deg_lon(lat0) * KM_PER_DEG_LAT / 2)
 
 
+def crossings_odd(lon: Value, lat: Value, edges: Column) -> Column:
+    """Even-odd rule over edges (x, y, x2, y2): an odd number of them crosses the ray to the east."""
+    lon, lat = _c(lon), _c(lat)
+
+    def crosses(e: Column) -> Column:
+        at = e["x"] + (lat - e["y"]) * (e["x2"] - e["x"]) / F.when(e["y2"] != e["y"], e["y2"] - e["y"]).otherwise(1.0)
+        return F.when((e["y"] > lat) != (e["y2"] > lat), F.when(lon < at, 1).otherwise(0)).otherwise(0)
+
+    return F.pmod(F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e)), F.lit(2)) == 1
+
+
 def point_in_ring(lon: Value, lat: Value, ring: Column) -> Column:
     """Even-odd rule: an odd number of edges crosses the ray to the east."""
     lon, lat = _c(lon), _c(lat)

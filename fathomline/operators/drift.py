@@ -4,18 +4,22 @@ The environment of an area is one series, so a particle's displacement in a
 step does not depend on where it is, but for the length of a degree of
 longitude, which is taken at the cloud's mean latitude of that step.  So
 latitudes are a running sum, the mean latitude is one aggregate by step, and
-longitudes are a second running sum: two windows, no loop.
+longitudes are a second running sum: two windows, no loop.  Of many slicks, each
+is small, so whole slicks are summed up in a task, many at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.constants import DEFLECTION_DEG, DIFFUSION_MS, DRIFT_SEED, KM_PER_DEG_LAT, PARTICLES, STEP_MINUTES, WIND_FACTOR
-from fathomline.functions.geo import floor_mod, km_per_deg_lon, point_in_ring, ring_centroid
+from fathomline.constants import DEFLECTION_DEG, DIFFUSION_MS, DRIFT_SEED, KM_PER_DEG_LAT, KM_PER_DEG_LON, PARTICLES, STEP_MINUTES, WIND_FACTOR
+from fathomline.functions.geo import crossings_odd, floor_mod, km_per_deg_lon, ring_centroid
 from fathomline.operators.shapes import hull_area, trimmed
 
 SERIES = ("wind_speed", "wind_from", "cur_speed", "cur_to")
@@ -61,20 +65,81 @@ def backtrack(particles: DataFrame, environment: DataFrame, noise: DataFrame, de
     """Clouds (p, step, ts, lat, lon), step 0 at detection, each step half an hour earlier.
 
     ``particles``: p, lon0, lat0, wind_factor, deflection; ``noise``: p, step,
-    north, east.  ``keys`` name further columns (an incident) that both have.
+    north, east, a row for each of the steps.  ``keys`` name further columns (an
+    incident) that particles have; noise has them too, or is shared by all slicks.
     """
     dt = STEP_MINUTES * 60.0
     sampled = at_times(environment, [detected_at - i * dt for i in range(steps)]).drop("ts")
+    if keys:
+        return _backtrack_many(particles, sampled, noise, detected_at, steps, keys)
     north, east = velocity(F.col("wind_factor"), F.col("deflection"))
-    moves = particles.join(noise, [*keys, "p"]).join(F.broadcast(sampled), "step")  # one row a step
-    moves = moves.select(*keys, "p", "lon0", "lat0", (F.col("step") + 1).alias("step"), (-(north + F.col("north")) * dt / 1000.0 / KM_PER_DEG_LAT).alias("dlat"), (east + F.col("east")).alias("ve"))
-    start = particles.select(*keys, "p", "lon0", "lat0", F.lit(0).alias("step"), F.lit(0.0).alias("dlat"), F.lit(0.0).alias("ve"))
-    so_far = Window.partitionBy(*keys, "p").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    moves = particles.join(noise, "p").join(F.broadcast(sampled), "step")  # one row a step
+    moves = moves.select("p", "lon0", "lat0", (F.col("step") + 1).alias("step"), (-(north + F.col("north")) * dt / 1000.0 / KM_PER_DEG_LAT).alias("dlat"), (east + F.col("east")).alias("ve"))
+    start = particles.select("p", "lon0", "lat0", F.lit(0).alias("step"), F.lit(0.0).alias("dlat"), F.lit(0.0).alias("ve"))
+    so_far = Window.partitionBy("p").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     rows = start.unionByName(moves).withColumn("lat", F.col("lat0") + F.sum("dlat").over(so_far))
-    mean = rows.groupBy(*keys, (F.col("step") + 1).alias("step")).agg(F.avg("lat").alias("mean_lat"))
-    rows = rows.join(F.broadcast(mean) if not keys else mean, [*keys, "step"], "left")
+    mean = rows.groupBy((F.col("step") + 1).alias("step")).agg(F.avg("lat").alias("mean_lat"))
+    rows = rows.join(F.broadcast(mean), "step", "left")
     dlon = F.when(F.col("step") == 0, 0.0).otherwise(-(F.col("ve") * dt) / 1000.0 / F.greatest(km_per_deg_lon(F.col("mean_lat")), F.lit(1e-6)))
-    return rows.withColumn("lon", F.col("lon0") + F.sum(dlon).over(so_far)).select(*keys, "p", "step", (F.lit(detected_at) - F.col("step") * dt).alias("ts"), "lat", "lon")
+    return rows.withColumn("lon", F.col("lon0") + F.sum(dlon).over(so_far)).select("p", "step", (F.lit(detected_at) - F.col("step") * dt).alias("ts"), "lat", "lon")
+
+
+def _backtrack_many(particles: DataFrame, sampled: DataFrame, noise: DataFrame, detected_at: float, steps: int, keys: tuple[str, ...]) -> DataFrame:
+    """Clouds of many slicks: particles come sorted by slick, and all whole slicks of a batch are summed up at once.
+
+    What the steps of a particle share (current with noise, wind) is four arrays beside it.
+    """
+    dt, own = STEP_MINUTES * 60.0, [*[k for k in keys if k in noise.columns], "p"]
+    current = F.radians("cur_to")
+    moves = noise.join(F.broadcast(sampled), "step").select(
+        *own, F.struct("step", (F.col("cur_speed") * F.cos(current) + F.col("north")).alias("north"), (F.col("cur_speed") * F.sin(current) + F.col("east")).alias("east"), "wind_speed", "wind_to").alias("s")
+    )
+    arrays = ("north", "east", "wind_speed", "wind_to")
+    moves = moves.groupBy(*own).agg(F.sort_array(F.collect_list("s")).alias("s")).select(*own, *[F.col(f"s.{c}").alias(c) for c in arrays])
+    sized = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))  # noqa: E731  # brings slicks together, sorted
+    rows = particles.select(*keys, "p", "lon0", "lat0", "wind_factor", "deflection")
+    rows = sized(rows).join(F.broadcast(moves), "p") if own == ["p"] else sized(rows.join(moves, own))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        ahead, carried = 0, 0  # rows that the last slick of ``rest`` still lacks, and that wait in it
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            sizes, at = batch.column("_n"), ahead
+            while at < batch.num_rows:
+                begun, at = at, at + sizes[at].as_py()
+            if at == batch.num_rows:
+                rest, ahead, whole = [], 0, [*rest, batch]
+            elif ahead >= batch.num_rows:
+                rest, ahead = [*rest, batch], ahead - batch.num_rows
+                continue
+            else:
+                whole, rest, ahead = [*rest, batch.slice(0, begun)], [batch.slice(begun)], at - batch.num_rows
+            table = pa.Table.from_batches(whole)
+            if table.num_rows:
+                yield moved(table)
+
+    def moved(table: pa.Table) -> pa.RecordBatch:
+        column = lambda c: table.column(c).to_numpy()[:, None]
+        north, east, wind, to = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, steps) for c in arrays)
+        sizes, starts = table.column("_n").to_numpy(), [0]
+        while starts[-1] + sizes[starts[-1]] < len(sizes):
+            starts.append(starts[-1] + sizes[starts[-1]])
+        turned, wind = np.radians(np.mod(to + column("deflection"), 360)), wind * column("wind_factor")
+        still = np.zeros((len(sizes), 1))
+        lat = column("lat0") + np.cumsum(np.hstack([still, -(north + wind * np.cos(turned)) * dt / 1000.0 / KM_PER_DEG_LAT]), axis=1)
+        mean = np.add.reduceat(lat[:, :-1], starts, axis=0) / sizes[starts][:, None]
+        wide = np.repeat(np.maximum(KM_PER_DEG_LON * np.cos(np.radians(mean)), 1e-6), sizes[starts], axis=0)
+        lon = column("lon0") + np.cumsum(np.hstack([still, -((east + wind * np.sin(turned)) * dt) / 1000.0 / wide]), axis=1)
+        step = np.tile(np.arange(steps + 1, dtype=np.int32), len(sizes))
+        each = pa.array(np.repeat(np.arange(len(sizes)), steps + 1))
+        columns = [*[table.column(c).combine_chunks().take(each) for c in (*keys, "p")], pa.array(step), pa.array(detected_at - step * dt)]
+        columns += [pa.array(v.ravel(), from_pandas=True) for v in (lat, lon)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "p", "step", "ts", "lat", "lon"])
+
+    kept = ", ".join(f"`{k}` {particles.schema[k].dataType.simpleString()}" for k in (*keys, "p"))
+    return rows.mapInArrow(summed, f"{kept}, step int, ts double, lat double, lon double")
 
 
 def centreline(cloud: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -109,23 +174,29 @@ def seeds(rings: DataFrame, n: int = PARTICLES, id: str = "incident_id") -> Data
     sequence decides everything, so a task that runs again draws the same.
     """
     side = lambda k, f: f(F.transform("ring", lambda p: p[k]))
-    boxed = rings.where(F.size("ring") > 0).select(id, "ring", *[side(k, f).alias(f"{c}{m}") for k, c in ((0, "x"), (1, "y")) for f, m in ((F.array_min, 0), (F.array_max, 1))])
+    spread = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxed = rings.where(F.size("ring") > 0).repartition(spread, id)  # a small file of rings is much work
+    boxed = boxed.select(id, "ring", *[side(k, f).alias(f"{c}{m}") for k, c in ((0, "x"), (1, "y")) for f, m in ((F.array_min, 0), (F.array_max, 1))])
     following = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(1))), F.slice("ring", 1, 1))
     area = F.abs(F.aggregate(F.zip_with("ring", following, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda s, x: s + x)) / 2
     box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     tries = F.least(F.lit(200 * n), F.ceil(1.5 * n * box / F.when(area > 0, area)) + 64)
     fraction = lambda i, k: i * EVEN[k] - F.floor(i * EVEN[k])
-    each = boxed.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce(tries, F.lit(1)).cast("long"))))
-    each = each.withColumns({"lon0": F.col("x0") + fraction(F.col("i"), 0) * (F.col("x1") - F.col("x0")), "lat0": F.col("y0") + fraction(F.col("i"), 1) * (F.col("y1") - F.col("y0"))})
-    inside = each.where(point_in_ring(F.col("lon0"), F.col("lat0"), F.col("ring"))).withColumn("k", F.row_number().over(Window.partitionBy(id).orderBy("i"))).where(F.col("k") <= n)
-    centred = boxed.select(id, ring_centroid(F.col("ring")).alias("m"))
-    found = centred.join(inside.groupBy(id).agg(F.max("k").alias("found")), id, "left").select(id, "found", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
-    found = found.withColumn("k", F.pmod("p", F.coalesce("found", F.lit(1))) + 1)
-    rows = found.join(inside.select(id, "k", "lon0", "lat0"), [id, "k"], "left")
+    edges = F.zip_with("ring", following, lambda p, q: F.struct(p[0].alias("x"), p[1].alias("y"), q[0].alias("x2"), q[1].alias("y2")))
+
+    def hits(of: Column) -> Column:
+        place = lambda i: F.struct((of["x0"] + fraction(i, 0) * (of["x1"] - of["x0"])).alias("lon0"), (of["y0"] + fraction(i, 1) * (of["y1"] - of["y0"])).alias("lat0"))
+        return F.slice(F.filter(F.transform(F.sequence(F.lit(1).cast("long"), of["tries"]), place), lambda t: crossings_odd(t["lon0"], t["lat0"], of["edges"])), 1, n)
+
+    # an array of one, so that its lambda binds what a ring's tries share: else the optimizer works out edges for each try
+    shared = F.array(F.struct("x0", "x1", "y0", "y1", edges.alias("edges"), F.coalesce(tries, F.lit(1)).cast("long").alias("tries")))
+    each, inside = boxed.select(id, ring_centroid(F.col("ring")).alias("m"), shared.alias("shared")), F.transform("shared", hits)[0]
+    rows = each.select(id, "m", inside.alias("inside")).select(id, "m", "inside", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+    at = F.when(F.size("inside") > 0, F.get("inside", F.pmod("p", F.greatest(F.size("inside"), F.lit(1)))))
     i = F.col("p") + 1
     normal = F.sqrt(-2 * F.log(1 - fraction(i, 2))) * F.cos(2 * F.pi() * fraction(i, 3))
-    return rows.select(
-        id, F.col("p").cast("int").alias("p"), F.coalesce("lon0", "m.lon").alias("lon0"), F.coalesce("lat0", "m.lat").alias("lat0"),
+    return rows.withColumn("at", at).select(
+        id, F.col("p").cast("int").alias("p"), F.coalesce("at.lon0", "m.lon").alias("lon0"), F.coalesce("at.lat0", "m.lat").alias("lat0"),
         (WIND_FACTOR * (0.65 + 0.7 * fraction(i, 2))).alias("wind_factor"), (DEFLECTION_DEG + 8.0 * normal).alias("deflection"),
     )
 
