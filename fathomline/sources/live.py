@@ -50,7 +50,8 @@ def message_time(text: Column, otherwise: Column) -> Column:
 
 def parse(lines: DataFrame, ingest_ts: Column) -> DataFrame:
     """Messages of the known types with their number, time and body; others drop."""
-    m = lines.select(F.from_json("value", MESSAGE).alias("m"), *[c for c in lines.columns if c != "value"])
+    # inline, not a plain column: the optimizer would put the parser (and what made the text) into each condition on its fields
+    m = lines.select("*", F.inline(F.array(F.from_json("value", MESSAGE)))).select(F.struct("MessageType", "MetaData", "Message").alias("m"), *[c for c in lines.columns if c != "value"])
     body = F.coalesce("m.Message.PositionReport.UserID", "m.Message.ShipStaticData.UserID")
     rows = m.where(F.col("m.MessageType").isin(*TYPES)).withColumn("mmsi", F.coalesce("m.MetaData.MMSI", body)).where("mmsi is not null")
     return rows.withColumn("ts", message_time(F.col("m.MetaData.time_utc"), ingest_ts))
