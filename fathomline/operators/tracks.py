@@ -94,36 +94,55 @@ CELL_DEG, WIDEN, LEVELS = 0.05, 4, 6
 def nearest(points: DataFrame, cloud: DataFrame, keys: Keys = ()) -> DataFrame:
     """Distance of each vessel to the nearest particle (``any_km``), however far that is.
 
-    Cells of six levels hold the cloud's boxes.  Each point goes down from the
-    widest cells (70 are around the earth, so they are broadcast without keys):
-    of the cells that its pairs open, those stay whose box may hold something
-    nearer than the farthest corner of the best one.  Few cells a point remain
-    on each level, whatever the distance, and only the particles of the last
-    ones are measured.  All joins are on cells; nothing is paired with a whole cloud.
+    Cells of six levels hold boxes of the vessel's points and of the cloud.  Pairs
+    of boxes go down from the widest cells (70 are around the earth, so they are
+    broadcast without keys): those stay that may hold something nearer than the
+    vessel's bound, which is the farthest reach of its best pair, and at first its
+    points' distances to one particle of the same finest cell.  Only the points
+    and particles of the last pairs are measured.  All joins are on cells;
+    nothing is paired with a whole cloud.
     """
-    here = [*keys, "mmsi", "lat", "lon"]
+    who, edges = [*keys, "mmsi"], ((F.min, "s"), (F.max, "n"), (F.min, "w"), (F.max, "e"))
     fine = lambda c: F.floor(F.col(c) / CELL_DEG)
-    places = cloud.select(*keys, F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct().withColumns({"y": fine("plat"), "x": fine("plon")})
-    cells = [places.groupBy(*keys, "y", "x").agg(F.min("plat").alias("s"), F.max("plat").alias("n"), F.min("plon").alias("w"), F.max("plon").alias("e"))]
     up = lambda c: F.floor(F.col(c) / WIDEN).cast("long")
-    for _ in range(LEVELS - 1):
-        cells.append(cells[-1].groupBy(*keys, up("y").alias("y"), up("x").alias("x")).agg(*[f(c).alias(c) for f, c in ((F.min, "s"), (F.max, "n"), (F.min, "w"), (F.max, "e"))]))
 
-    def pruned(pairs: DataFrame) -> DataFrame:
-        aside = lambda low, high, at: F.greatest(F.lit(0.0), F.col(low) - F.col(at), F.col(at) - F.col(high))
-        across = lambda low, high, at: F.greatest(F.abs(F.col(at) - F.col(low)), F.abs(F.col(at) - F.col(high)))
-        far = lambda f: local_km(F.col("lat"), F.col("lon"), F.col("lat") + f("s", "n", "lat"), F.col("lon") + f("w", "e", "lon"))
-        best = F.min(far(across)).over(Window.partitionBy(*here))  # the few cells of one place
-        return pairs.withColumns({"low": far(aside), "best": best}).where(F.col("low") <= F.col("best") * (1 + 1e-9) + 1e-9).select(*here, "y", "x")
-
-    places_of = points.select(*here).where("lat is not null and lon is not null").distinct()
-    top = cells[-1]
-    pairs = pruned(places_of.join(top, list(keys)) if keys else places_of.crossJoin(F.broadcast(top)))
-    for own in reversed(cells[:-1]):
-        below = own.withColumns({"py": up("y"), "px": up("x")})
-        pairs = pruned(pairs.select(*here, F.col("y").alias("py"), F.col("x").alias("px")).join(below, [*keys, "py", "px"]))
+    def boxes(rows: DataFrame, own: list[str], lat: str, lon: str) -> list[DataFrame]:
+        levels = [rows.groupBy(*own, "y", "x").agg(*[f(c).alias(k) for (f, k), c in zip(edges, (lat, lat, lon, lon), strict=True)])]
+        for _ in range(LEVELS - 1):
+            levels.append(levels[-1].groupBy(*own, up("y").alias("y"), up("x").alias("x")).agg(*[f(k).alias(k) for f, k in edges]))
+        return levels
+
+    spots = points.select(*who, "lat", "lon").where("lat is not null and lon is not null").withColumns({"y": fine("lat"), "x": fine("lon")})
+    places = cloud.select(*keys, F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct().withColumns({"y": fine("plat"), "x": fine("plon")})
+    ours, theirs = boxes(spots, who, "lat", "lon"), boxes(places, list(keys), "plat", "plon")
+    theirs = [b.select(*keys, F.col("y").alias("cy"), F.col("x").alias("cx"), *[F.col(k).alias(f"c{k}") for _, k in edges]) for b in theirs]
     d = local_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return pairs.join(places, [*keys, "y", "x"]).groupBy(*keys, "mmsi").agg(F.min(d).alias("any_km"))
+    some = places.groupBy(*keys, "y", "x").agg(F.min(F.struct("plat", "plon")).alias("c")).select(*keys, "y", "x", "c.plat", "c.plon")
+    bound = spots.join(some, [*keys, "y", "x"]).groupBy(*who).agg(F.min(d).alias("most"))
+
+    def reach(low: bool) -> Column:
+        """The least or the greatest distance of points of two boxes; a degree of longitude is as long as at the point."""
+        aside = lambda a, b, a_, b_: F.greatest(F.lit(0.0), F.col(a) - F.col(b_), F.col(a_) - F.col(b)) if low else F.greatest(F.col(b) - F.col(a_), F.col(b_) - F.col(a))
+        at = [F.cos(F.radians(k)) for k in ("s", "n")]
+        wide = F.least(*at) if low else F.when((F.col("s") <= 0) & (F.col("n") >= 0), 1.0).otherwise(F.greatest(*at))
+        wide = F.when((F.col("s") >= -90) & (F.col("n") <= 90), wide).otherwise(0.0 if low else 1.0)
+        return F.hypot(aside("w", "e", "cw", "ce") * KM_PER_DEG_LON * wide, aside("s", "n", "cs", "cn") * KM_PER_DEG_LAT)
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        near = lambda df: df.where(F.col("most").isNull() | (F.col("low") <= F.col("most") * (1 + 1e-9) + 1e-9))
+        pairs = near(pairs.withColumn("low", reach(True)))  # by the bound so far, before anything is sent
+        best = F.min(reach(False)).over(Window.partitionBy(*who))  # the pairs of one vessel's boxes
+        return near(pairs.withColumn("most", F.least("most", best))).select(*who, "y", "x", "cy", "cx", "most")
+
+    top = ours[-1].join(bound, who, "left")
+    pairs = pruned(top.join(theirs[-1], list(keys)) if keys else top.crossJoin(F.broadcast(theirs[-1])))
+    for mine, other in zip(reversed(ours[:-1]), reversed(theirs[:-1]), strict=True):
+        parents = pairs.select(*who, F.col("y").alias("py"), F.col("x").alias("px"), F.col("cy").alias("pcy"), F.col("cx").alias("pcx"), "most")
+        pairs = parents.join(mine.withColumns({"py": up("y"), "px": up("x")}), [*who, "py", "px"])
+        pairs = pruned(pairs.join(other.withColumns({"pcy": up("cy"), "pcx": up("cx")}), [*keys, "pcy", "pcx"]))
+    last = spots.withColumns({"s": F.col("lat"), "n": F.col("lat"), "w": F.col("lon"), "e": F.col("lon")}).join(pairs, [*who, "y", "x"]).join(theirs[0], [*keys, "cy", "cx"])
+    last = last.where(reach(True) <= F.col("most") * (1 + 1e-9) + 1e-9).select(*who, "lat", "lon", "cy", "cx")
+    return last.join(places.withColumnsRenamed({"y": "cy", "x": "cx"}), [*keys, "cy", "cx"]).groupBy(*who).agg(F.min(d).alias("any_km"))
 
 
 def closest(matched: DataFrame, keys: Keys = ()) -> DataFrame:
