@@ -16,6 +16,9 @@ from fathomline.functions.scalars import sane
 #: The instant at which the incident of the drift queries is detected, and "now" of the reports.
 DETECTED, NOW = 1704153600.0, 996624000.0
 
+#: Order lines in a part of the candidates.
+PART_ROWS = 400_000
+
 
 def padded(x: str) -> str:
     """A number of five digits at least, never cut."""
@@ -89,8 +92,11 @@ class Tables:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        rows = self.source("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
-        rows = rows.selectExpr(f"concat('OTA-2024-', {padded('l_orderkey')}) as incident_id", "200000000 + l_suppkey as mmsi", "round(1 - d * 5, 4) as score", "d")
+        """One exchange, by incident, serves grouping, ranks and what groups them by incident; its parts hold so many rows at any scale."""
+        lines = self.source("lineitem")
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-lines.count() // PART_ROWS))
+        rows = lines.selectExpr(f"concat('OTA-2024-', {padded('l_orderkey')}) as incident_id", "200000000 + l_suppkey as mmsi", "l_discount").repartition(parts, "incident_id")
+        rows = rows.groupBy("incident_id", "mmsi").agg(F.max("l_discount").alias("d")).selectExpr("incident_id", "mmsi", "round(1 - d * 5, 4) as score", "d")
         best = Window.partitionBy("incident_id").orderBy(F.desc("score"), "mmsi")
         return rows.withColumn("rank", F.row_number().over(best))
 
