@@ -30,12 +30,12 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ from fathomline.llm.common import LOWER, materialize, shuffle_partitions
 from fathomline.llm.store import Block, BlockStore, rows
 
 MODULUS, HELD = 7, 2
+#: Upper-case ASCII to lower case, and white space to a space.
+PLAIN = bytes(0x20 if b in b"\t\n\v\f\r" else c for b, c in enumerate(LOWER))
 #: No word holds a space, so it can stand for the end of a document.
 END = b" "
 SHORT, SHORT_CLASSES = 1000, 32
@@ -55,6 +57,8 @@ STEPS, FEW_LANES, LANES = 120, 64, 512
 #: Words that one group learns from in a round, and of one row of them, about.
 GROUP_WORDS, PIECE_WORDS = 1_000_000, 250_000
 SCORE_LANES, WINDOW = 256, 32
+#: Rows of a window from which an input counts as frequent.
+OFTEN = 64
 BLOCK_BYTES = 12 << 20
 #: Rows that the driver collects at once from partial sums, top lists or weights.
 COLLECT = 16
@@ -78,6 +82,55 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def shapes(names: pa.Array) -> np.ndarray:
+    """``shape`` of each of many words, none of them empty."""
+    data, offsets = _views(names)
+    size, last = np.diff(offsets), data[offsets[1:] - 1]
+    wide = (size > 4).astype(np.int64) + (size > 8) + (size > 12)
+    other = np.add.reduceat(data >= 128, offsets[:-1], dtype=np.int64) > 0 if len(names) else np.zeros(0, bool)
+    return (wide * 7 + _LAST[last]) * 2 + other
+
+
+def _views(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words end to end, and n + 1 offsets."""
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
+    data = np.frombuffer(names.buffers()[2], np.uint8) if len(names) else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Words of the sizes, which lie end to end in ``data``."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def distinct(block: Block) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of a block, each once; which of them its texts have, end to end; and how many each text has."""
+    data = np.frombuffer(block.raw.translate(PLAIN), np.uint8)
+    real = data != 0x20
+    first, last = real.copy(), real.copy()
+    first[1:] &= ~real[:-1]
+    last[:-1] &= ~real[1:]
+    begins, ends = block.offsets[:-1], block.offsets[1:] - 1  # words do not go from text to text
+    begins, ends = begins[begins < len(data)], ends[ends >= 0]
+    first[begins], last[ends] = real[begins], real[ends]
+    starts = np.flatnonzero(first)
+    found = _array(data[real], np.flatnonzero(last) + 1 - starts).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), np.diff(np.searchsorted(starts, block.offsets))
+
+
+def _with_ends(values: np.ndarray, end: int, sizes: np.ndarray) -> np.ndarray:
+    """Values of words with that of an end after each text."""
+    return np.insert(values, np.cumsum(sizes), end)
+
+
+def _named(data: bytes) -> pa.Array:
+    """The words that ``data`` holds, joined by line feeds."""
+    raw = np.frombuffer(data + b"\n", np.uint8)
+    ends = np.flatnonzero(raw == 0x0A)
+    return _array(raw[raw != 0x0A], np.diff(np.r_[-1, ends]) - 1)
+
+
 def held_out(doc_id: int, absent: bool) -> bool:
     return zlib.crc32(b"" if absent else str(doc_id).encode()) % MODULUS == HELD
 
@@ -101,32 +154,34 @@ ROW = "kind int, bucket int, block long, names binary, values binary"
 # -- counts ------------------------------------------------------------------
 
 
-def vocabulary(block: Block, buckets: int) -> tuple[list[list[bytes]], dict[bytes, int]]:
+def trained(block: Block) -> np.ndarray:
+    """Whether each document of a block is learned from."""
+    return np.array([not held_out(i, a) for i, a in zip(block.ids.tolist(), block.absent.tolist(), strict=True)], bool)
+
+
+def vocabulary(block: Block, buckets: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """The words of a block by bucket, sorted, and their counts in its training documents."""
-    counts: Counter = Counter()
-    others: set[bytes] = set()
-    offsets = block.offsets.tolist()
-    for i, (doc_id, absent) in enumerate(zip(block.ids.tolist(), block.absent.tolist(), strict=True)):
-        own = words(block.raw[offsets[i] : offsets[i + 1]])
-        if held_out(doc_id, absent):
-            others.update(own)
-        else:
-            counts.update(own)
-            counts[END] += 1
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in sorted({*counts, *others, END}):
-        out[zlib.crc32(w) % buckets].append(w)
-    return out, counts
+    names, index, sizes = distinct(block)
+    own = trained(block)
+    counts = np.append(np.bincount(index[np.repeat(own, sizes)], minlength=len(names)), own.sum())
+    names = pa.concat_arrays([names, pa.array([END], pa.large_binary())])
+    order = pc.sort_indices(names).to_numpy()
+    names = names.take(pa.array(order)).to_pylist()
+    bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
+    dealt = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1)).tolist()
+    for b in range(buckets):
+        at = dealt[cuts[b] : cuts[b + 1]]
+        if len(at):
+            yield b, [names[i] for i in at.tolist()], counts[order[at]]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: words and counts of a block and bucket."""
     for r in rows(batches):
         block = Block(r)
-        names, counts = vocabulary(block, buckets)
-        for bucket, own in enumerate(names):
-            if own:
-                yield _row(0, bucket, block.block, _packed(b"\n".join(own)), _packed(np.array([counts.get(w, 0) for w in own], np.int64).tobytes()))
+        for bucket, names, counts in vocabulary(block, buckets):
+            yield _row(0, bucket, block.block, _packed(b"\n".join(names)), _packed(counts.astype(np.int64).tobytes()))
 
 
 def _total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +195,22 @@ def _total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def answers() -> Iterator[pa.RecordBatch]:
         nonlocal top
-        total: dict[bytes, int] = {}
-        lists = []
-        for _, _, names, values in held:
-            lists.append(_unpacked(names).split(b"\n"))
-            for w, c in zip(lists[-1], np.frombuffer(_unpacked(values), np.int64).tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-        for (bucket, block, names, _), own in zip(held, lists, strict=True):
-            counts = np.array([total[w] for w in own], np.int64)
-            yield _row(2, bucket, block, b"", np.int64(len(names)).tobytes() + names + _packed(counts.tobytes()))
-        seen = {w: c for w, c in total.items() if c}
+        parts = [_unpacked(names) for _, _, names, _ in held]
+        found = _named(b"\n".join(parts)).dictionary_encode()
+        names, index = found.dictionary, found.indices.to_numpy()
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, index, np.frombuffer(b"".join(_unpacked(values) for _, _, _, values in held), np.int64))
+        at = 0
+        for (bucket, block, packed, _), part in zip(held, parts, strict=True):
+            to = at + part.count(b"\n") + 1
+            yield _row(2, bucket, block, b"", np.int64(len(packed)).tobytes() + packed + _packed(total[index[at:to]].tobytes()))
+            at = to
+        most = np.flatnonzero(total >= max(1, np.partition(total, -SHORT)[-SHORT] if len(total) > SHORT else 1))
+        seen = dict(zip(names.take(pa.array(most)).to_pylist(), total[most].tolist(), strict=True))
         top = dict(nlargest(SHORT, (top | seen).items(), key=_rank))
-        for w, c in seen.items():
-            sums[shape(w)] += (c, 1)
+        kinds = shapes(names)
+        np.add.at(sums, (kinds, 0), total)
+        sums[:, 1] += np.bincount(kinds[total > 0], minlength=SHAPES)
 
     for r in rows(batches):
         if held and r["bucket"] != held[0][0]:
@@ -225,32 +283,26 @@ class Lexicon:
         """Classes of words by their input numbers."""
         return np.r_[self.of_short, np.full(SHAPES, SHORT_CLASSES)][numbers]
 
-    def look_up(self, names: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, names: list[bytes] | pa.Array, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number (of the word or its shape), class, and log P(w | shape) of tail words (0 for others)."""
-        n = len(self.short)
-        known = np.fromiter((self.short.get(w, -1) for w in names), np.int64, len(names))
-        shapes = np.fromiter((shape(w) if k < 0 else 0 for w, k in zip(names, known.tolist(), strict=True)), np.int64, len(names))
+        n, names = len(self.short), pa.array(names, pa.large_binary())
+        known = pc.fill_null(pc.index_in(names, pa.array(list(self.short), pa.large_binary())), -1).to_numpy().astype(np.int64)
+        kinds = shapes(names)
         kind = np.where(known >= 0, self.of_short[np.maximum(known, 0)], SHORT_CLASSES)
         inside = np.zeros(len(names))
         if counts is not None:
-            inside = np.where(known >= 0, 0.0, np.log(counts + 1.0) - np.log(self.tail.sum(1) + 1.0)[shapes])
-        return np.where(known >= 0, known, n + shapes), kind, inside
+            inside = np.where(known >= 0, 0.0, np.log(counts + 1.0) - np.log(self.tail.sum(1) + 1.0)[kinds])
+        return np.where(known >= 0, known, n + kinds), kind, inside
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place (exponentials take half the time of tanh)."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+class _Room(dict):
+    """Working arrays by name, used again from call to call: fresh memory of this size costs as much as the arithmetic in it."""
 
-
-def _tanh(x: np.ndarray) -> np.ndarray:
-    x *= 2
-    _sigmoid(x)
-    x *= 2
-    x -= 1
-    return x
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype = np.dtype(np.float32)) -> np.ndarray:
+        size, own = int(np.prod(shape)), self.get((name, kind))
+        if own is None or own.size < size:
+            own = self[name, kind] = np.empty(size, kind)
+        return own[:size].reshape(shape)
 
 
 def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -270,7 +322,7 @@ class Gru:
 
     def __init__(self, lexicon: Lexicon, seed: int = 5):
         rng, n = np.random.default_rng(seed), len(lexicon.short)
-        self.lexicon = lexicon
+        self.lexicon, self.room = lexicon, _Room()
         self.w = {
             "X": rng.normal(0, 0.1, (3, n + SHAPES + 1, HIDDEN)), "U": rng.normal(0, HIDDEN**-0.5, (3, HIDDEN, HIDDEN)), "x": np.zeros((3, HIDDEN)),
             "C": np.zeros((HIDDEN, SHORT_CLASSES + 1)), "c": lexicon.start_class, "S": np.zeros((n + SHAPES, HIDDEN)), "s": lexicon.start_member,
@@ -286,49 +338,99 @@ class Gru:
         self.w = dict(np.load(io.BytesIO(data)))
         return self
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, back: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """States after each step (steps, lanes, HIDDEN), and what the way back needs."""
-        w = self.w
-        x = np.take(w["X"], inputs, axis=1)
-        x += w["x"][:, None, None]
-        out, trail = np.empty((*inputs.shape, HIDDEN), h.dtype), []
+    def _exponents(self) -> tuple[np.ndarray, np.ndarray]:
+        """X (with its bias) and U such that the gates are 1 / (1 + exp(.)), the candidate 2 / (1 + exp(.)) - 1."""
+        scale = np.array([-1, -1, -2], self.w["U"].dtype)[:, None, None]
+        return (self.w["X"] + self.w["x"][:, None]) * scale, self.w["U"] * scale
+
+    def _steps(self, tables: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, hs: np.ndarray, gates: np.ndarray, mixed: np.ndarray) -> None:
+        """Fills in the states after ``hs[0]``, the gates and candidates, and the reset states (of the last step only, if there is room for one)."""
+        table, u = tables
+        add, more = (self.room(k, (n, *hs.shape[1:]), hs.dtype) for k, n in (("add", 2), ("more", 1)))
         with np.errstate(over="ignore"):  # an infinite exponential gives its limit
             for t in range(len(inputs)):
-                rz = np.matmul(h, w["U"][:2])
-                rz += x[:2, t]
-                r, z = _sigmoid(rz)
-                rh = r * h
-                c = rh @ w["U"][2]
-                c += x[2, t]
-                _tanh(c)
-                if back:
-                    trail.append((h, r, z, rh, c))
-                np.multiply(z, c - h, out=out[t])
-                out[t] += h
-                h = out[t]
-        return out, trail
-
-    def outputs(self, h: np.ndarray, word: np.ndarray, kind: np.ndarray, grads: bool = False) -> tuple[np.ndarray, tuple | None]:
-        """log P(class) + log P(member | class) of each target, and gradients."""
-        w = self.w
+                own, rh, h, new = gates[t % len(gates)], mixed[t % len(mixed)], hs[t], hs[t + 1]
+                rz, c = own[:2], own[2]
+                for k in range(3):
+                    np.take(table[k], inputs[t], axis=0, out=own[k], mode="clip")
+                rz += np.matmul(h, u[:2], out=add)
+                np.exp(rz, out=rz)
+                rz += 1
+                np.reciprocal(rz, out=rz)
+                np.multiply(own[0], h, out=rh)
+                c += np.matmul(rh, u[2], out=more[0])
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                np.subtract(c, h, out=new)
+                new *= own[1]
+                new += h
+
+    def states(self, inputs: np.ndarray, h: np.ndarray, back: bool = True) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """States after each step (steps, lanes, HIDDEN), and what the way back needs."""
+        n, lanes = inputs.shape
+        hs, gates, mixed = np.empty((n + 1, lanes, HIDDEN), h.dtype), np.empty((n if back else 1, 3, lanes, HIDDEN), h.dtype), np.empty((n if back else 1, lanes, HIDDEN), h.dtype)
+        hs[0] = h
+        self._steps(self._exponents(), inputs, hs, gates, mixed)
+        return hs[1:], (hs, gates, mixed)
+
+    def _read(self, inputs: np.ndarray, offsets: np.ndarray, lanes: int, steps: int, back: bool) -> Iterator[tuple]:
+        """Windows of documents with states carried, and beside a window those that follow it as far as lanes are free.
+
+        Yields places of tokens, which of them are real, the document of each lane, and what the way back needs.
+        On the way back the weights may change between what is yielded.
+        """
+        hs, gates, mixed = np.empty((steps + 1, lanes, HIDDEN), np.float32), np.empty((steps if back else 1, 3, lanes, HIDDEN), np.float32), np.empty((steps if back else 1, lanes, HIDDEN), np.float32)
+        tables, held, used, last = self._exponents(), [], 0, None
+
+        def all_held() -> tuple:
+            idx, mask = (np.concatenate([x[k] for x in held], 1) for k in (0, 1))
+            return idx, mask, np.concatenate([x[2] for x in held]), (hs[:, :used], gates[:, :, :used], mixed[:, :used])
+
+        for idx, mask, fresh, docs, keep in _abreast(offsets, lanes, steps):
+            n = len(docs)
+            h = np.zeros((n, HIDDEN), np.float32) if last is None else last[keep]
+            h[fresh] = 0
+            if used + n > lanes:
+                yield all_held()
+                held, used = [], 0
+                tables = self._exponents() if back else tables
+            own = slice(used, used + n)
+            hs[0, own] = h
+            self._steps(tables, inputs[idx], hs[:, own], gates[:, :, own], mixed[:, own])
+            last, used = hs[-1, own], used + n
+            held.append((idx, mask, docs))
+        if held:
+            yield all_held()
+
+    def outputs(self, h: np.ndarray, word: np.ndarray, kind: np.ndarray, grads: bool = False, at: np.ndarray | None = None) -> tuple[np.ndarray, tuple | None]:
+        """log P(class) + log P(member | class) of each target, and gradients.
+
+        ``at``: the rows of ``h`` that have targets, if not all do.  The gradient by ``h`` is valid until the next call.
+        """
+        w, room = self.w, self.room
         order = np.argsort(kind.astype(np.int16), kind="stable")
-        hs, words, kinds = h[order], word[order], kind[order]
-        at = np.arange(len(hs))
-        p = hs @ w["C"]
+        rows, words, kinds = order if at is None else at[order], word[order], kind[order]
+        n, real = len(rows), np.result_type(h, w["C"])
+        hs = np.take(h, rows, axis=0, out=room("hs", (n, HIDDEN), h.dtype), mode="clip")
+        near = np.arange(n)
+        p = np.matmul(hs, w["C"], out=room("p", (n, w["C"].shape[1]), real))
         p += w["c"]
         if not _tame(w["C"].T, w["c"]):
             p -= p.max(1, keepdims=True)
-        logs = p[at, kinds]
+        logs = p[near, kinds]
         np.exp(p, out=p)
-        ones, tame = np.ones(max(map(len, self.lexicon.members)), p.dtype), _tame(w["S"], w["s"])
-        total = p @ np.ones(p.shape[1], p.dtype)
+        ones, tame = np.ones(max(map(len, self.lexicon.members)), real), _tame(w["S"], w["s"])
+        total = p @ np.ones(p.shape[1], real)
         logs -= np.log(total)
         if grads:
-            p[at, kinds] -= total
-            part = 1 / total[:, None]
-            dhs = p @ w["C"].T
+            p[near, kinds] -= total
+            part = np.reciprocal(total)[:, None]
+            dhs = np.matmul(p, w["C"].T, out=room("dhs", (n, HIDDEN), real))
             dhs *= part
-            dC, dc = (hs * part).T @ p, part[:, 0] @ p
+            scaled = room("scaled", (n, HIDDEN), real)
+            dC, dc = np.multiply(hs, part, out=scaled).T @ p, part[:, 0] @ p
             dS, ds = np.zeros_like(w["S"]), np.zeros_like(w["s"])
         cuts = np.searchsorted(kinds, np.arange(SHORT_CLASSES + 2)).tolist()
         for k, own in enumerate(self.lexicon.members):
@@ -336,103 +438,118 @@ class Gru:
             if cuts[k] < cuts[k + 1] and len(own) > 1:
                 first, last = int(own[0]), int(own[-1]) + 1  # members of a class are neighbours in the list
                 table = w["S"][first:last]
-                q = hs[i] @ table.T
+                q = np.matmul(hs[i], table.T, out=room("q", (i.stop - i.start, last - first), real))
                 q += w["s"][first:last]
                 if not tame:
                     q -= q.max(1, keepdims=True)
-                target = words[i] - first
-                near = at[: len(q)]
-                picked = q[near, target]
+                spot = near[: len(q)], words[i] - first
+                picked = q[spot]
                 np.exp(q, out=q)
                 sums = q @ ones[: last - first]
                 logs[i] += picked - np.log(sums)
                 if grads:
-                    q[near, target] -= sums
-                    part = 1 / sums[:, None]
-                    dhs[i] += (q @ table) * part
-                    dS[first:last] = q.T @ (hs[i] * part)
+                    q[spot] -= sums
+                    part = np.reciprocal(sums)[:, None]
+                    more = np.matmul(q, table, out=room("more", (len(q), HIDDEN), real))
+                    more *= part
+                    dhs[i] += more
+                    dS[first:last] = q.T @ np.multiply(hs[i], part, out=more)
                     ds[first:last] = part[:, 0] @ q
         out = np.empty_like(logs)
         out[order] = logs
         if not grads:
             return out, None
-        dh = np.empty_like(dhs)
-        dh[order] = dhs
+        dh = room("dh", h.shape, real)
+        if n < len(h):
+            dh[:] = 0
+        dh[rows] = dhs
         return out, (dh, dC, dc, dS, ds)
 
-    def _back(self, inputs: np.ndarray, dstates: np.ndarray, trail: list) -> dict[str, np.ndarray]:
+    def _back(self, inputs: np.ndarray, dstates: np.ndarray, trail: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
         """Backpropagation through the steps of one window."""
-        w = self.w
+        w, room, (hs, gates, mixed) = self.w, self.room, trail
         into = np.ascontiguousarray(w["U"].transpose(0, 2, 1))
-        dx, dh = np.empty((3, *inputs.shape, HIDDEN), dstates.dtype), np.zeros_like(dstates[0])
+        one = dstates.shape[1:]
+        dx = room("dx", (3, *dstates.shape), dstates.dtype)
+        dh, dhz, drh, rest = room("back", (4, *one), dstates.dtype)
+        dh[:] = 0
         for t in range(len(inputs) - 1, -1, -1):
-            h, r, z, _, c = trail[t]
+            (r, z, c), (dr, dz, dc) = gates[t], dx[:, t]
             dh += dstates[t]
-            dr, dz, dc = dx[:, t]
-            dhz = dh * z
+            np.multiply(dh, z, out=dhz)
             np.multiply(c, c, out=dc)
             np.subtract(1, dc, out=dc)
             dc *= dhz
-            drh = dc @ into[2]
-            np.multiply(h, r, out=dr)
-            dr *= 1 - r
+            np.matmul(dc, into[2], out=drh)
+            np.subtract(1, r, out=dr)
+            dr *= mixed[t]
             dr *= drh
-            np.subtract(c, h, out=dz)
+            np.subtract(c, hs[t], out=dz)
             dz *= dhz
-            dz *= 1 - z
+            dz *= np.subtract(1, z, out=rest)
             drh *= r
             dh -= dhz
             dh += drh
-            dh += dr @ into[0]
-            dh += dz @ into[1]
+            dh += np.matmul(dr, into[0], out=rest)
+            dh += np.matmul(dz, into[1], out=rest)
         flat, ids = dx.reshape(3, -1, HIDDEN), inputs.ravel()
-        before, mixed = (np.concatenate([x[k] for x in trail]) for k in (0, 3))
-        du = np.concatenate([np.matmul(before.T, flat[:2]), (mixed.T @ flat[2])[None]])
+        du = np.concatenate([np.matmul(hs[:-1].reshape(-1, HIDDEN).T, flat[:2]), (mixed.reshape(-1, HIDDEN).T @ flat[2])[None]])
+        return {"X": self._by_input(flat, ids), "U": du, "x": flat.sum(1)}
+
+    def _by_input(self, flat: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Sums of rows by input number: products with ones for frequent numbers, ``reduceat`` for the others."""
         order = np.argsort(ids.astype(np.int16), kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        table = np.zeros_like(w["X"])
+        cuts = np.r_[0, np.cumsum(np.bincount(ids, minlength=self.w["X"].shape[1]))]
+        size = np.diff(cuts)
+        often, seldom = np.flatnonzero(size >= OFTEN), np.flatnonzero((size > 0) & (size < OFTEN))
+        table, own = np.zeros_like(self.w["X"]), self.room("sorted", flat.shape[1:], flat.dtype)
+        ones = np.ones(int(size.max(initial=0)), flat.dtype)
+        few = order[np.repeat(size, size) < OFTEN]
+        starts = np.r_[0, np.cumsum(size[seldom])][:-1]
         for gate in range(3):
-            table[gate, ids[order][starts]] = np.add.reduceat(flat[gate][order], starts, axis=0)
-        return {"X": table, "U": du, "x": flat.sum(1)}
+            np.take(flat[gate], order, axis=0, out=own, mode="clip")
+            for k, a, b in zip(often.tolist(), cuts[often].tolist(), cuts[often + 1].tolist(), strict=True):
+                np.matmul(ones[: b - a], own[a:b], out=table[gate, k])
+            if len(few):
+                table[gate, seldom] = np.add.reduceat(np.take(flat[gate], few, axis=0), starts, axis=0)
+        return table
 
     def learn(self, inputs: np.ndarray, word: np.ndarray, kind: np.ndarray, offsets: np.ndarray, rate: float) -> None:
         """One pass over runs of words, many abreast, by Adam on windows of ``BACK`` words."""
-        first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        h, steps = None, 0
-        lanes = int(np.clip(offsets[-1] // (BACK * STEPS), FEW_LANES, LANES))
+        first, second, scratch = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(3))
+        steps, lanes = 0, int(np.clip(offsets[-1] // (BACK * STEPS), FEW_LANES, LANES))
         total = max(1, int(offsets[-1]) // (lanes * BACK))
-        for idx, mask, fresh, _, keep in _abreast(offsets, lanes, BACK):
-            h = np.zeros((idx.shape[1], HIDDEN), np.float32) if h is None else h[keep]
-            h[fresh] = 0
-            ids = inputs[idx]
-            states, trail = self.states(ids, h)
-            h = states[-1].copy()
-            at = np.nonzero(mask.ravel())[0]
-            _, (dh, dC, dc, dS, ds) = self.outputs(states.reshape(-1, HIDDEN)[at], word[idx].ravel()[at], kind[idx].ravel()[at], True)
-            dstates = np.zeros((mask.size, HIDDEN), np.float32)
-            dstates[at] = dh
-            grads = self._back(ids, dstates.reshape(*mask.shape, HIDDEN), trail) | {"C": dC, "c": dc, "S": dS, "s": ds}
+        for idx, mask, _, trail in self._read(inputs, offsets, lanes, BACK, True):
+            at, ids = np.flatnonzero(mask), idx.ravel()
+            every = ids if len(at) == len(ids) else ids[at]
+            _, (dh, dC, dc, dS, ds) = self.outputs(trail[0][1:].reshape(-1, HIDDEN), word[every], kind[every], True, at)
+            grads = self._back(inputs[idx], dh.reshape(*mask.shape, HIDDEN), trail) | {"C": dC, "c": dc, "S": dS, "s": ds}
             steps += 1
             share = 1 / max(1, len(at))
             now = rate * max(0.1, 1 - steps / (total + 1))
             for k, g in grads.items():
-                g = g * share
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                self.w[k] -= now * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-6)
+                m, v, x = first[k], second[k], scratch[k]
+                g *= share
+                m *= 0.9
+                m += np.multiply(g, 0.1, out=x)
+                v *= 0.99
+                g *= g
+                g *= 0.01
+                v += g
+                np.sqrt(np.multiply(v, 1 / (1 - 0.99**steps), out=x), out=x)
+                x += 1e-6
+                np.divide(m, x, out=x)
+                x *= now / (1 - 0.9**steps)
+                self.w[k] -= x
 
     def score(self, inputs: np.ndarray, word: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log of each document's classes and short words, states carried over windows."""
-        out, h = np.zeros(len(offsets) - 1), None
-        for idx, mask, fresh, docs, keep in _abreast(offsets, SCORE_LANES, WINDOW):
-            h = np.zeros((idx.shape[1], HIDDEN), np.float32) if h is None else h[keep]
-            h[fresh] = 0
-            states, _ = self.states(inputs[idx], h, False)
-            h = states[-1].copy()
-            at = np.nonzero(mask.ravel())[0]
+        out = np.zeros(len(offsets) - 1)
+        for idx, mask, docs, (hs, *_) in self._read(inputs, offsets, SCORE_LANES, WINDOW, False):
+            at, ids = np.flatnonzero(mask), idx.ravel()
             logs = np.zeros(mask.size)
-            logs[at] = self.outputs(states.reshape(-1, HIDDEN)[at], word[idx].ravel()[at], kind[idx].ravel()[at])[0]
-            out[docs] += logs.reshape(mask.shape).sum(0)
+            logs[at] = self.outputs(hs[1:].reshape(-1, HIDDEN), word[ids[at]], kind[ids[at]], at=at)[0]
+            np.add.at(out, docs, logs.reshape(mask.shape).sum(0))
         return out
 
 
@@ -470,41 +587,21 @@ def _abreast(offsets: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.n
 # -- learning ----------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Word to its input number, filled on demand for words of the tail."""
-
-    def __init__(self, lexicon: Lexicon):
-        super().__init__(lexicon.short)
-        self.first = len(lexicon.short)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.first + shape(word)
-        return number
-
-
 def _number_batches(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
     """Training documents as numbers of their words and end, and their sizes, in rows of about PIECE_WORDS."""
     for r in rows(batches):
-        block, numbers = Block(r), _Numbers(lexicon.value)
-        number, end, cuts = numbers.__getitem__, numbers[END], block.offsets.tolist()
-        held: list[np.ndarray] = []
-        size = piece = 0
-
-        def row(held=held, block=block) -> pa.RecordBatch:
-            return _row(1, piece, block.block, np.concatenate(held).tobytes(), np.array([len(x) for x in held], np.int32).tobytes())  # noqa: B023
-
-        for i, (doc_id, absent) in enumerate(zip(block.ids.tolist(), block.absent.tolist(), strict=True)):
-            if held_out(doc_id, absent):
-                continue
-            own = np.fromiter(map(number, words(block.raw[cuts[i] : cuts[i + 1]])), np.int16)
-            held.append(np.append(own, np.int16(end)))
-            size += len(held[-1])
-            if size >= PIECE_WORDS:
-                yield row()
-                held.clear()
-                size, piece = 0, piece + 1
-        if held:
-            yield row()
+        block = Block(r)
+        names, index, sizes = distinct(block)
+        own = trained(block)
+        number, end = lexicon.value.look_up(names)[0].astype(np.int16), lexicon.value.short[END]
+        flat = _with_ends(number[index[np.repeat(own, sizes)]], end, sizes[own])
+        sizes = sizes[own] + 1
+        ends, at, piece = np.cumsum(sizes), 0, 0
+        while at < len(sizes):
+            done = int(ends[at] - sizes[at])
+            to = min(len(sizes), int(np.searchsorted(ends, done + PIECE_WORDS)) + 1)
+            yield _row(1, piece, block.block, flat[done : int(ends[to - 1])].tobytes(), sizes[at:to].astype(np.int32).tobytes())
+            at, piece = to, piece + 1
 
 
 def _learn_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, rate: float) -> Iterator[pa.RecordBatch]:
@@ -571,27 +668,25 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
     model = Gru(lexicon).load(weights)
     for r in rows(batches):
         block = Block(r)
-        names, counts = [], []
+        listed, counts = [], []
         for blob in r["found"]:
             cut = 8 + int(np.frombuffer(blob, np.int64, 1)[0])
-            names += _unpacked(blob[8:cut]).split(b"\n")
+            listed.append(_unpacked(blob[8:cut]))
             counts.append(np.frombuffer(_unpacked(blob[cut:]), np.int64))
-        counts = np.concatenate(counts)
+        names, index, size = distinct(block)
+        names = pa.concat_arrays([names, pa.array([END], pa.large_binary())])
+        counts = np.concatenate(counts)[pc.index_in(names, _named(b"\n".join(listed))).to_numpy()]
         number, kind, inside = lexicon.look_up(names, counts)
         base = np.log10(counts + 1.0) - np.log10(lexicon.tokens + lexicon.types + 1.0)
-        index = {w: i for i, w in enumerate(names)}.__getitem__
-        end, offsets, tokens = index(END), block.offsets.tolist(), []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            own = np.fromiter(map(index, words(block.raw[a:b])), np.int32)
-            tokens.append(np.append(own, np.int32(end)))
-        size = np.array([len(t) for t in tokens])
-        flat, cuts = np.concatenate(tokens), np.r_[0, np.cumsum(size)]
+        flat = _with_ends(index, len(names) - 1, size)
+        size = size + 1
+        cuts = np.r_[0, np.cumsum(size)]
         inputs = np.r_[lexicon.bos, number[flat[:-1]]]
         inputs[cuts[:-1]] = lexicon.bos
         score = model.score(inputs, number[flat], kind[flat], cuts) + np.add.reduceat(inside[flat], cuts[:-1])
         yield pa.RecordBatch.from_pydict({
             "doc_id": block.doc_ids(),
-            "held_out": pa.array([held_out(i, a) for i, a in zip(block.ids.tolist(), block.absent.tolist(), strict=True)]),
+            "held_out": pa.array(~trained(block)),
             "n_tokens": pa.array(size.astype(np.int64)),
             "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64)[flat], cuts[:-1])),
             "train_tokens": pa.array(np.full(len(size), lexicon.tokens)),
