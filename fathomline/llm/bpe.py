@@ -12,8 +12,10 @@ tokens outside are those of the whole (a sequence is the encoding of its bytes
 exactly if each adjacent pair is stable).  Empty is the identity and joining
 is associative; decoding concatenates the tokens' bytes up the same tree.
 
-Encoded matches are kept in a cache of bounded size; vocabularies are read
-once a worker.  Nothing is trained.
+Texts are cut before their spaces where that is a boundary of matches
+(``wordwise.Cut``), and each distinct word of a chunk is encoded once; other
+texts go match by match.  Words and matches are kept in caches of bounded size;
+they and the vocabulary last as long as a worker.  Nothing is trained.
 
 Edge cases: a null text counts as empty (no tokens, hash of nothing); a match
 that is itself a token is that token; texts of any length are whole; repeated
@@ -24,58 +26,34 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import sys
-import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.llm.common import boxed, gives_back, small_batches
+from fathomline.llm.wordwise import Cut, Words, gathered, in_chunks, splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 24
-#: Matches kept; beyond it the cache starts anew.
-CACHE, PACKED_CACHE = 400_000, 60_000
-CHUNK = 1 << 18
+#: Words, matches and stable pairs kept; beyond it a cache starts anew.
+CACHE = 400_000
+#: Bytes of text encoded at once, and with their ids as a column.
+DIGEST_CHUNK, CHUNK = 1 << 22, 1 << 18
+#: Above all ranks: the pair does not merge.
+NEVER = 1 << 62
 
 Tokens = tuple[int, ...]
 
 
-def _class(kind: str) -> str:
-    """Ranges of the code points of a general category, for a character set."""
-    out, first = [], None
-    for c in range(sys.maxunicode + 2):
-        ok = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
-        if ok and first is None:
-            first = c
-        elif not ok and first is not None:
-            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return "".join(out)
-
-
-@lru_cache(1)
-def splitter() -> re.Pattern:
-    """public_tokenizers.PATTERN for the standard library, whose engine is faster.
-
-    Its classes are spelt out: letters, numbers and the White_Space property.
-    """
-    space = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-    letter, number = _class("L"), _class("N")
-    pattern = public_tokenizers.PATTERN
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
-    pattern = pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
-    return re.compile(pattern.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
-
-
 class Coder:
     """Encoder and decoder of one rank file."""
 
@@ -88,17 +66,16 @@ class Coder:
         """All merges of a run of bytes."""
         if len(data) > 4 * self.leaf:
             return self._merge_long(data)
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+        rank, cuts = self.ranks.get, list(range(len(data) + 1))
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]  # of each part and the next
+        while pairs and (best := min(pairs)) < NEVER:
+            i = pairs.index(best)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(data[cuts[i] : cuts[i + 2]], NEVER)
+            if i:
+                pairs[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], NEVER)
+        return tuple([self.ranks[data[a:b]] for a, b in pairwise(cuts)])
 
     def _merge_long(self, data: bytes) -> Tokens:
         """The same from a heap of candidate pairs (rank, start, end)."""
@@ -172,35 +149,77 @@ def coder(path: str) -> Coder:
         return Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
 
 
-class _Encoded(dict):
-    """Match to (ids joined by commas, decoded bytes), filled on demand."""
+class _Packed(dict):
+    """Match to the bytes of its ids, filled on demand."""
 
     def __init__(self, own: Coder):
         super().__init__()
         self.own = own
 
-    def __missing__(self, match: str) -> tuple[str, bytes]:
-        tokens = self.own.encode_match(match.encode())
-        value = ",".join(map(str, tokens)), self.own.decode(tokens)
+    def __missing__(self, match: str) -> bytes:
+        value = np.array(self.own.encode_match(match.encode()), np.int32).tobytes()
         if len(match) < 64:
+            if len(self) > CACHE:
+                self.clear()
             self[match] = value
         return value
 
 
+@lru_cache(1)
+def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to their ids end to end, and n + 1 offsets; null is empty."""
+    own, split = _Packed(coder(path)), splitter().findall
+
+    def new(words: list[str]) -> list[bytes]:
+        """Ids of each word with the space before it: only its first match begins with a space."""
+        out: list[list[bytes]] = []
+        for match in split(" " + " ".join(words)) if words else ():
+            if match[0] == " ":
+                out.append([])
+            out[-1].append(own[match])
+        return [b"".join(x) for x in out]
+
+    words = Words(new, most=CACHE)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        cut = Cut(texts)
+        found = words.of(cut.words)
+        odd = cut.texts_with(np.array([x is None for x in found], bool))
+        ids, ends = gathered([x or b"" for x in found], cut.index)
+        ends, parts = ends[cut.offsets], []
+        for i, first in enumerate(cut.first):
+            whole, rest = (texts[i].as_py(), ids[:0]) if odd[i] else (first, ids[ends[i] : ends[i + 1]])
+            parts += [np.frombuffer(b"".join([own[m] for m in split(whole)]), np.int32), rest.view(np.int32)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate(parts), np.r_[0, np.cumsum(sizes)][::2]
+
+    return encode
+
+
+@lru_cache(1)
+def _written(path: str) -> tuple[pa.Array, pa.Array]:
+    """Of each id its decimal text and its bytes."""
+    tokens = coder(path).tokens
+    every = range(max(tokens, default=-1) + 1)
+    return pa.array([str(i) for i in every], pa.large_string()), pa.array([tokens.get(i) for i in every], pa.large_binary())
+
+
+def _hashes(table: pa.Array, between: str, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Hash of what the ids of each text stand for in ``table``."""
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets), table.take(pa.array(flat)))
+    joined = pc.binary_join(lists, pa.scalar(between, table.type))
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
+
+
+@gives_back
 def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own, split = coder(path), splitter().findall
-    cache = _Encoded(own)
-    for batch in batches:
-        n_tokens, ids_sha, decoded_sha = [], [], []
-        for text in batch.column("text"):
-            found = [cache[m] for m in split(text.as_py() or "")]
-            if len(cache) > CACHE:
-                cache.clear()
-            ids = ",".join([x for x, _ in found])
-            n_tokens.append(ids.count(",") + 1 if ids else 0)
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join([y for _, y in found])).hexdigest())
-        rows = [batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+    encode, (decimal, token) = encoder(path), _written(path)
+    for batch in in_chunks(batches, DIGEST_CHUNK):
+        flat, offsets = encode(batch.column("text"))
+        rows = [batch.column("row"), pa.array(np.diff(offsets)), _hashes(decimal, ",", flat, offsets), _hashes(token, "", flat, offsets)]
         yield pa.RecordBatch.from_arrays(rows, ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -213,36 +232,17 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-class _Packed(dict):
-    """Match to the bytes of its ids, filled on demand."""
-
-    def __init__(self, own: Coder):
-        super().__init__()
-        self.own = own
-
-    def __missing__(self, match: str) -> bytes:
-        value = np.array(self.own.encode_match(match.encode()), np.int32).tobytes()
-        if len(match) < 64:
-            self[match] = value
-        return value
-
-
 @gives_back
 def _packed_batches(batches: Iterator[pa.RecordBatch], path: str, decoded: bool) -> Iterator[pa.RecordBatch]:
     """Adds the ids of each text, and the hash of what they decode to."""
-    own, split = coder(path), splitter().findall
-    cache = _Packed(own)
+    encode, token = encoder(path), _written(path)[1]
     for batch in batches:
         for part in small_batches(batch, CHUNK):
-            if len(cache) > PACKED_CACHE:
-                cache.clear()
-            packed = [b"".join([cache[m] for m in split(t.as_py() or "")]) for t in part.column("text")]
-            offsets = np.r_[0, np.cumsum([len(p) // 4 for p in packed])].astype(np.int32)
-            flat = np.frombuffer(b"".join(packed), np.int32)
-            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            flat, offsets = encode(part.column("text"))
+            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))]
             names = [*part.schema.names, "ids"]
             if decoded:
-                columns.append(pa.array([hashlib.sha256(own.decode(np.frombuffer(p, np.int32).tolist())).hexdigest() for p in packed], pa.string()))
+                columns.append(_hashes(token, "", flat, offsets))
                 names.append("decoded_sha256")
             yield pa.RecordBatch.from_arrays(columns, names).select([n for n in names if not decoded or n != "text"])
 

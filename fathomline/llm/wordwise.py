@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from fathomline.llm.bpe import splitter
 from fathomline.llm.common import small_batches
 
 #: Words kept by a worker; beyond it the cache starts anew.  Longer words are not kept.
@@ -39,6 +41,33 @@ TOGETHER = 1000
 _SURE = re.compile(r"\S(?= )")
 
 
+def _class(kind: str) -> str:
+    """Ranges of the code points of a general category, for a character set."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        ok = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        if ok and first is None:
+            first = c
+        elif not ok and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+@lru_cache(1)
+def splitter() -> re.Pattern:
+    """public_tokenizers.PATTERN for the standard library, whose engine is faster.
+
+    Its classes are spelt out: letters, numbers and the White_Space property.
+    """
+    space = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    letter, number = _class("L"), _class("N")
+    pattern = public_tokenizers.PATTERN
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
+    pattern = pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+    return re.compile(pattern.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
 def byte_chars() -> dict[str, int]:
     """Character of a byte-level vocabulary to its byte: printable ones stand for themselves, all others follow from 256 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]

@@ -1,7 +1,12 @@
 """The work of op4 and op9 stays within their budgets: words met once, arithmetic in full windows."""
 
+import hashlib
+
 import numpy as np
-from fathomline.llm import lm
+import public_tokenizers
+import pyarrow as pa
+import tiktoken
+from fathomline.llm import bpe, lm
 
 
 def _block(texts):
@@ -38,3 +43,24 @@ def test_a_long_document_learns_in_full_windows(monkeypatch):
     model.learn(flat, flat, model.lexicon.kinds(flat), cuts, lm.RATE)
     assert sum(calls) == sizes.sum()  # all words, each once
     assert len(calls) <= 3 * sizes.sum() / (lm.FEW_LANES * lm.BACK)
+
+
+def test_words_are_merged_once_a_worker(monkeypatch):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    texts = ["thenining  areerlyes", None, " thenining areerlyes, it's\n\n undäheit ", "a\n b", "'s 's x\u3000 y", "", "ciónrrdobo areerlyes" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i} for i in range(len(texts))]), pa.array(texts)], ["row", "text"])
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.coder(path).ranks, special_tokens={})
+    merged, merge = [], bpe.Coder.merge
+
+    def counted(self, data):
+        merged.append(data)
+        return merge(self, data)
+
+    monkeypatch.setattr(bpe.Coder, "merge", counted)
+    for again in range(2):  # as two tasks of one worker
+        merged.clear()
+        got = pa.Table.from_batches(bpe._digest_batches(iter([batch, batch]), path)).to_pylist()
+        want = [library.encode_ordinary(t or "") for t in texts] * 2
+        assert [r["n_tokens"] for r in got] == [len(x) for x in want]
+        assert [r["ids_sha256"] for r in got] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
+        assert not again or not merged
