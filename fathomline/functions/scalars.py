@@ -33,6 +33,11 @@ def archive_number(value: Column) -> Column:
     return null_if(text, "", "0.0", "511.0", "511", "360.0").try_cast("double")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded as SQL rounds doubles: the product with a power of ten to the nearest whole, halves away from 0."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def one_decimal(value: Column) -> Column:
     """Text with one decimal, rounded by the exact value, halves to even (``%.1f`` rounds the shortest decimals half up)."""
     return F.call_function("format_number", value, F.lit("0.0"))
