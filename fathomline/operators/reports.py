@@ -34,10 +34,11 @@ def scoped(df: DataFrame, key: str | None) -> DataFrame:
 
 
 def vessels_live(positions: DataFrame, vessels: DataFrame, now: float, minutes: int = 60, key: str | None = None) -> DataFrame:
-    """The latest fix of each vessel among those in the box and window; of equal times the largest."""
+    """The latest fix of each vessel among those in the box and window; of equal times the first to arrive (by ``seq``, if there is one), else the largest."""
     checked("minutes", minutes, 1, 1440)
     recent = within(positions.where(F.col("ts") >= now - minutes * 60.0), key)
-    last = recent.groupBy("mmsi").agg(F.max(F.struct("ts", "lat", "lon", "sog", "cog", "heading")).alias("f")).select("mmsi", "f.*")
+    arrived = [(-F.col("seq")).alias("arrived")] if "seq" in positions.columns else []
+    last = recent.groupBy("mmsi").agg(F.max(F.struct("ts", *arrived, "lat", "lon", "sog", "cog", "heading")).alias("f")).select("mmsi", "f.*")
     out = last.join(vessels.select("mmsi", "name", "ship_type", "length_m"), "mmsi", "left")
     return out.select("mmsi", "ts", "lat", "lon", "sog", "cog", "heading", display_name(F.col("name"), F.col("mmsi")).alias("name"), ship_type_name(F.col("ship_type")).alias("vessel_type"), "length_m")
 

@@ -58,7 +58,12 @@ class Tables:
 
     @cached_property
     def positions(self) -> DataFrame:
-        kept = ["mmsi", "ts", "lat", "lon"]
+        return self.arrivals.drop("seq")
+
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        """The positions with their order of arrival (seq)."""
+        kept = ["seq", "mmsi", "ts", "lat", "lon"]
         return self.ais_raw.select(
             *kept, sane(F.col("raw_sog"), 102.3, 0, 102.2).alias("sog"), sane(F.col("raw_cog"), 360, 0, 359.9).alias("cog"),
             sane(F.col("raw_heading"), 511, 0, 359).alias("heading"), "nav_status", "source",
